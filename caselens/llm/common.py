@@ -1,67 +1,18 @@
-"""What the training-data operators share: whitespace words, scratch tables in the cluster's shared folder,
-and a numpy kernel that hashes all words of an Arrow batch at once."""
+"""What the training-data operators share: whitespace words, and a numpy kernel that hashes all words of an Arrow batch at once."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from caselens.plans.scratch import Scratch  # noqa: F401  for the operators
+
 #: Fixed by the contracts: words are runs of anything else.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file:///tmp/checkpoints/caselens"
-    return folder.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-class Scratch:
-    """Named Parquet tables of one operator call under the shared folder.
-
-    A written table cuts the lineage and survives lost executors. Tables that the returned frame still reads stay until
-    the driver ends; the others are dropped as soon as the operator is through with them."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self._at_exit)
-
-    def _at_exit(self) -> None:
-        try:
-            delete(self.spark, self.root)
-        except Exception:  # noqa: BLE001  the session may be gone at exit; nothing is left to clean with
-            pass
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            delete(self.spark, self.path(name))
-
-    def release(self) -> None:
-        """Lets Spark's cleaner delete the shuffle files of finished steps now, not whenever the driver collects garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
-
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import exact, langid, quality, sharding, urlrules
+from caselens.llm import exact, langid, minhash, packing, quality, sentpiece, sharding, substring, tokenstore, urlrules
+from caselens.llm.common import Scratch
+
+
+def tokenizer_path(name: str) -> str:
+    """The place of a public vocabulary file of the installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,11 +55,49 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "confidence")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op5_exact_dedup, op6_language_id, op8_quality_rules, op9_url_filters)}
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_digest(table(spark, sf_dir, "documents"), window=35)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=2048)
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentpiece.encode_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(table(spark, sf_dir, "documents"), n=3, percent=85, lower=True)
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Scratch(spark, "ids").path("store")
+    shards = tokenstore.write_store(table(spark, sf_dir, "documents"), store, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return tokenstore.read_store(spark, shards)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_substring_dedup, op3_best_fit_packing, op4_sentencepiece, op5_exact_dedup, op6_language_id, op7_minhash_near_dedup,
+        op8_quality_rules, op9_url_filters, op10_token_store,
+    )
+}
 
 SQL = {
     "op5_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
              g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM n JOIN g USING (norm)""",
+    "op2_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+             s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+             k AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS win FROM s),
+             r AS (SELECT win FROM k GROUP BY win HAVING count(*) > 1),
+             c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM k JOIN r USING (win)),
+             g AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+             o AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN g USING (doc_id))
+        SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed,
+               sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256 FROM o""",
 }
