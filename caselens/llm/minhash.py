@@ -6,11 +6,14 @@ those links.
 
 1. One pass makes each document's set of 64-bit shingle hashes, its size, a 128-bit digest of the whole set and the k smallest
    hashes (all of them, if there are no more). Documents of one set are one node from here on; copies never meet in pairs.
-2. A linked pair shares at least `overlap` of its k retained values (at k = 64, percent = 85, overlap = 33 a pair at the very
-   threshold fails this with probability below 1e-9; smaller sets are retained whole). So it shares one of the k - overlap + 1
-   rarest. Only those values of a sketch enter the inverted lists, and only if another sketch has them too: frequent shingles
-   stay out of the lists, without any cap on a list.
-3. Lists are worked off in rounds. In the first two, each node is paired with one leader of its lists; verified pairs join
+2. Two linked sets share at least `overlap` of their retained values: a share that follows exactly from their sizes when both are
+   retained whole, and five standard deviations below the expected share when one is cut at k. So they share one of the
+   (retained - overlap + 1) rarest values of each. Only those enter the inverted lists, and only if another sketch has them too:
+   frequent shingles stay out of the lists, without any cap on a list. This is done twice: sketches of `k` values find the documents
+   that can have a partner at all, and sketches of `wide` values of those documents alone, whole for nearly all, make the lists.
+3. A value's place among the rarest bounds the overlap from above (rarer values, foremost those nobody else has, are not shared before
+   it). Entries that cannot reach any partner of their list go, and pairs that cannot reach the overlap are never formed.
+4. Lists are worked off in rounds. In the first two, each node is paired with one leader of its lists; verified pairs join
    components. The last round pairs whatever still lies in one list but not in one component, each node outside the list's
    largest component with every node of other components, so no link between components is lost and large groups never meet in
    all pairs.
@@ -31,6 +34,9 @@ from caselens.llm.common import Scratch, gram_hashes, mix, text_slices, whole, w
 from caselens.operators.graph import connected_components
 
 K = 64
+WIDE = 1024
+#: Standard deviations between the expected and the demanded overlap of sketches that are cut.
+ROOM = 6
 
 
 def shingle_sets(column, n: int, lower: bool):
@@ -66,12 +72,25 @@ def _sketcher(n: int, lower: bool, k: int):
             flat = np.concatenate(sketches).astype(np.int64) if sketches else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["doc_id", "th", "n", "node", "sketch"],
+                ["doc_id", "th", "n", "digest", "sketch"],
             )
 
     return run
 
 
+def _wide_sketcher(n: int, lower: bool, k: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sketches = [v[:k] for v in shingle_sets(batch.column(1), n, lower)]
+            ends = np.cumsum([0] + [len(s) for s in sketches]).astype(np.int32)
+            flat = np.concatenate(sketches).astype(np.int64) if sketches else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "sketch"])
+
+    return run
+
+
 def _verifier(n: int, lower: bool, percent: int):
     def run(batches):
         import pyarrow as pa
@@ -100,50 +119,77 @@ class _Links:
         self.scratch = Scratch(docs.sparkSession, "near")
         self.docs = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text"), F.xxhash64(whole(F.col(text_col))).alias("th"))
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        made = self.docs.mapInArrow(_sketcher(n, lower, k), f"doc_id {kind}, th long, n long, node binary, sketch array<bigint>")
+        made = self.docs.mapInArrow(_sketcher(n, lower, k), f"doc_id {kind}, th long, n long, digest binary, sketch array<bigint>")
         self.sets = self.scratch.write(made, "sets")
 
+    def room(self, k: int) -> float:
+        share = self.percent / 100
+        return ROOM * math.sqrt(share * (1 - share) * k)
+
+    def needed(self, k: int, one, two):
+        """How many values linked sets of these sizes share at least in their sketches."""
+        share = self.percent / (100 + self.percent)
+        return F.when(F.greatest(one, two) <= k, share * (one + two) - 1e-6).otherwise(k * share * (1 + F.least(one, two) / F.greatest(one, two)) - self.room(k))
+
+    def rarest(self, sketches: DataFrame, k: int) -> DataFrame:
+        """v, node, n, left: the rarest values of each sketch that others have too; left: how many of its values come no earlier.
+        sketches: node, n, sketch (at most k values)."""
+        values = sketches.select("node", F.explode("sketch").alias("v"))
+        often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        shared = values.join(often, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("own")).join(sketches.select("node", "n"), "node")
+        # A set of n may have to share no more than percent of n, with the smallest partner; where that can be cut, less.
+        least = F.ceil(F.col("n") * self.percent / 100)
+        overlap = F.when(F.col("n") <= int(self.percent / 100 * k), least).otherwise(F.least(least, F.lit(int(self.percent / 100 * k - self.room(k)))))
+        # Values nobody else has are the rarest and come first: they use up places without entering a list.
+        take = (F.size("own") - overlap + 1).cast("int")
+        posts = shared.withColumn("take", take).where("take > 0").select("node", "n", F.size("own").alias("m"), F.posexplode(F.slice("own", 1, F.col("take"))).alias("at", "p"))
+        return posts.select(F.col("p.v").alias("v"), "node", "n", (F.col("m") - F.col("at")).alias("left"))
+
+    def crowded(self, posts: DataFrame, k: int) -> DataFrame:
+        """posts without those that can reach no size that occurs in their list, and without lists of one."""
+        sizes = posts.groupBy("v").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("m")).where("m > 1").select("v", "low", "high")
+        share = self.percent / 100
+        small, large = F.greatest(F.col("low").cast("double"), F.col("n") * share), F.least(F.col("high").cast("double"), F.col("n") / share)
+        reach = F.least(self.needed(k, F.col("n"), small), self.needed(k, F.col("n"), large)) <= F.col("left")
+        return posts.join(sizes, "v").where(reach).drop("low", "high")
+
     def lists(self) -> None:
-        """nodes: node, n, sketch, doc_id, th (of one document). posts: v, node, n, c (class of n)."""
+        """nodes: node, digest, n, doc_id, th (of one document). posts: v, node, n, c (class of n), left. wide: node, n, sketch."""
         usable = self.sets.where("doc_id is not null and n > 0")
         one = F.min_by(F.struct("doc_id", "th", "sketch"), F.struct("doc_id", "th")).alias("one")
-        nodes = usable.groupBy("node", "n").agg(one).select("node", "n", "one.*")
+        nodes = usable.groupBy("digest", "n").agg(one).select(F.monotonically_increasing_id().alias("node"), "digest", "n", "one.*")
         self.nodes = self.scratch.write(nodes, "nodes")
-        values = self.nodes.select("node", "n", F.explode("sketch").alias("v"))
-        often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-        shared = values.join(often, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("own"))
-        kept = F.least(F.col("n"), F.lit(self.k))
-        overlap = F.greatest(F.lit(1), F.least(F.lit(int(self.k * (self.percent / 100 - 0.33))), (F.col("n") / 2).cast("int")))
-        # Values nobody else has are the rarest and come first: they use up the prefix without entering a list.
-        prefix = (kept - overlap + 1 - (kept - F.size("own"))).cast("int")
-        posts = shared.withColumn("take", prefix).where("take > 0").select("node", "n", F.explode(F.slice("own", 1, F.col("take"))).alias("p"))
-        size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent)).cast("int")
-        posts = self.scratch.write(posts.select(F.col("p.v").alias("v"), "node", "n", size_class.alias("c")), "all-posts")
-        crowded = posts.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("v")
-        self.posts = self.scratch.write(posts.join(crowded, "v"), "posts")
-        self.scratch.drop("all-posts")
-        self.scratch.release()
-        wanted = self.posts.select("node").distinct().join(self.nodes.select("node", "doc_id", "th"), "node")
+        first = self.scratch.write(self.rarest(self.nodes.select("node", "n", "sketch"), self.k), "first-posts")
+        wanted = self.crowded(first, self.k).select("node").distinct().join(self.nodes.select("node", "doc_id", "th"), "node")
         texts = self.docs.where("doc_id is not null").join(wanted, ["doc_id", "th"]).groupBy("node").agg(F.first("text").alias("text"))
         self.texts = self.scratch.write(texts, "texts")
+        self.scratch.drop("first-posts")
+        self.scratch.release()
+        wide = self.texts.mapInArrow(_wide_sketcher(self.n, self.lower, WIDE), "node long, sketch array<bigint>")
+        self.wide = self.scratch.write(wide.join(self.nodes.select("node", "n"), "node").select("node", "n", "sketch"), "wide")
+        posts = self.scratch.write(self.rarest(self.wide, WIDE), "second-posts")
+        posts = self.scratch.write(self.crowded(posts, WIDE), "third-posts")
+        size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent)).cast("int")
+        self.posts = self.scratch.write(self.crowded(posts, WIDE).withColumn("c", size_class), "posts")
+        self.scratch.drop("second-posts", "third-posts")
         self.scratch.release()
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The distinct pairs (a, b) that pass the estimate and then the exact check."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+        side = lambda x: self.wide.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, self.k)
-        inside = F.size(F.array_intersect(F.array_intersect(union, F.col("s_a")), F.col("s_b")))
-        # Sketches that hold their whole sets give the similarity itself; others get six standard errors of room.
-        exact = (F.col("n_a") + F.col("n_b")) <= self.k
+        # The smallest of the union; sketches that hold their whole sets give the similarity itself, others get six standard errors.
+        union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, WIDE)
+        both = both.withColumn("union", union)
+        inside = F.size(F.array_intersect(F.array_intersect("union", "s_a"), F.col("s_b")))
+        exact = F.size("s_a") + F.size("s_b") <= WIDE
         share = self.percent / 100
-        room = 6 * math.sqrt(share * (1 - share) / self.k)
-        fits = (100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")) & (inside >= F.when(exact, share - 1e-9).otherwise(share - room) * F.size(union))
+        fits = (100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")) & (inside >= F.when(exact, share - 1e-9).otherwise(share - self.room(WIDE) / WIDE) * F.size("union"))
         likely = self.scratch.write(both.where(fits).select("a", "b"), f"{name}-likely")
         texts = likely.join(self.texts.withColumnRenamed("node", "a").withColumnRenamed("text", "ta"), "a")
         texts = texts.join(self.texts.withColumnRenamed("node", "b").withColumnRenamed("text", "tb"), "b").select("a", "b", "ta", "tb")
-        out = self.scratch.write(texts.mapInArrow(_verifier(self.n, self.lower, self.percent), "a binary, b binary"), name)
+        out = self.scratch.write(texts.mapInArrow(_verifier(self.n, self.lower, self.percent), "a long, b long"), name)
         self.scratch.drop(f"{name}-likely")
         return out
 
@@ -154,23 +200,26 @@ class _Links:
         return self.posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     def leaders(self, posts: DataFrame, seed: int) -> DataFrame:
-        """Each node with the first node, in an order of this round, of its lists and size classes that is of another component."""
-        order = F.struct(F.xxhash64(F.lit(seed), "node").alias("o"), F.col("node"), F.col("label"), F.col("n"))
+        """Each node with two leaders of its lists and size classes that are of another component: one with the fewest values of its
+        own, which is the likeliest to be linked with many, and one that a hash of this round picks."""
+        chance = F.xxhash64(F.lit(seed), "node")
+        head = lambda *first: F.min(F.struct(*first, F.col("node"), F.col("label"), F.col("n")))
+        heads = posts.groupBy("v", "c").agg(head((F.col("n") - F.col("left")).alias("o"), chance.alias("p")).alias("head"), head(F.lit(0).cast("long").alias("o"), chance.alias("p")).alias("other"))
         # Sizes of linked sets are at most one class apart, so a list's leaders of both classes are tried.
-        heads = posts.groupBy("v", "c").agg(F.min(order).alias("head"), F.max(order).alias("tail"))
-        heads = heads.select("v", "c", F.explode(F.array("head", "tail")).alias("h"))
         near = posts.select("v", "node", "n", "label", F.explode(F.array(F.col("c"), F.col("c") - 1)).alias("c"))
-        met = near.join(heads, ["v", "c"]).where((F.col("label") != F.col("h.label")) & (100 * F.least("n", "h.n") >= self.percent * F.greatest("n", "h.n")))
-        return met.groupBy("node").agg(F.min("h").alias("h"), F.max("h").alias("t")).select(F.col("node").alias("a"), F.explode(F.array("h.node", "t.node")).alias("b"))
+        met = near.join(heads, ["v", "c"])
+        fits = lambda h: F.when((F.col("label") != F.col(f"{h}.label")) & (100 * F.least("n", f"{h}.n") >= self.percent * F.greatest("n", f"{h}.n")), F.col(h))
+        best = met.groupBy("node").agg(F.min(fits("head")).alias("head"), F.min(fits("other")).alias("other"))
+        return best.select(F.col("node").alias("a"), F.explode(F.array("head.node", "other.node")).alias("b")).where("b is not null")
 
     def rest(self, posts: DataFrame) -> DataFrame:
         """Pairs of one list and different components: nodes outside the list's largest component against all others."""
         sizes = posts.groupBy("v", "label").agg(F.count(F.lit(1)).alias("m"))
         largest = sizes.groupBy("v").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("v", F.col("top.label").alias("top"))
         open_ = self.scratch.write(posts.join(largest, "v"), "open-posts")
-        strays = open_.where("label <> top").select("v", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+        strays = open_.where("label <> top").select("v", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("left").alias("left_a"))
         fits = (F.col("la") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("a") < F.col("node")))
-        fits &= 100 * F.least("n", "na") >= self.percent * F.greatest("n", "na")
+        fits &= (100 * F.least("n", "na") >= self.percent * F.greatest("n", "na")) & (F.least("left", "left_a") >= self.needed(WIDE, F.col("n"), F.col("na")))
         return strays.join(open_, "v").where(fits).select("a", F.col("node").alias("b"))
 
     def components(self) -> DataFrame:
@@ -184,7 +233,7 @@ class _Links:
             edges = found if edges is None else edges.unionByName(found)
             labels = connected_components(edges, self.scratch, f"labels-{i}")
             self.scratch.release()
-        self.scratch.drop("posts", "open-posts", "texts")
+        self.scratch.drop("posts", "open-posts", "texts", "wide")
         return labels
 
 
@@ -194,10 +243,10 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool
     labels = links.components()
     named = links.nodes.select("node", F.col("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_node = links.scratch.write(named.join(smallest, "label").select("node", "component_id"), "of-node")
-    # Of sets that stand under one id, the component with the smallest id counts for all rows of the id.
-    sets = links.sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    out = sets.join(of_node, "node", "left")
+    digests = links.nodes.select("node", "digest", "n")
+    of_set = links.scratch.write(named.join(smallest, "label").select("node", "component_id").join(digests, "node").select("digest", "n", "component_id"), "of-set")
+    sets = links.sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+    out = sets.join(of_set, ["digest", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

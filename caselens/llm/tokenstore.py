@@ -246,7 +246,7 @@ class Shard:
         slot = self.hash.slots(hashes)
         here = slot >= 0
         here[here] = self.prints[slot[here]] == fingerprints(hashes[here])
-        return np.where(here, self.order[np.where(here, slot, 0)] if self.n_docs else -1, -1)
+        return np.where(here, self.order[np.where(here, slot, 0)].astype(np.int64) if self.n_docs else -1, -1)
 
     def ids(self, ordinal: int) -> np.ndarray:
         first, last = int(self.starts[ordinal]), int(self.starts[ordinal + 1])
