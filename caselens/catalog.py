@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from caselens.queries import profiling, retrieval
+
+QUERIES = retrieval.QUERIES | profiling.QUERIES
+SQL = retrieval.SQL | profiling.SQL
