@@ -13,8 +13,8 @@ in fourteen is a fingerprint; the index holds a count for each hash, not a row f
    hash) and the sum is the next history. Documents of earlier batches see the counts of later ones, as every window counts.
 3. Verification: documents with a repeated fingerprint hash the whole windows that it stands for. Only windows that agree in
    fingerprint and window hash (128 bits over the full word sequence) count as equal. Fingerprints whose windows are all the same
-   as another's collapse into one counted row before windows are told apart, so a passage in a third of all documents meets
-   as partial counts, never as rows of one task.
+   as another's collapse into one counted context first; windows are told apart, by counts, only under fingerprints with several
+   contexts. A passage in a third of all documents meets as partial counts, never as rows of one task.
 
 Rows: null, empty and short texts have no windows and lose nothing. Null ids and rows that repeat an id are documents of their own, told
 apart by text; wholly repeated rows are copies of each other and lose all their windows. Empty tables give an empty result. Extra
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselens.llm.common import Scratch, gram_hashes, text_slices, whole, word_hashes
+from caselens.llm.common import Scratch, gram_hashes, mix, text_slices, whole, word_hashes
 
 PLACE_BITS = np.uint64(28)
 
@@ -86,41 +86,58 @@ def _fingerprinter(window: int, gram: int):
     return run
 
 
-def _window_hasher(window: int, gram: int):
-    """For each wanted fingerprint: its hash, its first window and the hashes of its windows."""
+def _context(windows: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for the list of windows of each fingerprint."""
+    place = np.arange(len(windows)) - np.repeat(head, np.diff(np.append(head, len(windows))))
+    return mix(np.add.reduceat(mix(windows + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), head)).view(np.int64)
+
+
+def _marked_fingerprints(batch, window: int, gram: int):
+    """For each slice of texts: (row of the batch, index of its fingerprint among the heads, and what both sides need)."""
+    wanted = batch.column(3)
+    for at, offsets, data in text_slices(batch.column(2)):
+        hashes, first, _, _ = word_hashes(offsets, data)
+        starts, place, grams = fingerprint_places(hashes, first, window, gram)
+        if not len(starts):
+            continue
+        head = _distinct_runs(place)
+        row = np.searchsorted(first, place[head], "right") - 1
+        part = wanted.slice(at, len(first) - 1)
+        marked = np.zeros(len(hashes), bool)
+        marked[part.flatten().to_numpy(zero_copy_only=False) + np.repeat(first[:-1], part.value_lengths().to_numpy(zero_copy_only=False))] = True
+        windows = gram_hashes(hashes, window, 23)[starts]
+        use = np.flatnonzero(marked[place[head]])
+        if len(use):
+            yield row[use] + at, use, head, windows, starts - np.repeat(first[row], np.diff(np.append(head, len(place)))), place[head] - first[row], grams[place[head]].view(np.int64)
+
+
+def _context_hasher(window: int, gram: int):
+    """For each wanted fingerprint: its hash, the hash of all its windows, its place, its first window and their number."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            row_ids, hs, firsts, lists = [], [], [], []
-            wanted = batch.column(3)
-            for at, offsets, data in text_slices(batch.column(2)):
-                hashes, first, _, _ = word_hashes(offsets, data)
-                starts, place, grams = fingerprint_places(hashes, first, window, gram)
-                if not len(starts):
-                    continue
-                head = _distinct_runs(place)
-                foot = np.append(head[1:], len(place))
-                row = np.searchsorted(first, place[head], "right") - 1
-                part = wanted.slice(at, len(first) - 1)
-                marked = np.zeros(len(hashes), bool)
-                marked[part.flatten().to_numpy(zero_copy_only=False) + np.repeat(first[:-1], part.value_lengths().to_numpy(zero_copy_only=False))] = True
-                whole_windows = gram_hashes(hashes, window, 23).view(np.int64)
-                use = np.flatnonzero(marked[place[head]])
-                for i in use:
-                    lists.append(whole_windows[starts[head[i] : foot[i]]])
-                row_ids.append(row[use] + at)
-                hs.append(grams[place[head[use]]].view(np.int64))
-                firsts.append((starts[head[use]] - first[row[use]]).astype(np.int32))
-            if not lists:
-                continue
-            rows = pa.array(np.concatenate(row_ids))
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(hs)), pa.array(np.concatenate(firsts)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists)))],
-                ["doc_id", "th", "h", "first", "windows"],
-            )
+            for rows, use, head, windows, starts, places, grams in _marked_fingerprints(batch, window, gram):
+                rows, size = pa.array(rows), np.diff(np.append(head, len(windows)))
+                columns = [grams[use], _context(windows, head)[use], places[use].astype(np.int32), starts[head[use]].astype(np.int32), size[use].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, columns)], ["doc_id", "th", "h", "g", "place", "first", "size"])
+
+    return run
+
+
+def _window_lister(window: int, gram: int):
+    """For each wanted fingerprint: its hash, the hash of all its windows, and their hashes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for _, use, head, windows, _, _, grams in _marked_fingerprints(batch, window, gram):
+                foot = np.append(head[1:], len(windows))
+                lists = [windows[head[i] : foot[i]] for i in use]
+                ends = pa.array(np.cumsum([0] + [len(x) for x in lists]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(grams[use]), pa.array(_context(windows, head)[use]), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists).view(np.int64)))], ["h", "g", "windows"])
 
     return run
 
@@ -164,6 +181,10 @@ class FingerprintIndex:
     def repeated(self) -> DataFrame:
         return self.run.where("n > 1").select("h")
 
+    def close(self) -> None:
+        """Drops the index; an incremental build keeps it for the next batch."""
+        self.scratch.drop(f"run-{self.number}")
+
 
 def repeats(docs: DataFrame, window: int = 35, gram: int = 8, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(one row per row of docs: doc_id, th, n_words, sha of its words joined by a space; one row per document that loses words:
@@ -185,17 +206,30 @@ def repeats(docs: DataFrame, window: int = 35, gram: int = 8, batches: int = 2,
     same = lambda a, b: (F.col(f"{a}.th") == F.col(f"{b}.th")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
     some = slim.alias("a").join(wanted.alias("b"), same("a", "b")).select("a.doc_id", "a.th", "a.text", "b.places")
     some = scratch.write(some, "candidates")
+    index.close()
     scratch.release()
 
-    # Whole windows: equal lists of windows collapse first, then windows are counted under their fingerprint.
-    held = scratch.write(some.mapInArrow(_window_hasher(window, gram), f"doc_id {kind}, th long, h long, first int, windows array<bigint>").withColumn("g", F.xxhash64("windows")), "windows")
-    lists = scratch.write(held.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows")), "lists")
-    single = lists.select("h", "g", "n", F.posexplode("windows").alias("i", "w"))
-    again = single.groupBy("h", "w").agg(F.sum("n").alias("n")).where("n > 1").select("h", "w")
-    masks = single.join(again, ["h", "w"]).groupBy("h", "g").agg(F.expr("bit_or(shiftleft(1, i))").alias("mask"))
+    # Whole windows. Fingerprints with the same list of windows are one context, whose windows all repeat if it occurs twice.
+    held = scratch.write(some.mapInArrow(_context_hasher(window, gram), f"doc_id {kind}, th long, h long, g long, place int, first int, size int"), "held")
+    contexts = held.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.min(F.struct("th", "doc_id", "place")).alias("one"))
+    contexts = scratch.write(contexts, "contexts")
+    # Only fingerprints with several contexts need their windows told apart, from one document of each context.
+    mixed = contexts.join(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"), "h", "left_semi")
+    mixed = scratch.write(mixed, "mixed")
+    wanted = mixed.groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th")).agg(F.collect_set("one.place").alias("places"))
+    again = some.select("doc_id", "th", "text").dropDuplicates(["doc_id", "th"]).alias("a").join(wanted.alias("b"), same("a", "b")).select("a.doc_id", "a.th", "a.text", "b.places")
+    listed = scratch.write(again.mapInArrow(_window_lister(window, gram), "h long, g long, windows array<bigint>"), "listed")
+    scratch.release()
+    single = listed.dropDuplicates(["h", "g"]).join(mixed.select("h", "g", "n"), ["h", "g"]).select("h", "g", "n", F.posexplode("windows").alias("i", "w"))
+    twice = single.groupBy("h", "w").agg(F.sum("n").alias("m")).where("m > 1").select("h", "w")
+    masks = single.join(twice, ["h", "w"]).groupBy("h", "g").agg(F.expr("bit_or(shiftleft(1, i))").alias("mask"))
+    whole_lists = contexts.where("n > 1").join(mixed.select("h").distinct(), "h", "left_anti").select("h", "g", F.expr("cast(shiftleft(1L, size) - 1 as int)").alias("mask"))
+    masks = scratch.write(masks.unionByName(whole_lists), "masks")
+    scratch.drop("listed", "contexts", "mixed", "wanted")
+    scratch.release()
     marked = held.select("doc_id", "th", "h", "g", "first").join(masks, ["h", "g"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
     marked = scratch.write(marked, "marked")
-    scratch.drop("windows", "lists", "wanted")
+    scratch.drop("held", "masks")
     scratch.release()
     cut = some.select("doc_id", "th", "text").alias("a").join(marked.alias("b"), same("a", "b")).select("a.doc_id", "a.th", "a.text", "b.marks")
     cut = scratch.write(cut.mapInArrow(_remover(window), f"doc_id {kind}, th long, n_removed long, kept string"), "cut")
