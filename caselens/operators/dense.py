@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
@@ -55,8 +56,6 @@ def encode_frame(docs: DataFrame, encoder: Encoder, text_col: str = "text", out:
 
 
 def _iterated(encoder: Encoder):
-    from collections.abc import Iterator
-
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series([row.tolist() for row in encoder.encode(part.fillna("").tolist())])
@@ -100,10 +99,11 @@ def inner_product_topk(queries: DataFrame, vectors: DataFrame, k: int, allowed:
 
 
 def validate_shards(shards: DataFrame, dimension: int) -> None:
-    """shards: shard, docid, embedding. An error unless all vectors have the size, are finite and of unit length (1e-4), and ids rise."""
+    """shards: shard, docid, embedding. An error unless all vectors have the size, are finite and of unit length (1e-4), and ids rise
+    within each file of a shard."""
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    before = F.lag("docid").over(Window.partitionBy("shard").orderBy("place"))
-    ordered = shards.withColumn("place", F.monotonically_increasing_id()).withColumn("before", before)
+    before = F.lag("docid").over(Window.partitionBy("shard", "file").orderBy("place"))
+    ordered = shards.withColumns({"file": F.input_file_name(), "place": F.monotonically_increasing_id()}).withColumn("before", before)
     bad = (F.size("embedding") != dimension) | F.isnan(norm) | (F.abs(norm - 1) > 1e-4) | (F.col("before") >= F.col("docid"))
     if not ordered.where(bad).isEmpty():
         raise ValueError("a shard of vectors is not valid")

@@ -53,7 +53,7 @@ def test_tsv_with_quotes_and_marks(spark, tmp_path):
         files.read_tsv(spark, path, {"missing"})
     with open(path, "a") as f:
         f.write("4\ta\tb\n")
-    assert files.read_tsv(spark, path, strict=False).where(f"{files.CORRUPT} is not null").count() == 1
+    assert files.read_tsv(spark, path, strict=False).cache().where(f"{files.CORRUPT} is not null").count() == 1
     with pytest.raises(Exception):  # noqa: B017  Spark's own error
         files.read_tsv(spark, path).count()
 

@@ -1,4 +1,7 @@
+import sys
+
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from caselens.functions import address, evidence
@@ -118,6 +121,9 @@ def test_alignment_shift_merge_views():
     assert evidence.event_evidence(one[0]) == ["积水", "希望排水", "幸福小区"]
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import tests
+
+
 class Model:
     identity = {"kind": "fixed"}
 
