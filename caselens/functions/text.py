@@ -1,4 +1,5 @@
-"""Scalar text functions as Column expressions; the one Arrow UDF is NFKC, which sees non-ASCII values only."""
+"""Scalar text functions as Column expressions; Arrow UDFs are NFKC, which sees non-ASCII values only, the places of a needle, and the
+splitter."""
 
 from __future__ import annotations
 
@@ -7,7 +8,9 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
+
+from caselens.functions.evidence import places
 
 # Null lexicons, placeholders and patterns that results depend on.
 PROFILE_NULLS = ["", "null", "none", "nan", "n/a", "na"]
@@ -145,11 +148,14 @@ def shared_keywords(a: Column, b: Column, most: int = 10) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.array_intersect(a, b))), 1, most)
 
 
+@F.udf(ArrayType(IntegerType()), useArrow=True)
+def _occurrences(text, needle):
+    return places(text, needle) if text and needle else []
+
+
 def occurrences(text: Column, needle: Column) -> Column:
-    """0-based places of every occurrence, overlapping ones too; empty for an empty needle."""
-    last = F.length(text) - F.length(needle)
-    places = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(text, i + 1, F.length(needle)) == needle)
-    return F.when((F.length(needle) > 0) & (last >= 0), places).otherwise(F.array().cast("array<int>"))
+    """0-based places of every occurrence, overlapping ones too; empty for an empty needle. One pass over the text, however long."""
+    return _occurrences(text, needle)
 
 
 def path_join(levels: Column, depth: Column) -> Column:

@@ -137,7 +137,7 @@ def ground_quotes(spark, sf_dir):
 
 
 def overlapping_occurrences(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.size(T.occurrences(F.substring("text", 1, 200), F.lit("an"))).alias("hits"))
+    return documents(spark, sf_dir).select("doc_id", F.size(T.occurrences(F.col("text"), F.lit("an"))).alias("hits"))
 
 
 def split_documents(spark, sf_dir):
