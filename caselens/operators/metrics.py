@@ -78,18 +78,51 @@ def bootstrap(differences: list[float], resamples: int = 2000, seed: int = 42) -
     return {"delta": sum(differences) / n, "ci": [means[int(0.025 * (resamples - 1))], means[int(0.975 * (resamples - 1))]]}
 
 
-def bootstrap_frame(pairs: DataFrame, *by: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """pairs: query_no, one, two. delta, ci_low, ci_high for each group."""
-    import pandas as pd
-
-    schema = ", ".join([*(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by), "delta double, ci_low double, ci_high double"])
+def bootstrap_frame(pairs: DataFrame, *by: str, resamples: int = 2000, seed: int = 42, block: int = 1 << 16) -> DataFrame:
+    """pairs: query_no, one, two. delta, ci_low, ci_high for each group, from the draws of `bootstrap`.
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("query_no")
-        got = bootstrap((pdf.two - pdf.one).tolist(), resamples, seed)
-        return pd.DataFrame([[*key, got["delta"], *got["ci"]]], columns=[*by, "delta", "ci_low", "ci_high"])
+    Rows are numbered in query order and dealt in blocks of at most `block`. The task of a block replays all draws of its group and adds
+    up those that fall into the block; a resample's mean is the sum of its parts. So a task holds few rows whatever the size of a group,
+    but draws as often as the group has rows times resamples."""
+    import numpy as np
+    import pandas as pd
 
-    return pairs.groupBy(*by).applyInPandas(run, schema)
+    from caselens.plans.scratch import Scratch
+
+    scratch = Scratch(pairs.sparkSession, "bootstrap")
+    keys = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by)
+    rows = pairs.select(*by, "query_no", (F.col("two") - F.col("one")).alias("d"))
+    # Parts lie in order of the keys and query_no; the place in a group is that of its part plus that in the part.
+    rows = rows.repartitionByRange(*by, "query_no").sortWithinPartitions(*by, "query_no")
+    rows = scratch.write(rows.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__row")), "rows")
+    parts = rows.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("m"), F.min("__row").alias("first"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("m").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__p"), "first", before.alias("before"), F.sum("m").over(group).alias("n"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    placed = rows.join(F.broadcast(parts), [F.col("__part") == F.col("__p"), *same]).select(*by, "d", "n", (F.col("before") + F.col("__row") - F.col("first")).alias("place"))
+    blocks = placed.withColumn("block", F.floor(F.col("place") / block))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        n, low, d = int(pdf.n.iloc[0]), int(pdf.place.iloc[0]), pdf.d.to_numpy(np.float64)
+        state, draw = random.Random(seed).getstate()[1], np.random.RandomState()
+        draw.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
+        sums = np.zeros(resamples)
+        for i in range(resamples):
+            for at in range(0, n, 1 << 20):
+                x = (draw.random_sample(min(1 << 20, n - at)) * n).astype(np.int64) - low
+                sums[i] += d[x[(x >= 0) & (x < len(d))]].sum()
+        out = pd.DataFrame({"i": np.arange(resamples), "part": sums, "whole": d.sum(), "n": n})
+        for c in reversed(by):
+            out.insert(0, c, [pdf[c].iloc[0]] * resamples)
+        return out
+
+    sums = blocks.groupBy(*by, "block").applyInPandas(run, f"{keys}{', ' if by else ''}i int, part double, whole double, n long")
+    means = sums.groupBy(*by, "i").agg((F.sum("part") / F.first("n")).alias("mean"), (F.sum("whole") / F.first("n")).alias("delta"))
+    out = means.groupBy(*by).agg(F.first("delta").alias("delta"), F.array_sort(F.collect_list("mean")).alias("means"))
+    at = lambda q: F.get("means", F.lit(int(q * (resamples - 1))))
+    return out.select(*by, "delta", at(0.025).alias("ci_low"), at(0.975).alias("ci_high"))
 
 
 def combined_grade(problem: Column, address: Column, mode: Column) -> Column:

@@ -109,8 +109,8 @@ def _ranking(voted: DataFrame) -> DataFrame:
 
 
 def _catalog(spark, sf_dir) -> DataFrame:
-    """Entries of the corpus: those of documents with an even id (others are unseen)."""
-    return documents(spark, sf_dir).where("doc_id % 2 = 0").select(entry_of().alias("knowledge_id")).distinct()
+    """Entries of the corpus: those of all documents."""
+    return documents(spark, sf_dir).select(entry_of().alias("knowledge_id")).distinct()
 
 
 def recall_metrics(spark, sf_dir):
@@ -139,7 +139,7 @@ def paired_delta(spark, sf_dir):
 
 def paired_bootstrap(spark, sf_dir):
     pairs = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("query_no"), F.col("quality").cast("double").alias("one"), (1 - F.col("toxic")).cast("double").alias("two"), F.lit("labels").alias("name"))
-    return metrics.bootstrap_frame(pairs.where("query_no % 10 = 0"), "name")
+    return metrics.bootstrap_frame(pairs, "name")
 
 
 def _vectors(spark, sf_dir):

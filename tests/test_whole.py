@@ -1,6 +1,10 @@
 """Queries that must see the whole of their tables, against brute force in Python."""
 
+import pytest
+
 from caselens import catalog
+from caselens.operators import metrics
+from caselens.queries import retrieval
 
 
 def rows(spark, sf, name):
@@ -11,3 +15,25 @@ def test_occurrences_of_the_whole_text(spark, sf):
     want = {d.doc_id: sum(d.text.startswith("an", i) for i in range(len(d.text))) for d in rows(spark, sf, "documents")}
     assert {r.doc_id: r.hits for r in catalog.QUERIES["overlapping_occurrences"](spark, sf).collect()} == want
     assert sum(want.values()) > sum(d.text[:200].count("an") for d in rows(spark, sf, "documents"))
+
+
+def test_bootstrap_draws_from_all_labels(spark, sf):
+    labels = sorted((r.doc_id, float(r.quality), 1.0 - r.toxic) for r in rows(spark, sf, "labels"))
+    want = metrics.bootstrap([two - one for _, one, two in labels])
+    got = catalog.QUERIES["paired_bootstrap"](spark, sf).first()
+    assert [got.delta, got.ci_low, got.ci_high] == pytest.approx([want["delta"], *want["ci"]], abs=1e-12)
+
+
+def test_bootstrap_in_blocks(spark):
+    pairs = [(("a", "b", None)[i % 3], 97 * i % 101, i % 7 / 3, i % 5 / 4) for i in range(100)]
+    frame = spark.createDataFrame(pairs, "g string, query_no long, one double, two double")
+    got = {r.g: [r.delta, r.ci_low, r.ci_high] for r in metrics.bootstrap_frame(frame, "g", block=8).collect()}
+    for g in ("a", "b", None):
+        want = metrics.bootstrap([two - one for name, _, one, two in sorted(pairs, key=lambda p: p[1]) if name == g])
+        assert got[g] == pytest.approx([want["delta"], *want["ci"]], abs=1e-12)
+
+
+def test_catalog_is_of_all_documents(spark, sf, tmp_path):
+    docs = [(1, "one", "en", "odd", 3), (2, "two", "en", "even", 3)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.knowledge_id for r in retrieval._catalog(spark, str(tmp_path)).collect()} == {"en:odd", "en:even"}
