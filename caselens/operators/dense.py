@@ -1,9 +1,9 @@
-"""Exact inner-product search in Arrow blocks: the queries travel once as a matrix, each block of vectors keeps its own best k."""
+"""Exact vector search in Arrow blocks: blocks of queries meet blocks of vectors as matrices, and each pair keeps its own best k."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -63,39 +63,71 @@ def _iterated(encoder: Encoder):
     return F.pandas_udf(run, "array<float>")
 
 
-def inner_product_topk(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None, max_queries: int = 100_000, block: int = 4096) -> DataFrame:
-    """query_id, docid, score, rank by (-score, docid). queries, vectors: id first, then array<float>.
+def _packed(frame: DataFrame, block: int, name: str) -> DataFrame:
+    """Rows of at most `block` vectors: <name>_ids, <name>_vectors (float64 bytes, one vector after the other)."""
+    key, vector = frame.columns[:2]
 
-    Queries are collected in blocks of at most `block` and their number is checked, as they stand in every task; each task
-    returns k rows a query and Arrow batch, so what is shuffled does not hold all pairs. allowed (docid) filters before the cut."""
-    qid, qv = queries.columns[:2]
-    did, dv = vectors.columns[:2]
-    kind = vectors.schema[did].dataType.simpleString()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), block):
+                part = pdf.iloc[at : at + block]
+                matrix = np.stack(part[vector].to_numpy()).astype(np.float64)
+                yield pd.DataFrame({f"{name}_ids": [part[key].tolist()], f"{name}_vectors": [matrix.tobytes()]})
+
+    return frame.select(key, vector).mapInPandas(run, f"{name}_ids array<{frame.schema[key].dataType.simpleString()}>, {name}_vectors binary")
+
+
+def _inner_products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    return queries @ vectors.T
+
+
+def _l1_nearness(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Negative L1 distances, one dimension at a time: all differences of a block would not fit."""
+    out = np.zeros((len(queries), len(vectors)))
+    for x, y in zip(queries.T, vectors.T, strict=True):
+        out -= np.abs(x[:, None] - y[None, :])
+    return out
+
+
+def _topk(score: Callable[[np.ndarray, np.ndarray], np.ndarray], queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None, block: int) -> DataFrame:
+    """query_id, docid, score, rank by (-score, docid) from all pairs of a block of queries and one of vectors; each pair of blocks
+    returns k rows a query, so what is shuffled does not hold all pairs of vectors. Nothing is collected."""
+    qid, did = queries.columns[0], vectors.columns[0]
     if allowed is not None:
-        vectors = vectors.join(allowed.select(F.col(allowed.columns[0]).alias(did)).distinct(), did, "left_semi")
-    rows = queries.select(qid, qv).limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries in one call")
-    out = None
-    for at in range(0, len(rows), block):
-        part = rows[at : at + block]
-        ids, matrix = [r[0] for r in part], np.array([r[1] for r in part], np.float64)
-
-        def run(batches, ids=ids, matrix=matrix):
-            for pdf in batches:
-                if len(pdf):
-                    scores = matrix @ np.stack(pdf[dv].to_numpy()).astype(np.float64).T
-                    docs = pdf[did].to_numpy()
-                    for i, q in enumerate(ids):
-                        order = np.lexsort((docs, -np.round(scores[i], 9)))[:k]
-                        yield pd.DataFrame({"query_id": q, "docid": docs[order], "score": scores[i][order]})
-
-        found = vectors.select(did, dv).mapInPandas(run, f"query_id {queries.schema[qid].dataType.simpleString()}, docid {kind}, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        spark = vectors.sparkSession
-        out = spark.createDataFrame([], f"query_id {queries.schema[qid].dataType.simpleString()}, docid {kind}, score double")
-    return top(out, k, F.desc(F.round("score", 9)), "docid")
+        vectors = vectors.join(allowed.select(F.col(allowed.columns[0]).alias(did)).distinct(), did, "left_semi").select(*vectors.columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for pair in pdf.itertuples(index=False):
+                ids, docs = np.asarray(pair.q_ids), np.asarray(pair.v_ids)
+                unpacked = [np.frombuffer(x).reshape(n, -1) for x, n in ((pair.q_vectors, len(ids)), (pair.v_vectors, len(docs)))]
+                for at in range(0, len(ids), 256):
+                    scores = score(unpacked[0][at : at + 256], unpacked[1])
+                    rounded = np.round(scores, 9)
+                    rounded[np.isnan(rounded)] = -np.inf
+                    least = np.partition(rounded, -min(k, len(docs)), axis=1)[:, -min(k, len(docs))]
+                    best = []
+                    for row, floor in zip(rounded, least, strict=True):
+                        near = np.flatnonzero(row >= floor)
+                        best.append(near[np.lexsort((docs[near], -row[near]))][:k])
+                    held, every = np.repeat(np.arange(len(best)), [len(x) for x in best]), np.concatenate(best)
+                    yield pd.DataFrame({"query_id": ids[at : at + 256][held], "docid": docs[every], "score": scores[held, every]})
+
+    pairs = _packed(queries, block, "q").crossJoin(_packed(vectors, block, "v"))
+    schema = f"query_id {queries.schema[qid].dataType.simpleString()}, docid {vectors.schema[did].dataType.simpleString()}, score double"
+    return top(pairs.mapInPandas(run, schema), k, F.desc(F.round("score", 9)), "docid")
+
+
+def inner_product_topk(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None, block: int = 4096) -> DataFrame:
+    """query_id, docid, score, rank by (-score, docid). queries, vectors: id first, then array<float>; any number of either.
+
+    allowed (docid) filters before the cut."""
+    return _topk(_inner_products, queries, vectors, k, allowed, block)
+
+
+def l1_topk(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None, block: int = 4096) -> DataFrame:
+    """As inner_product_topk, by the smallest L1 distance; score is the negative distance."""
+    return _topk(_l1_nearness, queries, vectors, k, allowed, block)
 
 
 def validate_shards(shards: DataFrame, dimension: int) -> None:

@@ -143,19 +143,20 @@ def paired_bootstrap(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return e.where("vec_id % 10 = 0").select("vec_id", "embedding"), e.where("vec_id % 10 <> 0").select("vec_id", "embedding")
+    """Queries are the vectors with an id divisible by 50; they search all vectors, themselves too."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return e.where("vec_id % 50 = 0"), e
 
 
 def dense_topk(spark, sf_dir):
-    queries, rest = _vectors(spark, sf_dir)
-    return dense.inner_product_topk(queries, rest, 10).select("query_id", "docid", F.round("score", 6).alias("score"), "rank")
+    queries, every = _vectors(spark, sf_dir)
+    return dense.inner_product_topk(queries, every, 10).select("query_id", "docid", F.round("score", 6).alias("score"), "rank")
 
 
 def dense_filtered_topk(spark, sf_dir):
-    queries, rest = _vectors(spark, sf_dir)
+    queries, every = _vectors(spark, sf_dir)
     allowed = table(spark, sf_dir, "embeddings").where("label % 2 = 0").select("vec_id")
-    return dense.inner_product_topk(queries, rest, 10, allowed).select("query_id", "docid", F.round("score", 6).alias("score"), "rank")
+    return dense.inner_product_topk(queries, every, 10, allowed).select("query_id", "docid", F.round("score", 6).alias("score"), "rank")
 
 
 def _label_links(spark, sf_dir):
@@ -164,16 +165,15 @@ def _label_links(spark, sf_dir):
 
 
 def dense_vote(spark, sf_dir):
-    queries, rest = _vectors(spark, sf_dir)
-    voted = fusion.vote(dense.inner_product_topk(queries, rest, 50), *_label_links(spark, sf_dir), 3)
+    queries, every = _vectors(spark, sf_dir)
+    voted = fusion.vote(dense.inner_product_topk(queries, every, 50), *_label_links(spark, sf_dir), 3)
     return voted.select("query_id", "knowledge_id", F.round("score", 9).alias("score"), "rank")
 
 
 def hybrid_rrf(spark, sf_dir):
-    """The inner-product route with one over the first 32 dimensions."""
-    queries, rest = _vectors(spark, sf_dir)
-    half = lambda f: f.select("vec_id", F.slice("embedding", 1, 32).alias("embedding"))
-    one, two = dense.inner_product_topk(queries, rest, 50), dense.inner_product_topk(half(queries), half(rest), 50)
+    """The inner-product route with one by L1 distance."""
+    queries, every = _vectors(spark, sf_dir)
+    one, two = dense.inner_product_topk(queries, every, 50), dense.l1_topk(queries, every, 50)
     fused = fusion.fuse_cases(one.withColumn("source_row", F.col("docid") + 1), two.withColumn("source_row", F.col("docid") + 1), 50)
     return fused.select("query_id", "docid", F.round("score", 9).alias("score"), "rank", F.coalesce(F.col("route_ranks")["bm25"], F.lit(0)).alias("rank_one"), F.coalesce(F.col("route_ranks")["dense"], F.lit(0)).alias("rank_two"))
 

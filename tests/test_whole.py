@@ -1,9 +1,10 @@
 """Queries that must see the whole of their tables, against brute force in Python."""
 
+import numpy as np
 import pytest
 
 from caselens import catalog
-from caselens.operators import metrics
+from caselens.operators import dense, metrics
 from caselens.queries import retrieval
 
 
@@ -37,3 +38,38 @@ def test_catalog_is_of_all_documents(spark, sf, tmp_path):
     docs = [(1, "one", "en", "odd", 3), (2, "two", "en", "even", 3)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.knowledge_id for r in retrieval._catalog(spark, str(tmp_path)).collect()} == {"en:odd", "en:even"}
+
+
+def nearest(vectors, queries, score, k):
+    """query id: ids of the best k, by brute force."""
+    return {q: sorted(vectors, key=lambda v, q=q: (-round(score(vectors[q], vectors[v]), 9), v))[:k] for q in queries}
+
+
+def in_order(frame):
+    out = {}
+    for r in sorted(frame.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append(r.docid)
+    return out
+
+
+def test_every_vector_is_searched(spark, sf):
+    e = rows(spark, sf, "embeddings")
+    vectors = {r.vec_id: np.array(r.embedding, np.float64) for r in e}
+    queries = [v for v in vectors if v % 50 == 0]
+    even = {r.vec_id: vectors[r.vec_id] for r in e if r.label % 2 == 0}
+    assert in_order(catalog.QUERIES["dense_topk"](spark, sf)) == nearest(vectors, queries, np.dot, 10)
+    allowed = {q: [v for v in found if v in even][:10] for q, found in nearest(vectors, queries, np.dot, len(vectors)).items()}
+    assert in_order(catalog.QUERIES["dense_filtered_topk"](spark, sf)) == allowed
+    routes = nearest(vectors, queries, np.dot, 50), nearest(vectors, queries, lambda a, b: -np.abs(a - b).sum(), 50)
+    for r in catalog.QUERIES["hybrid_rrf"](spark, sf).collect():
+        for route, rank in zip(routes, (r.rank_one, r.rank_two), strict=True):
+            assert rank == (route[r.query_id].index(r.docid) + 1 if r.docid in route[r.query_id] else 0)
+    assert {r.query_id for r in catalog.QUERIES["dense_vote"](spark, sf).collect()} == set(queries)
+
+
+def test_search_in_blocks(spark):
+    draw = np.random.default_rng(0)
+    vectors = {i: draw.integers(-3, 4, 5).astype(np.float64) for i in range(60)}
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "id long, v array<float>")
+    assert in_order(dense.inner_product_topk(frame, frame, 7, block=8)) == nearest(vectors, vectors, np.dot, 7)
+    assert in_order(dense.inner_product_topk(frame.limit(0), frame, 7)) == in_order(dense.inner_product_topk(frame, frame.limit(0), 7)) == {}
