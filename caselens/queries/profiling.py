@@ -132,7 +132,7 @@ def ordinal_compare(spark, sf_dir):
 def ground_quotes(spark, sf_dir):
     """Code-point spans of every occurrence of a benchmark item in a document."""
     rows = documents(spark, sf_dir).select("doc_id", "text").join(F.broadcast(benchmark(spark, sf_dir)), F.contains("text", "query"))
-    rows = rows.select("doc_id", F.col("query_id").alias("item_id"), (F.expr("locate(query, text)") - 1).alias("start"), F.length("query").alias("n"))
+    rows = rows.select("doc_id", F.col("query_id").alias("item_id"), F.explode(T.occurrences(F.col("text"), F.col("query"))).alias("start"), F.length("query").alias("n"))
     return rows.select("doc_id", "item_id", "start", (F.col("start") + F.col("n")).alias("end"))
 
 

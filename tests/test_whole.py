@@ -73,3 +73,10 @@ def test_search_in_blocks(spark):
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "id long, v array<float>")
     assert in_order(dense.inner_product_topk(frame, frame, 7, block=8)) == nearest(vectors, vectors, np.dot, 7)
     assert in_order(dense.inner_product_topk(frame.limit(0), frame, 7)) == in_order(dense.inner_product_topk(frame, frame.limit(0), 7)) == {}
+
+
+def test_quotes_are_grounded_wherever_they_occur(spark, sf, tmp_path):
+    spark.createDataFrame([(1, "\U0001f600 aXa aXaXa"), (2, "none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "aXa"), (8, "no")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["ground_quotes"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 7, 2, 5), (1, 7, 6, 9), (1, 7, 8, 11), (2, 8, 0, 2)]
