@@ -35,13 +35,19 @@ class Index:
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "vocabulary", "stats")])
 
 
-def build_index(docs: DataFrame, id_col: str, text_col: str) -> Index:
-    """docs: one row per document. Lengths count tokens with repeats; documents without tokens count for the mean."""
+def vocabulary(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+def build_index(docs: DataFrame, id_col: str, text_col: str, parts: bool = False) -> Index:
+    """docs: one row per document, or one per part of a document if parts. Lengths count tokens with repeats; documents without tokens
+    count for the mean."""
     terms = docs.select(F.col(id_col).alias("docid"), tokens(F.col(text_col)).alias("terms"))
     lengths = terms.select("docid", F.size("terms").cast("long").alias("dl"))
+    if parts:
+        lengths = lengths.groupBy("docid").agg(F.sum("dl").alias("dl"))
     postings = terms.select("docid", F.explode("terms").alias("term")).groupBy("term", "docid").agg(F.count(F.lit(1)).alias("tf"))
-    vocabulary = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    return Index(postings, lengths, vocabulary, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+    return Index(postings, lengths, vocabulary(postings), lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
 
 
 def query_terms(queries: DataFrame, vocabulary: DataFrame, max_terms: int = 32, id_col: str = "query_id", text_col: str = "query") -> DataFrame:

@@ -47,7 +47,8 @@ def gold(spark, sf_dir) -> DataFrame:
 
 
 def titles(spark, sf_dir) -> DataFrame:
-    return lexical.titles(documents(spark, sf_dir).select(entry_of().alias("knowledge_id"), F.substring("text", 1, 80).alias("label")))
+    """knowledge_id, label: the distinct texts of an entry, a row for each. An entry's title is all of them, too long for one value."""
+    return documents(spark, sf_dir).select(entry_of().alias("knowledge_id"), F.col("text").alias("label")).distinct()
 
 
 def groups(spark, sf_dir) -> DataFrame:
@@ -66,7 +67,10 @@ def case_hits(spark, sf_dir, k: int = 50) -> DataFrame:
 
 
 def title_hits(spark, sf_dir, k: int = 10) -> DataFrame:
-    index = lexical.build_index(Scratch(spark, "titles").write(titles(spark, sf_dir), "titles"), "knowledge_id", "title")
+    scratch = Scratch(spark, "titles")
+    index = lexical.build_index(scratch.write(titles(spark, sf_dir), "titles"), "knowledge_id", "label", parts=True)
+    index.postings = scratch.write(index.postings, "postings")
+    index.vocabulary = lexical.vocabulary(index.postings)
     return lexical.bm25(benchmark(spark, sf_dir), index, k).withColumnRenamed("docid", "knowledge_id")
 
 

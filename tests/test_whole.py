@@ -1,9 +1,14 @@
 """Queries that must see the whole of their tables, against brute force in Python."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 
 from caselens import catalog
+from caselens.functions import text as T
 from caselens.operators import dense, metrics
 from caselens.queries import retrieval
 
@@ -80,3 +85,42 @@ def test_quotes_are_grounded_wherever_they_occur(spark, sf, tmp_path):
     spark.createDataFrame([(7, "aXa"), (8, "no")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted(map(tuple, catalog.QUERIES["ground_quotes"](spark, str(tmp_path)).collect()))
     assert got == [(1, 7, 2, 5), (1, 7, 6, 9), (1, 7, 8, 11), (2, 8, 0, 2)]
+
+
+def test_redaction_reads_the_whole_text(spark, sf, tmp_path):
+    far = "x" * 200
+    texts = [f"{far} a@b.co", f"{far} 13800138000", f"{far} {'1' * 24}", far, "short", "a\tb", "a\x01"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pii = "|".join((T.MOBILE, T.CITIZEN_ID, T.EMAIL))
+
+    def kind(text):
+        if re.search(pii, text):
+            return "<REDACTED_PII_LIKE>"
+        if re.search(r"\d{7,}", text):
+            return "<REDACTED_LONG_NUMBER>"
+        return "<REDACTED_UNSAFE_VALUE>" if len(text) > 120 or re.search(T.CONTROL, text) else "shown"
+
+    for folder, every in ((str(tmp_path), texts), (sf, [d.text for d in rows(spark, sf, "documents")])):
+        assert {r.kind: r.rows for r in catalog.QUERIES["redaction"](spark, folder).collect()} == dict(Counter(map(kind, every)))
+
+
+def test_titles_hold_whole_texts(spark, sf):
+    docs, words = rows(spark, sf, "documents"), lambda t: re.findall("[a-z0-9]+", t.lower())
+    texts = {}
+    for d in docs:
+        texts.setdefault(f"{d.lang}:{d.source}", set()).add(d.text)
+    tf = {k: Counter(w for t in own for w in words(t)) for k, own in texts.items()}
+    mean, df = sum(c.total() for c in tf.values()) / len(tf), Counter(w for c in tf.values() for w in c)
+    idf = lambda w: max(math.log((len(tf) - df[w] + 0.5) / (df[w] + 0.5)), 0) or 1e-6
+    want = {}
+    for item in rows(spark, sf, "benchmark"):
+        asked = Counter(words(item.text))
+        heavy = sorted((w for w in asked if df[w]), key=lambda w: (-min(asked[w], 3) / math.log2(df[w] + 2), w))[:32]
+        for k, c in tf.items():
+            if any(c[w] for w in heavy):
+                want[item.item_id, k] = -sum(idf(w) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for w in heavy)
+    got = catalog.QUERIES["bm25_titles_topk"](spark, sf).collect()
+    assert len(got) == sum(min(10, sum(q == item.item_id for q, _ in want)) for item in rows(spark, sf, "benchmark"))
+    for r in got:
+        assert r.score == pytest.approx(want[r.query_id, r.knowledge_id], abs=2e-6)
+        assert r["rank"] - 1 <= sum(s <= r.score + 2e-6 for (q, _), s in want.items() if q == r.query_id)
