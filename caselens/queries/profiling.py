@@ -141,7 +141,7 @@ def overlapping_occurrences(spark, sf_dir):
 
 
 def split_documents(spark, sf_dir):
-    return documents(spark, sf_dir).where("n_chars > 1000").select("doc_id", F.posexplode(T.split_document(1000)("text")).alias("n", "part")).select("doc_id", "n", "part.offset", F.length("part.text").alias("length"))
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(T.split_document(1000)("text")).alias("n", "part")).select("doc_id", "n", "part.offset", F.length("part.text").alias("length"))
 
 
 def length_buckets(spark, sf_dir):

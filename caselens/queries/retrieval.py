@@ -87,8 +87,7 @@ def token_stats(spark, sf_dir):
 
 
 def vocab_df(spark, sf_dir):
-    index = lexical.build_index(cases(spark, sf_dir), "docid", "text")
-    return index.vocabulary.where("df >= 20")
+    return lexical.build_index(cases(spark, sf_dir), "docid", "text").vocabulary
 
 
 def bm25_cases_topk(spark, sf_dir):

@@ -124,3 +124,20 @@ def test_titles_hold_whole_texts(spark, sf):
     for r in got:
         assert r.score == pytest.approx(want[r.query_id, r.knowledge_id], abs=2e-6)
         assert r["rank"] - 1 <= sum(s <= r.score + 2e-6 for (q, _), s in want.items() if q == r.query_id)
+
+
+def test_the_whole_vocabulary(spark, sf):
+    df, cf = Counter(), Counter()
+    for text in {d.text for d in rows(spark, sf, "documents")}:
+        words = re.findall("[a-z0-9]+", text.lower())
+        cf.update(words)
+        df.update(set(words))
+    assert {r.term: (r.df, r.cf) for r in catalog.QUERIES["vocab_df"](spark, sf).collect()} == {w: (df[w], cf[w]) for w in df}
+
+
+def test_every_document_is_split(spark, sf, tmp_path):
+    docs = [(1, "x" * 2500, None), (2, "short", 5), (3, "", 0), (4, "y. \n" * 400, 1600)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), sf):
+        want = sorted((d.doc_id, n, at, len(part)) for d in rows(spark, folder, "documents") for n, (at, part) in enumerate(T.segments(d.text, 1000)))
+        assert sorted(map(tuple, catalog.QUERIES["split_documents"](spark, folder).collect())) == want
