@@ -182,7 +182,7 @@ class FingerprintIndex:
         return self.run.where("n > 1").select("h")
 
     def close(self) -> None:
-        """Drops the index; an incremental build keeps it for the next batch."""
+        """Drops the index; every call builds it anew."""
         self.scratch.drop(f"run-{self.number}")
 
 
