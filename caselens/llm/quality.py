@@ -92,6 +92,10 @@ def assess(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 14, threshol
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that pass, with the columns of docs as they were, whatever their names."""
+    """The rows of docs that pass, with the columns of docs as they were, whatever their names.
+
+    A filter on the verdict alone would be pushed below the projections that make it, and each use of each intermediate column would
+    become a copy of its expression. The optimiser leaves a filter above a row number, so the verdict is computed once."""
     rows = docs.select(F.col(options.get("id_col", "doc_id")), F.col(options.get("text_col", "text")), F.struct("*").alias("__row"))
-    return assess(rows, trusted_ids(labels), **options).where("kept").select("__row.*")
+    judged = assess(rows, trusted_ids(labels), **options).select("__row", "kept", F.monotonically_increasing_id().alias("__number"))
+    return judged.where("kept and __number >= 0").select("__row.*")

@@ -128,3 +128,10 @@ def test_urls_without_labels_or_rows(spark):
     got = {r.page_id: (r.host, r.rule, r.verdict) for r in urlrules.judge(pages, none, queries.URL_RULES).collect()}
     assert got == {1: ("a.net", "net/es/", "block"), 2: ("", None, "allow")}
     assert urlrules.judge(pages.limit(0), none, queries.URL_RULES).count() == 0
+
+
+def test_filter_computes_the_verdict_once(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    judged, kept = plan(quality.assess(docs, quality.trusted_ids(labels))), plan(quality.quality_filter(docs, labels))
+    assert kept.count("xxhash64") <= judged.count("xxhash64") and kept.count("split(") <= judged.count("split(")
