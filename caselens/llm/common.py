@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselens.plans.scratch import Scratch  # noqa: F401  for the operators
@@ -27,12 +27,21 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(whole(text), SPACE_RUN, " ")
 
 
+def partitions_for(frame: DataFrame, each: int = 64 << 20) -> int:
+    """How many partitions to deal a frame into: as many as the session says, more where its files hold more than `each` bytes a
+    partition. Sources that do not tell their size count as empty."""
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    total = sum(s for s in sizes if s < 1 << 60)
+    return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
+
+
 # ---------------------------------------------------------------------------------------------- numpy word hashing
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = np.ones(1, np.uint64)
 
@@ -74,34 +83,38 @@ def text_slices(column, limit: int = 1 << 20):
         at = to
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = False):
-    """(64-bit hash of each word, first word of each row plus the total, start and end byte of each word)."""
-    if lower:
-        data = _LOWER[data]
+def word_edges(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end byte of each word of each row."""
     inside = ~_SPACE[data]
-    first = np.zeros(len(data) + 1, bool)
-    first[1:] = True
     edge = inside.copy()
     edge[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
     edge[heads] = inside[heads]
-    starts = np.flatnonzero(edge)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), starts, starts
     tail = inside.copy()
     tail[:-1] &= ~inside[1:]
     feet = offsets[1:][offsets[1:] > 0] - 1
     tail[feet] = inside[feet]
-    ends = np.flatnonzero(tail) + 1
-    lengths = ends - starts
-    used = np.flatnonzero(inside)
-    position = used - np.repeat(starts, lengths)
+    return np.flatnonzero(edge), np.flatnonzero(tail) + 1
+
+
+def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = False):
+    """(64-bit hash of each word, first word of each row plus the total, start and end byte of each word)."""
+    if lower:
+        data = LOWER[data]
+    starts, ends = word_edges(offsets, data)
+    return run_hashes(data, starts, ends - starts), np.searchsorted(starts, offsets), starts, ends
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hash of each of the runs of bytes, none of them empty and no two overlapping, in order of place."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
     power = _power_table(int(lengths.max()))
-    terms = (data[used].astype(np.uint64) + np.uint64(1)) * power[position]
-    heads = np.zeros(len(starts), np.int64)
-    np.cumsum(lengths[:-1], out=heads[1:])
-    sums = np.add.reduceat(terms, heads)
-    return mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(starts, offsets), starts, ends
+    heads = np.cumsum(lengths) - lengths
+    position = np.arange(heads[-1] + lengths[-1]) - np.repeat(heads, lengths)
+    used = position + np.repeat(starts, lengths)
+    sums = np.add.reduceat((data[used].astype(np.uint64) + np.uint64(1)) * power[position], heads)
+    return mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def gram_hashes(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:

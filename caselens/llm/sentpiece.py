@@ -6,26 +6,30 @@ exactly if each two neighbours stay apart when the merges run over the two alone
 this the value minus infinity and the maximum over what is left is unique. Pairs are judged for a whole column of words at once, by
 undoing merges from the later one back.
 
-Words: a run of spaces with what follows up to the next space. No piece of these models has a space behind another sign, so words
-are encoded alone and each distinct word once in a bounded memory.
+Words: a text is cut wherever no piece of the model has the two signs side by side (before a space, between a letter and a full stop,
+and so on); no segmentation has a piece across such a place, so the words between are encoded alone. Each distinct word is
+segmented once for as long as a bounded memory holds it (`wordmemory`); the ids of a text are gathered from there by hash and
+compared bytes, and decoding gathers the bytes of the pieces, both for a slice of about a megabyte at once.
 
 Supported models: BPE or unigram, identity normaliser, spaces escaped, a leading space added, byte fallback. Rows: a null text counts as
 empty and has no ids. The meta sign U+2581 in a text decodes to a space, as in the library. Repeated rows, null ids and extra
-columns change nothing; empty tables give empty results."""
+columns change nothing; empty tables give empty results. A very long text is a slice of its own. A word without any cut is
+segmented whole, one sign after the other, however long: slow beyond some hundred thousand signs, never wrong."""
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselens.llm.common import text_slices, whole
+from caselens.llm.common import run_hashes, text_slices, whole
+from caselens.llm.wordmemory import WordMemory, ragged
 
 SPACE = "▁"
-WORD = re.compile(rb" *[^ ]+| +")
+#: Signs beyond ASCII are one class.
+CLASSES = 129
 NONE = np.int64(1) << np.int64(40)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,6 +70,11 @@ class PieceTable:
         self.scores = np.array([p.score for p in model.pieces])
         self.unknown = len(self.pieces)  # stands for a sign that is no piece
         self.unknown_score = float(self.scores[normal].min()) - 10
+        self.glued = np.zeros((CLASSES, CLASSES), bool)  # classes of signs that stand side by side in some piece
+        self.glued[-1, -1] = True
+        for i in normal:
+            signs = [min(ord(c), CLASSES - 1) for c in self.pieces[i].replace(SPACE, " ")]
+            self.glued[signs[:-1], signs[1:]] = True
         self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by_length: dict[int, list[int]] = {}
         for i in normal:
@@ -179,49 +188,86 @@ class PieceTable:
 
 
 class Encoder:
-    """Encodes bytes of texts; keeps the ids of at most `most` words."""
-
-    def __init__(self, path: str, most: int = 400_000):
-        self.table, self.most, self.known = PieceTable(path), most, {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
-        groups: dict[int, list[str]] = {}
-        for w in words:
+    """Encodes and decodes columns of texts, with a memory of words that `memory` bounds."""
+
+    def __init__(self, path: str, **memory):
+        self.table = PieceTable(path)
+        self.memory = WordMemory(self._learned, "<u4", **memory)
+        self.glued = self.table.glued.ravel()
+        self.shown = np.frombuffer(b"".join(self.table.shown), np.uint8)
+        self.shown_length = np.array([len(x) for x in self.table.shown], np.int64)
+        self.shown_start = np.cumsum(self.shown_length) - self.shown_length
+
+    def _learned(self, words: list[bytes]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+        groups: dict[int, list[tuple[int, str]]] = {}
+        for i, w in enumerate(words):
             text = w.decode().replace(" ", SPACE)
-            groups.setdefault(len(text), []).append(text)
+            groups.setdefault(len(text), []).append((i, text))
         for length, group in sorted(groups.items()):
             step = max(1, (1 << 22) // (length + 1))
             for at in range(0, len(group), step):
                 part = group[at : at + step]
-                for text, ids in zip(part, self.table.segment(part), strict=True):
-                    if self.table.unknown in ids:
-                        ids, place, signs = [], 0, ids
-                        for i in signs:
-                            if i == self.table.unknown:
-                                ids += self.table.bytes[list(text[place].encode())].tolist()
-                                place += 1
-                            else:
-                                ids.append(i)
-                                place += len(self.table.pieces[i])
-                    self.known[text.replace(SPACE, " ").encode() if SPACE in text else text.encode()] = np.array(ids, "<u4").tobytes()
+                for (i, text), ids in zip(part, self.table.segment([t for _, t in part]), strict=True):
+                    out[i] = np.array(self._with_bytes(text, ids) if self.table.unknown in ids else ids, np.uint32)
+        return out
+
+    def _with_bytes(self, text: str, ids: list[int]) -> list[int]:
+        """Ids with the bytes of a sign in place of each unknown one."""
+        out, place = [], 0
+        for i in ids:
+            if i == self.table.unknown:
+                out += self.table.bytes[list(text[place].encode())].tolist()
+                place += 1
+            else:
+                out.append(i)
+                place += len(self.table.pieces[i])
+        return out
+
+    def encode_column(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, first id of each row plus the total)."""
+        meta, raw = SPACE.encode(), data.tobytes()
+        if meta in raw:
+            rows = [raw[a:b].replace(meta, b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            offsets, data = np.cumsum([0] + [len(r) for r in rows]), np.frombuffer(b"".join(rows), np.uint8)
+        offsets, data = spaced(offsets, data)
+        signs = np.minimum(data, np.uint8(CLASSES - 1)).astype(np.uint16)
+        edge = np.ones(len(data), bool)
+        edge[1:] = ~self.glued[signs[:-1] * np.uint16(CLASSES) + signs[1:]]
+        edge[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(edge)
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        ids, n = self.memory.encode(run_hashes(data, starts, ends - starts), starts, ends, data)
+        return ids, np.append(0, np.cumsum(n))[np.searchsorted(starts, offsets)]
+
+    def decode_column(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all rows with the space that the model puts before each, first byte of each row plus the total)."""
+        n = self.shown_length[ids]
+        return self.shown[ragged(self.shown_start[ids], n)], np.append(0, np.cumsum(n))[first]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        meta = SPACE.encode()
-        split = [WORD.findall(b" " + t.replace(meta, b" ")) if t else [] for t in texts]
-        known = self.known
-        new = {w for ws in split for w in ws if w not in known}
-        if new:
-            before = len(known)
-            self.learn(new)
-            if before and len(known) < before + len(new):
-                self.learn({w for ws in split for w in ws if w not in known})
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        ids, first = self.encode_column(np.cumsum([0] + [len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8))
+        return [ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
 
     def decode(self, ids: bytes) -> str:
-        text = b"".join([self.table.shown[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        found = np.frombuffer(ids, "<u4")
+        return shown_text(self.decode_column(found, np.array([0, len(found)]))[0].tobytes())
+
+
+def spaced(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows with a space before each that is not empty."""
+    has = np.diff(offsets) > 0
+    moved = offsets + np.append(0, np.cumsum(has))
+    out = np.full(moved[-1], 0x20, np.uint8)
+    own = np.ones(len(out), bool)
+    own[moved[:-1][has]] = False
+    out[own] = data
+    return moved, out
+
+
+def shown_text(raw: bytes) -> str:
+    text = raw.decode("utf-8", "replace")
+    return text[1:] if text.startswith(" ") else text
 
 
 _encoders: dict[str, Encoder] = {}
@@ -249,16 +295,24 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         encoder = encoder_of(model)
         for batch in batches:
             for at, offsets, data in text_slices(batch.column(1)):
-                raw = data.tobytes()
-                coded = encoder.encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-                ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
-                flat = np.frombuffer(b"".join(coded), "<i4")
-                decoded = [encoder.decode(c) for c in coded]
-                yield _frame([batch.column(0).slice(at, len(coded)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+                ids, first = encoder.encode_column(offsets, data)
+                shown, places = encoder.decode_column(ids, first)
+                decoded = [shown_text(shown[a:b].tobytes()) for a, b in zip(places[:-1], places[1:], strict=True)]
+                yield _frame([batch.column(0).slice(at, len(decoded)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.view(np.int32))), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
+def _round_trips(encoder: Encoder, ids: np.ndarray, first: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Whether the ids of each row give its text back."""
+    shown, places = encoder.decode_column(ids, first)
+    at, text = spaced(offsets, data)
+    if len(shown) == len(text) and (places == at).all() and (shown == text).all():
+        return np.ones(len(offsets) - 1, bool)
+    rows = zip(places[:-1], places[1:], offsets[:-1], offsets[1:], strict=True)
+    return np.array([shown_text(shown[a:b].tobytes()).encode() == data[c:d].tobytes() for a, b, c, d in rows])
+
+
 def encode_digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_ids, ids_crc32 (of the ids as little-endian 32-bit numbers), round_trip (decoding gives the text)."""
     slim = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text"))
@@ -269,13 +323,9 @@ def encode_digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         encoder = encoder_of(model)
         for batch in batches:
             for at, offsets, data in text_slices(batch.column(1)):
-                raw = data.tobytes()
-                texts = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                coded = encoder.encode(texts)
-                same = [encoder.decode(c).encode() == t for c, t in zip(coded, texts, strict=True)]
-                yield _frame(
-                    [batch.column(0).slice(at, len(coded)), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array([zlib.crc32(c) for c in coded], pa.int64()), pa.array(same)],
-                    ["doc_id", "n_ids", "ids_crc32", "round_trip"],
-                )
+                ids, first = encoder.encode_column(offsets, data)
+                same, raw = _round_trips(encoder, ids, first, offsets, data), memoryview(ids.tobytes())
+                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                yield _frame([batch.column(0).slice(at, len(sums)), pa.array(np.diff(first)), pa.array(sums, pa.int64()), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
 
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_ids long, ids_crc32 long, round_trip boolean")
