@@ -10,8 +10,8 @@ The hash is a cascade of bit arrays: a key whose position nobody else takes on a
 level; a key's slot is the number of set bits before its own.
 
 Rows: null texts count as empty and get the end id only. Null keys come first. Rows that repeat a key are kept side by side, in
-order of the hash of their text, and numbered: `get(key, n)` reads the n-th. Keys are integers. An empty table writes no shard.
-Extra columns are not read. Writers put their files in place by a rename, so a task that runs twice leaves one whole shard."""
+order of the hash of their text, and numbered: `get(key, n)` reads the n-th; texts whose hashes tie are equal. Keys are integers. A
+very long text is encoded whole, in a slice of its own. An empty table writes no shard. Extra columns are not read. Writers put their files in place by a rename, so a task that runs twice leaves one whole shard."""
 
 from __future__ import annotations
 
@@ -23,7 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselens.llm.common import Scratch, mix, text_slices, whole
+from caselens.llm.common import LOWER, Scratch, mix, partitions_for, run_hashes, text_slices, whole, word_edges
+from caselens.llm.wordmemory import WordMemory, ragged
 
 MAGIC = 0x31304B54534C43
 NULL_KEY = np.uint64(0x9D39247E33776D41)
@@ -98,48 +99,74 @@ def repeats_of(keys: np.ndarray, nulls: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------------------------------------------- the encoder
 
 
+#: Classes of bytes: letters, plain punctuation, anything else inside a word.
+LETTER, POINT, OTHER = 0, 1, 2
+_CLASS = np.full(256, OTHER, np.uint8)
+_CLASS[list(PUNCT)] = POINT
+_CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+
+
+def byte_classes(data: np.ndarray) -> np.ndarray:
+    """LETTER for ASCII letters and both bytes of the letters U+00C0 to U+00FF."""
+    out = _CLASS[data]
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    out[lead] = out[lead + 1] = LETTER
+    return out
+
+
 class WordEncoder:
     """Encodes with a tokenizer that drops white space, word by word with a bounded memory of words.
 
-    Words of letters with a tail of plain punctuation are kept as two pieces, as the tokenizer itself splits them; ASCII letters
-    are kept in lower case, as it lower-cases them. Everything else is kept whole."""
+    Words of letters with a tail of plain punctuation are two pieces, as the tokenizer itself splits them; their ASCII letters
+    are lower-cased, as it does. Everything else is kept whole."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1 << 20):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-
-    def pieces(self, word: bytes) -> list[bytes]:
-        core = word.rstrip(PUNCT)
-        if core.isalpha():  # ASCII letters only, for bytes
-            return [core.lower(), word[len(core) :]] if len(core) < len(word) else [core.lower()]
-        if core and len(core) < len(word) and not core.isascii() and core.decode().isalpha():
-            return [core, word[len(core) :]]
-        return [word]
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + 2 * len(words) > self.most:
-            self.known.clear()
-        parts = {w: self.pieces(w) for w in words}
-        new = sorted({p for ps in parts.values() for p in ps if p not in self.known})
-        dtype = f"<u{self.width}"
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, dtype).tobytes()
-        for w, ps in parts.items():
-            if w not in self.known:
-                self.known[w] = b"".join([self.known[p] for p in ps])
+        self.memory = WordMemory(self._learned, f"<u{self.width}", slots=1 << (2 * most - 1).bit_length())
+
+    def _learned(self, words: list[bytes]) -> list[np.ndarray]:
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, self.memory.dtype) for e in coded]
+
+    def _pieces(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start and end byte of each piece, the bytes that stand for the pieces)."""
+        starts, ends = word_edges(offsets, data)
+        if not len(starts):
+            return starts, ends, data
+        kinds = byte_classes(data)
+        lengths = ends - starts
+        used, heads = ragged(starts, lengths), np.cumsum(lengths) - lengths
+        own = kinds[used]
+        letters = np.add.reduceat((own == LETTER).astype(np.int64), heads)
+        # Letters first, then points only: as many bytes before the first point as there are letters.
+        leading = np.minimum.reduceat(np.where(own == LETTER, lengths.max(), np.arange(len(used)) - np.repeat(heads, lengths)), heads)
+        plain = (np.maximum.reduceat(own, heads) < OTHER) & (letters > 0) & (np.minimum(leading, lengths) == letters)
+        bytes_ = data.copy()
+        low = used[np.repeat(plain, lengths)]
+        bytes_[low] = LOWER[data[low]]
+        cuts = (starts + letters)[plain & (letters < lengths)]
+        return np.sort(np.append(starts, cuts)), np.sort(np.append(ends, cuts)), bytes_
+
+    def encode_column(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, first id of each row plus the total)."""
+        starts, ends, data = self._pieces(offsets, data)
+        ids, n = self.memory.encode(run_hashes(data, starts, ends - starts), starts, ends, data)
+        return ids, np.append(0, np.cumsum(n))[np.searchsorted(starts, offsets)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]  # bytes.split() splits at ASCII white space, which the tokenizer drops
-        known = self.known
-        new = {w for ws in split for w in ws if w not in known}
-        if new:
-            before = len(known)
-            self.learn(new)
-            if len(known) < before:  # the memory was emptied
-                self.learn({w for ws in split for w in ws if w not in known})
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        ids, first = self.encode_column(np.cumsum([0] + [len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8))
+        return [ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+def ended(ids: np.ndarray, first: np.ndarray, end_id: int) -> np.ndarray:
+    """The ids of all rows with the end id behind each row's own."""
+    out = np.full(len(ids) + len(first) - 1, end_id, ids.dtype)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(first) - 1), np.diff(first))] = ids
+    return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -155,10 +182,15 @@ def encoder_of(path: str) -> WordEncoder:
 # ------------------------------------------------------------------------------------------------- writing and reading
 
 
+#: Names that Hadoop has for stores which pyarrow knows by another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gcs", "viewfs": "hdfs"}
+
+
 def _file_system(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{colon}{rest}")
 
 
 def _put(uri: str, attempt: str, write) -> None:
@@ -179,7 +211,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         context = TaskContext.get()
         part, attempt = context.partitionId(), f"attempt{context.taskAttemptId()}"
         encoder = encoder_of(tokenizer)
-        end, lengths, keys, nulls = np.array([end_id], f"<u{encoder.width}").tobytes(), [], [], []
+        lengths, keys, nulls = [], [], []
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         first = next(batches, None)
 
@@ -190,10 +222,9 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                 nulls.append(ids.is_null().to_numpy(zero_copy_only=False))
                 keys.append(ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False))
                 for _, offsets, data in text_slices(batch.column(1)):
-                    raw = data.tobytes()
-                    coded = encoder.encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-                    lengths.append(np.array([len(c) // encoder.width + 1 for c in coded], np.int64))
-                    out.write(b"".join([x for c in coded for x in (c, end)]))
+                    coded, starts = encoder.encode_column(offsets, data)
+                    lengths.append(np.diff(starts) + 1)
+                    out.write(ended(coded, starts, end_id).tobytes())
                 batch = next(batches, None)
 
         if first is None or not first.num_rows:
@@ -248,11 +279,27 @@ class Shard:
         here[here] = self.prints[slot[here]] == fingerprints(hashes[here])
         return np.where(here, self.order[np.where(here, slot, 0)].astype(np.int64) if self.n_docs else -1, -1)
 
-    def ids(self, ordinal: int) -> np.ndarray:
-        first, last = int(self.starts[ordinal]), int(self.starts[ordinal + 1])
+    def range(self, first: int, last: int) -> np.ndarray:
+        """The ids from place `first` up to `last` of the shard, in one read."""
         self.file.seek(first * self.width)
         return np.frombuffer(self.file.read((last - first) * self.width), f"<u{self.width}").astype("<u4")
 
+    def ids(self, ordinal: int) -> np.ndarray:
+        return self.range(int(self.starts[ordinal]), int(self.starts[ordinal + 1]))
+
+    def checksums(self, ordinals: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+        """crc32 of the ids of each ordinal; neighbours are read together, `most` ids at a time or one document."""
+        out, at, starts = np.zeros(len(ordinals), np.int64), 0, self.starts
+        while at < len(ordinals):
+            to = at + 1
+            while to < len(ordinals) and ordinals[to] == ordinals[to - 1] + 1 and starts[ordinals[to] + 1] - starts[ordinals[at]] <= most:
+                to += 1
+            own = starts[ordinals[at] : ordinals[at] + to - at + 1] - starts[ordinals[at]]
+            raw = memoryview(self.range(int(starts[ordinals[at]]), int(starts[ordinals[to - 1] + 1])).tobytes())
+            out[at:to] = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
+            at = to
+        return out
+
     def get(self, key: int | None, repeat: int = 0) -> np.ndarray | None:
         at = self.ordinals(np.array([key or 0]), np.array([key is None]), np.array([repeat]))[0]
         return None if at < 0 else self.ids(int(at))
@@ -262,7 +309,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, i
     """Writes the shards; returns (name, documents, ids, ids before it) of each in key order. One entry a shard reaches the driver."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "token-store")
     slim = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text"), F.xxhash64(text_col).alias("h"))
-    ordered = slim.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    ordered = slim.repartitionByRange(partitions_for(docs), "doc_id", "h").sortWithinPartitions("doc_id", "h")
     system, path = _file_system(folder)
     system.create_dir(path, recursive=True)
     meta = scratch.write(ordered.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer, end_id), "shard long, n_docs long, n_ids long, name string"), "meta")
@@ -289,10 +336,9 @@ def _reader(batches):
                 found = shard.ordinals(keys, nulls, repeats)
                 if (found < 0).any():
                     raise ValueError(f"{name}: a key is missing from its own index")
-                sums = [zlib.crc32(shard.ids(int(o)).tobytes()) for o in found]
                 starts = shard.starts[found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64(), mask=nulls), pa.array(before + starts), pa.array(shard.starts[found + 1] - starts), pa.array(sums, pa.int64())],
+                    [pa.array(keys, pa.int64(), mask=nulls), pa.array(before + starts), pa.array(shard.starts[found + 1] - starts), pa.array(shard.checksums(found))],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
