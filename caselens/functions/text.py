@@ -68,7 +68,8 @@ def tokens(c: Column, normalise: bool = True) -> Column:
     text = F.lower(nfkc(c) if normalise else c)
     runs = F.regexp_extract_all(F.regexp_replace(text, PLACEHOLDERS, " "), F.lit(r"[\u3400-\u9fff]+|[a-z0-9]+"), F.lit(0))
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"\A[\u3400-\u9fff]{2}"), pairs(r)).otherwise(F.array(r))))
+    cut = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"\A[\u3400-\u9fff]{2}"), pairs(r)).otherwise(F.array(r))))
+    return F.when(text.rlike(r"[\u3400-\u9fff]{2}"), cut).otherwise(runs)
 
 
 def stable_rank(seed, key: Column) -> Column:

@@ -61,7 +61,8 @@ def association_groups(records: DataFrame, keys: list[str], scratch: Scratch, id
     edges = None
     for key in keys:
         own = records.select(F.col(id_col).alias("b"), F.col(key).alias("k")).where("k is not null and k <> ''")
-        hub = own.groupBy("k").agg(F.min("b").alias("a"))
+        # Written, so that adaptive execution can split the join at a value that many records hold.
+        hub = scratch.write(own.groupBy("k").agg(F.min("b").alias("a")), f"hub-{key}")
         star = own.join(hub, "k").where("a <> b").select("a", "b")
         edges = star if edges is None else edges.unionByName(star)
     labels = connected_components(edges, scratch).withColumnRenamed("node", id_col)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselens.functions.text import tokens
+from caselens.plans.scratch import Scratch
 
 # Fixed values of the ranking function.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -39,15 +40,18 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def build_index(docs: DataFrame, id_col: str, text_col: str, parts: bool = False) -> Index:
-    """docs: one row per document, or one per part of a document if parts. Lengths count tokens with repeats; documents without tokens
-    count for the mean."""
-    terms = docs.select(F.col(id_col).alias("docid"), tokens(F.col(text_col)).alias("terms"))
-    lengths = terms.select("docid", F.size("terms").cast("long").alias("dl"))
-    if parts:
-        lengths = lengths.groupBy("docid").agg(F.sum("dl").alias("dl"))
-    postings = terms.select("docid", F.explode("terms").alias("term")).groupBy("term", "docid").agg(F.count(F.lit(1)).alias("tf"))
-    return Index(postings, lengths, vocabulary(postings), lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+def build_index(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch | None = None) -> Index:
+    """docs: one row per document, or one for each part of it. Lengths count tokens with repeats; documents without tokens count for the
+    mean. Texts are read and tokenised once: the postings are written, and everything else is summed up from them."""
+    scratch = scratch or Scratch(docs.sparkSession, "index")
+    rows = docs.select(F.col(id_col).alias("docid"), tokens(F.col(text_col)).alias("terms"))
+    # A document without tokens still has a posting, of no term.
+    rows = rows.select("docid", F.explode(F.when(F.size("terms") > 0, F.col("terms")).otherwise(F.array(F.lit("")))).alias("term"))
+    every = scratch.write(rows.groupBy("term", "docid").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    lengths = scratch.write(every.groupBy("docid").agg(F.sum(F.when(F.col("term") != "", F.col("tf")).otherwise(0)).alias("dl")), "lengths")
+    postings = every.where("term <> ''")
+    words = scratch.write(vocabulary(postings), "vocabulary")
+    return Index(postings, lengths, words, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
 
 
 def query_terms(queries: DataFrame, vocabulary: DataFrame, max_terms: int = 32, id_col: str = "query_id", text_col: str = "query") -> DataFrame:

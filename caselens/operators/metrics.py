@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselens.plans.scratch import Scratch
+
 CUTS = (1, 5, 10)
 
 
@@ -21,6 +23,7 @@ def f1(p: Column, r: Column) -> Column:
 def observed_metrics(ranked: DataFrame, catalog: DataFrame, *slices: str) -> DataFrame:
     """ranked: query_id, gold (array), ranking (array in rank order). One row (for each slice): counts, recall and hits at 1, 5 and
     10, catalogue coverage and ceiling, recall of known targets. Queries without gold count as unlabelled only."""
+    ranked = Scratch(ranked.sparkSession, "ranked").write(ranked, "rows")  # checked and used, computed once
     if not ranked.where(F.size(F.array_distinct("ranking")) < F.size("ranking")).isEmpty():
         raise ValueError("a ranking holds an id twice")
     known = catalog.select("knowledge_id").distinct()
@@ -87,8 +90,6 @@ def bootstrap_frame(pairs: DataFrame, *by: str, resamples: int = 2000, seed: int
     import numpy as np
     import pandas as pd
 
-    from caselens.plans.scratch import Scratch
-
     scratch = Scratch(pairs.sparkSession, "bootstrap")
     keys = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by)
     rows = pairs.select(*by, "query_no", (F.col("two") - F.col("one")).alias("d"))
@@ -135,6 +136,8 @@ def judged_metrics(judged: DataFrame, pool: DataFrame, k: int = 5, ndcg_k: int =
     method: returned, relevant_returned, precision (over k places), ndcg (null without a positive in the pool), positives."""
     gain = lambda g: F.pow(F.lit(2.0), g) - 1
     place = lambda r: F.log2(r.cast("double") + 1)
+    scratch = Scratch(judged.sparkSession, "judged")
+    judged, pool = scratch.write(judged, "judged"), scratch.write(pool, "pool")
     if not judged.where("grade is null").isEmpty():
         raise ValueError("a returned candidate has no judgment")
     ideal = pool.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "mode").orderBy(F.desc("grade"))))
@@ -157,11 +160,14 @@ def summarised(per_query: DataFrame) -> DataFrame:
 
 def calibrate(scored: DataFrame, target_precision: float = 0.9, min_results: int = 5, min_queries: int = 3) -> DataFrame:
     """scored: mode, query_id, score, relevant (boolean). For each mode the threshold that accepts most results at the wanted
-    precision (the lowest threshold, if equal); no row for a mode where none does. Accepted are scores at or above it."""
-    above = Window.partitionBy("mode").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    first = Window.partitionBy("mode", "query_id").orderBy(F.desc("score"), "relevant").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = scored.withColumn("fresh", (F.count(F.lit(1)).over(first) == 1).cast("int"))
-    rows = rows.select("mode", "score", F.count(F.lit(1)).over(above).alias("results"), F.sum("fresh").over(above).alias("queries"), F.sum(F.col("relevant").cast("int")).over(above).alias("hits")).distinct()
+    precision (the lowest threshold, if equal); no row for a mode where none does. Accepted are scores at or above it. A mode's window
+    has a row for each distinct score, not for each result."""
+    # A query enters at its best score. Rows are summed up by score before any window sees them.
+    by_score = scored.groupBy("mode", "score").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("relevant").cast("int")).alias("h"))
+    fresh = scored.groupBy("mode", "query_id").agg(F.max("score").alias("score")).groupBy("mode", "score").agg(F.count(F.lit(1)).alias("q"))
+    above = Window.partitionBy("mode").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = by_score.join(fresh, ["mode", "score"], "left").fillna(0, ["q"])
+    rows = rows.select("mode", "score", F.sum("m").over(above).alias("results"), F.sum("q").over(above).alias("queries"), F.sum("h").over(above).alias("hits"))
     fit = rows.where((F.col("results") >= min_results) & (F.col("queries") >= min_queries) & (F.col("hits") >= target_precision * F.col("results")))
     best = fit.groupBy("mode").agg(F.max_by(F.struct("score", "results", "queries", "hits"), F.struct("results", -F.col("score"))).alias("b"))
     return best.select("mode", F.col("b.score").alias("threshold"), "b.results", "b.queries", (F.col("b.hits") / F.col("b.results")).alias("precision"))

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local session gets a folder of its own (tests); a
+    cluster gets an error, as no folder of one machine would do."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file:///tmp/checkpoints/caselens"
     return folder.rstrip("/")
 

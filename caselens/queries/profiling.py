@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caselens.functions import text as T
 from caselens.operators import dataset, profile
+from caselens.operators.containment import contained
 from caselens.queries.retrieval import benchmark, documents, table
 
 
@@ -131,8 +132,8 @@ def ordinal_compare(spark, sf_dir):
 
 def ground_quotes(spark, sf_dir):
     """Code-point spans of every occurrence of a benchmark item in a document."""
-    rows = documents(spark, sf_dir).select("doc_id", "text").join(F.broadcast(benchmark(spark, sf_dir)), F.contains("text", "query"))
-    rows = rows.select("doc_id", F.col("query_id").alias("item_id"), F.explode(T.occurrences(F.col("text"), F.col("query"))).alias("start"), F.length("query").alias("n"))
+    rows = contained(documents(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir))
+    rows = rows.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), F.explode(T.occurrences(F.col("text"), F.col("needle"))).alias("start"), F.length("needle").alias("n"))
     return rows.select("doc_id", "item_id", "start", (F.col("start") + F.col("n")).alias("end"))
 
 
@@ -211,8 +212,9 @@ SQL = {
     "domain_violations": "SELECT l_returnflag NOT IN ('A', 'N') AS l_returnflag_violation, l_linestatus NOT IN ('O', 'P') AS l_linestatus_violation, l_linenumber NOT BETWEEN 1 AND 5 AS l_linenumber_violation, l_returnflag NOT IN ('A', 'N') OR l_linestatus NOT IN ('O', 'P') OR l_linenumber NOT BETWEEN 1 AND 5 AS any_violation, count(*) AS rows FROM lineitem GROUP BY 1, 2, 3, 4",
     "ordinal_compare": """SELECT 'c_name' AS field, count_if(c_custkey % 10 <> 0)::BIGINT AS compared, 0::BIGINT AS mismatches, count_if(c_custkey % 10 = 0)::BIGINT AS unavailable FROM customer UNION ALL
         SELECT 'c_mktsegment', count_if(c_custkey % 10 <> 0)::BIGINT, count_if(c_custkey % 10 <> 0 AND c_custkey % 4 = 0 AND c_mktsegment IS NOT NULL)::BIGINT, count_if(c_custkey % 10 = 0)::BIGINT FROM customer""",
-    "ground_quotes": "SELECT doc_id, item_id, (strpos(d.text, b.text) - 1)::INT AS start, (strpos(d.text, b.text) - 1 + length(b.text))::INT AS \"end\" FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
-    "overlapping_occurrences": "SELECT doc_id, len(list_filter(range(1, greatest(length(t), 1)::BIGINT), lambda i: substring(t, i, 2) = 'an'))::INT AS hits FROM (SELECT doc_id, substring(text, 1, 200) AS t FROM documents)",
+    "ground_quotes": """WITH m AS (SELECT doc_id, item_id, d.text AS t, b.text AS q FROM documents d JOIN benchmark b ON contains(d.text, b.text)), p AS (SELECT *, unnest(range(1, length(t) - length(q) + 2)) AS i FROM m)
+        SELECT doc_id, item_id, (i - 1)::INT AS start, (i - 1 + length(q))::INT AS "end" FROM p WHERE substring(t, i, length(q)) = q""",
+    "overlapping_occurrences": "SELECT doc_id, len(list_filter(range(1, greatest(length(t), 1)::BIGINT), lambda i: substring(t, i, 2) = 'an'))::INT AS hits FROM (SELECT doc_id, text AS t FROM documents)",
     "length_buckets": "SELECT CASE WHEN length(text) <= 50 THEN '01_le_50' WHEN length(text) <= 200 THEN '02_51_200' WHEN length(text) <= 500 THEN '03_201_500' WHEN length(text) <= 2000 THEN '04_501_2000' ELSE '05_gt_2000' END AS bucket, count(*) AS rows FROM documents GROUP BY 1",
     "shared_keywords": """WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM conversations)
         SELECT a.conv_id, a.turn, array_to_string(list_sort(list_distinct(list_intersect(a.t, b.t)))[1:10], ' ') AS keywords FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""",

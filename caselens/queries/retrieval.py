@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from caselens.functions.text import stable_rank, tokens
 from caselens.operators import dataset, dense, fusion, lexical, metrics
+from caselens.operators.containment import contained
 from caselens.plans.scratch import Scratch
 
 
@@ -39,9 +40,10 @@ def links(spark, sf_dir) -> DataFrame:
 
 
 def gold(spark, sf_dir) -> DataFrame:
-    """query_id, gold. Benchmark items are a stated, bounded query set: they are broadcast and every document is read once."""
-    docs = documents(spark, sf_dir).select("text", entry_of().alias("knowledge_id"))
-    found = docs.join(F.broadcast(benchmark(spark, sf_dir)), F.contains("text", "query")).select("query_id", "knowledge_id").distinct()
+    """query_id, gold: the entries of the documents that hold an item of the benchmark."""
+    docs = documents(spark, sf_dir)
+    held = contained(docs.select("doc_id", "text"), benchmark(spark, sf_dir)).select(F.col("key").alias("doc_id"), F.col("item").alias("query_id"))
+    found = docs.select("doc_id", entry_of().alias("knowledge_id")).join(held, "doc_id").select("query_id", "knowledge_id").distinct()
     own = found.groupBy("query_id").agg(F.array_sort(F.collect_list("knowledge_id")).alias("gold"))
     return benchmark(spark, sf_dir).select("query_id").join(own, "query_id", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<string>")))
 
@@ -59,18 +61,11 @@ def groups(spark, sf_dir) -> DataFrame:
 
 
 def case_hits(spark, sf_dir, k: int = 50) -> DataFrame:
-    scratch = Scratch(spark, "cases")
-    index = lexical.build_index(scratch.write(cases(spark, sf_dir), "cases"), "docid", "text")
-    index.postings = scratch.write(index.postings, "postings")
-    index.vocabulary = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    return lexical.bm25(benchmark(spark, sf_dir), index, k)
+    return lexical.bm25(benchmark(spark, sf_dir), lexical.build_index(cases(spark, sf_dir), "docid", "text", Scratch(spark, "cases")), k)
 
 
 def title_hits(spark, sf_dir, k: int = 10) -> DataFrame:
-    scratch = Scratch(spark, "titles")
-    index = lexical.build_index(scratch.write(titles(spark, sf_dir), "titles"), "knowledge_id", "label", parts=True)
-    index.postings = scratch.write(index.postings, "postings")
-    index.vocabulary = lexical.vocabulary(index.postings)
+    index = lexical.build_index(titles(spark, sf_dir), "knowledge_id", "label", Scratch(spark, "titles"))
     return lexical.bm25(benchmark(spark, sf_dir), index, k).withColumnRenamed("docid", "knowledge_id")
 
 
@@ -87,7 +82,7 @@ def token_stats(spark, sf_dir):
 
 
 def vocab_df(spark, sf_dir):
-    return lexical.build_index(cases(spark, sf_dir), "docid", "text").vocabulary
+    return lexical.build_index(cases(spark, sf_dir), "docid", "text", Scratch(spark, "vocabulary")).vocabulary
 
 
 def bm25_cases_topk(spark, sf_dir):
@@ -264,7 +259,7 @@ QUERIES = {
 
 TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 CASES = "cases AS (SELECT min(doc_id) AS docid, text FROM documents GROUP BY text)"
-TITLES = "labels0 AS (SELECT DISTINCT lang || ':' || source AS docid, substring(text, 1, 80) AS label FROM documents), cases AS (SELECT docid, string_agg(label, chr(10) ORDER BY label) AS text FROM labels0 GROUP BY docid)"
+TITLES = "labels0 AS (SELECT DISTINCT lang || ':' || source AS docid, text AS label FROM documents), cases AS (SELECT docid, string_agg(label, chr(10) ORDER BY label) AS text FROM labels0 GROUP BY docid)"
 
 
 def _bm25(corpus: str, name: str, k: int) -> str:
@@ -292,12 +287,13 @@ def _vote(hits: str, k: int) -> str:
 CASE_HITS = _bm25(CASES, "hits", 50)
 CASE_VOTES = f"{CASE_HITS}, {LINKS}, {GROUPS}, {_vote('hits', 10)}"
 TITLE_HITS = _bm25(TITLES, "thits", 10).replace("cases", "tcases")
-GOLD = "gold AS (SELECT DISTINCT item_id AS query_id, lang || ':' || source AS knowledge_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)), known AS (SELECT DISTINCT lang || ':' || source AS knowledge_id FROM documents WHERE doc_id % 2 = 0)"
-DOT = "SELECT q.vec_id AS query_id, e.vec_id AS docid, e.label, list_sum(list_transform(list_zip(q.embedding[1:{n}], e.embedding[1:{n}]), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 10 = 0 AND e.vec_id % 10 <> 0"
+GOLD = "gold AS (SELECT DISTINCT item_id AS query_id, lang || ':' || source AS knowledge_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)), known AS (SELECT DISTINCT lang || ':' || source AS knowledge_id FROM documents)"
+DOT = "SELECT q.vec_id AS query_id, e.vec_id AS docid, e.label, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: {pair})) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0"
+INNER, L1 = "x[1]::DOUBLE * x[2]::DOUBLE", "-abs(x[1]::DOUBLE - x[2]::DOUBLE)"
 
 
-def _dense(name: str, n: int, k: int, where: str = "true") -> str:
-    return f"d_{name} AS ({DOT.format(n=n)} AND {where}), {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, docid) AS rank FROM d_{name}) WHERE rank <= {k})"
+def _dense(name: str, k: int, where: str = "true", pair: str = INNER) -> str:
+    return f"d_{name} AS ({DOT.format(pair=pair)} AND {where}), {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, docid) AS rank FROM d_{name}) WHERE rank <= {k})"
 
 
 EDGE_KEYS = "keyed AS (SELECT doc_id, sha256(text) AS t, lang || '|' || source || '|' || substring(text, 1, 24) AS k FROM documents)"
@@ -313,7 +309,7 @@ RECALL = ", ".join(
 
 SQL = {
     "token_stats": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {TOK.format('text')} AS t FROM documents)",
-    "vocab_df": f"WITH {CASES}, po AS (SELECT docid, term, count(*) AS tf FROM (SELECT docid, unnest({TOK.format('text')}) AS term FROM cases) GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM po GROUP BY term HAVING count(*) >= 20",
+    "vocab_df": f"WITH {CASES}, po AS (SELECT docid, term, count(*) AS tf FROM (SELECT docid, unnest({TOK.format('text')}) AS term FROM cases) GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM po GROUP BY term",
     "bm25_cases_topk": f"WITH {_bm25(CASES, 'hits', 10)} SELECT query_id, docid, round(score, 6) AS score, rank FROM hits",
     "bm25_titles_topk": f"WITH {TITLE_HITS} SELECT query_id, docid AS knowledge_id, round(score, 6) AS score, rank FROM thits",
     "case_vote": f"WITH {CASE_VOTES} SELECT query_id, knowledge_id, round(score, 9) AS score, rank, supporting FROM votes JOIN sup USING (query_id, knowledge_id)",
@@ -333,11 +329,11 @@ SQL = {
         s AS (SELECT query_id, (SELECT count(*) FROM gold g JOIN thits t ON t.query_id = g.query_id AND t.docid = g.knowledge_id WHERE g.query_id = q.query_id) / n AS one,
                      (SELECT count(*) FROM gold g JOIN votes v USING (query_id, knowledge_id) WHERE g.query_id = q.query_id) / n AS two FROM q)
         SELECT count(*) AS n, round(avg(two - one), 9) AS delta, count_if(two > one)::BIGINT AS wins, count_if(two < one)::BIGINT AS losses, count_if(two = one)::BIGINT AS ties FROM s""",
-    "dense_topk": f"WITH {_dense('hits', 64, 10)} SELECT query_id, docid, round(score, 6) AS score, rank FROM hits",
-    "dense_filtered_topk": f"WITH {_dense('hits', 64, 10, 'e.label % 2 = 0')} SELECT query_id, docid, round(score, 6) AS score, rank FROM hits",
-    "dense_vote": f"""WITH {_dense('hits', 64, 50)}, links AS (SELECT vec_id AS docid, label::VARCHAR AS knowledge_id FROM embeddings), refs AS (SELECT docid, 1 AS refs FROM links), groups AS (SELECT vec_id AS docid, vec_id // 3 AS group_id FROM embeddings),
+    "dense_topk": f"WITH {_dense('hits', 10)} SELECT query_id, docid, round(score, 6) AS score, rank FROM hits",
+    "dense_filtered_topk": f"WITH {_dense('hits', 10, 'e.label % 2 = 0')} SELECT query_id, docid, round(score, 6) AS score, rank FROM hits",
+    "dense_vote": f"""WITH {_dense('hits', 50)}, links AS (SELECT vec_id AS docid, label::VARCHAR AS knowledge_id FROM embeddings), refs AS (SELECT docid, 1 AS refs FROM links), groups AS (SELECT vec_id AS docid, vec_id // 3 AS group_id FROM embeddings),
         {_vote('(SELECT query_id, docid, rank FROM hits)', 3)} SELECT query_id, knowledge_id, round(score, 9) AS score, rank FROM votes""",
-    "hybrid_rrf": f"""WITH {_dense('one', 64, 50)}, {_dense('two', 32, 50)}, f AS (SELECT query_id, docid, sum(1 / (60 + rank)) AS score, max(CASE WHEN r = 1 THEN rank ELSE 0 END) AS rank_one, max(CASE WHEN r = 2 THEN rank ELSE 0 END) AS rank_two
+    "hybrid_rrf": f"""WITH {_dense('one', 50)}, {_dense('two', 50, pair=L1)}, f AS (SELECT query_id, docid, sum(1 / (60 + rank)) AS score, max(CASE WHEN r = 1 THEN rank ELSE 0 END) AS rank_one, max(CASE WHEN r = 2 THEN rank ELSE 0 END) AS rank_two
             FROM (SELECT query_id, docid, rank, 1 AS r FROM one UNION ALL SELECT query_id, docid, rank, 2 FROM two) GROUP BY ALL)
         SELECT * FROM (SELECT query_id, docid, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, docid) AS rank, rank_one, rank_two FROM f) WHERE rank <= 50""",
     "dedupe_corpus": r"SELECT sha256(regexp_replace(text, '[ \t\n\x0B\f\r]+', '', 'g')) AS text_hash, min(doc_id) AS rid FROM documents GROUP BY 1",

@@ -67,6 +67,27 @@ def test_packing_keeps_every_word_and_no_conflict(spark, sf, odd_docs, no_docs):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_rows_repeated_often_are_spread(spark):
+    rows = [(1, "a b c", "s")] * 1500 + [(i, f"x y {i}", None) for i in range(2, 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = packing.pack(docs, 100, group_rows=200).collect()
+    assert len(out) == len(rows)
+    bins = {}
+    for r in out:
+        bins.setdefault(r.bin, []).append(r.doc_id)
+    assert all(own.count(1) <= 1 for own in bins.values())
+    groups = [b.split("-")[0] for b, own in bins.items() if 1 in own]
+    assert len(set(groups)) > 5 and max(map(groups.count, groups)) < 500
+
+
+def test_clusters_of_a_column(spark):
+    docs = spark.createDataFrame([(i, f"t{i} x", f"s{i}", i % 3) for i in range(30)], "doc_id long, text string, source string, part int")
+    bins = {}
+    for r in packing.pack(docs, 10, cluster_col="part").collect():
+        bins.setdefault(r.bin, []).append(r.doc_id % 3)
+    assert all(len(set(own)) == len(own) for own in bins.values()) and len(bins) == 10
+
+
 TEXTS = [
     "", " ", "  ", "Hello  world   x", " a", "ab  ", "日本語 テスト été \U0001f600\U0001f600x", "a\n\nb\tc", "don't 1234567 foo_bar(baz[0])=={}; https://x.y/z?q=1",
     "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "ABABABAB ababab", "x" * 300, "ﬁ ÀÉÎ ñ ß Ω ы न",
@@ -108,6 +129,20 @@ def test_pieces_of_odd_and_no_rows(odd_docs, no_docs):
     got = sorted((r.doc_id or -1, r.decoded) for r in sentpiece.encode(odd_docs, path).collect())
     assert got == sorted((r.doc_id or -1, r.text or "") for r in odd_docs.collect())
     assert sentpiece.encode_digest(no_docs, path).count() == 0
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=path)
+    want = []
+    for d, t in [(r.doc_id, r.text or "") for r in odd_docs.collect()]:
+        ids = np.array(library.encode(t), "<u4")
+        want.append((d, len(ids), zlib.crc32(ids.tobytes()), True))
+    assert sorted(map(tuple, sentpiece.encode_digest(odd_docs, path).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_round_trip_is_false_where_the_meta_sign_is_lost(spark):
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(1, "a\u2581b"), (2, "a b"), (3, "")], "doc_id long, text string")
+    assert {r.doc_id: r.round_trip for r in sentpiece.encode_digest(docs, path).collect()} == {1: False, 2: True, 3: True}
 
 
 def test_perfect_hash_is_minimal_and_tells_strangers():
