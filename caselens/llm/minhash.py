@@ -19,8 +19,19 @@ those links.
    all pairs.
 
 Rows: null and empty texts have the empty set and are linked with nothing. Texts of fewer than n words have their whole sequence as
-one shingle. Rows with a null id are linked with nothing and have a null component. Rows that repeat an id share its component.
-Empty tables give empty results. Extra columns pass through `near_dedup` and never reach `near_components`."""
+one shingle. A very long text is read whole, in a slice of its own. Rows with a null id are linked with nothing, have a null
+component and stay. Links follow the texts, not the ids: two rows of one id and different texts lie in the components of their texts. A
+document is an id with a text; rows that repeat both are one document. Of a component the smallest id is kept; `near_dedup` keeps
+one document there, of several texts of that id the one with the smallest hash. Empty tables give empty results. Extra columns,
+whatever their names, pass through `near_dedup` and never reach `near_components`.
+
+Misses: without `exact`, a link between sets cut at `k` (or at 1,024) values is missed when its sketches share fewer values than six
+standard deviations below what is expected, about 4e-8 for a pair exactly at the threshold and less for others. With `exact` all
+sets are whole in every step and no link is missed.
+
+Work: pairs are formed only between sizes and places that allow the overlap. Of one list's nodes that are no links of each other but
+could be by size and place (families just below the threshold) all pairs are checked; their number grows with the square of such a
+family. Joins on values meet written aggregates, so that adaptive execution splits a hot value."""
 
 from __future__ import annotations
 
@@ -35,6 +46,8 @@ from caselens.operators.graph import connected_components
 
 K = 64
 WIDE = 1024
+#: No sketch is cut at this size.
+WHOLE = 1 << 30
 #: Standard deviations between the expected and the demanded overlap of sketches that are cut.
 ROOM = 6
 
@@ -114,8 +127,8 @@ def _verifier(n: int, lower: bool, percent: int):
 class _Links:
     """The linking of one table."""
 
-    def __init__(self, docs: DataFrame, n: int, percent: int, lower: bool, k: int, id_col: str, text_col: str):
-        self.n, self.percent, self.lower, self.k = n, percent, lower, k
+    def __init__(self, docs: DataFrame, n: int, percent: int, lower: bool, k: int, id_col: str, text_col: str, exact: bool = False):
+        self.n, self.percent, self.lower, self.k, self.wide_k, self.exact = n, percent, lower, k, WHOLE if exact else WIDE, exact
         self.scratch = Scratch(docs.sparkSession, "near")
         self.docs = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text"), F.xxhash64(whole(F.col(text_col))).alias("th"))
         kind = self.docs.schema["doc_id"].dataType.simpleString()
@@ -131,11 +144,11 @@ class _Links:
         share = self.percent / (100 + self.percent)
         return F.when(F.greatest(one, two) <= k, share * (one + two) - 1e-6).otherwise(k * share * (1 + F.least(one, two) / F.greatest(one, two)) - self.room(k))
 
-    def rarest(self, sketches: DataFrame, k: int) -> DataFrame:
+    def rarest(self, sketches: DataFrame, k: int, name: str) -> DataFrame:
         """v, node, n, left: the rarest values of each sketch that others have too; left: how many of its values come no earlier.
         sketches: node, n, sketch (at most k values)."""
         values = sketches.select("node", F.explode("sketch").alias("v"))
-        often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        often = self.scratch.write(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), f"often-{name}")
         shared = values.join(often, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("own")).join(sketches.select("node", "n"), "node")
         # A set of n may have to share no more than percent of n, with the smallest partner; where that can be cut, less.
         least = F.ceil(F.col("n") * self.percent / 100)
@@ -145,9 +158,10 @@ class _Links:
         posts = shared.withColumn("take", take).where("take > 0").select("node", "n", F.size("own").alias("m"), F.posexplode(F.slice("own", 1, F.col("take"))).alias("at", "p"))
         return posts.select(F.col("p.v").alias("v"), "node", "n", (F.col("m") - F.col("at")).alias("left"))
 
-    def crowded(self, posts: DataFrame, k: int) -> DataFrame:
+    def crowded(self, posts: DataFrame, k: int, name: str) -> DataFrame:
         """posts without those that can reach no size that occurs in their list, and without lists of one."""
         sizes = posts.groupBy("v").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("m")).where("m > 1").select("v", "low", "high")
+        sizes = self.scratch.write(sizes, f"sizes-{name}")
         share = self.percent / 100
         small, large = F.greatest(F.col("low").cast("double"), F.col("n") * share), F.least(F.col("high").cast("double"), F.col("n") / share)
         reach = F.least(self.needed(k, F.col("n"), small), self.needed(k, F.col("n"), large)) <= F.col("left")
@@ -159,19 +173,22 @@ class _Links:
         one = F.min_by(F.struct("doc_id", "th", "sketch"), F.struct("doc_id", "th")).alias("one")
         nodes = usable.groupBy("digest", "n").agg(one).select(F.monotonically_increasing_id().alias("node"), "digest", "n", "one.*")
         self.nodes = self.scratch.write(nodes, "nodes")
-        first = self.scratch.write(self.rarest(self.nodes.select("node", "n", "sketch"), self.k), "first-posts")
-        wanted = self.crowded(first, self.k).select("node").distinct().join(self.nodes.select("node", "doc_id", "th"), "node")
+        if self.exact:
+            wanted = self.nodes.select("node", "doc_id", "th")
+        else:
+            first = self.scratch.write(self.rarest(self.nodes.select("node", "n", "sketch"), self.k, "first"), "first-posts")
+            wanted = self.crowded(first, self.k, "first").select("node").distinct().join(self.nodes.select("node", "doc_id", "th"), "node")
         texts = self.docs.where("doc_id is not null").join(wanted, ["doc_id", "th"]).groupBy("node").agg(F.first("text").alias("text"))
         self.texts = self.scratch.write(texts, "texts")
-        self.scratch.drop("first-posts")
+        self.scratch.drop("first-posts", "often-first", "sizes-first")
         self.scratch.release()
-        wide = self.texts.mapInArrow(_wide_sketcher(self.n, self.lower, WIDE), "node long, sketch array<bigint>")
+        wide = self.texts.mapInArrow(_wide_sketcher(self.n, self.lower, self.wide_k), "node long, sketch array<bigint>")
         self.wide = self.scratch.write(wide.join(self.nodes.select("node", "n"), "node").select("node", "n", "sketch"), "wide")
-        posts = self.scratch.write(self.rarest(self.wide, WIDE), "second-posts")
-        posts = self.scratch.write(self.crowded(posts, WIDE), "third-posts")
+        posts = self.scratch.write(self.rarest(self.wide, self.wide_k, "second"), "second-posts")
+        posts = self.scratch.write(self.crowded(posts, self.wide_k, "second"), "third-posts")
         size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent)).cast("int")
-        self.posts = self.scratch.write(self.crowded(posts, WIDE).withColumn("c", size_class), "posts")
-        self.scratch.drop("second-posts", "third-posts")
+        self.posts = self.scratch.write(self.crowded(posts, self.wide_k, "third").withColumn("c", size_class), "posts")
+        self.scratch.drop("second-posts", "third-posts", "often-second", "sizes-second", "sizes-third")
         self.scratch.release()
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -180,12 +197,12 @@ class _Links:
         side = lambda x: self.wide.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         # The smallest of the union; sketches that hold their whole sets give the similarity itself, others get six standard errors.
-        union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, WIDE)
+        union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, self.wide_k)
         both = both.withColumn("union", union)
         inside = F.size(F.array_intersect(F.array_intersect("union", "s_a"), F.col("s_b")))
-        exact = F.size("s_a") + F.size("s_b") <= WIDE
+        exact = F.size("s_a") + F.size("s_b") <= self.wide_k
         share = self.percent / 100
-        fits = (100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")) & (inside >= F.when(exact, share - 1e-9).otherwise(share - self.room(WIDE) / WIDE) * F.size("union"))
+        fits = (100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")) & (inside >= F.when(exact, share - 1e-9).otherwise(share - self.room(self.wide_k) / self.wide_k) * F.size("union"))
         likely = self.scratch.write(both.where(fits).select("a", "b"), f"{name}-likely")
         texts = likely.join(self.texts.withColumnRenamed("node", "a").withColumnRenamed("text", "ta"), "a")
         texts = texts.join(self.texts.withColumnRenamed("node", "b").withColumnRenamed("text", "tb"), "b").select("a", "b", "ta", "tb")
@@ -205,6 +222,7 @@ class _Links:
         chance = F.xxhash64(F.lit(seed), "node")
         head = lambda *first: F.min(F.struct(*first, F.col("node"), F.col("label"), F.col("n")))
         heads = posts.groupBy("v", "c").agg(head((F.col("n") - F.col("left")).alias("o"), chance.alias("p")).alias("head"), head(F.lit(0).cast("long").alias("o"), chance.alias("p")).alias("other"))
+        heads = self.scratch.write(heads, f"heads-{seed}")
         # Sizes of linked sets are at most one class apart, so a list's leaders of both classes are tried.
         near = posts.select("v", "node", "n", "label", F.explode(F.array(F.col("c"), F.col("c") - 1)).alias("c"))
         met = near.join(heads, ["v", "c"])
@@ -216,10 +234,11 @@ class _Links:
         """Pairs of one list and different components: nodes outside the list's largest component against all others."""
         sizes = posts.groupBy("v", "label").agg(F.count(F.lit(1)).alias("m"))
         largest = sizes.groupBy("v").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("v", F.col("top.label").alias("top"))
+        largest = self.scratch.write(largest, "largest")
         open_ = self.scratch.write(posts.join(largest, "v"), "open-posts")
         strays = open_.where("label <> top").select("v", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("left").alias("left_a"))
         fits = (F.col("la") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("a") < F.col("node")))
-        fits &= (100 * F.least("n", "na") >= self.percent * F.greatest("n", "na")) & (F.least("left", "left_a") >= self.needed(WIDE, F.col("n"), F.col("na")))
+        fits &= (100 * F.least("n", "na") >= self.percent * F.greatest("n", "na")) & (F.least("left", "left_a") >= self.needed(self.wide_k, F.col("n"), F.col("na")))
         return strays.join(open_, "v").where(fits).select("a", F.col("node").alias("b"))
 
     def components(self) -> DataFrame:
@@ -232,27 +251,39 @@ class _Links:
             found = self.verified(pairs, f"edges-{i}")
             edges = found if edges is None else edges.unionByName(found)
             labels = connected_components(edges, self.scratch, f"labels-{i}")
+            self.scratch.drop(f"heads-{i}")
             self.scratch.release()
-        self.scratch.drop("posts", "open-posts", "texts", "wide")
+        self.scratch.drop("posts", "open-posts", "largest", "texts", "wide")
         return labels
 
 
-def near_components(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest id of the component), kept (the row of that id)."""
-    links = _Links(docs, n, percent, lower, k, id_col, text_col)
+def _judged(links: _Links) -> DataFrame:
+    """One row per row of docs: doc_id, th, n, component (id), first (hash of the text that stands for that id there)."""
     labels = links.components()
-    named = links.nodes.select("node", F.col("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    digests = links.nodes.select("node", "digest", "n")
-    of_set = links.scratch.write(named.join(smallest, "label").select("node", "component_id").join(digests, "node").select("digest", "n", "component_id"), "of-set")
-    sets = links.sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
-    out = sets.join(of_set, ["digest", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that are not the smallest id of their component, with all columns as they were."""
-    judged = near_components(docs, n, percent, lower, k, id_col, text_col)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    named = links.nodes.select("node", "digest", "n", F.struct("doc_id", "th").alias("least")).join(labels, "node", "left")
+    named = links.scratch.write(named.withColumn("label", F.coalesce("label", "node")), "named")
+    smallest = links.scratch.write(named.groupBy("label").agg(F.min("least").alias("least")), "smallest")
+    of_set = links.scratch.write(named.drop("least").join(smallest, "label").select("digest", "n", "least"), "of-set")
+    links.scratch.drop("named", "smallest")
+    sets = links.sets.select("doc_id", "th", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+    least = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", F.struct("doc_id", "th")))
+    out = sets.join(of_set, ["digest", "n"], "left").withColumn("least", least)
+    return out.select("doc_id", "th", "n", F.col("least.doc_id").alias("component"), F.col("least.th").alias("first"))
+
+
+def near_components(
+    docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True, k: int = K, id_col: str = "doc_id", text_col: str = "text", exact: bool = False
+) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest id of the component), kept (the row of that id)."""
+    out = _judged(_Links(docs, n, percent, lower, k, id_col, text_col, exact))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def near_dedup(
+    docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True, k: int = K, id_col: str = "doc_id", text_col: str = "text", exact: bool = False
+) -> DataFrame:
+    """docs with one document of each component, with all columns as they were; rows with a null id or the empty set stay."""
+    judged = _judged(_Links(docs, n, percent, lower, k, id_col, text_col, exact))
+    gone = judged.where("doc_id <> component or th <> first").select("doc_id", "th").distinct()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole(F.col(text_col))).alias("th"), F.struct("*").alias("row"))
+    return rows.join(gone, ["doc_id", "th"], "left_anti").select("row.*")
