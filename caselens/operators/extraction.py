@@ -13,8 +13,9 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from caselens.functions.evidence import EvidenceError, ground, merge, shift, views
+from caselens.functions.evidence import EvidenceError, align_events, ground, merge, shift, views
 from caselens.functions.text import segments
 
 RESULT = "content_sha256 string, events string, views map<string,string>, counts map<string,long>, attempts int, error_code string, error_type string"
@@ -25,7 +26,21 @@ class Extractor(Protocol):
 
     identity: dict
 
-    def propose(self, text: str) -> list[dict]: ...
+    def propose(self, text: str, limits: dict | None = None) -> list[dict]: ...
+
+
+class LeadingWords:
+    """Deterministic stand-in for a model: one event from the first words of a text. Texts of one or two words are refused."""
+
+    identity = {"kind": "leading-words"}
+
+    def propose(self, text: str, limits: dict | None = None) -> list[dict]:
+        words = text.split()
+        if 0 < len(words) < 3:
+            raise UpstreamError(429)
+        quote = lambda *texts: [{"text": t} for t in texts]
+        event = {"normalized_event_type": "lead", "polarity": "occurred", "trigger": {"text": words[0]}, "behaviors": quote(words[1]), "requests": quote(f"{words[0]}\0"), "search_terms": words[:2]} if words else None
+        return [event] if event else []
 
 
 class UpstreamError(RuntimeError):
@@ -38,51 +53,92 @@ class UpstreamError(RuntimeError):
 
 @dataclass(frozen=True)
 class Contract:
-    """What a result depends on besides the text."""
+    """What a result depends on besides the text, and how often a text is tried, on which it does not depend."""
 
-    identity: str
+    model: str
+    model_artifact_fingerprint: str | None = None
+    schema_version: str = "events-v1"
+    prompt_version: str = "prompt-v1"
+    temperature: float = 0.0
+    seed: int = 42
+    max_tokens: int = 4096
     segment_chars: int = 8000
+    thinking: bool = False
+    truncation_recovery: str = "compact-v1"
     max_attempts: int = 2
-    seed: int = 42
+
+    def terms(self) -> dict:
+        """The ten fields that a resumed run and a cached result must agree in."""
+        return {k: v for k, v in asdict(self).items() if k != "max_attempts"}
 
     def key(self) -> str:
-        return digest(asdict(self))
+        return digest(self.terms())
 
     def cache_key(self, content_sha256: str) -> str:
         return hashlib.sha256(f"{self.key()}\0{content_sha256}".encode()).hexdigest()
 
 
+def canonical(value) -> str:
+    """JSON with sorted keys and no spaces: equal values are equal texts."""
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+
+
 def digest(value) -> str:
     """sha-256 of canonical JSON."""
-    return hashlib.sha256(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()).hexdigest()
+    return hashlib.sha256(canonical(value).encode()).hexdigest()
 
 
-def error_code(error: Exception) -> str:
-    if isinstance(error, EvidenceError):
-        return error.code
-    if isinstance(error, UpstreamError):
-        return "UPSTREAM_RATE_LIMITED" if error.status == 429 else "UPSTREAM_HTTP_ERROR" if error.status else "UNEXPECTED_ERROR"
-    if isinstance(error, TimeoutError):
-        return "UPSTREAM_TIMEOUT"
-    return "UPSTREAM_CONNECTION_ERROR" if isinstance(error, ConnectionError) else "UNEXPECTED_ERROR"
+# What the answer of a second attempt at a text is held to, when the first was cut off.
+COMPACT = {"quote_chars": 48, "items": 2, "search_terms": 4}
+#: Statuses below 500 that pass by themselves.
+PASSING = (408, 409, 429)
 
 
-def retryable(error: Exception) -> bool:
-    if isinstance(error, (EvidenceError, ValueError, TypeError)):
-        return False
-    status = getattr(error, "status", None)
-    return status is None or status in (408, 409, 429) or status >= 500
+class Truncated(RuntimeError):
+    """The model's answer was cut off."""
+
 
+def outcome(error: Exception) -> tuple[str, bool]:
+    """(code of a failure, whether another attempt may end better): the first row of the table that fits."""
+    status = getattr(error, "status", None) or 0
+    table = [
+        (isinstance(error, EvidenceError), getattr(error, "code", ""), False),
+        (isinstance(error, (ValueError, TypeError)), "UNEXPECTED_ERROR", False),
+        (status == 429, "UPSTREAM_RATE_LIMITED", True),
+        (status > 0, "UPSTREAM_HTTP_ERROR", status in PASSING or status >= 500),
+        (isinstance(error, TimeoutError) or "timeout" in type(error).__name__.lower(), "UPSTREAM_TIMEOUT", True),
+        (isinstance(error, ConnectionError), "UPSTREAM_CONNECTION_ERROR", True),
+        (True, "UNEXPECTED_ERROR", True),
+    ]
+    return next((code, again) for fits, code, again in table if fits)
 
-def backoff(attempt: int, chance: random.Random) -> float:
-    return 2 ** (attempt - 1) * chance.uniform(0.75, 1.25)
+
+def waits(attempts: int, seed: str) -> Iterator[float]:
+    """Seconds before each attempt: none before the first, then doubling from one, each a quarter more or less."""
+    chance = random.Random(seed)
+    yield from (2.0**n * chance.uniform(0.75, 1.25) if n >= 0 else 0.0 for n in range(-1, attempts - 1))
+
+
+def user_message(text: str) -> str:
+    """What a model is told of a case: its text and nothing else."""
+    return json.dumps({"case_content": text}, ensure_ascii=False)
+
+
+def proposed(model: Extractor, text: str) -> tuple[list[dict], int]:
+    """(events, recoveries): an answer that was cut off is asked for once more in the compact form."""
+    try:
+        return model.propose(text), 0
+    except Truncated:
+        return model.propose(text, COMPACT), 1
 
 
 def extract_document(model: Extractor, text: str, segment_chars: int) -> tuple[list[dict], dict[str, int]]:
     """Segments are proposed and grounded alone, then shifted to their places and merged."""
     parts, total = [], {}
     for offset, part in segments(text, segment_chars):
-        events, counts = ground(model.propose(part), part)
+        answer, recovered = proposed(model, part)
+        events, counts = ground(answer, part)
+        counts["truncation_recoveries"] = recovered
         parts.append(shift(events, offset))
         total = {k: total.get(k, 0) + v for k, v in counts.items()}
     return merge(parts), total
@@ -90,15 +146,19 @@ def extract_document(model: Extractor, text: str, segment_chars: int) -> tuple[l
 
 def with_attempts(call: Callable, most: int, seed: str, sleep: Callable[[float], None] = time.sleep):
     """(result, None, attempts) or (None, error, attempts)."""
-    chance = random.Random(seed)
-    for attempt in range(1, most + 1):
+    if most < 1:
+        raise ValueError("at least one attempt is needed")
+    failure = None
+    for attempt, wait in enumerate(waits(most, seed), 1):
+        if wait:
+            sleep(wait)
         try:
             return call(), None, attempt
         except Exception as e:  # noqa: BLE001  a failed document goes to quarantine
-            if attempt == most or not retryable(e):
-                return None, e, attempt
-            sleep(backoff(attempt, chance))
-    raise ValueError("at least one attempt is needed")
+            failure = e
+        if not outcome(failure)[1]:
+            break
+    return None, failure, attempt
 
 
 def _worker(load: Callable[[], Extractor], contract: Contract, sleep):
@@ -112,9 +172,9 @@ def _worker(load: Callable[[], Extractor], contract: Contract, sleep):
                 done, error, attempts = with_attempts(lambda text=text: extract_document(model, text, contract.segment_chars), contract.max_attempts, sha, sleep)
                 if error is None:
                     events, counts = done
-                    rows.append((sha, json.dumps(events, ensure_ascii=False), views(events), counts, attempts, None, None))
+                    rows.append((sha, canonical(events), views(events), counts, attempts, None, None))
                 else:
-                    rows.append((sha, None, None, getattr(error, "counts", {}), attempts, error_code(error), type(error).__name__))
+                    rows.append((sha, None, None, getattr(error, "counts", {}), attempts, outcome(error)[0], type(error).__name__))
             yield pd.DataFrame(rows, columns=["content_sha256", "events", "views", "counts", "attempts", "error_code", "error_type"])
 
     return run
@@ -131,6 +191,7 @@ def run_extraction(records: DataFrame, load: Callable[[], Extractor], contract:
     texts = todo.groupBy("content_sha256").agg(F.first("case_content").alias("case_content")).withColumn("cache_key", key)
     results = None
     if cache is not None:
+        cache = checked_cache(cache, texts)
         results = texts.join(cache, "cache_key").select("content_sha256", "events", "views", "counts", F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_type"))
         texts = texts.join(cache.select("cache_key"), "cache_key", "left_anti")
     called = texts.repartition(partitions).mapInPandas(_worker(load, contract, sleep), RESULT)
@@ -148,7 +209,26 @@ def quarantined(results: DataFrame) -> DataFrame:
 
 
 def cache_rows(results: DataFrame) -> DataFrame:
-    return results.where("error_code is null").select("cache_key", "events", "views", "counts").dropDuplicates(["cache_key"])
+    return results.where("error_code is null").select("cache_key", "content_sha256", "events", "views", "counts").dropDuplicates(["cache_key"])
+
+
+@F.udf(BooleanType(), useArrow=True)
+def _stands(events, text):
+    """Whether every span of a result stands in the text where it says, without any repair."""
+    try:
+        return events is not None and align_events(json.loads(events), text)[1] == 0
+    except (ValueError, KeyError, TypeError):
+        return False
+
+
+def checked_cache(cache: DataFrame, texts: DataFrame) -> DataFrame:
+    """The cached results for texts (cache_key, content_sha256, case_content); an error for one that was made of another text, or whose
+    spans are not where they were."""
+    both = cache.withColumnRenamed("content_sha256", "made_of").join(texts.select("cache_key", "content_sha256", "case_content"), "cache_key")
+    wrong = F.when(F.col("made_of") != F.col("content_sha256"), F.raise_error(F.lit("a cached result is of another text"))).when(
+        ~F.coalesce(_stands("events", "case_content"), F.lit(False)), F.raise_error(F.lit("a cached result does not fit its text"))
+    )
+    return both.where(F.coalesce(wrong.cast("boolean"), F.lit(True))).select("cache_key", "events", "views", "counts")
 
 
 EVENTS = "array<struct<normalized_event_type:string,polarity:string>>"

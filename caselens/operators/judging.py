@@ -39,7 +39,8 @@ class OverlapReranker:
 
 
 def rerank(candidates: DataFrame, load) -> DataFrame:
-    """candidates: query_id, query, docid, content, rank. The whole pool by (-score, docid); the old rank stays as retrieval_rank."""
+    """candidates: query_id, query, docid, content, rank. The whole pool by (-score, source_id), or docid where candidates have no
+    source_id; the old rank stays as retrieval_rank."""
     require_unique(candidates, "query_id", "docid")
 
     def run(queries: pd.Series, contents: pd.Series, model: Reranker) -> list[float]:
@@ -57,24 +58,27 @@ def rerank(candidates: DataFrame, load) -> DataFrame:
             yield run(queries, contents, model)
 
     scored = candidates.withColumnRenamed("rank", "retrieval_rank").withColumn("rerank_score", F.pandas_udf(scorer, "double")("query", "content"))
-    ordered = F.struct((-F.col("rerank_score")).alias("s"), "docid")
-    return top(scored, 1 << 30, ordered)
+    return top(scored, 1 << 30, F.desc("rerank_score"), "source_id" if "source_id" in candidates.columns else "docid")
+
+
+def policy_problems(policy: dict, mode: str, context: dict, top_k: int) -> list[str]:
+    """Everything that keeps a policy from being applied to a search, empty for a policy made for it."""
+    reach, setting = policy.get("max_top_k"), (policy.get("modes") or {}).get(mode) or {}
+    number = lambda x, *kinds: isinstance(x, kinds) and not isinstance(x, bool) and math.isfinite(x)
+    sound = {
+        f"it is no {POLICY_VERSION}": policy.get("version") == POLICY_VERSION,
+        f"it was not calibrated for {top_k} results": number(reach, int) and 1 <= top_k <= reach,
+        f"{mode} was calibrated in another context": setting.get("context") == context,
+        f"{mode} has no finite threshold": number(setting.get("threshold"), int, float),
+    }
+    return [why for why, holds in sound.items() if not holds]
 
 
 def policy_threshold(policy: dict, mode: str, context: dict, top_k: int) -> float:
-    """The threshold of a policy, or an error when it was made for something else."""
-    if policy.get("version") != POLICY_VERSION:
-        raise ValueError("relevance policy of another version")
-    most = policy.get("max_top_k")
-    if type(most) is not int or not 0 < top_k <= most:
-        raise ValueError("top_k is beyond what the policy was calibrated for")
-    setting = policy.get("modes", {}).get(mode) or {}
-    if setting.get("context") != context:
-        raise ValueError("the policy was calibrated in another context")
-    threshold = setting.get("threshold")
-    if isinstance(threshold, bool) or not isinstance(threshold, (int, float)) or not math.isfinite(threshold):
-        raise ValueError("the policy has no finite threshold")
-    return float(threshold)
+    """The threshold of a policy, or an error that names all that is wrong with it."""
+    if problems := policy_problems(policy, mode, context, top_k):
+        raise ValueError(f"relevance policy: {'; '.join(problems)}")
+    return float(policy["modes"][mode]["threshold"])
 
 
 def make_policy(thresholds: DataFrame, contexts: dict[str, dict], max_top_k: int, target_precision: float) -> dict:
@@ -86,7 +90,7 @@ def make_policy(thresholds: DataFrame, contexts: dict[str, dict], max_top_k: int
 def select_results(reranked: DataFrame, queries: DataFrame, top_k: int, threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(at most top_k accepted results with new ranks; query_id, accepted, rejected, result_status). Rejected places are not refilled."""
     fine = F.lit(True) if threshold is None else F.col("rerank_score") >= threshold
-    kept = top(reranked.where(fine).drop("rank"), top_k, F.desc("rerank_score"), "docid")
+    kept = top(reranked.where(fine).drop("rank"), top_k, F.desc("rerank_score"), "source_id" if "source_id" in reranked.columns else "docid")
     counts = reranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(fine).alias("accepted"))
     rows = queries.select("query_id").distinct().join(counts, "query_id", "left").fillna(0)
     status = F.when(F.col("candidates") == 0, "no_candidates").when(F.col("accepted") == 0, "below_relevance_threshold").when(F.col("accepted") < top_k, "fewer_than_requested").otherwise("results_available")

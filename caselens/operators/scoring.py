@@ -14,14 +14,14 @@ ADJUDICATION = "source_id string, prediction_hash string, matches array<struct<e
 PREDICTION = "source_id string, source_row long, content_sha256 string, prediction_hash string, case_status string, events array<struct<polarity:string,evidence:array<string>>>"
 
 
-def _must_be_empty(bad: DataFrame, why: str) -> None:
+def must_be_empty(bad: DataFrame, why: str) -> None:
     if not bad.isEmpty():
         raise ValueError(why)
 
 
 def same_keys(one: DataFrame, two: DataFrame, key: str = "source_id") -> None:
     a, b = one.select(key), two.select(key)
-    _must_be_empty(a.exceptAll(b).unionByName(b.exceptAll(a)), f"{key} sets differ")
+    must_be_empty(a.exceptAll(b).unionByName(b.exceptAll(a)), f"{key} sets differ")
 
 
 def validate_gold(gold: DataFrame, sources: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def validate_gold(gold: DataFrame, sources: DataFrame) -> DataFrame:
     named = gold.select("source_id", F.explode("issues").alias("i")).select("source_id", "i.*")
     require_unique(named, "source_id", "scope", "issue_id")
     quoted = named.join(sources, "source_id", "left")
-    _must_be_empty(quoted.where(~F.coalesce(F.forall("evidence_quotes", lambda q: F.contains("case_content", q)), F.lit(False))), "a quote of the gold is not in its source")
+    must_be_empty(quoted.where(~F.coalesce(F.forall("evidence_quotes", lambda q: F.contains("case_content", q)), F.lit(False))), "a quote of the gold is not in its source")
     return gold
 
 
@@ -42,13 +42,13 @@ def validate_adjudication(gold: DataFrame, predictions: DataFrame, adjudication:
         same_keys(gold, frame)
     p = predictions.select("source_id", F.col("source_row").alias("pr"), F.col("content_sha256").alias("pc"), F.col("prediction_hash").alias("ph"), F.size("events").alias("n"))
     rows = gold.join(p, "source_id").join(adjudication, "source_id")
-    _must_be_empty(rows.where(~F.col("source_row").eqNullSafe(F.col("pr")) | ~F.col("content_sha256").eqNullSafe(F.col("pc")) | ~F.col("prediction_hash").eqNullSafe(F.col("ph"))), "a prediction is not the one that was judged")
+    must_be_empty(rows.where(~F.col("source_row").eqNullSafe(F.col("pr")) | ~F.col("content_sha256").eqNullSafe(F.col("pc")) | ~F.col("prediction_hash").eqNullSafe(F.col("ph"))), "a prediction is not the one that was judged")
     used = F.array_sort(F.concat(F.transform("matches", lambda m: m.event_index), "spurious"))
     every = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
     names = F.transform("matches", lambda m: F.struct(m.gold_scope, m.gold_issue_id))
-    _must_be_empty(rows.where((used != every) | (F.size(F.array_distinct(names)) < F.size("matches"))), "an event or an issue is not judged exactly once")
+    must_be_empty(rows.where((used != every) | (F.size(F.array_distinct(names)) < F.size("matches"))), "an event or an issue is not judged exactly once")
     known = rows.select("source_id", F.explode("matches").alias("m")).select("source_id", F.col("m.gold_scope").alias("scope"), F.col("m.gold_issue_id").alias("issue_id"))
-    _must_be_empty(known.join(gold.select("source_id", F.explode("issues").alias("i")).select("source_id", "i.scope", "i.issue_id"), ["source_id", "scope", "issue_id"], "left_anti"), "a match names an unknown issue")
+    must_be_empty(known.join(gold.select("source_id", F.explode("issues").alias("i")).select("source_id", "i.scope", "i.issue_id"), ["source_id", "scope", "issue_id"], "left_anti"), "a match names an unknown issue")
 
 
 def matched_issues(gold: DataFrame, predictions: DataFrame, adjudication: DataFrame) -> DataFrame:
