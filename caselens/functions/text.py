@@ -172,10 +172,11 @@ def period(c: Column, dev_start: str, test_start: str) -> Column:
 
 
 def iso_time(c: Column) -> Column:
-    """ISO date or date-time, null where it is none."""
-    shapes = [(r"\A\d{4}-\d{2}-\d{2}\z", "yyyy-MM-dd"), (r"\A\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}\z", "yyyy-MM-dd HH:mm"), (r"\A\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}\z", "yyyy-MM-dd HH:mm:ss"), (r"\A\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}\.\d{6}\z", "yyyy-MM-dd HH:mm:ss.SSSSSS")]
-    spaced = F.regexp_replace(c, "T", " ")
-    return F.coalesce(*[F.when(c.rlike(shape), F.try_to_timestamp(spaced, F.lit(form))) for shape, form in shapes])
+    """ISO date or date-time, basic or extended, null where it is none. The wall clock counts: an offset is read and left out."""
+    shape = r"\A(\d{4})(-?)(\d{2})\2(\d{2})(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?)?\z"
+    part = lambda i, width: F.rpad(F.regexp_extract(c, shape, i), width, "0")
+    plain = F.concat(part(1, 4), F.lit("-"), part(3, 2), F.lit("-"), part(4, 2), F.lit(" "), part(5, 2), F.lit(":"), part(6, 2), F.lit(":"), part(7, 2), F.lit("."), part(8, 6))
+    return F.when(c.rlike(shape), F.try_to_timestamp(plain, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")))
 
 
 def unit_vector(v: Column, dimension: int) -> Column:

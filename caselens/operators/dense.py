@@ -125,6 +125,16 @@ def inner_product_topk(queries: DataFrame, vectors: DataFrame, k: int, allowed:
     return _topk(_inner_products, queries, vectors, k, allowed, block)
 
 
+def pooled_topk(queries: DataFrame, vectors: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+    """As inner_product_topk within a pool of its own for each query. pool: query_id, docid; every pair of it is scored."""
+    qid, did = queries.columns[0], vectors.columns[0]
+    asked = queries.select(F.col(qid).alias("query_id"), F.col(queries.columns[1]).alias("q"))
+    held = vectors.select(F.col(did).alias("docid"), F.col(vectors.columns[1]).alias("v"))
+    pairs = pool.select("query_id", "docid").distinct().join(asked, "query_id").join(held, "docid")
+    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+    return top(pairs.select("query_id", "docid", product.alias("score")), k, F.desc(F.round("score", 9)), "docid")
+
+
 def l1_topk(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None, block: int = 4096) -> DataFrame:
     """As inner_product_topk, by the smallest L1 distance; score is the negative distance."""
     return _topk(_l1_nearness, queries, vectors, k, allowed, block)

@@ -67,8 +67,10 @@ def top(scored: DataFrame, k: int, *order: Column | str, by: str = "query_id") -
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, index: Index, k: int = 50, max_terms: int = 32, allowed: DataFrame | None = None, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
-    """query_id, docid, score (more negative is better), rank. allowed (query_id, docid) filters before the cut, not after it."""
+def bm25(queries: DataFrame, index: Index, k: int = 50, max_terms: int = 32, allowed: DataFrame | None = None, id_col: str = "query_id", text_col: str = "query", sources: DataFrame | None = None) -> DataFrame:
+    """query_id, docid, score (more negative is better), rank. allowed (query_id, docid) filters before the cut, not after it. Ties are
+    broken by docid, or by source_id where sources (docid, source_id) has them; scores that agree in nine places count as equal,
+    since the order of a distributed sum is not fixed."""
     terms = query_terms(queries, index.vocabulary, max_terms, id_col, text_col)
     found = terms.join(index.postings, "term")
     if allowed is not None:
@@ -78,7 +80,9 @@ def bm25(queries: DataFrame, index: Index, k: int = 50, max_terms: int = 32, all
     idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = found.groupBy("query_id", "docid").agg((-F.sum(part)).alias("score"))
-    return top(scored, k, F.round("score", 9), "docid")
+    if sources is None:
+        return top(scored, k, F.round("score", 9), "docid")
+    return top(scored.join(sources.select("docid", "source_id"), "docid"), k, F.round("score", 9), "source_id").drop("source_id")
 
 
 def titles(citations: DataFrame) -> DataFrame:

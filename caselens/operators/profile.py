@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselens.functions.text import CONTROL, has_citizen_id, has_email, has_mobile, integer_like, path_join, power_bucket, safe_display, semantic_value, strip
+from caselens.functions.text import CONTROL, has_citizen_id, has_email, has_mobile, integer_like, iso_time, path_join, power_bucket, safe_display, semantic_value, strip
 
 #: Which field may hold what; a list is an enumeration, a text a pattern for the whole value.
 DOMAIN_RULES = {
@@ -62,9 +62,13 @@ def top_values(frame: DataFrame, column: str, k: int = 20) -> DataFrame:
 
 
 def date_profile(frame: DataFrame, column: str) -> DataFrame:
-    """One row: filled, valid, invalid, first, last. The column holds times; `raw` texts go through iso_time first."""
-    c = F.col(column)
-    return frame.agg(F.count(F.lit(1)).alias("total"), F.count(c).alias("valid"), F.min(c).alias("first"), F.max(c).alias("last"))
+    """One row: total, filled, valid, invalid, first, last. Texts count as filled unless they are null words, and as valid if they are ISO
+    times; times are valid as they are."""
+    texts = frame.schema[column].dataType.simpleString() == "string"
+    filled = semantic_value(F.col(column)) if texts else F.col(column)
+    time = iso_time(filled) if texts else filled
+    rows = frame.select(filled.alias("f"), time.alias("t"))
+    return rows.agg(F.count(F.lit(1)).alias("total"), F.count("f").alias("filled"), F.count("t").alias("valid"), F.count_if(F.col("f").isNotNull() & F.col("t").isNull()).alias("invalid"), F.min("t").alias("first"), F.max("t").alias("last"))
 
 
 def month_histogram(frame: DataFrame, column: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The search façade: lexical, dense and hybrid retrieval over a corpus, alone or within an address pool, with reranking.
 
-Each call builds one lazy plan for any number of queries. An address pool filters before candidates are cut, never after."""
+Each call builds one lazy plan. An address pool filters before candidates are cut, never after, and each query has its own."""
 
 from __future__ import annotations
 
@@ -49,14 +49,10 @@ class Searcher:
         """query_id, docid, rank, route_ranks. pool: query_id, docid."""
         routes = {}
         if retriever != "dense":
-            routes["bm25"] = lexical.bm25(queries, self.index, case_k, max_terms, pool)
+            routes["bm25"] = lexical.bm25(queries, self.index, case_k, max_terms, pool, sources=self.cases)
         if retriever != "bm25":
-            rows = queries.collect()
-            vectors = self.encoder.encode([r["query"] for r in rows]).tolist()
-            encoded = queries.sparkSession.createDataFrame([(r["query_id"], v) for r, v in zip(rows, vectors, strict=True)], "query_id long, embedding array<float>")
-            allowed = None if pool is None else pool.select("docid").distinct()
-            found = dense.inner_product_topk(encoded, self.vectors, case_k, allowed)
-            routes["dense"] = found if pool is None else found.join(pool, ["query_id", "docid"], "left_semi")
+            encoded = dense.encode_frame(queries.select("query_id", "query"), self.encoder, "query").select("query_id", "embedding")
+            routes["dense"] = dense.inner_product_topk(encoded, self.vectors, case_k) if pool is None else dense.pooled_topk(encoded, self.vectors, pool, case_k)
         if len(routes) == 1:
             name, hits = next(iter(routes.items()))
             return hits.select("query_id", "docid", "rank", F.create_map(F.lit(name), F.col("rank")).alias("route_ranks"))
@@ -77,7 +73,8 @@ class Searcher:
             hits = spark.createDataFrame([], "query_id long, docid long, rank int, route_ranks map<string,int>")
         else:
             hits = self.candidates(asked, retriever, case_k, max_terms, None if pool is None else pool.select("query_id", "docid"))
-        rows = require_unique(hits, "query_id", "docid").join(cases, "docid").crossJoin(F.broadcast(asked.select("query")))
+        rows = require_unique(hits, "query_id", "docid").join(cases, "docid", "left").crossJoin(F.broadcast(asked.select("query")))
+        rows = rows.withColumn("source_id", F.coalesce("source_id", F.raise_error(F.lit("a candidate is not among the cases"))))
         score = F.lit(None).cast("double")
         if reranker is not None:
             rows = judging.select_results(judging.rerank(rows, reranker), asked, top_k, threshold)[0]
@@ -92,5 +89,5 @@ class Searcher:
     def collect_runs(self, queries: DataFrame, retriever: str, reranker, case_k: int = 50) -> tuple[DataFrame, DataFrame]:
         """(baseline, reranked) candidates of problem queries in one plan: query_id, docid, rank and the scores of the second."""
         hits = self.candidates(queries.select("query_id", "query"), retriever, case_k, 32, None)
-        rows = hits.join(self.cases.select("docid", "content"), "docid").join(queries.select("query_id", "query"), "query_id")
+        rows = hits.join(self.cases.select("docid", "source_id", "content"), "docid").join(queries.select("query_id", "query"), "query_id")
         return rows.select("query_id", "docid", "rank"), judging.rerank(rows, reranker)

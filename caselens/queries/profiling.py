@@ -195,7 +195,7 @@ SQL = {
     "column_profile_customer": _columns("customer", ["c_name", "c_mktsegment", "c_nationkey"]),
     "length_quantiles": "SELECT role, count(*) AS n, quantile_disc(length(text), 0.5) AS p50, quantile_disc(length(text), 0.95) AS p95, quantile_disc(length(text), 0.99) AS p99 FROM conversations GROUP BY role",
     "top_values": "(SELECT c_mktsegment AS value, count(*) AS count FROM customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3) UNION ALL (SELECT source, count(*) FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)",
-    "date_profile": "SELECT count(*) AS total, count(o_orderdate) AS valid, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders",
+    "date_profile": "SELECT count(*) AS total, count(o_orderdate) AS filled, count(o_orderdate) AS valid, 0::BIGINT AS invalid, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders",
     "month_histogram": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS count FROM orders GROUP BY 1",
     "duration_hist": "WITH s AS (SELECT epoch(l_shipdate)::BIGINT - epoch(o_orderdate)::BIGINT AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey) SELECT CASE WHEN s < 0 THEN -1 WHEN s = 0 THEN 0 ELSE pow(2, floor(log2(s)))::BIGINT END AS bucket, count(*) AS count FROM s GROUP BY 1",
     "group_variation": VARIED,

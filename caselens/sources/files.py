@@ -12,7 +12,7 @@ import tempfile
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -35,6 +35,20 @@ def header(spark: SparkSession, path: str, sep: str = "\t") -> list[str]:
     return names
 
 
+def numbered(read: DataFrame) -> DataFrame:
+    """A frame as a file reader gives it, with source_row: the place of each row in its file, from 1.
+
+    A file may be read in several splits, dealt to partitions in any order. One pass counts the rows of each split, and a row's place is
+    that of its split plus its own inside; one row a split is broadcast."""
+    marks = {"__file": F.col("_metadata.file_path"), "__at": F.col("_metadata.file_block_start"), "__n": F.monotonically_increasing_id()}
+    rows = read.select("*", *[c.alias(name) for name, c in marks.items()])
+    splits = rows.groupBy("__file", "__at").agg(F.count(F.lit(1)).alias("m"), F.min("__n").alias("__first"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("__file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("__file", "__at", "__first", before.alias("__before"))
+    placed = rows.join(F.broadcast(splits), ["__file", "__at"])
+    return placed.withColumn("source_row", F.col("__before") + F.col("__n") - F.col("__first") + 1).select(*read.columns, "source_row")
+
+
 def read_tsv(spark: SparkSession, path: str, required: set[str] | None = None, strict: bool = True) -> DataFrame:
     """All columns as text, with source_row from 1. strict: a row of another width is an error; otherwise it is marked in _corrupt.
 
@@ -47,12 +61,12 @@ def read_tsv(spark: SparkSession, path: str, required: set[str] | None = None, s
     options = {"sep": "\t", "header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8", "mode": "FAILFAST" if strict else "PERMISSIVE", "enforceSchema": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     if not strict:
         options["columnNameOfCorruptRecord"] = CORRUPT
-    return spark.read.schema(schema).options(**options).csv(path).withColumn("source_row", F.monotonically_increasing_id() + 1)
+    return numbered(spark.read.schema(schema).options(**options).csv(path))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines, parted at line feeds only; blank lines count for source_row and give no record."""
-    rows = spark.read.option("lineSep", "\n").text(path).withColumn("source_row", F.monotonically_increasing_id() + 1)
+    rows = numbered(spark.read.option("lineSep", "\n").text(path))
     return rows.where(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), "source_row").select("r.*", "source_row")
 
 
@@ -67,7 +81,7 @@ def load_records(spark: SparkSession, path: str, id_col: str = "id") -> DataFram
 
 
 def _jsonl_records(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("lineSep", "\n").text(path).withColumn("place", F.monotonically_increasing_id() + 1).where(F.trim("value") != "")
+    rows = numbered(spark.read.option("lineSep", "\n").text(path)).withColumnRenamed("source_row", "place").where(F.trim("value") != "")
     parsed = rows.select(F.from_json("value", "source_id string, case_content string, source_row long", {"mode": "FAILFAST"}).alias("r"), "place")
     return parsed.select("r.source_id", "r.case_content", F.coalesce("r.source_row", "place").alias("source_row"))
 
