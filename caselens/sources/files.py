@@ -58,7 +58,7 @@ def read_tsv(spark: SparkSession, path: str, required: set[str] | None = None, s
     if missing:
         raise ValueError(f"columns are missing: {sorted(missing)}")
     schema = StructType([StructField(n, StringType()) for n in names] + ([] if strict else [StructField(CORRUPT, StringType())]))
-    options = {"sep": "\t", "header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8", "mode": "FAILFAST" if strict else "PERMISSIVE", "enforceSchema": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    options = {"sep": "\t", "header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8", "mode": "FAILFAST" if strict else "PERMISSIVE", "enforceSchema": True, **AS_IT_IS}
     if not strict:
         options["columnNameOfCorruptRecord"] = CORRUPT
     return numbered(spark.read.schema(schema).options(**options).csv(path))
@@ -95,6 +95,7 @@ def record_widths(spark: SparkSession, path: str) -> DataFrame:
 
         import pandas as pd
 
+        csv.field_size_limit((1 << 31) - 1)
         for frame in frames:
             for content in frame["content"]:
                 counts: dict[int, int] = {}
@@ -117,13 +118,17 @@ def write_jsonl(frame: DataFrame, path: str) -> None:
     frame.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
 
 
+#: White space at the ends of a value is part of it.
+AS_IT_IS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_tsv(frame: DataFrame, path: str) -> None:
-    frame.write.mode("errorifexists").options(sep="\t", header=True, quoteAll=True, escape='"').csv(path)
+    frame.write.mode("errorifexists").options(sep="\t", header=True, quoteAll=True, escape='"', **AS_IT_IS).csv(path)
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
     """One file for a bounded report table."""
-    frame.coalesce(1).write.mode("errorifexists").options(header=True, escape='"').csv(path)
+    frame.coalesce(1).write.mode("errorifexists").options(header=True, escape='"', **AS_IT_IS).csv(path)
 
 
 def to_json(value) -> str:
