@@ -169,9 +169,13 @@ QUERIES = {
     )
 }
 
+SCALAR = "('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE')"
 NULLS = "('', 'null', 'none', 'nan', 'n/a', 'na')"
 WS = r"'^\s+|\s+$'"
 VARIED = "SELECT o_custkey, count(*) AS row_count, count(DISTINCT o_orderstatus) > 1 AS status_variation, count(DISTINCT o_orderpriority) > 1 AS priority_variation, count(DISTINCT o_orderdate) > 1 AS date_variation, count(DISTINCT o_orderstatus || chr(31) || o_orderpriority) > 1 AS both_variation FROM orders GROUP BY o_custkey"
+#: Where the part of a text ends that begins at a place, in parts of 1000 signs.
+LAST_MARK = r"length(regexp_replace(substring(text, {0} + 501, 500), '[^\n。！？；;]*$', ''))"
+CUT = "CASE WHEN length(text) - {0} <= 1000 THEN length(text) WHEN " + LAST_MARK + " > 0 THEN {0} + 500 + " + LAST_MARK + " ELSE {0} + 1000 END::BIGINT"
 EMAIL = r"(^|[^A-Za-z0-9_.+-])[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)+($|[^A-Za-z0-9_.-])"
 
 
@@ -186,11 +190,24 @@ def _columns(name: str, columns: list[str]) -> str:
 SQL = {
     "eligibility_reasons": """SELECT CASE WHEN toxic = 1 THEN 'deleted_or_unknown_delete_flag' WHEN quality = 0 THEN 'marked_invalid' WHEN trim(text, E' \\t\\n\\r') = '' THEN 'empty_content' WHEN contains(text, chr(9)) THEN 'embedded_tabular_data' ELSE 'eligible' END AS reason, count(*) AS rows
         FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""",
-    "json_refs": """SELECT event_id, CASE WHEN event_id % 7 > 3 THEN '0:' || json_extract_string(props, '$.k') END AS knowledge_id, CASE WHEN event_id % 7 > 3 THEN event_type END AS label,
-        CASE event_id % 7 WHEN 0 THEN 'invalid_reference_json' WHEN 2 THEN 'invalid_reference_item' WHEN 3 THEN 'invalid_reference_list' END AS ref_error FROM events""",
-    "json_census": """SELECT unnest(CASE event_id % 5 WHEN 0 THEN ['missing'] WHEN 1 THEN ['invalid_json'] WHEN 2 THEN ['valid_json', 'root_list'] WHEN 3 THEN ['valid_json', 'root_int'] ELSE ['valid_json', 'root_dict'] END) AS kind, count(*) AS count FROM events GROUP BY 1""",
-    "json_items": """SELECT count_if(event_id % 4 IN (1, 3))::BIGINT AS missing, 0::BIGINT AS invalid_json, count_if(event_id % 4 IN (0, 2))::BIGINT AS valid_json, 0::BIGINT AS json_null, count_if(event_id % 4 = 2)::BIGINT AS non_list, count_if(event_id % 4 = 0)::BIGINT AS list_rows,
-        count_if(event_id % 4 = 0)::BIGINT AS malformed_items, 0::BIGINT AS items_missing_identity, 2 * count_if(event_id % 4 = 0)::BIGINT AS items, count_if(event_id % 4 = 0)::BIGINT AS duplicate_items_within_row, 2 * count_if(event_id % 4 = 0)::BIGINT AS items_missing_label, count_if(event_id % 4 = 0)::BIGINT AS rows_with_items FROM events""",
+    "json_refs": f"""WITH r AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN '{{broken' WHEN 1 THEN 'null' WHEN 2 THEN '[{{"type":true,"value":1,"label":"x"}}]' WHEN 3 THEN props
+                ELSE '[{{"type":0,"value":' || json_extract_string(props, '$.k') || ',"label":"' || event_type || '"}}]' END AS raw FROM events),
+        v AS (SELECT *, lower(trim(raw)) IN ('', 'null', 'none', 'nan', 'n/a') AS missing, json_valid(raw) AS fine FROM r), k AS (SELECT *, CASE WHEN fine THEN json_type(raw) END AS kind FROM v),
+        i AS (SELECT *, CASE WHEN kind = 'ARRAY' THEN json_extract(raw, '$[*]') END AS items FROM k),
+        g AS (SELECT *, list_filter(items, lambda x: NOT coalesce(json_type(x, '$.type') IN {SCALAR} AND json_type(x, '$.value') IN {SCALAR} AND json_type(x, '$.label') = 'VARCHAR' AND trim(json_extract_string(x, '$.value')) <> '' AND trim(json_extract_string(x, '$.label')) <> '', false)) AS bad FROM i),
+        e AS (SELECT *, CASE WHEN missing THEN NULL WHEN NOT fine THEN 'invalid_reference_json' WHEN kind <> 'ARRAY' THEN 'invalid_reference_list' WHEN len(bad) > 0 THEN 'invalid_reference_item' END AS ref_error FROM g),
+        f AS (SELECT *, CASE WHEN NOT missing AND ref_error IS NULL THEN list_sort(list_transform(items, lambda x: json_extract_string(x, '$.type') || ':' || json_extract_string(x, '$.value') || chr(31) || json_extract_string(x, '$.label')))[1] END AS first FROM e)
+        SELECT event_id, split_part(first, chr(31), 1) AS knowledge_id, split_part(first, chr(31), 2) AS label, ref_error FROM f""",
+    "json_census": f"""WITH r AS (SELECT CASE event_id % 5 WHEN 0 THEN 'n/a' WHEN 1 THEN '[1, 2' WHEN 2 THEN '[]' WHEN 3 THEN json_extract_string(props, '$.k') ELSE props END AS raw FROM events),
+        k AS (SELECT lower(trim(coalesce(raw, ''))) IN {NULLS} AS missing, json_valid(raw) AS fine, CASE WHEN json_valid(raw) THEN json_type(raw) END AS kind FROM r)
+        SELECT unnest(CASE WHEN missing THEN ['missing'] WHEN NOT fine THEN ['invalid_json'] ELSE ['valid_json', CASE kind WHEN 'ARRAY' THEN 'root_list' WHEN 'OBJECT' THEN 'root_dict' WHEN 'VARCHAR' THEN 'root_str' WHEN 'BOOLEAN' THEN 'root_bool' WHEN 'NULL' THEN 'root_NoneType' WHEN 'DOUBLE' THEN 'root_float' ELSE 'root_int' END] END) AS kind, count(*) AS count FROM k GROUP BY 1""",
+    "json_items": f"""WITH r AS (SELECT CASE event_id % 4 WHEN 0 THEN '[' || one || ',' || one || ',3]' WHEN 1 THEN 'null' WHEN 2 THEN '{{}}' ELSE 'NaN' END AS raw FROM (SELECT event_id, '{{"type":"' || event_type || '","value":' || json_extract_string(props, '$.k') || '}}' AS one FROM events)),
+        k AS (SELECT CASE WHEN lower(trim(raw)) NOT IN {NULLS} THEN raw END AS raw FROM r), v AS (SELECT raw, json_valid(raw) AS fine, CASE WHEN json_valid(raw) THEN json_type(raw) END AS kind FROM k), i AS (SELECT *, CASE WHEN kind = 'ARRAY' THEN json_extract(raw, '$[*]') END AS items FROM v),
+        o AS (SELECT *, list_filter(items, lambda x: json_type(x) = 'OBJECT') AS objects FROM i), n AS (SELECT *, list_filter(objects, lambda x: json_extract_string(x, '$.type') IS NOT NULL AND json_extract_string(x, '$.value') IS NOT NULL) AS named FROM o)
+        SELECT count_if(raw IS NULL)::BIGINT AS missing, count_if(NOT fine)::BIGINT AS invalid_json, count_if(fine)::BIGINT AS valid_json, count_if(kind = 'NULL')::BIGINT AS json_null, count_if(kind NOT IN ('NULL', 'ARRAY'))::BIGINT AS non_list, count_if(kind = 'ARRAY')::BIGINT AS list_rows,
+            coalesce(sum(len(items) - len(objects)), 0)::BIGINT AS malformed_items, coalesce(sum(len(objects) - len(named)), 0)::BIGINT AS items_missing_identity, coalesce(sum(len(named)), 0)::BIGINT AS items,
+            coalesce(sum(len(named) - len(list_distinct(list_transform(named, lambda x: json_extract_string(x, '$.type') || chr(31) || json_extract_string(x, '$.value'))))), 0)::BIGINT AS duplicate_items_within_row,
+            coalesce(sum(len(list_filter(named, lambda x: json_extract_string(x, '$.label') IS NULL))), 0)::BIGINT AS items_missing_label, count_if(len(named) > 0)::BIGINT AS rows_with_items FROM n""",
     "column_profile": _columns("documents", ["text", "lang", "source", "n_chars"]),
     "column_profile_customer": _columns("customer", ["c_name", "c_mktsegment", "c_nationkey"]),
     "length_quantiles": "SELECT role, count(*) AS n, quantile_disc(length(text), 0.5) AS p50, quantile_disc(length(text), 0.95) AS p95, quantile_disc(length(text), 0.99) AS p99 FROM conversations GROUP BY role",
@@ -215,6 +232,10 @@ SQL = {
     "ground_quotes": """WITH m AS (SELECT doc_id, item_id, d.text AS t, b.text AS q FROM documents d JOIN benchmark b ON contains(d.text, b.text)), p AS (SELECT *, unnest(range(1, length(t) - length(q) + 2)) AS i FROM m)
         SELECT doc_id, item_id, (i - 1)::INT AS start, (i - 1 + length(q))::INT AS "end" FROM p WHERE substring(t, i, length(q)) = q""",
     "overlapping_occurrences": "SELECT doc_id, len(list_filter(range(1, greatest(length(t), 1)::BIGINT), lambda i: substring(t, i, 2) = 'an'))::INT AS hits FROM (SELECT doc_id, text AS t FROM documents)",
+    "redaction": rf"""SELECT CASE WHEN regexp_matches(text, '(^|\D)1[3-9]\d{{9}}(\D|$)') OR regexp_matches(text, '(^|\D)\d{{17}}[\dXx](\D|$)') OR regexp_matches(text, '{EMAIL}') THEN '<REDACTED_PII_LIKE>' WHEN regexp_matches(text, '\d{{7,}}') THEN '<REDACTED_LONG_NUMBER>'
+        WHEN length(text) > 120 OR regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]') THEN '<REDACTED_UNSAFE_VALUE>' ELSE 'shown' END AS kind, count(*) AS rows FROM documents GROUP BY 1""",
+    "split_documents": rf"""WITH RECURSIVE r AS (SELECT doc_id, text, 0 AS n, 0::BIGINT AS start, {CUT.format('0')} AS cut FROM documents UNION ALL SELECT doc_id, text, n + 1, cut, {CUT.format('cut')} FROM r WHERE cut < length(text))
+        SELECT doc_id, n::INT AS n, start::INT AS "offset", (cut - start)::INT AS length FROM r""",
     "length_buckets": "SELECT CASE WHEN length(text) <= 50 THEN '01_le_50' WHEN length(text) <= 200 THEN '02_51_200' WHEN length(text) <= 500 THEN '03_201_500' WHEN length(text) <= 2000 THEN '04_501_2000' ELSE '05_gt_2000' END AS bucket, count(*) AS rows FROM documents GROUP BY 1",
     "shared_keywords": """WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM conversations)
         SELECT a.conv_id, a.turn, array_to_string(list_sort(list_distinct(list_intersect(a.t, b.t)))[1:10], ' ') AS keywords FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""",

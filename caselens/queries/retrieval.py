@@ -341,7 +341,7 @@ SQL = {
     "split_assignment": f"""WITH RECURSIVE {COMPONENTS}, p AS (SELECT doc_id, CASE WHEN DATE '2025-07-01' + (doc_id % 300)::INT < DATE '2026-01-01' THEN 1 WHEN DATE '2025-07-01' + (doc_id % 300)::INT < DATE '2026-02-01' THEN 2 ELSE 4 END AS period FROM documents),
         m AS (SELECT group_id, bit_or(period) AS mask FROM comp JOIN p USING (doc_id) GROUP BY group_id)
         SELECT doc_id, group_id, CASE mask WHEN 1 THEN 'corpus' WHEN 2 THEN 'dev' WHEN 4 THEN 'test' ELSE 'cross_period' END AS split FROM comp JOIN m USING (group_id)""",
-    "leakage_audit": "SELECT 0::BIGINT AS leaks",
+    "leakage_audit": "",
     "stable_sample": "SELECT doc_id, sha256('42:' || doc_id) AS hash FROM (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text) ORDER BY hash, doc_id LIMIT 50",
     "pilot_strata": """WITH f AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE trim(text, E' \\t\\n\\r') <> '' AND NOT contains(text, chr(9)) GROUP BY text), s AS (SELECT f.doc_id, d.lang AS category, f.text,
             CASE WHEN length(f.text) <= 50 THEN '01_le_50' WHEN length(f.text) <= 200 THEN '02_51_200' WHEN length(f.text) <= 500 THEN '03_201_500' WHEN length(f.text) <= 2000 THEN '04_501_2000' ELSE '05_gt_2000' END AS length_bucket FROM f JOIN documents d USING (doc_id)),
@@ -362,3 +362,6 @@ SQL = {
                round(avg(CASE WHEN returned > 0 THEN 1 ELSE 0 END), 9) AS query_coverage, round(avg(returned), 9) AS mean_returned FROM n GROUP BY GROUPING SETS ((mode, method), (method))""",
 }
 SQL["recall_metrics"] = SQL["recall_metrics"].replace("sum(nk) / sum(n) AS target_catalog_coverage_", "round(sum(nk) / sum(n), 9) AS target_catalog_coverage").replace("avg(nk / n) AS catalog_recall_ceiling_", "round(avg(nk / n), 9) AS catalog_recall_ceiling")
+SQL["leakage_audit"] = f"""{SQL['split_assignment'][: SQL['split_assignment'].index('SELECT doc_id, group_id, CASE mask')].rstrip()}, s AS ({SQL['split_assignment'][SQL['split_assignment'].index('SELECT doc_id, group_id, CASE mask') :]}),
+    x AS (SELECT 't' AS key, t AS value, split FROM s JOIN keyed USING (doc_id) UNION ALL SELECT 'k', k, split FROM s JOIN keyed USING (doc_id) UNION ALL SELECT 'group_id', group_id::VARCHAR, split FROM s),
+    l AS (SELECT key, value FROM x WHERE value <> '' GROUP BY 1, 2 HAVING count(DISTINCT split) > 1) SELECT count(*) AS leaks FROM l"""
