@@ -12,13 +12,15 @@ in fourteen is a fingerprint; the index holds a count for each hash, not a row f
 2. Each batch becomes a run: its hashes with counts, sorted. The run is merge-joined with the compacted history (an outer join on the
    hash) and the sum is the next history. Documents of earlier batches see the counts of later ones, as every window counts.
 3. Verification: documents with a repeated fingerprint hash the whole windows that it stands for. Only windows that agree in
-   fingerprint and window hash (128 bits over the full word sequence) count as equal. Fingerprints whose windows are all the same
+   fingerprint and in the hash over all their words count as equal. Both are made from 64-bit hashes of the words, so two different
+   words of one hash would pass for the same; among d distinct words that has a chance of about d * d / 2**65. Fingerprints whose windows are all the same
    as another's collapse into one counted context first; windows are told apart, by counts, only under fingerprints with several
    contexts. A passage in a third of all documents meets as partial counts, never as rows of one task.
 
 Rows: null, empty and short texts have no windows and lose nothing. Null ids and rows that repeat an id are documents of their own, told
-apart by text; wholly repeated rows are copies of each other and lose all their windows. Empty tables give an empty result. Extra
-columns pass through `remove_repeats` and never reach `repeats`."""
+apart by text; wholly repeated rows are copies of each other and lose all their windows. A very long text is one slice and is read
+whole (up to 2**28 words in a slice; more are an error). Empty tables give an empty result. Extra columns, whatever their names,
+pass through `remove_repeats` and never reach `repeats`."""
 
 from __future__ import annotations
 
@@ -35,6 +37,8 @@ PLACE_BITS = np.uint64(28)
 
 def fingerprint_places(hashes: np.ndarray, first: np.ndarray, window: int, gram: int):
     """(starts of all windows of each row, place of the fingerprint of each, gram hashes), over the words of a slice."""
+    if len(hashes) >> int(PLACE_BITS):
+        raise ValueError("too many words in one slice")
     starts = [np.arange(a, b - window + 1) for a, b in zip(first[:-1], first[1:], strict=True) if b - a >= window]
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -189,6 +193,8 @@ class FingerprintIndex:
 def repeats(docs: DataFrame, window: int = 35, gram: int = 8, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(one row per row of docs: doc_id, th, n_words, sha of its words joined by a space; one row per document that loses words:
     doc_id, th, n_removed, kept). th is a hash of the text; window - gram must be below 31."""
+    if not 0 < gram <= window or window - gram > 30:
+        raise ValueError("the windows of a fingerprint must fit into 31 bits")
     scratch = Scratch(docs.sparkSession, "substring")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole(F.col(text_col))).alias("th"), whole(F.col(text_col)).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -214,18 +220,19 @@ def repeats(docs: DataFrame, window: int = 35, gram: int = 8, batches: int = 2,
     contexts = held.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.min(F.struct("th", "doc_id", "place")).alias("one"))
     contexts = scratch.write(contexts, "contexts")
     # Only fingerprints with several contexts need their windows told apart, from one document of each context.
-    mixed = contexts.join(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"), "h", "left_semi")
-    mixed = scratch.write(mixed, "mixed")
+    several = scratch.write(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"), "several")
+    mixed = scratch.write(contexts.join(several, "h", "left_semi"), "mixed")
     wanted = mixed.groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th")).agg(F.collect_set("one.place").alias("places"))
     again = some.select("doc_id", "th", "text").dropDuplicates(["doc_id", "th"]).alias("a").join(wanted.alias("b"), same("a", "b")).select("a.doc_id", "a.th", "a.text", "b.places")
     listed = scratch.write(again.mapInArrow(_window_lister(window, gram), "h long, g long, windows array<bigint>"), "listed")
     scratch.release()
     single = listed.dropDuplicates(["h", "g"]).join(mixed.select("h", "g", "n"), ["h", "g"]).select("h", "g", "n", F.posexplode("windows").alias("i", "w"))
     twice = single.groupBy("h", "w").agg(F.sum("n").alias("m")).where("m > 1").select("h", "w")
+    twice = scratch.write(twice, "twice")
     masks = single.join(twice, ["h", "w"]).groupBy("h", "g").agg(F.expr("bit_or(shiftleft(1, i))").alias("mask"))
-    whole_lists = contexts.where("n > 1").join(mixed.select("h").distinct(), "h", "left_anti").select("h", "g", F.expr("cast(shiftleft(1L, size) - 1 as int)").alias("mask"))
+    whole_lists = contexts.where("n > 1").join(several, "h", "left_anti").select("h", "g", F.expr("cast(shiftleft(1L, size) - 1 as int)").alias("mask"))
     masks = scratch.write(masks.unionByName(whole_lists), "masks")
-    scratch.drop("listed", "contexts", "mixed", "wanted")
+    scratch.drop("listed", "contexts", "mixed", "several", "twice", "wanted")
     scratch.release()
     marked = held.select("doc_id", "th", "h", "g", "first").join(masks, ["h", "g"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
     marked = scratch.write(marked, "marked")
@@ -251,7 +258,8 @@ def removal_digest(docs: DataFrame, window: int = 35, **options) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with the texts that lost words replaced by what is left, words joined by one space; other texts and columns as they were."""
     _, cut = repeats(docs, window, id_col=id_col, text_col=text_col, **options)
-    cut = cut.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("kept").alias("__kept"))
-    on = (F.xxhash64(whole(F.col(text_col))) == F.col("__th")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    text = F.when(F.col("__th").isNotNull(), F.col("__kept")).otherwise(F.col(text_col))
-    return docs.join(cut, on, "left").withColumn(text_col, text).select(*docs.columns)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole(F.col(text_col))).alias("th"), F.struct("*").alias("row"))
+    on = (F.col("a.th") == F.col("b.th")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
+    text = F.when(F.col("b.th").isNotNull(), F.col("b.kept")).otherwise(F.col("a.row")[text_col])
+    columns = [text.alias(c) if c == text_col else F.col("a.row")[c].alias(c) for c in docs.columns]
+    return rows.alias("a").join(cut.select("doc_id", "th", "kept").alias("b"), on, "left").select(*columns)

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from caselens.llm import minhash, queries, substring
+from caselens.llm import exact, minhash, queries, substring
 
 SPACES = r"[^\x20\x09-\x0D]+"
 
@@ -81,6 +81,35 @@ def test_near_dedup_of_odd_and_no_rows(odd_docs, no_docs):
     assert minhash.near_components(no_docs).count() == minhash.near_dedup(no_docs).count() == 0
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (6, b + " more"), (7, c), (7, c + " end"), (7, c), (8, None), (None, c)]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, row int")
+    got = sorted((r.row, r.doc_id, r.text) for r in minhash.near_dedup(docs).collect())
+    kept = [i for i, _, _ in got]
+    assert got == [(i, *rows[i]) for i in kept] and {0, 2, 7, 8} <= set(kept) and not {1, 3} & set(kept)
+    assert set(kept) - {0, 2, 7, 8} in ({4, 6}, {5})  # one of the two texts of id 7, with all its rows
+    judged = {(r.doc_id, r.component_id) for r in minhash.near_components(docs).collect()}
+    assert judged == {(1, 1), (5, 1), (5, 5), (6, 5), (7, 7), (8, 8), (None, None)}
+
+
+def test_sets_of_any_size_exactly(spark):
+    """Sets of more values than a sketch holds, pairs at and just below the threshold."""
+    chance, texts = random.Random(3), []
+    for size in (200, 1500, 2600):
+        base = [f"{size}x{chance.randrange(10**6)}" for _ in range(size)]
+        for change in (0.02, 0.045, 0.05, 0.055, 0.2):
+            cut = list(base)
+            start = chance.randrange(size // 2)
+            cut[start : start + int(size * change * 2)] = [f"n{chance.randrange(10**9)}" for _ in range(int(size * change * 2))]
+            texts.append(" ".join(cut))
+        texts.append(" ".join(base))
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_components(frame, exact=True).collect())
+    assert got == sorted(near_brute(rows, 5, 80)) == sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_components(frame).collect())
+
+
 def removal_brute(rows, window):
     split = [words(t) for _, t in rows]
     seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
@@ -126,3 +155,15 @@ def test_removed_texts_of_odd_and_no_rows(odd_docs, no_docs):
     out = substring.remove_repeats(odd_docs)
     assert out.columns == odd_docs.columns and Counter((r.doc_id, r.text) for r in out.collect()) == want
     assert substring.remove_repeats(no_docs).count() == substring.removal_digest(no_docs).count() == 0
+    for wrong in ({"window": 50, "gram": 8}, {"window": 5, "gram": 8}):
+        with pytest.raises(ValueError):
+            substring.remove_repeats(odd_docs, **wrong)
+
+
+def test_columns_named_like_our_own_pass_through(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, 7, "g", "k", "r"), (2, text, 7, "g", "k", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th long, gone string, kept string, row string")
+    for made, left in ((minhash.near_dedup(docs), rows[:1]), (exact.exact_dedup(docs), rows[:1]), (exact.exact_dedup(docs.union(docs)), rows[:1])):
+        assert made.columns == docs.columns and [tuple(r) for r in made.collect()] == left
+    assert sorted(tuple(r) for r in substring.remove_repeats(docs).collect()) == [(i, "", 7, "g", "k", "r") for i in (1, 2)]
