@@ -4,11 +4,14 @@ and confidence match the other urls through an inverted index (each rule stands
 Static host/path rules come first and the longest one that fits decides; the mined rules judge the rest.
 
 Rows: a null url, or one without "://", has an empty host and path, no tokens, and the default verdict. Repeated urls are judged
-once and alike. Urls labelled both ways count under both labels. Without labels, or without a rule that survives, every url that no
-static rule fits is allowed. Empty tables give an empty result. Extra columns are not read.
+once and alike. Urls labelled both ways count under both labels. Of rules that fit one url the one with the highest confidence is
+named, then the one with the fewest tokens, then the last in text order. A very long url has a token for each of its distinct
+parts. Without labels, or without a rule that survives, every url that no static rule fits is allowed. Empty tables give an empty
+result. Extra columns are not read.
 
-Size: transactions are distinct (token set, label) pairs, so copies of one url cannot make all its subsets frequent. The rule table
-is bounded by `max_broadcast` rows before it is broadcast; a larger one goes through an ordinary join."""
+Size: transactions are distinct (url, label) pairs, so copies of one url cannot make all its subsets frequent. The rule table is
+bounded by `max_broadcast` rows before it is broadcast; a larger one goes through an ordinary join. What is found for the distinct
+urls is written before it meets the pages, so that adaptive execution can split a url that many pages have."""
 
 from __future__ import annotations
 
@@ -16,6 +19,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselens.llm.common import Scratch
+
 BLOCK, ALLOW = "=block", "=allow"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,9 +71,11 @@ def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float
 
 def pruned(rules: DataFrame) -> DataFrame:
     """Rules without those that a shorter rule with at least their confidence already covers (per single token: cheap and exact)."""
-    ones = rules.where(F.size("antecedent") == 1).select(F.element_at("antecedent", 1).alias("one"), F.col("confidence").alias("c"))
-    covered = rules.where(F.size("antecedent") > 1).join(ones, F.array_contains("antecedent", F.col("one")) & (F.col("c") >= F.col("confidence")), "left_anti")
-    return covered.unionByName(rules.where(F.size("antecedent") == 1))
+    single = rules.where(F.size("antecedent") == 1)
+    ones = single.select(F.element_at("antecedent", 1).alias("token"), F.col("confidence").alias("c"))
+    several = rules.where(F.size("antecedent") > 1)
+    covered = several.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(ones, "token").where("c >= confidence").select("antecedent").distinct()
+    return several.join(covered, "antecedent", "left_anti").unionByName(single)
 
 
 def matched(urls: DataFrame, rules: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
@@ -89,9 +96,10 @@ def judge(pages: DataFrame, labelled: DataFrame, static: list[tuple[str, str]],
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     rule, verdict = static_rule(F.col("host"), F.col("path"), static)
     rows = rows.withColumns({"host": host_of(url), "path": path_of(url)}).withColumns({"rule": rule, "fixed": verdict})
-    rules = pruned(mine(labelled, **options))
+    scratch = Scratch(pages.sparkSession, "urls")
+    rules = scratch.write(pruned(mine(labelled, **options)), "rules")
     rest = rows.where("rule is null and url is not null").select("url", tokens(url).alias("t")).distinct()
-    hits = matched(rest, rules)
+    hits = scratch.write(matched(rest, rules), "hits")
     out = rows.join(hits, "url", "left")
     mined = F.when(F.col("rule").isNull() & F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("fixed", mined).alias("verdict"), F.when(F.col("rule").isNull(), F.col("confidence")).alias("confidence"), F.when(F.col("rule").isNull(), F.col("antecedent")).alias("antecedent"))
