@@ -6,11 +6,14 @@ longer than a bin is cut into full pieces, a bin each, and a rest that is packed
 Documents come longest first (best-fit decreasing), ties by id and hash.
 
 Rows are dealt by hash into groups of about `group_rows`, packed side by side; a bin never spans groups, so memory is bounded by a
-group and a hot source or cluster is spread over all of them. The number of groups follows the table.
+group and a hot source or cluster is spread over all of them. The number of groups follows the table. Rows that repeat both id
+and text often, which one hash would bring together, are dealt by their place in the input instead.
+
+Duplicate clusters are equal texts, or the values of `cluster_col` (near-duplicate components, say).
 
 Rows: a null source conflicts with nothing (unknown sources are not one source); a null or empty text has no words, takes a place of
-length 0 and still conflicts with its like. Null ids and repeated rows are packed as rows of their own. An empty table gives an
-empty result. Extra columns are not read."""
+length 0 and still conflicts with its like. Null ids and repeated rows are packed as rows of their own. A very long text becomes
+as many pieces as it takes. An empty table gives an empty result. Extra columns are not read."""
 
 from __future__ import annotations
 
@@ -19,7 +22,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselens.llm.common import whole, words
+from caselens.llm.common import Scratch, whole, words
 
 SCHEMA = "piece int, start_word long, n_words long, bin string, slot int, bin_words long"
 
@@ -89,12 +92,28 @@ def pack_rows(rows: list[tuple], capacity: int) -> list[tuple]:
     return [(*o, bins.used[o[4]]) for o in out]
 
 
-def pack(docs: DataFrame, capacity: int = 2048, group_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+#: Rows of one id and text beyond this number are spread by their place.
+REPEATS = 64
+
+
+def pack(
+    docs: DataFrame, capacity: int = 2048, group_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None
+) -> DataFrame:
     """One row for each piece of each row of docs: doc_id, source, piece, start_word, n_words, bin, slot, bin_words."""
     text = whole(F.col(text_col))
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(text)).cast("long").alias("n"), F.xxhash64(text).alias("cluster"))
+    cluster = F.xxhash64(F.col(cluster_col) if cluster_col else text)
+    slim = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(text)).cast("long").alias("n"), cluster.alias("cluster"),
+        F.xxhash64(F.col(id_col), text).alias("key"), F.monotonically_increasing_id().alias("place"),
+    )
     groups = max(1, -(-docs.count() // group_rows))
-    slim = slim.withColumn("grp", F.pmod(F.xxhash64("doc_id", "cluster", "n"), F.lit(groups)))
+    scratch = Scratch(docs.sparkSession, "packing")
+    often = scratch.write(slim.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > REPEATS).select("key", F.lit(True).alias("often")), "often")
+    if often.isEmpty():
+        slim = slim.withColumn("grp", F.pmod("key", F.lit(groups)))
+    else:
+        slim = slim.join(often, "key", "left").withColumn("grp", F.pmod(F.xxhash64("key", F.when(F.col("often"), F.col("place"))), F.lit(groups)))
+    slim = slim.drop("key", "place", "often")
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(key, table):
