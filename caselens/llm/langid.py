@@ -7,8 +7,8 @@ k-means on a sample of at most `max_sample` labelled rows, an equal share for ea
 The model is `buckets` weights and k centroids a language, whatever the size of the corpus.
 
 Rows: a null text, or one without a letter, gets no language ("und", score 0). Rows with a null label, null text or null id never
-train. Repeated rows get equal results. Empty tables give an empty result; without training rows all texts are "und". Extra
-columns are not read."""
+train. Repeated rows get equal results. A very long text is one slice, counted whole. Of centroids that are equally near the first in
+order of language wins. Empty tables give an empty result; without training rows all texts are "und". Extra columns are not read."""
 
 from __future__ import annotations
 
@@ -26,8 +26,9 @@ def counts(texts: list[str], buckets: int) -> np.ndarray:
     coded = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     lengths = np.array([len(c) + 3 for c in coded], np.int64)
     data = np.frombuffer(b"".join(b" " + c + b"  " for c in coded), np.uint8).astype(np.uint32)
-    rows = np.repeat(np.arange(len(coded), dtype=np.int64) * buckets, lengths)
-    mask, out = np.uint32(buckets - 1), np.zeros(len(coded) * buckets, np.float32)
+    rows, ends = np.repeat(np.arange(len(coded), dtype=np.int64) * buckets, lengths), np.cumsum(lengths)
+    rows[ends - 1] = rows[ends - 2] = len(coded) * buckets  # n-grams that would reach into the next text are counted nowhere
+    mask, out = np.uint32(buckets - 1), np.zeros((len(coded) + 1) * buckets, np.float32)
     one, two = data[:-2] + np.uint32(1), data[1:-1] + np.uint32(1)
     bi = one * np.uint32(0x101) + two
     tri = bi * np.uint32(0x101) + data[2:] + np.uint32(1)
@@ -35,7 +36,7 @@ def counts(texts: list[str], buckets: int) -> np.ndarray:
         h = (h + np.uint32(n)) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         out += np.bincount(rows[:-2] + (h & mask), minlength=len(out))
-    return out.reshape(len(coded), buckets)
+    return out[: len(coded) * buckets].reshape(len(coded), buckets)
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -3,8 +3,11 @@
 Rows stand in order of (id, crc32, size), null ids first. Each range partition sums its own sizes in one pass; the driver adds
 up one total per partition, never per row. A row goes to the shard that holds the middle of its bytes, so a shard differs from
 the equal target by at most one row. Null texts have size `overhead` and crc 0; rows that repeat an id or a whole row stand side
-by side; an empty table gives an empty result; a row larger than a shard leaves the shards it spans empty. Groups (equal texts)
-are not kept together: the law is that the sizes are near equal."""
+by side; an empty table gives an empty result; a row larger than a shard leaves the shards it spans empty. A text counts with all its
+bytes, however long. Extra columns are not read by `shard_by_bytes` and pass through `write_shards`.
+
+The law is `bytes`, sizes near equal. It speaks of rows: equal texts are groups of the table, not of the result, and may fall into
+different shards."""
 
 from __future__ import annotations
 
@@ -14,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselens.llm.common import Scratch, whole
+from caselens.llm.common import Scratch, partitions_for, whole
 
 
 def _running(batches):
@@ -40,7 +43,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     text = whole(F.col(text_col))
     slim = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + overhead).alias("size"), F.crc32(text).alias("text_crc32"))
     keys = ["doc_id", "text_crc32", "size"]
-    ordered = slim.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    ordered = slim.repartitionByRange(partitions_for(docs), *keys).sortWithinPartitions(*keys)
     schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, size long, text_crc32 long, part long, bytes_before long, rows_before long"
     ranked = scratch.write(ordered.mapInArrow(_running, schema), "ranked")
 
