@@ -85,7 +85,64 @@ QUERIES = {
     )
 }
 
+
+
+def _crc_steps() -> str:
+    """The table of the reflected CRC-32, as SQL: what each value of a byte turns into."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return f"{table}::BIGINT[]"
+
+
+def _static_rules() -> tuple[str, str]:
+    """(rule, verdict) of the longest static rule that fits host and path, as SQL."""
+    rows = []
+    for verdict, rule in sorted(URL_RULES, key=lambda r: (-len(r[1]), r[1])):
+        host, slash, rest = rule.partition("/")
+        rows.append((f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash}{rest}')", rule, verdict))
+    return tuple("CASE " + " ".join(f"WHEN {r[0]} THEN '{r[i]}'" for r in rows) + " END" for i in (1, 2))
+
+
+def _subsets(tokens: str) -> str:
+    return f"array_to_string(list_filter({tokens}, lambda x, i: (m >> (i - 1)) & 1 = 1), chr(31))"
+
+
 SQL = {
+    "op9_url_filters": rf"""
+        WITH a AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{urlrules.UPPER}', '{urlrules.LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+                          coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '') AS query FROM pages),
+             t AS (SELECT *, list_sort(list_distinct(list_concat(list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+                          list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '#', 'g')),
+                          list_transform(list_filter(list_transform(string_split(query, '&'), lambda x: split_part(x, '=', 1)), lambda x: x <> ''), lambda x: 'q:' || x)))) AS t FROM a),
+             j AS (SELECT *, {_static_rules()[0]} AS rule, {_static_rules()[1]} AS fixed FROM t),
+             l AS (SELECT DISTINCT url, t, quality = 0 OR toxic = 1 AS blocked FROM t JOIN labels ON doc_id = page_id WHERE url IS NOT NULL AND len(t) > 0),
+             n AS (SELECT ceil(greatest(0.001::DOUBLE, 5::DOUBLE / count(*)) * count(*)) AS least FROM l),
+             s AS (SELECT blocked, {_subsets('t')} AS part FROM (SELECT *, unnest(range(1, 1 << len(t))) AS m FROM l)),
+             f AS (SELECT part, count_if(blocked) / count(*) AS confidence FROM s GROUP BY part HAVING count_if(blocked) >= (SELECT least FROM n) AND count_if(blocked) / count(*) >= 0.6),
+             q AS (SELECT url, {_subsets('t')} AS part FROM (SELECT *, unnest(range(1, 1 << len(t))) AS m FROM (SELECT DISTINCT url, t FROM j WHERE rule IS NULL AND url IS NOT NULL))),
+             h AS (SELECT url, max(confidence) AS confidence FROM q JOIN f USING (part) GROUP BY url)
+        SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN confidence IS NULL THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN rule IS NULL THEN confidence END AS confidence FROM j LEFT JOIN h USING (url)""",
+    "op1_sharding": f"""
+        WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
+             c AS (SELECT doc_id, len(b) + 8 AS size, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 8, ({_crc_steps()})[(xor(a, x) & 255) + 1]))) AS crc FROM b),
+             o AS (SELECT *, row_number() OVER w AS row, (sum(size) OVER w)::BIGINT - size AS start, (sum(size) OVER ())::BIGINT AS total FROM c WINDOW w AS (ORDER BY doc_id NULLS FIRST, crc, size ROWS UNBOUNDED PRECEDING)),
+             s AS (SELECT *, least(23, (2 * start + size) * 24 // (2 * total))::INT AS shard FROM o)
+        SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY row) - 1 AS slot, NULL::INT AS grown_shard FROM s""",
+    "op7_minhash_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda w: w <> '') AS w FROM documents),
+             u AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM d),
+             g AS (SELECT doc_id, n, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS long_one, CASE WHEN n < 3 AND i = 0 THEN word || coalesce(' ' || lead(word) OVER o, '') END AS short_one FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+             h AS (SELECT DISTINCT doc_id, coalesce(long_one, short_one) AS s FROM g WHERE coalesce(long_one, short_one) IS NOT NULL),
+             z AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM h a JOIN h b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+             e AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+             r AS (SELECT doc_id AS node, doc_id AS label FROM documents UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node WHERE r.label < e.b),
+             k AS (SELECT node AS doc_id, min(label) AS component_id FROM r GROUP BY node)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM k LEFT JOIN z USING (doc_id)""",
     "op5_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
              g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)

@@ -122,6 +122,63 @@ def test_mined_rules_match_brute_force(spark):
         assert r.verdict == ("block" if best else "allow") and (best is None or r.confidence == pytest.approx(best))
 
 
+def test_rules_that_a_shorter_one_covers_go(spark):
+    rules = [(["a"], 0.8), (["a", "b"], 0.7), (["b", "c"], 0.7), (["a", "c"], 0.9), (["c"], 0.6)]
+    frame = spark.createDataFrame([(a, c, 0.1, 5) for a, c in rules], "antecedent array<string>, confidence double, support double, n long")
+    assert sorted(tuple(r.antecedent) for r in urlrules.pruned(frame).collect()) == [("a",), ("a", "c"), ("b", "c"), ("c",)]
+    assert "NestedLoop" not in urlrules.pruned(frame)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_very_long_url(spark):
+    url = "http://www.example.com/en/" + "/".join(f"p{i}x" for i in range(50_000)) + "?" + "&".join(f"q{i}=1" for i in range(5_000))
+    pages = spark.createDataFrame([(1, url), (2, url), (3, "x" * 1_000_000)], "page_id long, url string")
+    got = {r.page_id: (len(r.path), r.rule, r.verdict) for r in urlrules.judge(pages, spark.createDataFrame([(url, True)], "url string, blocked boolean"), queries.URL_RULES).collect()}
+    path = len(url.split("?")[0]) - len("http://www.example.com")
+    assert got == {1: (path, "www.example.com/en/", "allow"), 2: (path, "www.example.com/en/", "allow"), 3: (0, None, "allow")}
+
+
+def langid_brute(rows, train, model):
+    """Predictions from vectors made one n-gram at a time, with the model's weights and centroids."""
+    buckets = len(model.idf)
+
+    def vector(text):
+        data, out = b" " + text.lower().encode() + b"  ", [0] * buckets
+        for i in range(len(data) - 2):
+            one, two, three = (data[i + j] + 1 for j in range(3))
+            for n, h in ((1, one), (2, one * 0x101 + two), (3, (one * 0x101 + two) * 0x101 + three)):
+                h = (h + n) * 0x9E3779B1 & 0xFFFFFFFF
+                out[(h ^ h >> 15) & buckets - 1] += 1
+        return out
+
+    df = [0] * buckets
+    vectors = {i: vector(t) for i, t in enumerate(rows) if langid.has_letter(t)}
+    for t in train:
+        for b, c in enumerate(vector(t)):
+            df[b] += c > 0
+    for b in range(0, buckets, 97):
+        assert model.idf[b] == pytest.approx(math.log((1 + len(train)) / (1 + df[b])) + 1, rel=1e-5)
+    out = []
+    for i, _ in enumerate(rows):
+        if i not in vectors:
+            out.append(("und", 0.0))
+            continue
+        x = [math.log1p(c) * float(w) for c, w in zip(vectors[i], model.idf, strict=True)]
+        norm = math.sqrt(sum(v * v for v in x)) or 1
+        cosines = [sum(a * float(b) for a, b in zip(x, c, strict=True) if a) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda j: (round(cosines[j], 6), -j))
+        out.append((model.langs[best], cosines[best]))
+    return out
+
+
+def test_languages_match_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    model = langid.fit(docs, buckets=512)
+    train = [r.text for r in docs.collect() if r.text is not None and r.lang is not None and r.doc_id is not None]
+    rows = [(r.doc_id, r.nearest, r.score, r.text) for r in langid.identify(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect()]
+    for (_, nearest, score, _), (lang, cosine) in zip(rows, langid_brute([r[3] for r in rows], train, model), strict=True):
+        assert nearest == lang and score == pytest.approx(max(0, min(1, cosine)), abs=1e-4)
+
+
 def test_urls_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "url string, blocked boolean")
     pages = spark.createDataFrame([(1, "http://a.net/es/x", "z"), (2, None, None)], "page_id long, url string, host string")
@@ -135,3 +192,7 @@ def test_filter_computes_the_verdict_once(spark, sf):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     judged, kept = plan(quality.assess(docs, quality.trusted_ids(labels))), plan(quality.quality_filter(docs, labels))
     assert kept.count("xxhash64") <= judged.count("xxhash64") and kept.count("split(") <= judged.count("split(")
+
+
+def test_buckets_grow_with_the_corpus():
+    assert [quality.bucket_count(n) for n in (0, 1000, 256_000, 15_000_000, 50_000_000_000)] == [1 << 14, 1 << 14, 1 << 14, 1 << 16, 1 << 20]
