@@ -2,12 +2,14 @@
 
 Rows: null texts count as empty; texts are equal when they are identical after every run of [\\x20\\x09-\\x0D] became one
 space. Null ids sort after all others (a group of null ids only has a null keep_id). Rows repeated with one id and text are
-members of one group, each counted; `exact_dedup` keeps one of them. Empty tables give empty results. Extra columns, whatever
-their names, pass through `exact_dedup` and never reach `exact_groups`.
+members of one group, each counted; `exact_dedup` keeps one of them, the one whose JSON has the smallest sha-256. A very long text is
+hashed and compared whole. Empty tables give empty results. Extra columns, whatever their names, pass through `exact_dedup` and
+never reach `exact_groups`.
 
 Plan: a slim table (id, hash, sha-256) is written once; groups come from it with map-side combining, so a group of copies that
-holds a third of all rows costs a task one row. Texts travel once, to the rows of groups of two or more, through a sort-merge
-join on the hash that adaptive execution splits when one hash is hot."""
+holds a third of all rows costs a task one row, and are written too. Both sides of the joins on the hash are then plain shuffles,
+which adaptive execution splits when one hash is hot. Texts travel once, to the rows of groups of two or more; there the first and
+the last text of each hash are compared, which map-side combining leaves of any number of copies."""
 
 from __future__ import annotations
 
@@ -26,12 +28,13 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, hash_of, scratch: Scr
     """(rows: id, h, sub, sha; groups: h, sub, keep_id, group_size). sub is empty, or the text where a hash collided."""
     norm = normalised(F.col(text_col))
     rows = scratch.write(docs.select(F.col(id_col).alias("doc_id"), hash_of(norm).alias("h"), F.unhex(F.sha2(norm, 256)).alias("sha")), "rows")
-    groups = rows.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = scratch.write(rows.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     shared = groups.where("group_size > 1").select("h", "keep_id")
     texts = docs.select(F.col(id_col).alias("doc_id"), hash_of(norm).alias("h"), norm.alias("norm"))
     members = scratch.write(texts.join(shared, "h"), "members")
-    first = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.min("norm").alias("first_norm"))
-    collided = scratch.write(members.join(first, "h").where("norm <> first_norm").select("h").distinct(), "collided")
+    # Texts of one hash are all equal if the first and the last of them in byte order are.
+    collided = members.groupBy("h").agg(F.min("norm").alias("first"), F.max("norm").alias("last")).where("first <> last").select("h")
+    collided = scratch.write(collided, "collided")
     if collided.isEmpty():
         scratch.drop("members")
         return rows.withColumn("sub", F.lit("")), groups.withColumn("sub", F.lit(""))
@@ -39,7 +42,7 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, hash_of, scratch: Scr
     parted = members.join(collided, "h").select("doc_id", "h", F.col("norm").alias("sub"), F.unhex(F.sha2("norm", 256)).alias("sha"))
     rows = scratch.write(rows.join(collided, "h", "left_anti").withColumn("sub", F.lit("")).unionByName(parted), "parted")
     scratch.drop("members")
-    return rows, rows.groupBy("h", "sub").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return rows, scratch.write(rows.groupBy("h", "sub").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "parted-groups")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=content_hash) -> DataFrame:
@@ -54,15 +57,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs without the copies, with all columns as they were."""
     scratch = Scratch(docs.sparkSession, "exact")
     rows, groups = _resolved(docs, id_col, text_col, hash_of, scratch)
-    repeated = rows.groupBy("h", "sub", "doc_id").count().where("count > 1").isEmpty()
-    dropped = rows.join(groups.where("group_size > 1"), ["h", "sub"])
-    if repeated:
-        gone = dropped.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__gone_id"), F.col("sha").alias("__gone_sha"))
-        gone = gone.distinct()
-        sha = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
-        return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone_id")) & (sha == F.col("__gone_sha")), "left_anti")
-    # Some id stands with one text several times: one row of each group stays, by the order of its other columns.
-    sha, kept = F.unhex(F.sha2(normalised(F.col(text_col)), 256)), rows.join(groups, ["h", "sub"]).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    kept = kept.select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep")).distinct()
-    out = docs.withColumn("__sha", sha).join(kept, "__sha").where(F.col(id_col).eqNullSafe(F.col("__keep")))
-    return out.dropDuplicates(["__sha"]).select(*docs.columns)
+    sha = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
+    whole_rows = docs.select(F.col(id_col).alias("doc_id"), sha.alias("sha"), F.struct("*").alias("row"))
+    if rows.groupBy("h", "sub", "doc_id").count().where("count > 1").isEmpty():
+        dropped = rows.join(groups.where("group_size > 1"), ["h", "sub"]).where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        gone = dropped.select("doc_id", "sha").distinct()
+        same = whole_rows.doc_id.eqNullSafe(gone.doc_id) & (whole_rows.sha == gone.sha)
+        return whole_rows.join(gone, same, "left_anti").select("row.*")
+    # Some id stands with one text several times: one row of each group stays, the same one wherever this runs.
+    kept = scratch.write(rows.join(groups, ["h", "sub"]).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("sha", "keep_id").distinct(), "kept")
+    own = whole_rows.join(kept, "sha").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    order = F.sha2(F.to_json("row", {"ignoreNullFields": "false"}), 256)
+    return own.groupBy("sha").agg(F.min_by("row", order).alias("row")).select("row.*")
