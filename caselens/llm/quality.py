@@ -1,11 +1,14 @@
 """Quality rules: the hashed n-gram log-likelihood ratio between a trusted-target and a raw-corpus multinomial, divided by the
 number of n-grams, with one fixed threshold for every document.
 
-DataFrame functions only. Word unigrams and bigrams are hashed into `buckets`; the raw multinomial counts every n-gram of every
+DataFrame functions only. Word unigrams and bigrams are hashed into buckets; the raw multinomial counts every n-gram of every
 document, the target multinomial those of the trusted documents (at most `max_trusted` ids, the smallest by hash: the only bound,
-and only on labelled rows). Both become one array of log ratios, `buckets` long at any size of the corpus.
+and only on labelled rows). Both become one array of log ratios. Its length grows with the corpus, unless `buckets` says otherwise:
+256 times the cube root of the number of documents, to the next power of two, at least 2**14 (2**16 for 15 million documents, 2**20
+for 50 billion), so that it stays small enough to send to every task.
 
-Rows: a null or empty text has no words, all counts 0, score 0 and fails the base rules. Repeated rows are judged alike. Null ids
+Rows: a null or empty text has no words, all counts 0, score 0 and fails the base rules. A very long text is judged whole. Repeated
+rows are judged alike; a score at the threshold passes. Null ids
 are never trusted. Without trusted documents all ratios are 0 and the base rules alone decide. Extra columns pass through `assess`
 unless they are named like one of its own, which it replaces."""
 
@@ -32,6 +35,11 @@ def trusted_ids(labels: DataFrame, max_trusted: int = 50_000) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
 
 
+def bucket_count(n_docs: int) -> int:
+    """How many buckets n-grams are hashed into, for a corpus of this size."""
+    return 1 << max(14, math.ceil(math.log2(256 * max(1, n_docs) ** (1 / 3))))
+
+
 def _hashes(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.xxhash64(w))
 
@@ -80,8 +88,9 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed).drop("__w", "__lines", "__tri", "__placed", "__at")
 
 
-def assess(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 14, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assess(docs: DataFrame, trusted: DataFrame, buckets: int | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the base counts, base_failed, score (nats per n-gram) and kept."""
+    buckets = buckets or bucket_count(docs.count())
     ratios = log_ratios(docs, trusted, buckets, id_col, text_col)
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
     out = base_rules(docs, text_col)
