@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselens.plans.scratch import Scratch  # noqa: F401  for the operators
+from caselens.plans.scratch import Scratch, delete  # noqa: F401  for the operators
 
 #: Fixed by the contracts: words are runs of anything else.
 SPACES = " \t\n\x0b\x0c\r"

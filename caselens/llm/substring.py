@@ -17,6 +17,9 @@ in fourteen is a fingerprint; the index holds a count for each hash, not a row f
    as another's collapse into one counted context first; windows are told apart, by counts, only under fingerprints with several
    contexts. A passage in a third of all documents meets as partial counts, never as rows of one task.
 
+All of this judges one table. `WindowHistory` is for tables that come in batches: it keeps the hashes of all windows of earlier
+batches in sorted immutable runs, joins each new batch with them, and compacts them when asked to.
+
 Rows: null, empty and short texts have no windows and lose nothing. Null ids and rows that repeat an id are documents of their own, told
 apart by text; wholly repeated rows are copies of each other and lose all their windows. A very long text is one slice and is read
 whole (up to 2**28 words in a slice; more are an error). Empty tables give an empty result. Extra columns, whatever their names,
@@ -30,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselens.llm.common import Scratch, gram_hashes, mix, text_slices, whole, word_hashes
+from caselens.llm.common import Scratch, delete, gram_hashes, mix, text_slices, whole, word_hashes
 
 PLACE_BITS = np.uint64(28)
 
@@ -255,11 +258,102 @@ def removal_digest(docs: DataFrame, window: int = 35, **options) -> DataFrame:
     )
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the texts that lost words replaced by what is left, words joined by one space; other texts and columns as they were."""
-    _, cut = repeats(docs, window, id_col=id_col, text_col=text_col, **options)
+def _replaced(docs: DataFrame, cut: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with the texts that cut (doc_id, th, kept) holds, other columns as they were."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole(F.col(text_col))).alias("th"), F.struct("*").alias("row"))
     on = (F.col("a.th") == F.col("b.th")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
     text = F.when(F.col("b.th").isNotNull(), F.col("b.kept")).otherwise(F.col("a.row")[text_col])
     columns = [text.alias(c) if c == text_col else F.col("a.row")[c].alias(c) for c in docs.columns]
     return rows.alias("a").join(cut.select("doc_id", "th", "kept").alias("b"), on, "left").select(*columns)
+
+
+def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with the texts that lost words replaced by what is left, words joined by one space; other texts and columns as they were."""
+    _, cut = repeats(docs, window, id_col=id_col, text_col=text_col, **options)
+    return _replaced(docs, cut, id_col, text_col)
+
+
+def _window_hasher(window: int):
+    """128 bits of every window of each document, in order of place."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at, offsets, data in text_slices(batch.column(2)):
+                hashes, first, _, _ = word_hashes(offsets, data)
+                pairs = [gram_hashes(hashes, window, seed).view(np.int64) for seed in (23, 37)]
+                sizes = np.maximum(np.diff(first) - window + 1, 0)
+                heads = np.cumsum(sizes) - sizes
+                take = np.arange(sizes.sum()) + np.repeat(first[:-1] - heads, sizes)
+                ends = pa.array(np.append(heads, sizes.sum()).astype(np.int32))
+                columns = [pa.ListArray.from_arrays(ends, pa.array(p[take] if len(take) else np.zeros(0, np.int64))) for p in pairs]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sizes)), batch.column(1).slice(at, len(sizes)), *columns], ["doc_id", "th", "w", "w2"])
+
+    return run
+
+
+class WindowHistory:
+    """Removal of repeated passages from one batch after another, against all that came before.
+
+    A folder of the caller's holds a run for each batch: the distinct 128-bit hashes of its windows, dealt by hash and sorted. `dedup` removes
+    from a batch each word covered by a window that stands in an earlier batch or elsewhere in this one; windows are judged on the
+    input, and earlier results stay as they are. `compact` merges the runs into one. A run that was not written to its end has no
+    _SUCCESS file and is not read; writing it again replaces it."""
+
+    def __init__(self, spark, folder: str, window: int = 35):
+        self.spark, self.folder, self.window = spark, folder.rstrip("/"), window
+
+    def _names(self) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(path):
+            return []
+        found = [f.getPath().getName() for f in system.listStatus(path) if f.isDirectory()]
+        return sorted(n for n in found if n.startswith("run-") and system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS")))
+
+    def _current(self) -> list[str]:
+        """The runs that count: the last compacted one and those behind it."""
+        names = self._names()
+        merged = [n for n in names if n.endswith("-all")]
+        return [n for n in names if not merged or n >= merged[-1]]
+
+    def _next(self, tail: str = "") -> str:
+        last = self._names()
+        return f"run-{int(last[-1].split('-')[1]) + 1 if last else 0:06d}{tail}"
+
+    def _read(self) -> DataFrame | None:
+        names = self._current()
+        return self.spark.read.schema("w long, w2 long").parquet(*[f"{self.folder}/{n}" for n in names]) if names else None
+
+    def _write(self, windows: DataFrame, name: str) -> None:
+        windows.repartition("w").sortWithinPartitions("w", "w2").write.mode("overwrite").parquet(f"{self.folder}/{name}")
+
+    def compact(self) -> None:
+        """One run in place of all; the old ones are deleted once it is there."""
+        old = self._current()
+        if len(old) > 1:
+            self._write(self._read().distinct(), self._next("-all"))
+        for name in set(self._names()) - set(self._current()):
+            delete(self.spark, f"{self.folder}/{name}")
+
+    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """docs of a new batch with the texts that lost words replaced by what is left; its windows enter the history."""
+        scratch = Scratch(self.spark, "history")
+        slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole(F.col(text_col))).alias("th"), whole(F.col(text_col)).alias("text"))
+        kind = slim.schema["doc_id"].dataType.simpleString()
+        hashed = slim.mapInArrow(_window_hasher(self.window), f"doc_id {kind}, th long, w array<bigint>, w2 array<bigint>")
+        placed = scratch.write(hashed.select("doc_id", "th", F.posexplode(F.arrays_zip("w", "w2")).alias("i", "x")).select("doc_id", "th", "i", "x.w", "x.w2"), "placed")
+        counted = scratch.write(placed.groupBy("w", "w2").agg(F.count(F.lit(1)).alias("n")), "counted")
+        known, again = self._read(), counted.where("n > 1").select("w", "w2")
+        if known is not None:
+            again = again.unionByName(counted.where("n = 1").join(known, ["w", "w2"], "left_semi").select("w", "w2"))
+        again = scratch.write(again, "again")
+        marks = placed.join(again, ["w", "w2"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct(F.col("i").alias("first"), F.lit(1).alias("mask"))).alias("marks"))
+        marks = scratch.write(marks, "marks")
+        self._write(counted.select("w", "w2"), self._next())
+        same = (F.col("a.th") == F.col("b.th")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
+        some = slim.alias("a").join(marks.alias("b"), same).select("a.doc_id", "a.th", "a.text", "b.marks").dropDuplicates(["doc_id", "th"])
+        cut = scratch.write(some.mapInArrow(_remover(self.window), f"doc_id {kind}, th long, n_removed long, kept string"), "cut")
+        scratch.drop("placed", "counted", "again", "marks")
+        return _replaced(docs, cut, id_col, text_col)

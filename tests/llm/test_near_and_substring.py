@@ -167,3 +167,35 @@ def test_columns_named_like_our_own_pass_through(spark):
     for made, left in ((minhash.near_dedup(docs), rows[:1]), (exact.exact_dedup(docs), rows[:1]), (exact.exact_dedup(docs.union(docs)), rows[:1])):
         assert made.columns == docs.columns and [tuple(r) for r in made.collect()] == left
     assert sorted(tuple(r) for r in substring.remove_repeats(docs).collect()) == [(i, "", 7, "g", "k", "r") for i in (1, 2)]
+
+
+def history_brute(batches, window):
+    """The kept texts of each batch, against the windows of all batches before."""
+    before, out = set(), []
+    for rows in batches:
+        split = [words(t) for _, t in rows]
+        seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
+        kept = []
+        for (d, t), w in zip(rows, split, strict=True):
+            again = lambda i, w=w, seen=seen: seen[x := tuple(w[i : i + window])] > 1 or x in before
+            gone = {i + k for i in range(len(w) - window + 1) if again(i) for k in range(window)}
+            kept.append((d, " ".join(x for i, x in enumerate(w) if i not in gone) if gone else t))
+        out.append(sorted(kept, key=repr))
+        before |= set(seen)
+    return out
+
+
+def test_batches_against_their_history(spark, tmp_path):
+    rows = passages(77)
+    batches = [rows[i::4] for i in range(4)]
+    history = substring.WindowHistory(spark, f"file://{tmp_path}/h", 20)
+    for i, (own, want) in enumerate(zip(batches, history_brute(batches, 20), strict=True)):
+        got = history.dedup(spark.createDataFrame(own, "doc_id long, text string")).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=repr) == want
+        if i == 2:
+            assert len(history._current()) == 3
+            history.compact()
+            assert len(history._names()) == 1
+    assert len(substring.WindowHistory(spark, f"file://{tmp_path}/h", 20)._current()) == 2
+    (tmp_path / "h" / "run-000099").mkdir()
+    assert len(history._current()) == 2  # a run without its end is not read

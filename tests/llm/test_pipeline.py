@@ -46,3 +46,11 @@ def test_odd_rows_pass_all_stages(spark, sf, odd_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = spark.createDataFrame((out := stage(spark, docs, sf)).collect(), out.schema)
     assert docs.where("doc_id = 9").count() > 0 and docs.where("doc_id in (4, 5, 6, 7, 11, 12)").count() == 0
+
+
+def test_no_rows_pass_all_stages(spark, sf, no_docs):
+    docs = no_docs
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        assert docs.count() == 0
