@@ -187,7 +187,7 @@ def unit_vector(v: Column, dimension: int) -> Column:
 
 
 def markdown_cell(value) -> str:
-    return str(value).replace("|", "\\|").replace("\n", "<br>")
+    return str(value).replace("|", "\\|").replace("\n", " ")
 
 
 def percent(x: float | None) -> str:

@@ -55,10 +55,27 @@ def encode_frame(docs: DataFrame, encoder: Encoder, text_col: str = "text", out:
     return docs.withColumn(out, _iterated(encoder)(F.col(text_col)))
 
 
+def encode_halving(encoder: Encoder, texts: list[str]) -> np.ndarray:
+    """Vectors of texts; a batch that does not fit into memory is tried as two halves, down to single texts."""
+    try:
+        return encoder.encode(texts)
+    except MemoryError:
+        if len(texts) < 2:
+            raise
+    half = len(texts) // 2
+    return np.concatenate([encode_halving(encoder, texts[:half]), encode_halving(encoder, texts[half:])])
+
+
+def truncated(docs: DataFrame, encoder: Encoder, text_col: str = "text") -> DataFrame:
+    """One row: texts, and how many are longer than what the encoder reads (encoder.max_chars, if it says so)."""
+    most = getattr(encoder, "max_chars", None)
+    return docs.agg(F.count(text_col).alias("texts"), (F.count_if(F.length(text_col) > most) if most else F.lit(0).cast("long")).alias("truncated"))
+
+
 def _iterated(encoder: Encoder):
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([row.tolist() for row in encoder.encode(part.fillna("").tolist())])
+            yield pd.Series([row.tolist() for row in encode_halving(encoder, part.fillna("").tolist())])
 
     return F.pandas_udf(run, "array<float>")
 

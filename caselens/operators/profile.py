@@ -128,6 +128,35 @@ def violations(frame: DataFrame, rules: dict[str, list[str] | str]) -> DataFrame
     return out.withColumn("any_violation", F.array_contains(F.array(*[F.col(f) for f in flags]), True))
 
 
+def row_flags(frame: DataFrame, rules: dict[str, list[str] | str], texts: list[str]) -> DataFrame:
+    """violations with has_pii: whether any of the text columns holds personal data, once a row however many do."""
+    found = F.lit(False)
+    for c in texts:
+        found = found | F.coalesce(has_mobile(F.col(c)) | has_citizen_id(F.col(c)) | has_email(F.col(c)), F.lit(False))
+    return violations(frame, rules).withColumn("has_pii", found)
+
+
+def column_difference(raw: DataFrame, clean: DataFrame) -> DataFrame:
+    """column, state (shared, removed or added) of the columns of two exports."""
+    one, two = raw.columns, clean.columns
+    rows = [(c, "shared" if c in two else "removed") for c in one] + [(c, "added") for c in two if c not in one]
+    return raw.sparkSession.createDataFrame(rows, "column string, state string")
+
+
+def prefix_compare(sample: DataFrame, source: DataFrame, ordinal: str) -> DataFrame:
+    """One row: logical_records of the sample, header_matches, prefix_row_mismatches (rows of the sample that differ from the source's row of
+    the same ordinal, or have none), is_exact_prefix."""
+    header = sample.columns == source.columns
+    fields = [c for c in sample.columns if c != ordinal]
+    whole = lambda frame, name: frame.select(ordinal, F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(x for x in frame.columns if x != ordinal)]).alias(name))
+    if len(fields) != len(source.columns) - 1:
+        rows = sample.select(F.lit(False).alias("same"))
+    else:
+        rows = whole(sample, "one").join(whole(source, "two"), ordinal, "left").select(F.col("one").eqNullSafe(F.col("two")).alias("same"))
+    wrong = F.count_if(~F.col("same"))
+    return rows.agg(F.count(F.lit(1)).alias("logical_records"), F.lit(header).alias("header_matches"), wrong.alias("prefix_row_mismatches"), (F.lit(header) & (wrong == 0)).alias("is_exact_prefix"))
+
+
 def pii_counts(frame: DataFrame, columns: list[str]) -> DataFrame:
     """field, rows with a mobile number, a citizen id, an e-mail address, or any of them."""
     rows = unpivoted(frame, columns).where("raw is not null").select("field", has_mobile(F.col("raw")).alias("m"), has_citizen_id(F.col("raw")).alias("i"), has_email(F.col("raw")).alias("e"))

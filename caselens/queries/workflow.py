@@ -11,9 +11,11 @@ from caselens.functions import text as T
 from caselens.functions.address import parsed_address
 from caselens.functions.evidence import EvidenceError, align
 from caselens.operators import address, annotation, dataset, extraction, judging, lexical, metrics, profile, scoring
+from caselens.plans import evaluation, report
 from caselens.plans.scratch import Scratch
 from caselens.plans.search import Searcher
-from caselens.queries.retrieval import CASES, COMPONENTS, LINKS, SQL as RETRIEVAL_SQL, _bm25, benchmark, case_hits, cases, documents, links, table
+from caselens.queries.profiling import _columns
+from caselens.queries.retrieval import CASES, COMPONENTS, LINKS, SQL as RETRIEVAL_SQL, _bm25, _dense, _vote, benchmark, case_hits, cases, documents, links, table
 from caselens.sources import files
 from caselens.streaming import incremental
 
@@ -457,9 +459,67 @@ def entries_of_cases(spark, sf_dir):
     return links(spark, sf_dir).groupBy("docid").agg(F.array_join(F.array_sort(F.collect_set("knowledge_id")), " ").alias("entries"))
 
 
+# -------------------------------------------------------------------------------------------- reports and evaluation
+
+
+def row_flags(spark, sf_dir):
+    """Rows by whether any rule is broken and whether any text holds personal data."""
+    out = profile.row_flags(documents(spark, sf_dir), {"lang": ["en", "de"], "n_chars": r"\d{1,3}"}, ["text", "source"])
+    return out.groupBy("lang_violation", "n_chars_violation", "any_violation", "has_pii").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def column_difference(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return profile.column_difference(c, c.drop("c_name").withColumn("c_new", F.lit(1)))
+
+
+def prefix_compare(spark, sf_dir):
+    """The first fifty customers, each tenth with another segment, beside all of them."""
+    c = table(spark, sf_dir, "customer")
+    sample = c.where("c_custkey <= 50").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 10 == 0, F.lit(None)).otherwise(F.col("c_mktsegment")))
+    return profile.prefix_compare(sample, c, "c_custkey")
+
+
+def columns_csv(spark, sf_dir):
+    """The table of columns as its CSV file gives it back."""
+    path = Scratch(spark, "columns").path("columns.csv")
+    rows = report.columns_table(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment", "c_nationkey"], ["c_name", "c_mktsegment", "c_nationkey"])
+    files.write_csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path).withColumn("missing_rate", F.round("missing_rate", 9))
+
+
+def repaired_jsonl(spark, sf_dir):
+    """Documents as JSON lines in a file whose last line is torn."""
+    path = Scratch(spark, "torn").path("records")
+    lines = documents(spark, sf_dir).select(F.col("doc_id").alias("k"), F.to_json(F.struct(F.col("doc_id").cast("string").alias("source_id"), F.col("text").alias("case_content"))).alias("value"))
+    torn = lines.agg((F.max("k") + 1).alias("k")).select("k", F.lit('{"source_id":"torn","case_con').alias("value"))
+    lines.unionByName(torn).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    back = files.read_repaired_jsonl(spark, path, "source_id string, case_content string", "source_id")
+    return back.select(F.col("source_id").cast("long").alias("doc_id"), "source_row", F.length("case_content").alias("length"))
+
+
+def model_files(spark, sf_dir):
+    """What a folder of files is known by: their sizes and hashes."""
+    path = Scratch(spark, "model").path("files")
+    table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    _, found = files.model_fingerprint(spark, path)
+    return spark.createDataFrame([(f["bytes"], f["sha256"]) for f in found], "bytes long, sha256 string")
+
+
+def dense_evaluation(spark, sf_dir):
+    """Vectors with an id divisible by 50 ask for their own label among all vectors, in slices by id."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.array(F.col("label").cast("string")).alias("gold"), (F.col("vec_id") % 4).alias("slice"))
+    links_ = e.select(F.col("vec_id").alias("docid"), F.col("label").cast("string").alias("knowledge_id"))
+    groups_ = e.select(F.col("vec_id").alias("docid"), F.floor(F.col("vec_id") / 3).alias("group_id"))
+    out = evaluation.dense_evaluation(asked, e.select("vec_id", "embedding"), links_, groups_, links_.where("knowledge_id <> '0'"), "slice")
+    return out.select("slice", "labeled_queries", "known_target_queries", *[F.round(c, 9).alias(c) for c in ("target_catalog_coverage", "observed_recall_1", "observed_recall_5", "observed_hit_10", "known_target_recall_5")])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        row_flags, column_difference, prefix_compare, columns_csv, repaired_jsonl, model_files, dense_evaluation,
         content_keys, cjk_tokens, iso_times, raw_date_profile, annotation_ids, unit_vectors, distinct_within, pii_types, dictionary, report_lines, address_index, address_parts, address_search,
         combined_search, problem_search, bm25_pool, rerank_topk, rerank_selection, judgment_pool, judgment_sheet, latency_p95, combined_grades, sliced_recall, extraction_spans, extraction_views,
         extraction_audit, extraction_errors, extraction_resumed, records_to_do, span_alignment, issue_scores, gold_records, adjudication_sheets, event_texts, pilot_trace, tsv_round_trip, jsonl_round_trip,
@@ -579,5 +639,18 @@ SQL = {
     "dataset_catalog": f"WITH RECURSIVE {BUILT} SELECT * FROM catalog",
     "query_statistics": f"""WITH RECURSIVE {BUILT}, s AS (SELECT min(doc_id) AS doc_id FROM records WHERE split = 'dev' GROUP BY group_id), g AS (SELECT r.knowledge_id, r.knowledge_id IN (SELECT knowledge_id FROM catalog) AS known FROM s JOIN records r USING (doc_id))
         SELECT count(*) AS queries, count(knowledge_id) AS labeled, count(*) - count(knowledge_id) AS unlabeled, count(knowledge_id) AS targets, count_if(knowledge_id IS NOT NULL AND known)::BIGINT AS in_catalog, count(knowledge_id) - count_if(knowledge_id IS NOT NULL AND known)::BIGINT AS unseen FROM g""",
+    "row_flags": rf"""WITH f AS (SELECT lang NOT IN ('en', 'de') AS lang_violation, n_chars > 999 AS n_chars_violation, regexp_matches(text, '(^|\D)1[3-9]\d{{9}}(\D|$)') OR regexp_matches(text, '(^|\D)\d{{17}}[\dXx](\D|$)') OR regexp_matches(text, '{EMAIL}') AS has_pii FROM documents)
+        SELECT lang_violation, n_chars_violation, lang_violation OR n_chars_violation AS any_violation, has_pii, count(*) AS rows FROM f GROUP BY 1, 2, 3, 4""",
+    "column_difference": "SELECT column_name AS \"column\", CASE WHEN column_name = 'c_name' THEN 'removed' ELSE 'shared' END AS state FROM (DESCRIBE customer) UNION ALL SELECT 'c_new', 'added'",
+    "prefix_compare": "SELECT count(*) AS logical_records, true AS header_matches, count_if(c_custkey % 10 = 0 AND c_mktsegment IS NOT NULL)::BIGINT AS prefix_row_mismatches, count_if(c_custkey % 10 = 0 AND c_mktsegment IS NOT NULL) = 0 AS is_exact_prefix FROM customer WHERE c_custkey <= 50",
+    "columns_csv": f"""WITH c AS ({_columns('customer', ['c_name', 'c_mktsegment', 'c_nationkey'])}), d AS (SELECT unnest(['c_name', 'c_mktsegment', 'c_nationkey']) AS field, unnest([count(DISTINCT c_name), count(DISTINCT c_mktsegment), count(DISTINCT c_nationkey)]) AS n FROM customer)
+        SELECT field AS name, total, filled, total - filled AS missing, round((total - filled) / total, 9) AS missing_rate, blank, null_literal, n AS "distinct", 'exact' AS distinct_method, min_length AS length_min, p50 AS length_p50, p95 AS length_p95, p99 AS length_p99, max_length AS length_max, trimmed AS trimmed_rows, multiline AS multiline_rows, control AS control_character_rows FROM c JOIN d USING (field)""",
+    "repaired_jsonl": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS source_row, length(text)::INT AS length FROM documents",
+    "model_files": "SELECT strlen(n_name) + 1 AS bytes, sha256(n_name || chr(10)) AS sha256 FROM nation",
+    "dense_evaluation": f"""WITH {_dense('hits', 50)}, links AS (SELECT vec_id AS docid, label::VARCHAR AS knowledge_id FROM embeddings), refs AS (SELECT docid, 1 AS refs FROM links), groups AS (SELECT vec_id AS docid, vec_id // 3 AS group_id FROM embeddings),
+        {_vote('(SELECT query_id, docid, rank FROM hits)', 10)}, q AS (SELECT vec_id AS query_id, vec_id % 4 AS slice, label::VARCHAR AS gold, label <> 0 AND EXISTS (SELECT 1 FROM embeddings x WHERE x.label = e.label) AS known FROM embeddings e WHERE vec_id % 50 = 0),
+        r AS (SELECT slice, known, rank FROM q LEFT JOIN votes v ON v.query_id = q.query_id AND v.knowledge_id = q.gold)
+        SELECT slice, count(*) AS labeled_queries, count_if(known)::BIGINT AS known_target_queries, round(avg(known::INT), 9) AS target_catalog_coverage, round(avg((coalesce(rank, 99) <= 1)::INT), 9) AS observed_recall_1, round(avg((coalesce(rank, 99) <= 5)::INT), 9) AS observed_recall_5,
+            round(avg((coalesce(rank, 99) <= 10)::INT), 9) AS observed_hit_10, round(avg((coalesce(rank, 99) <= 5)::INT) FILTER (WHERE known), 9) AS known_target_recall_5 FROM r GROUP BY slice""",
     "entries_of_cases": f"WITH {CASES}, {LINKS} SELECT docid, string_agg(knowledge_id, ' ' ORDER BY knowledge_id) AS entries FROM links GROUP BY docid",
 }

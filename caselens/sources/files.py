@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import tempfile
 from contextlib import contextmanager
 from pathlib import Path
@@ -86,6 +87,29 @@ def _jsonl_records(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("r.source_id", "r.case_content", F.coalesce("r.source_row", "place").alias("source_row"))
 
 
+def read_repaired_jsonl(spark: SparkSession, path: str, schema: str, id_col: str) -> DataFrame:
+    """Rows of JSON-lines files of which the last line may be torn, as a writer leaves it that was stopped: that line is left out. A line
+    that is torn anywhere else, and an id that repeats, are errors."""
+    lines = numbered(spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), "_metadata")).drop("_metadata")
+    parsed = lines.where(F.trim("value") != "").select("file", "source_row", F.try_parse_json("value").alias("fine"), F.from_json("value", schema).alias("r"))
+    last = parsed.groupBy("file").agg(F.max("source_row").alias("last"))
+    whole = parsed.join(F.broadcast(last), "file").where((F.col("source_row") < F.col("last")) | F.col("fine").isNotNull())
+    checked = F.when(F.col("fine").isNull(), F.raise_error(F.lit("a line is torn"))).otherwise(F.col("r"))
+    return require_unique(whole.select(checked.alias("r"), "source_row").select("r.*", "source_row"), id_col)
+
+
+def model_fingerprint(spark: SparkSession, folder: str) -> tuple[str, list[dict]]:
+    """(hash of a model, its configuration, vocabulary and weight files with size and hash); hidden folders don't count."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    root = folder.rstrip("/").removeprefix("file://").removeprefix("file:")
+    name = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("^" + re.escape(root) + "/"), F.lit(""))
+    fits = F.col("name").rlike(r"\.(json|txt|model|safetensors|bin)$") & ~F.col("name").rlike(r"(^|/)\.")
+    files_ = [r.asDict() for r in found.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(fits).orderBy("name").collect()]
+    if not files_:
+        raise ValueError("the folder holds no model")
+    return hashlib.sha256(json.dumps(files_, sort_keys=True).encode()).hexdigest(), files_
+
+
 def record_widths(spark: SparkSession, path: str) -> DataFrame:
     """width, records of a TSV file; quotes are honoured by a CSV parser on whole files."""
 
@@ -198,11 +222,16 @@ def markdown_table(rows: list[dict], columns: dict[str, str]) -> str:
     return "\n".join(lines + ["| " + " | ".join(shown(f, r.get(f)) for f in columns) + " |" for r in rows]) + "\n"
 
 
-def annotation_page(sheet: DataFrame, title: str, most: int = 1000) -> str:
-    """An HTML page with a bounded worksheet as embedded JSON; no text of it can end the script."""
+def annotation_page(sheet: DataFrame, title: str, most: int = 1000, checked: bool = False) -> str:
+    """An HTML page with a bounded worksheet as embedded JSON; no text of it can end the script. checked: rows are gold sheets, which must
+    be there, unique and of the text that their hash says. `write_report` puts the page where none is yet."""
     rows = [r.asDict(recursive=True) for r in sheet.limit(most + 1).collect()]
     if len(rows) > most:
         raise ValueError(f"more than {most} rows on one page")
+    if checked and not rows:
+        raise ValueError("an empty sheet")
+    if checked and (len({r.get("source_id") for r in rows}) < len(rows) or any(not r.get("source_id") or hashlib.sha256((r.get("case_content") or "").encode()).hexdigest() != r.get("content_sha256") for r in rows)):
+        raise ValueError("a sheet repeats a record, or its text is not the one that was hashed")
     data = json.dumps(rows, ensure_ascii=False, allow_nan=False).replace("<", "\\u003c").replace("\u2028", "\\u2028").replace("\u2029", "\\u2029")
     script = "const rows=JSON.parse(document.getElementById('rows').textContent);document.getElementById('n').textContent=rows.length;const out=document.getElementById('out');for(const r of rows){const p=document.createElement('pre');p.textContent=JSON.stringify(r,null,1);out.append(p)}"
     from html import escape

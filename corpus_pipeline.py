@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return the columns of
 documents. Near-duplicates are five-word shingles at a similarity of 0.8 or more. Stages stand for themselves: run() writes the result
-of each to the shared folder and reads it again as the next one's input."""
+of each to the shared folder and reads it again as the next one's input.
+
+Rows, in every stage: null and empty texts fail the quality rules and go there; alone, the other stages keep them (exact_dedup keeps
+one of all empty texts), and best_fit_packing gives them a piece of no words. Null ids, languages and sources are no reason to drop a
+row. Very long texts are read whole and end as many pieces. Of equal texts the smallest id stays, of rows that repeat id and text one
+stays; of near-duplicates the smallest id stays. A score at the threshold passes. Extra columns pass through all stages but the last,
+whatever their names. An empty table gives an empty result; without labels the base rules alone decide."""
 
 from __future__ import annotations
 
