@@ -1,4 +1,4 @@
-"""Scalar text functions as Column expressions; Arrow UDFs are NFKC, which sees non-ASCII values only, the places of a needle, and the
+"""Scalar text functions as Column expressions; Arrow UDFs are NFKC, which sees values that it may change only, the places of a needle, and the
 splitter."""
 
 from __future__ import annotations
@@ -53,9 +53,13 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
+#: Signs that NFKC leaves alone in any company: ASCII, precomposed Latin letters, CJK ideographs and their two stops.
+SETTLED = r"\x00-\x7f\u00c0-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u3001\u3002\u3400-\u4dbf\u4e00-\u9fff"
+
+
 def nfkc(c: Column) -> Column:
-    """NFKC; ASCII values never leave the JVM as payload."""
-    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
+    """NFKC; values of settled signs never leave the JVM as payload."""
+    return F.coalesce(_nfkc(F.when(c.rlike(f"[^{SETTLED}]"), c)), c)
 
 
 def content_key(c: Column) -> Column:

@@ -130,7 +130,8 @@ def stage_attribution(spark, sf_dir):
 
 def paired_delta(spark, sf_dir):
     """Title against case votes: recall at 10 over labelled queries."""
-    score = lambda hits, name: gold(spark, sf_dir).where(F.size("gold") > 0).join(_ranking(hits), "query_id", "left").select("query_id", (F.coalesce(F.size(F.array_intersect("gold", "ranking")), F.lit(0)) / F.size("gold")).alias(name))
+    labelled = Scratch(spark, "gold").write(gold(spark, sf_dir), "gold")
+    score = lambda hits, name: labelled.where(F.size("gold") > 0).join(_ranking(hits), "query_id", "left").select("query_id", (F.coalesce(F.size(F.array_intersect("gold", "ranking")), F.lit(0)) / F.size("gold")).alias(name))
     pairs = score(title_hits(spark, sf_dir), "one").join(score(votes(spark, sf_dir), "two"), "query_id")
     return metrics.paired_counts(pairs).withColumn("delta", F.round("delta", 9))
 
@@ -181,7 +182,7 @@ def judged_metrics(spark, sf_dir):
     grades = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("docid"), F.least(2 * F.col("quality"), 2 * (1 - F.col("toxic"))).alias("grade"))
     rows = hits.join(grades, "docid").withColumn("mode", F.when(F.col("query_id") % 2 == 0, "problem").otherwise("combined"))
     again = metrics.Window.partitionBy("query_id").orderBy("rank")
-    rows = rows.withColumn("rank", F.row_number().over(again))
+    rows = Scratch(spark, "grades").write(rows.withColumn("rank", F.row_number().over(again)), "rows")
     other = rows.withColumn("rank", F.row_number().over(metrics.Window.partitionBy("query_id").orderBy(F.desc("docid"))))
     judged = rows.withColumn("method", F.lit("baseline")).unionByName(other.withColumn("method", F.lit("reranked")))
     per_query = metrics.judged_metrics(judged.select("query_id", "mode", "method", "rank", "grade"), rows.select("query_id", "mode", "grade"))

@@ -147,3 +147,16 @@ def test_extraction_run(spark):
     a = extraction.audit(out).first()
     assert (a.records, a.succeeded, a.failed, a.retries, a.dropped_events) == (4, 2, 2, 1, 1)
     assert {(r.what, r.value): r["count"] for r in extraction.histograms(out).collect()}["polarity", "occurred"] == 2
+
+
+def test_settled_signs_are_left_alone(spark):
+    import re
+    import unicodedata
+
+    settled = [chr(i) for i in range(0x11000) if not 0xD800 <= i < 0xE000 and re.match(f"[{T.SETTLED}]", chr(i))]
+    assert len(settled) > 27_000 and all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in settled)
+    # No two of them make another sign together.
+    assert all(unicodedata.is_normalized("NFKC", a + b) for a in settled[:600] for b in settled[:600])
+    rows = ["ﬁé", "é é", "plain", "ｆｕｌｌ宽", "é", "a b", None]
+    got = [r[0] for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string").orderBy("i").select(T.nfkc(F.col("t"))).collect()]
+    assert got == [r and unicodedata.normalize("NFKC", r) for r in rows]
