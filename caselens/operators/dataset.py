@@ -30,6 +30,12 @@ def eligibility(delete_flag: Column, invalid_type: Column, content: Column) -> C
     )
 
 
+def require_clean(frame: DataFrame, text_col: str) -> DataFrame:
+    """frame, whose evaluation fails at a text that holds a table."""
+    dirty = contamination(F.col(text_col)).isNotNull()
+    return frame.withColumn(text_col, F.when(dirty, F.raise_error(F.lit("a text holds tabular data"))).otherwise(F.col(text_col)))
+
+
 def references(frame: DataFrame, json_col: str) -> DataFrame:
     """frame with refs (sorted distinct array of (knowledge_id, label)) and ref_error (null when the JSON is fine or missing).
 

@@ -164,5 +164,13 @@ def validate_shards(shards: DataFrame, dimension: int) -> None:
     before = F.lag("docid").over(Window.partitionBy("shard", "file").orderBy("place"))
     ordered = shards.withColumns({"file": F.input_file_name(), "place": F.monotonically_increasing_id()}).withColumn("before", before)
     bad = (F.size("embedding") != dimension) | F.isnan(norm) | (F.abs(norm - 1) > 1e-4) | (F.col("before") >= F.col("docid"))
+    if shards.schema["embedding"].dataType.simpleString() != "array<float>":
+        raise ValueError("vectors are not of single precision")
     if not ordered.where(bad).isEmpty():
         raise ValueError("a shard of vectors is not valid")
+
+
+def changed_files(now: DataFrame, recorded: DataFrame) -> DataFrame:
+    """path of files of a shard that are gone, new or of another hash than recorded. Both: path, sha256."""
+    both = now.select("path", F.col("sha256").alias("a")).join(recorded.select("path", F.col("sha256").alias("b")), "path", "full_outer")
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select("path")

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from caselens.functions import text as T
 from caselens.functions.address import parsed_address
 from caselens.functions.evidence import EvidenceError, align
-from caselens.operators import address, annotation, dataset, extraction, judging, lexical, metrics, profile, scoring
+from caselens.operators import address, annotation, dataset, dense, extraction, judging, lexical, metrics, profile, scoring
 from caselens.plans import evaluation, report
 from caselens.plans.scratch import Scratch
 from caselens.plans.search import Searcher
-from caselens.queries.profiling import _columns
+from caselens.queries.profiling import SQL as PROFILING_SQL, _columns
 from caselens.queries.retrieval import CASES, COMPONENTS, LINKS, SQL as RETRIEVAL_SQL, _bm25, _dense, _vote, benchmark, case_hits, cases, documents, links, table
 from caselens.sources import files
 from caselens.streaming import incremental
@@ -115,9 +115,11 @@ def _pick(values: list[str], n):
 
 
 def _addressed(spark, sf_dir) -> DataFrame:
-    """docid, source_id, source_row, content, call_time: customers with an address each."""
+    """docid, source_id, source_row, content, call_time: customers with an address each, every second one in full-width digits."""
     k = F.col("c_custkey")
-    place = F.concat(F.lit("市民反映位于"), _pick(DISTRICTS, k % 3), _pick(PLACES, k % 4), (k % 7 + 1).cast("string"), F.lit("号楼有噪音"))
+    number = (k % 7 + 1).cast("string")
+    number = F.when(k % 2 == 0, F.translate(number, "1234567", "１２３４５６７")).otherwise(number)
+    place = F.concat(F.lit("市民反映位于"), _pick(DISTRICTS, k % 3), _pick(PLACES, k % 4), number, F.lit("号楼有噪音"))
     road = F.concat(_pick(ROADS, k % 2), (k % 11 + 1).cast("string"), F.lit("号门口积水"))
     content = F.when(k % 5 < 3, place).when(k % 5 == 3, road).otherwise(F.lit("附近小区很吵"))
     return table(spark, sf_dir, "customer").select(k.alias("docid"), F.format_string("old-%09d", k).alias("source_id"), k.alias("source_row"), content.alias("content"), F.lit("2025-08-01 10:00:00").alias("call_time"))
@@ -284,6 +286,31 @@ def extraction_resumed(spark, sf_dir):
     return again.select(F.col("source_row").alias("doc_id"), "attempts")
 
 
+def extraction_segments(spark, sf_dir):
+    """Texts in segments of a thousand signs: the events of all segments of a text are one, at their places in the whole text."""
+    out = extraction.run_extraction(_records(spark, sf_dir), extraction.LeadingWords, extraction.Contract("leading-words", segment_chars=1000), sleep=_awake)
+    rows = out.withColumn("e", F.get(F.from_json("events", annotation.EVENTS), F.lit(0)))
+    return rows.select(F.col("source_row").alias("doc_id"), F.col("e.trigger.start").alias("trigger_start"), F.array_join(F.transform("e.behaviors", lambda b: b.start.cast("string")), " ").alias("behavior_starts"), F.coalesce("error_code", F.lit("")).alias("error"))
+
+
+def seed_queries(spark, sf_dir):
+    """A query set of the nations as problems and their regions as addresses, checked."""
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").collect()
+    return judging.validate_queries(judging.seed_queries(spark, [(r["n_name"], f"{r['r_name']} {r['n_nationkey']}") for r in rows]))
+
+
+def encoded_shards(spark, sf_dir):
+    """Documents that arrive in files, encoded in micro-batches; a second call finds nothing new."""
+    scratch = Scratch(spark, "encoded")
+    docs = scratch.write(documents(spark, sf_dir).select(F.col("doc_id").alias("docid"), "text").repartition(8, "docid"), "in")
+    for _ in range(2):
+        incremental.encode_new(spark, scratch.path("in"), docs.schema, scratch.path("state"), scratch.path("out"), dense.HashEncoder(16))
+    shards = spark.read.parquet(scratch.path("out"))
+    dense.validate_shards(shards, 16)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+    return shards.select(F.col("docid").alias("doc_id"), F.size("embedding").alias("dimension"), F.round(norm, 4).alias("norm"))
+
+
 def records_to_do(spark, sf_dir):
     rows = _records(spark, sf_dir)
     return incremental.resumed(rows, rows.where("source_row % 3 = 0"), "source_id", "case_content").select(F.col("source_row").alias("doc_id"))
@@ -519,7 +546,7 @@ def dense_evaluation(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        row_flags, column_difference, prefix_compare, columns_csv, repaired_jsonl, model_files, dense_evaluation,
+        extraction_segments, seed_queries, encoded_shards, row_flags, column_difference, prefix_compare, columns_csv, repaired_jsonl, model_files, dense_evaluation,
         content_keys, cjk_tokens, iso_times, raw_date_profile, annotation_ids, unit_vectors, distinct_within, pii_types, dictionary, report_lines, address_index, address_parts, address_search,
         combined_search, problem_search, bm25_pool, rerank_topk, rerank_selection, judgment_pool, judgment_sheet, latency_p95, combined_grades, sliced_recall, extraction_spans, extraction_views,
         extraction_audit, extraction_errors, extraction_resumed, records_to_do, span_alignment, issue_scores, gold_records, adjudication_sheets, event_texts, pilot_trace, tsv_round_trip, jsonl_round_trip,
@@ -545,7 +572,7 @@ def _list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-PLACED = f"""placed AS (SELECT c_custkey AS docid, {_list(DISTRICTS)}[c_custkey % 3 + 1] AS district, {_list(PLACES)}[c_custkey % 4 + 1] AS place, (c_custkey % 7 + 1) || '号楼' AS building FROM customer WHERE c_custkey % 5 < 3),
+PLACED = f"""placed AS (SELECT c_custkey AS docid, {_list(DISTRICTS)}[c_custkey % 3 + 1] AS district, {_list(PLACES)}[c_custkey % 4 + 1] AS place, (c_custkey % 7 + 1) || '号楼' AS building, CASE WHEN c_custkey % 2 = 0 THEN translate((c_custkey % 7 + 1)::VARCHAR, '1234567', '１２３４５６７') ELSE (c_custkey % 7 + 1)::VARCHAR END || '号楼' AS written FROM customer WHERE c_custkey % 5 < 3),
     roads AS (SELECT c_custkey AS docid, {_list(ROADS)}[c_custkey % 2 + 1] AS road, (c_custkey % 11 + 1) || '号' AS house FROM customer WHERE c_custkey % 5 = 3)"""
 BUILT = f"""keyed AS (SELECT doc_id, sha256(regexp_replace(text, '\\s+', '', 'g')) AS t, 'o' || (doc_id // 2) AS k FROM documents WHERE doc_id % 13 <> 0 AND trim(text, E' \\t\\n\\r') <> '' AND NOT contains(text, chr(9))), {COMPONENTS[COMPONENTS.index('edges AS') :]},
     p AS (SELECT doc_id, CASE WHEN DATE '2025-07-01' + (doc_id % 300)::INT < DATE '2026-01-01' THEN 1 WHEN DATE '2025-07-01' + (doc_id % 300)::INT < DATE '2026-02-01' THEN 2 ELSE 4 END AS period FROM keyed),
@@ -560,7 +587,7 @@ SCORES = """s AS (SELECT doc_id % 4 AS n, doc_id AS r, split_part(trim(text), '
 CJK_CLASS = "[\\x{3400}-\\x{9fff}]"
 LABEL_OF = {"trigger": "原文触发", "behaviors": "行为现象"}
 ASKED = [
-    (1, "SELECT docid, 'named_place=' || place || ' building=' || building AS evidence FROM placed WHERE place = '幸福小区' AND building = '3号楼'", "named_place_and_building", "false"),
+    (1, "SELECT docid, 'named_place=' || place || ' building=' || written AS evidence FROM placed WHERE place = '幸福小区' AND building = '3号楼'", "named_place_and_building", "false"),
     (2, "SELECT docid, 'district=' || district || ' named_place=' || place FROM placed WHERE district = '武进区' AND place = '平安花园'", "named_place", "false"),
     (3, "SELECT docid, 'road=' || road || ' house_number=' || house FROM roads WHERE road = '劳动东路' AND house = '4号'", "road_and_house_number", "false"),
     (4, "SELECT docid, 'road=' || road FROM roads WHERE road = '劳动东路'", "road_surface", "false"),
@@ -586,9 +613,9 @@ SQL = {
         SELECT field, count(*) AS total, count(raw) AS filled, max(length(trim(raw))) AS max_length, meaning, kind FROM r GROUP BY field, meaning, kind""",
     "report_lines": """WITH t AS (SELECT c_mktsegment AS v, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5), r AS (SELECT v, n, row_number() OVER (ORDER BY n DESC, v) + 1 AS line, n / sum(n) OVER () AS share FROM t)
         SELECT 0 AS line, '| Segment | Rows | Share |' AS text UNION ALL SELECT 1, '|---|---|---|' UNION ALL SELECT line::INT, '| ' || v || '\\|x | ' || n || ' | ' || printf('%.2f', 100 * share::DOUBLE) || '% |' FROM r""",
-    "address_index": f"""WITH {PLACED}, e AS (SELECT docid, 'district' AS kind, district AS text, 6 AS start FROM placed UNION ALL SELECT docid, 'named_place', place, 9 FROM placed UNION ALL SELECT docid, 'building', building, 13 FROM placed
-            UNION ALL SELECT docid, 'road', road, 0 FROM roads UNION ALL SELECT docid, 'house_number', house, 4 FROM roads)
-        SELECT docid, kind, text AS normalized, text, start::INT AS start, (start + length(text))::INT AS "end", 0::INT AS address_group FROM e""",
+    "address_index": f"""WITH {PLACED}, e AS (SELECT docid, 'district' AS kind, district AS normalized, district AS text, 6 AS start FROM placed UNION ALL SELECT docid, 'named_place', place, place, 9 FROM placed UNION ALL SELECT docid, 'building', building, written, 13 FROM placed
+            UNION ALL SELECT docid, 'road', road, road, 0 FROM roads UNION ALL SELECT docid, 'house_number', house, house, 4 FROM roads)
+        SELECT docid, kind, normalized, text, start::INT AS start, (start + length(text))::INT AS "end", 0::INT AS address_group FROM e""",
     "address_parts": "SELECT c_custkey AS docid, CASE WHEN c_custkey % 5 < 3 THEN 3 WHEN c_custkey % 5 = 3 THEN 2 ELSE 0 END AS mentions, CASE WHEN c_custkey % 5 < 3 THEN 'district,named_place,building' WHEN c_custkey % 5 = 3 THEN 'road,house_number' ELSE '' END AS kinds FROM customer",
     "address_search": f"WITH {PLACED}, f AS ({' UNION ALL '.join(f'''SELECT {q}::BIGINT AS query_id, '{scope}' AS scope, {broader} AS broader, * FROM ({sql})''' for q, sql, scope, broader in ASKED)}) SELECT query_id, docid, row_number() OVER (PARTITION BY query_id ORDER BY docid)::INT AS rank, scope, broader, evidence FROM f",
     "combined_search": f"""WITH {_bm25(CASES, 'hits', 20)}, r AS (SELECT docid, row_number() OVER (ORDER BY round(score, 9), docid)::INT AS rank FROM sc_hits WHERE query_id = (SELECT min(item_id) FROM benchmark) AND docid % 4 = 0 AND docid % 3 = 1)
@@ -618,6 +645,14 @@ SQL = {
     "extraction_errors": f"""WITH {WORDS}, r AS (SELECT 'polarity' AS what, 'occurred' AS value FROM lead WHERE n > 2 UNION ALL SELECT 'error_code', 'UPSTREAM_RATE_LIMITED' FROM lead WHERE n IN (1, 2) UNION ALL SELECT 'quarantined', 'UpstreamError' FROM lead WHERE n IN (1, 2))
         SELECT what, value, count(*) AS count FROM r GROUP BY 1, 2""",
     "extraction_resumed": f"""WITH {WORDS}, c AS (SELECT DISTINCT text FROM lead WHERE doc_id % 3 = 1 AND n NOT IN (1, 2)) SELECT doc_id, CASE WHEN c.text IS NOT NULL THEN 0 WHEN n IN (1, 2) THEN 2 ELSE 1 END::INT AS attempts FROM lead LEFT JOIN c USING (text) WHERE doc_id % 3 <> 0""",
+    "extraction_segments": f"""{PROFILING_SQL['split_documents'][: PROFILING_SQL['split_documents'].index('SELECT doc_id, n::INT AS n, start::INT')]},
+        p AS (SELECT doc_id, n, start, substring(text, start + 1, cut - start) AS part FROM r), w AS (SELECT *, list_filter(regexp_split_to_array(part, '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM p),
+        e AS (SELECT doc_id, n, len(w) IN (1, 2) AS bad, CASE WHEN len(w) > 2 THEN start + strpos(part, w[1]) - 1 END AS t, CASE WHEN len(w) > 2 THEN start + strpos(part, w[2]) - 1 END AS b FROM w),
+        d AS (SELECT doc_id, bool_or(bad) AS bad, min(t) AS t, list(b ORDER BY n) FILTER (WHERE b IS NOT NULL) AS b FROM e GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN NOT bad THEN t END::INT AS trigger_start, CASE WHEN NOT bad AND t IS NOT NULL THEN array_to_string(list_transform(b[1:5], lambda x: x::VARCHAR), ' ') END AS behavior_starts, CASE WHEN bad THEN 'UPSTREAM_RATE_LIMITED' ELSE '' END AS error FROM d""",
+    "seed_queries": """WITH s AS (SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INT AS scenario, n_name, r_name || ' ' || n_nationkey AS r_name FROM nation JOIN region ON n_regionkey = r_regionkey), q AS (SELECT *, unnest(['problem', 'address', 'combined']) AS mode FROM s)
+        SELECT scenario || '-' || mode AS query_id, scenario, mode, CASE WHEN scenario < 6 THEN 'calibration' ELSE 'evaluation' END AS partition, CASE WHEN mode = 'address' THEN r_name ELSE n_name END AS query, CASE WHEN mode = 'combined' THEN r_name END AS address FROM q""",
+    "encoded_shards": "SELECT doc_id, 16::INT AS dimension, 1.0::DOUBLE AS norm FROM documents",
     "records_to_do": "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0",
     "span_alignment": f"""WITH {WORDS}, s AS (SELECT doc_id, text, two AS q, strpos(text, two) - 1 + doc_id % 5 AS s FROM lead WHERE n > 1), p AS (SELECT *, substring(text, s + 1, length(q)) = q AS fits, list_filter(range(0, length(text) - length(q) + 1), lambda i: substring(text, i + 1, length(q)) = q) AS places FROM s),
         d AS (SELECT *, list_min(list_transform(places, lambda i: abs(i - s))) AS near FROM p), f AS (SELECT *, list_filter(places, lambda i: abs(i - s) = near) AS best FROM d)

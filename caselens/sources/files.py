@@ -130,8 +130,22 @@ def record_widths(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, StructType([StructField("width", LongType()), StructField("records", LongType())])).groupBy("width").agg(F.sum("records").alias("records"))
 
 
+def unavailable_fields(widths: DataFrame, columns: int) -> DataFrame:
+    """One row: records, and how many of them and how many fields end before the last of `columns`. widths: of record_widths."""
+    short = F.greatest(F.lit(columns) - F.col("width"), F.lit(0))
+    return widths.agg(F.sum("records").alias("records"), F.sum(F.when(short > 0, F.col("records")).otherwise(0)).alias("short_records"), F.sum(short * F.col("records")).alias("unavailable_fields"))
+
+
+def source_facts(spark: SparkSession, path: str) -> dict:
+    """path, size_bytes, sha256 and header of one table file."""
+    found = file_hashes(spark, path).collect()
+    if len(found) != 1:
+        raise ValueError("not one file")
+    return {"path": found[0]["path"], "size_bytes": found[0]["length"], "sha256": found[0]["sha256"], "header": header(spark, path)}
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, sha256 of files, hashed on the executors."""
+    """path, length, sha256 of files, hashed on the executors. A file is one value there: files of up to 2 GB."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from caselens.operators.dense import Encoder, encode_frame
@@ -33,8 +33,16 @@ def event_counts(events: DataFrame, every: str = "1 hour", late: str = "10 minut
     return rows.groupBy(F.window("ts", every), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
 
-def resumed(todo: DataFrame, done: DataFrame, key: str, content: str) -> DataFrame:
-    """Rows that are not done; an error where a done row has other content now."""
+def counted(frame: DataFrame, name: str, **counters) -> tuple[DataFrame, Observation]:
+    """frame, and the counts of its rows that are there once an action has run over it; counters: further aggregates by name."""
+    seen = Observation(name)
+    return frame.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in counters.items()]), seen
+
+
+def resumed(todo: DataFrame, done: DataFrame, key: str, content: str, failed: DataFrame | None = None) -> DataFrame:
+    """Rows that are not done; an error where a done row has other content now, or is among the failed ones too."""
+    if failed is not None and not done.join(failed.select(key), key, "left_semi").isEmpty():
+        raise ValueError("a record is done and failed")
     both = todo.join(done.select(key, F.col(content).alias("__was")), key)
     if not both.where(F.col(content) != F.col("__was")).isEmpty():
         raise ValueError("a record that is done has changed")

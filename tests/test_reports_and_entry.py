@@ -146,3 +146,30 @@ def test_prefixes_and_columns(spark):
     assert tuple(profile.prefix_compare(one.limit(1), one, "n").first()) == (1, True, 0, True)
     assert tuple(profile.prefix_compare(one.union(spark.createDataFrame([(3, "c")], one.schema)), one, "n").first()) == (3, True, 1, False)
     assert tuple(profile.prefix_compare(one.select("n"), one, "n").first()) == (2, False, 2, False)
+
+
+def test_guards_counts_and_facts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from caselens.operators import dataset
+    from caselens.streaming import incremental
+
+    rows = spark.createDataFrame([("a", "x"), ("b", "y\tz")], "id string, t string")
+    assert dataset.require_clean(rows.where("id = 'a'"), "t").count() == 1
+    with pytest.raises(Exception, match="tabular"):
+        dataset.require_clean(rows, "t").collect()
+    frame, seen = incremental.counted(rows, "seen", long=F.count_if(F.length("t") > 1))
+    frame.collect()
+    assert seen.get == {"rows": 2, "long": 1}
+    with pytest.raises(ValueError):
+        incremental.resumed(rows, rows.limit(1), "id", "t", failed=rows)
+    assert incremental.resumed(rows, rows.where("id = 'a'"), "id", "t", failed=rows.where("id = 'b'")).count() == 1
+    (tmp_path / "t.tsv").write_text("p\tq\tr\n1\t2\t3\n4\n5\t6\n")
+    path = f"{tmp_path}/t.tsv"
+    assert tuple(files.unavailable_fields(files.record_widths(spark, path), 3).first()) == (4, 2, 3)
+    facts = files.source_facts(spark, path)
+    assert facts["header"] == ["p", "q", "r"] and facts["sha256"] == files.file_sha256(path) and facts["size_bytes"] == 18
+    recorded = spark.createDataFrame([("p1", "h1"), ("p2", "h2")], "path string, sha256 string")
+    assert {r.path for r in dense.changed_files(spark.createDataFrame([("p1", "h1"), ("p2", "h9"), ("p3", "h3")], recorded.schema), recorded).collect()} == {"p2", "p3"}
+    with pytest.raises(ValueError, match="precision"):
+        dense.validate_shards(spark.createDataFrame([(1, 1, [1.0])], "shard int, docid long, embedding array<double>"), 1)
