@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import exact, langid, minhash, packing, quality, sentpiece, sharding, substring, tokenstore, urlrules
+from caselens.llm import alignment, exact, langid, minhash, packing, quality, sentpiece, sharding, substring, tokenstore, urlrules
 from caselens.llm.common import Scratch
 
 
@@ -77,11 +77,15 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_store(spark, shards)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_substring_dedup, op3_best_fit_packing, op4_sentencepiece, op5_exact_dedup, op6_language_id, op7_minhash_near_dedup,
-        op8_quality_rules, op9_url_filters, op10_token_store,
+        op8_quality_rules, op9_url_filters, op10_token_store, op11_cross_tokenizer_alignment,
     )
 }
 
