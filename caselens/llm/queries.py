@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import alignment, exact, langid, minhash, packing, quality, sentpiece, sharding, substring, tokenstore, urlrules
+from caselens.llm import alignment, exact, exponion, langid, minhash, packing, quality, sentpiece, sharding, substring, tokenstore, urlrules
 from caselens.llm.common import Scratch
 
 
@@ -81,11 +81,16 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.align_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1).drop("scanned")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_substring_dedup, op3_best_fit_packing, op4_sentencepiece, op5_exact_dedup, op6_language_id, op7_minhash_near_dedup,
         op8_quality_rules, op9_url_filters, op10_token_store, op11_cross_tokenizer_alignment,
+        op12_centroid_clustering,
     )
 }
 
@@ -110,11 +115,30 @@ def _static_rules() -> tuple[str, str]:
     return tuple("CASE " + " ".join(f"WHEN {r[0]} THEN '{r[i]}'" for r in rows) + " END" for i in (1, 2))
 
 
+def _rounds(n: int) -> str:
+    """n rounds of k-means over e(vec_id, row, v), from centroids c0(j, v), as common table expressions."""
+    steps = []
+    for i in range(n + 1):
+        steps.append(f"""a{i} AS (SELECT row, vec_id, e.v, arg_min(j, [d, j]) AS j, min(d) AS d FROM (SELECT row, vec_id, e.v, j, list_sum(list_transform(range(1, 65), lambda x: (e.v[x] - c{i}.v[x]) * (e.v[x] - c{i}.v[x])))::BIGINT AS d FROM e, c{i}) AS e GROUP BY row, vec_id, e.v)""")
+        if i < n:
+            steps.append(f"""m{i} AS (SELECT j, list(q ORDER BY p) AS v FROM (SELECT j, p, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS q FROM (SELECT j, unnest(v) AS x, unnest(range(64)) AS p FROM a{i}) GROUP BY j, p) GROUP BY j)""")
+            steps.append(f"c{i + 1} AS (SELECT j, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (j))")
+    return ", ".join(steps)
+
+
 def _subsets(tokens: str) -> str:
     return f"array_to_string(list_filter({tokens}, lambda x, i: (m >> (i - 1)) & 1 = 1), chr(31))"
 
 
 SQL = {
+    "op12_centroid_clustering": f"""
+        WITH k AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+             e AS (SELECT *, row_number() OVER (ORDER BY vec_id, v) AS row FROM k),
+             c0 AS (SELECT j, v FROM (SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS j FROM e) WHERE j < 16),
+             {_rounds(3)},
+             s AS (SELECT j, sum(d)::BIGINT AS s FROM a3 GROUP BY j)
+        SELECT vec_id, j::INT AS cluster, d AS distance, s AS cluster_inertia, (SELECT sum(d)::BIGINT FROM a3) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256 FROM a3 JOIN s USING (j) JOIN c3 USING (j)""",
     "op9_url_filters": rf"""
         WITH a AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{urlrules.UPPER}', '{urlrules.LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
                           coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '') AS query FROM pages),

@@ -15,6 +15,6 @@ def rows_of(frame):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     assert rows_of(queries.QUERIES[name](spark, sf).toPandas()) == rows_of(con.sql(queries.SQL[name]).df())
