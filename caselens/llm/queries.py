@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import alignment, exact, exponion, langid, minhash, packing, quality, sentpiece, sharding, substring, tokenstore, urlrules
+from caselens.llm import alignment, exact, exponion, langid, minhash, packing, quality, sentpiece, sharding, substring, suffixes, tokenstore, urlrules
 from caselens.llm.common import Scratch
 
 
@@ -85,12 +85,16 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exponion.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1).drop("scanned")
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"), window=100)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_substring_dedup, op3_best_fit_packing, op4_sentencepiece, op5_exact_dedup, op6_language_id, op7_minhash_near_dedup,
         op8_quality_rules, op9_url_filters, op10_token_store, op11_cross_tokenizer_alignment,
-        op12_centroid_clustering,
+        op12_centroid_clustering, op13_suffix_array_dedup,
     )
 }
 
@@ -131,6 +135,17 @@ def _subsets(tokens: str) -> str:
 
 
 SQL = {
+    "op13_suffix_array_dedup": """
+        WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS row, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+             p AS (SELECT row, doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT *, unnest(range(len(h) // 2 - 99)) AS i FROM d WHERE len(h) >= 200)),
+             m AS (SELECT s, min((doc_id, i)) AS one FROM p GROUP BY s HAVING count(*) > 1),
+             r AS (SELECT DISTINCT row, i FROM p JOIN m USING (s) WHERE (doc_id, i) > one),
+             g AS (SELECT row, i, i > coalesce(lag(i) OVER (PARTITION BY row ORDER BY i), -200) + 100 AS fresh FROM r),
+             n AS (SELECT row, i, sum(fresh::INT) OVER (PARTITION BY row ORDER BY i) AS span FROM g),
+             u AS (SELECT row, span, min(i) AS a, max(i) + 100 AS b FROM n GROUP BY row, span),
+             k AS (SELECT row, a, b, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS z FROM u),
+             c AS (SELECT row, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept FROM k JOIN d USING (row) GROUP BY row)
+        SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN c USING (row)""",
     "op12_centroid_clustering": f"""
         WITH k AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
                    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
