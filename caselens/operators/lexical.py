@@ -1,12 +1,17 @@
-"""BM25 over an inverted index held as three frames: postings, document lengths and one row of collection statistics.
+"""BM25 over an inverted index of blocks, with an early cut that stays exact.
 
-Equal joins on the term drive everything; the query side is pruned to its heaviest terms before it meets the postings, and the
-cut to k runs as a grouped limit below the sort."""
+Documents lie in strips of about `STRIP` documents of like length; a block is what one term has in one strip: documents, counts, lengths and
+the largest weight in it. The sum of a query's largest weights bounds the score of any document of a strip, so the best strips are
+scored first, their k-th score is the bar, and strips whose bound lies below it are never read. No block is longer than a strip, so a
+term that every document has is many rows of its own keys, not one hot one.
+
+Texts are tokenised once and the terms of a document are counted inside its row, before anything is shuffled."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,42 +21,90 @@ from caselens.plans.scratch import Scratch
 # Fixed values of the ranking function.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
+#: Documents of a strip; bounds get tighter and more numerous as it shrinks.
+STRIP = 32
+#: Scores agree in nine places; bounds give way by more than that.
+SLACK = 1e-8
 
 
 @dataclass
 class Index:
-    postings: DataFrame  # term, docid, tf
+    blocks: DataFrame  # term, strip, bound, docs (array of docid, tf, dl)
     lengths: DataFrame  # docid, dl
     vocabulary: DataFrame  # term, df, cf
     stats: DataFrame  # n, avgdl
 
+    @property
+    def postings(self) -> DataFrame:
+        """term, docid, tf."""
+        return self.blocks.select("term", F.explode("docs").alias("d")).select("term", "d.docid", "d.tf")
+
     def write(self, path: str) -> None:
-        """Postings lie sorted by term, so that a reader skips the row groups of other terms."""
-        self.postings.repartition("term").sortWithinPartitions("term", "docid").write.parquet(f"{path}/postings")
+        """Blocks lie sorted by term, so that a reader skips the row groups of other terms."""
+        self.blocks.repartitionByRange("term", "strip").sortWithinPartitions("term", "strip").write.parquet(f"{path}/blocks")
         for name in ("lengths", "vocabulary", "stats"):
             getattr(self, name).write.parquet(f"{path}/{name}")
 
     @classmethod
     def read(cls, spark, path: str) -> Index:
-        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "vocabulary", "stats")])
-
-
-def vocabulary(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-
-
-def build_index(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch | None = None) -> Index:
-    """docs: one row per document, or one for each part of it. Lengths count tokens with repeats; documents without tokens count for the
-    mean. Texts are read and tokenised once: the postings are written, and everything else is summed up from them."""
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("blocks", "lengths", "vocabulary", "stats")])
+
+
+def _count(batches):
+    """docid, dl, head (first row of its document), term, tf: a row for each different term of a row's list, one of no term if it is empty."""
+    import pyarrow as pa
+
+    for batch in batches:
+        lists = batch.column(1)
+        sizes = np.diff(lists.offsets.to_numpy())
+        coded = lists.flatten().dictionary_encode()
+        words = pa.concat_arrays([coded.dictionary, pa.array([""], coded.dictionary.type)])
+        rows = np.append(np.repeat(np.arange(len(sizes)), sizes), np.flatnonzero(sizes == 0))
+        codes = np.append(coded.indices.to_numpy(), np.full((sizes == 0).sum(), len(words) - 1))
+        keys, tf = np.unique(rows * len(words) + codes, return_counts=True)
+        row, code = np.divmod(keys, len(words))
+        tf[code == len(words) - 1] = 0
+        head = np.ones(len(row), bool)
+        head[1:] = row[1:] != row[:-1]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(sizes[row].astype(np.int64)), pa.array(head), words.take(pa.array(code)).cast(pa.string()), pa.array(tf.astype(np.int64))], ["docid", "dl", "head", "term", "tf"])
+
+
+def _counted(docs: DataFrame, id_col: str, text_col: str, parts: bool, scratch: Scratch) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("docid"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("terms"))
+    counted = rows.mapInArrow(_count, f"docid {rows.schema['docid'].dataType.simpleString()}, dl long, head boolean, term string, tf long")
+    if not parts:
+        return scratch.write(counted, "counted")
+    # Parts of a document meet; a part without tokens adds nothing but keeps its document.
+    merged = scratch.write(counted.groupBy("docid", "term").agg(F.sum("tf").alias("tf")), "merged")
+    lengths = scratch.write(merged.groupBy("docid").agg(F.sum("tf").alias("dl"), F.max("term").alias("last")), "whole")
+    met = merged.join(lengths, "docid").where((F.col("term") != "") | (F.col("last") == ""))
+    return scratch.write(met.select("docid", "dl", (F.col("term") == F.col("last")).alias("head"), "term", "tf"), "counted")
+
+
+def weight(tf: Column, dl: Column, avgdl: float) -> Column:
+    """What a term adds to a score, but for its idf."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(float(avgdl or 1))))
+
+
+def build_index(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch | None = None, parts: bool = False) -> Index:
+    """docs: one row per document, or with `parts` one or more. Lengths count tokens with repeats; documents without tokens count for the
+    mean. Only the blocks and the sums are shuffled."""
     scratch = scratch or Scratch(docs.sparkSession, "index")
-    rows = docs.select(F.col(id_col).alias("docid"), tokens(F.col(text_col)).alias("terms"))
-    # A document without tokens still has a posting, of no term.
-    rows = rows.select("docid", F.explode(F.when(F.size("terms") > 0, F.col("terms")).otherwise(F.array(F.lit("")))).alias("term"))
-    every = scratch.write(rows.groupBy("term", "docid").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    lengths = scratch.write(every.groupBy("docid").agg(F.sum(F.when(F.col("term") != "", F.col("tf")).otherwise(0)).alias("dl")), "lengths")
-    postings = every.where("term <> ''")
-    words = scratch.write(vocabulary(postings), "vocabulary")
-    return Index(postings, lengths, words, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+    counted = _counted(docs, id_col, text_col, parts, scratch)
+    lengths = counted.where("head").select("docid", "dl")
+    words = scratch.write(counted.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), "vocabulary")
+    # Documents of like length share strips, which keeps bounds tight. There are at most some 250 classes of length.
+    kind = F.floor(F.log2(F.col("dl") + 1) * 8)
+    found = lengths.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).collect()
+    n, total = sum(r.n for r in found), sum(r.dl for r in found)
+    strips = F.lit(1)
+    for r in found:
+        strips = F.when(kind == r.kind, -(-r.n // STRIP)).otherwise(strips)
+    strip = kind * F.lit(1 << 40) + F.pmod(F.xxhash64("docid"), strips)
+    each = counted.where("term <> ''").select("term", strip.alias("strip"), F.struct("docid", "tf", "dl").alias("doc"), weight(F.col("tf"), F.col("dl"), total / max(n, 1)).alias("weight"))
+    blocks = scratch.write(each.groupBy("term", "strip").agg(F.max("weight").alias("bound"), F.collect_list("doc").alias("docs")), "blocks")
+    stats = docs.sparkSession.createDataFrame([(n, total / n if n else None)], "n long, avgdl double")
+    return Index(blocks, lengths, words, stats)
 
 
 def query_terms(queries: DataFrame, vocabulary: DataFrame, max_terms: int = 32, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
@@ -67,24 +120,67 @@ def top(scored: DataFrame, k: int, *order: Column | str, by: str = "query_id") -
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, index: Index, k: int = 50, max_terms: int = 32, allowed: DataFrame | None = None, id_col: str = "query_id", text_col: str = "query", sources: DataFrame | None = None) -> DataFrame:
-    """query_id, docid, score (more negative is better), rank. allowed (query_id, docid) filters before the cut, not after it. Ties are
-    broken by docid, or by source_id where sources (docid, source_id) has them; scores that agree in nine places count as equal,
-    since the order of a distributed sum is not fixed."""
+@dataclass
+class Search:
+    """One search: scores (query_id, docid, score) of every document that could be among the best k, and the strips that were read."""
+
+    scores: DataFrame
+    strips: DataFrame  # query_id, strip, bound, postings, at, read
+
+
+def _searched(queries: DataFrame, index: Index, k: int, max_terms: int, id_col: str, text_col: str, allowed) -> Search:
+    scratch = Scratch(queries.sparkSession, "bm25")
+    n, avgdl = index.stats.first()
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = query_terms(queries, index.vocabulary, max_terms, id_col, text_col)
-    found = terms.join(index.postings, "term")
-    if allowed is not None:
-        found = found.join(allowed, ["query_id", "docid"], "left_semi")
-    found = found.join(index.lengths, "docid").crossJoin(F.broadcast(index.stats))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.groupBy("query_id", "docid").agg((-F.sum(part)).alias("score"))
+    terms = scratch.write(terms.select("query_id", "term", F.when(idf <= 0, IDF_FLOOR).otherwise(idf).alias("idf")), "terms")
+    held = terms.join(index.blocks.select("term", "strip", "bound", F.size("docs").alias("n")), "term")
+    bounds = held.groupBy("query_id", "strip").agg(F.sum(F.col("idf") * F.col("bound")).alias("bound"), F.sum("n").alias("postings"))
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("bound"), "strip")
+    bounds = scratch.write(bounds.withColumn("at", F.row_number().over(best_first)), "bounds")
+
+    def score(strips: DataFrame, name: str) -> DataFrame:
+        found = strips.select("query_id", "strip").join(terms, "query_id").join(index.blocks.select("term", "strip", "docs"), ["term", "strip"])
+        found = found.select("query_id", "idf", F.explode("docs").alias("d")).select("query_id", "idf", "d.docid", "d.tf", "d.dl")
+        if allowed is not None:
+            found = allowed(found)
+        return scratch.write(found.groupBy("query_id", "docid").agg((-F.sum(F.col("idf") * weight(F.col("tf"), F.col("dl"), avgdl))).alias("score")), name)
+
+    # The best strips set the bar, the next ones raise it, then everything that reaches it is read.
+    scores, read, seen = None, None, 0
+    for i, most in enumerate((k, 8 * k, None)):
+        strips = bounds.where(F.col("at") > seen)
+        strips = strips.where(F.col("at") <= most) if most else strips
+        if scores is not None:
+            bar = top(scores, k, "score").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("bar")).where(F.col("n") == k)
+            bar = scratch.write(bar.select("query_id", "bar"), f"bar-{i}")
+            strips = strips.join(bar, "query_id", "left").where(F.col("bar").isNull() | (F.col("bound") >= -F.col("bar") - SLACK)).drop("bar")
+        strips = scratch.write(strips, f"strips-{i}")
+        new, seen = score(strips, f"scores-{i}"), most
+        scores, read = (new, strips) if scores is None else (scores.unionByName(new), read.unionByName(strips))
+    return Search(scores, bounds.join(read.select("query_id", "strip", F.lit(True).alias("read")), ["query_id", "strip"], "left").withColumn("read", F.coalesce("read", F.lit(False))))
+
+
+def bm25(queries: DataFrame, index: Index, k: int = 50, max_terms: int = 32, allowed: DataFrame | None = None, id_col: str = "query_id", text_col: str = "query", sources: DataFrame | None = None, filed: DataFrame | None = None) -> DataFrame:
+    """query_id, docid, score (more negative is better), rank. Ties are broken by docid, or by source_id where sources (docid, source_id)
+    has them; scores that agree in nine places count as equal, since the order of a distributed sum is not fixed.
+
+    allowed filters before the cut, not after it: (query_id, docid), or with filed (docid, area) the areas of each query (query_id, area),
+    so that a pool needs no row for each of its documents."""
+    by_area = lambda found: found.join(filed, "docid").join(allowed, ["query_id", "area"], "left_semi").drop("area")
+    by_id = lambda found: found.join(allowed, ["query_id", "docid"], "left_semi")
+    scored = _searched(queries, index, k, max_terms, id_col, text_col, None if allowed is None else by_id if filed is None else by_area).scores
     if sources is None:
         return top(scored, k, F.round("score", 9), "docid")
     return top(scored.join(sources.select("docid", "source_id"), "docid"), k, F.round("score", 9), "source_id").drop("source_id")
 
 
+def postings_read(queries: DataFrame, index: Index, k: int = 50, max_terms: int = 32, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
+    """query_id, postings (those of its terms), read (those that a search for k documents scores)."""
+    strips = _searched(queries, index, k, max_terms, id_col, text_col, None).strips
+    return strips.groupBy("query_id").agg(F.sum("postings").alias("postings"), F.sum(F.when(F.col("read"), F.col("postings")).otherwise(0)).alias("read"))
+
+
 def titles(citations: DataFrame) -> DataFrame:
     """knowledge_id, title: all labels of an entry, in order, one a line. citations: knowledge_id, label."""
     return citations.distinct().groupBy("knowledge_id").agg(F.array_join(F.array_sort(F.collect_list("label")), "\n").alias("title"))

@@ -65,7 +65,7 @@ def case_hits(spark, sf_dir, k: int = 50) -> DataFrame:
 
 
 def title_hits(spark, sf_dir, k: int = 10) -> DataFrame:
-    index = lexical.build_index(titles(spark, sf_dir), "knowledge_id", "label", Scratch(spark, "titles"))
+    index = lexical.build_index(titles(spark, sf_dir), "knowledge_id", "label", Scratch(spark, "titles"), parts=True)
     return lexical.bm25(benchmark(spark, sf_dir), index, k).withColumnRenamed("docid", "knowledge_id")
 
 

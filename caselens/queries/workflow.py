@@ -174,8 +174,10 @@ def problem_search(spark, sf_dir):
 def bm25_pool(spark, sf_dir):
     """The ten best cases among those of even id, for each item of the benchmark."""
     index = lexical.build_index(cases(spark, sf_dir), "docid", "text", Scratch(spark, "pool"))
-    pool = benchmark(spark, sf_dir).select("query_id").join(F.broadcast(cases(spark, sf_dir).where("docid % 2 = 0").select("docid")), F.col("query_id") % 2 == F.col("docid") % 4 / 2)
-    return lexical.bm25(benchmark(spark, sf_dir), index, 10, allowed=pool).select("query_id", "docid", F.round("score", 6).alias("score"), "rank")
+    filed = cases(spark, sf_dir).select("docid", (F.col("docid") % 4).alias("area"))
+    areas = benchmark(spark, sf_dir).select("query_id", (F.col("query_id") % 2 * 2).alias("area"))
+    hits = lexical.bm25(benchmark(spark, sf_dir), index, 10, allowed=areas, filed=filed)
+    return hits.select("query_id", "docid", F.round("score", 6).alias("score"), "rank")
 
 
 # ------------------------------------------------------------------------------------- reranking and judgments
