@@ -15,7 +15,7 @@ equal): an anchor, about every 35th place. Equal strings have equal anchors at e
 2. The others are refined by the identifiers, at depth 100, of all strings that the anchor stands for (its context). A bucket of one context
    is done: all but its first suffix repeat that.
 3. Buckets of several contexts are refined to single strings: the first suffix of each context lists its strings with their identifiers at
-   depth 100, and each string's first place is kept.
+   depth 100, 16 at most in a row; rows whose common 85 bytes stand nowhere else are done; of the other strings the first place is kept.
 
 A string is told by its anchor's identifier and by its own, from two families of hashes: 128 bits for strings of different anchors, 64 for
 strings that share their anchor.
@@ -23,8 +23,8 @@ strings that share their anchor.
 A bucket that holds a third of all suffixes meets as partial counts and first places; its members are marked by a join with the written
 buckets, which adaptive execution can split. Texts travel once more, those that lose bytes only.
 
-Rows: null and short texts lose nothing. Null ids come after all others. Rows that repeat an id are one document for the order: neither
-comes before the other at the same place, so wholly repeated rows lose the same bytes, those that an earlier place has. Long texts are worked on in blocks, so
+Rows: null and short texts lose nothing. Null ids come after all others. Rows that repeat an id come in the order of their texts' sha-256;
+wholly repeated rows are one document and lose the same bytes. Long texts are worked on in blocks, so
 a text of any length needs some tens of megabytes beside itself. Empty tables give empty results; extra columns are not read by
 `digest` and pass through `remove`. Where a removed run parts a sign of several bytes, `remove` shows what is left of it as U+FFFD."""
 
@@ -33,12 +33,15 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselens.llm.common import Scratch, mix, text_slices, whole
 
 DEPTH = 32
+SEGMENT = 16
+#: Bits for the number of strings of a context behind their first start.
+RUN = 20
 BLOCK = 1 << 18
 PLACE = np.uint64(20)
 _LOW = (np.uint64(1) << PLACE) - np.uint64(1)
@@ -85,9 +88,9 @@ def blocks(column, window: int):
                 yield at, begin, np.array([0, len(part)]), part
 
 
-def contexts(offsets: np.ndarray, data: np.ndarray, window: int):
-    """(row, first start and number of the strings of each anchor, its place among all strings, starts and identifiers of all strings, the
-    anchors' identifiers); None where no string fits."""
+def anchored(offsets: np.ndarray, data: np.ndarray, window: int):
+    """(row, first start and number of the strings of each anchor, its place among all strings, starts of all strings, the anchors'
+    identifiers); None where no string fits."""
     sizes = np.maximum(np.diff(offsets) - window + 1, 0)
     total = int(sizes.sum())
     if not total:
@@ -100,8 +103,7 @@ def contexts(offsets: np.ndarray, data: np.ndarray, window: int):
     fresh[1:] = place[1:] != place[:-1]
     head = np.flatnonzero(fresh)
     row = np.searchsorted(offsets, place[head], "right") - 1
-    strings = identifiers(data, window, 2)[starts]
-    return row, starts[head] - offsets[row], np.diff(np.append(head, total)), head, strings, grams[place[head]]
+    return row, starts[head] - offsets[row], np.diff(np.append(head, total)), head, starts, place[head], grams[place[head]]
 
 
 def listed(strings: np.ndarray, head: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -124,56 +126,69 @@ def _bucketer(window: int):
 
         for batch in batches:
             for _, _, offsets, data in blocks(batch.column(0), window):
-                if (found := contexts(offsets, data, window)) is not None:
-                    yield pa.RecordBatch.from_arrays([_signed(found[5])], ["h"])
+                if (found := anchored(offsets, data, window)) is not None:
+                    yield pa.RecordBatch.from_arrays([_signed(found[-1])], ["h"])
 
     return run
 
 
 def _refiner(window: int):
-    """Each anchor with its context."""
+    """Each anchor with its context: document, h, g, and where its strings are (first start and number, in one value)."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for at, begin, offsets, data in blocks(batch.column(2), window):
-                if (found := contexts(offsets, data, window)) is None:
+            for at, begin, offsets, data in blocks(batch.column(1), window):
+                if (found := anchored(offsets, data, window)) is None:
                     continue
-                row, first, sizes, head, strings, grams = found
-                rows = pa.array(row + at)
-                columns = [_signed(grams), _signed(listed(strings, head, sizes)), pa.array(first + begin), pa.array(sizes.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *columns], ["doc_id", "th", "h", "g", "first", "size"])
+                row, first, sizes, head, starts, _, grams = found
+                whole_ = listed(identifiers(data, window, 2)[starts], head, sizes)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + at)), _signed(grams), _signed(whole_), pa.array((first + begin) << RUN | sizes)], ["o", "h", "g", "run"])
 
     return run
 
 
 def _lister(window: int):
-    """The strings of wanted contexts (by their first start): h, g, start and identifier of each."""
+    """The strings of wanted contexts (by their first start), SEGMENT of them at most in a row: document, h, g, first start, the identifier of
+    the bytes that all strings of the segment have, and the identifiers of the strings. Segments are cut by their distance from the
+    anchor, so equal strings lie at equal places of equal segments."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            wanted = [np.array(x, np.int64) for x in batch.column(3).to_pylist()]
-            for at, begin, offsets, data in blocks(batch.column(2), window):
-                if (found := contexts(offsets, data, window)) is None:
+            wanted = [np.array(x, np.int64) for x in batch.column(2).to_pylist()]
+            for at, begin, offsets, data in blocks(batch.column(1), window):
+                if (found := anchored(offsets, data, window)) is None:
                     continue
-                row, first, sizes, head, strings, grams = found
+                row, first, sizes, head, starts, place, grams = found
                 edges = np.searchsorted(row, np.arange(len(offsets)))
                 use = np.concatenate([a + np.flatnonzero(np.isin(first[a:b] + begin, wanted[at + r])) for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
                 if not len(use):
                     continue
+                strings = identifiers(data, window, 2)
+                common = identifiers(data, window - SEGMENT + 1, 3)
+                whole_ = listed(strings[starts], head, sizes)
+                # All strings of the wanted contexts, one after the other, and where a segment begins.
                 n = sizes[use]
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                rows, whole_ = pa.array(np.repeat(row[use] + at, n)), listed(strings, head, sizes)
-                columns = [_signed(np.repeat(grams[use], n)), _signed(np.repeat(whole_[use], n)), pa.array(np.repeat(first[use] + begin, n) + inner), _signed(strings[np.repeat(head[use], n) + inner])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *columns], ["doc_id", "h", "g", "start", "w"])
+                start = np.repeat(starts[head[use]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                context = np.repeat(use, n)
+                segment = (place[context] - start) // SEGMENT
+                fresh = np.ones(len(start), bool)
+                fresh[1:] = (context[1:] != context[:-1]) | (segment[1:] != segment[:-1])
+                cut = np.flatnonzero(fresh)
+                of, number = context[cut], segment[cut]
+                # The bytes from the last start of a whole segment on stand in each of its strings.
+                shared = common[np.maximum(place[of] - number * SEGMENT, 0)] + mix(number.astype(np.uint64))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(start)).astype(np.int32)), _signed(strings[start]))
+                columns = [_signed(grams[of]), _signed(whole_[of]), pa.array(start[cut] - offsets[row[of]] + begin), _signed(shared), lists]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[of] + at)), *columns], ["o", "h", "g", "start", "c", "w"])
 
     return run
 
 
-def covered(n: int, first: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def covered(first: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of the maximal runs of bytes that strings starting in [first, first + size) cover."""
     order = np.argsort(first, kind="stable")
     begin, end = first[order], np.maximum.accumulate((first + sizes + window - 1)[order])
@@ -189,102 +204,109 @@ def _cutter(window: int):
 
         for batch in batches:
             removed, spans, digests, kept = [], [], [], []
-            marks = batch.column(3)
-            edges, flat = marks.offsets.to_numpy(), marks.values
-            first, sizes = flat.field("first").to_numpy(), flat.field("size").to_numpy()
-            texts = batch.column(2).cast(pa.large_binary())
+            marks = batch.column(2)
+            edges, flat = marks.offsets.to_numpy(), marks.values.to_numpy()
+            texts = batch.column(1).cast(pa.large_binary())
             for i in range(batch.num_rows):
                 raw = texts[i].as_buffer()
-                begin, end = covered(raw.size, first[edges[i] : edges[i + 1]], sizes[edges[i] : edges[i + 1]], window)
+                runs = flat[edges[i] : edges[i + 1]]
+                begin, end = covered(runs >> RUN, runs & ((1 << RUN) - 1), window)
                 text = memoryview(raw)
                 left = b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), raw.size], strict=True))
                 removed.append(raw.size - len(left))
                 spans.append(len(begin))
                 digests.append(hashlib.sha256(left).hexdigest())
                 kept.append(left.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())], ["doc_id", "th", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())], ["o", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
-def _place(start: str) -> Column:
-    """Documents without an id come last."""
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col(start).alias("start"))
-
-
-def _same(a: str, b: str) -> Column:
-    return (F.col(f"{a}.th") == F.col(f"{b}.th")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
-
-
-def repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """A row per document that loses bytes: doc_id, th (a hash of its text), n_removed, n_spans, kept_sha256, and with texts what is kept."""
-    if not DEPTH <= window <= BLOCK:
-        raise ValueError(f"a window has {DEPTH} to {BLOCK} bytes")
-    scratch = Scratch(docs.sparkSession, "suffixes")
-    text = whole(F.col(text_col))
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
+def _numbered(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """docs as o (a long in the order of the documents), text and row (all columns). Ids that are distinct integers are their own numbers;
+    else the distinct pairs of id and text are counted off, by ranges of the sorted pairs, and the texts are shuffled once to meet them."""
+    ids = docs.select(F.col(id_col).alias("id"))
+    if ids.schema["id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") and ids.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        return docs.select(F.col(id_col).cast("long").alias("o"), whole(F.col(text_col)).alias("text"), F.struct("*").alias("row"))
+    key = F.sha2(whole(F.col(text_col)), 256)
+    ordered = docs.select(F.col(id_col).alias("id"), key.alias("key")).distinct().orderBy(F.col("id").asc_nulls_last(), "key")
+    ordered = scratch.write(ordered.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}), "ordered")
+    first, seen, rows = {}, 0, ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place")).orderBy("part").collect()
+    for r in rows:
+        first[r.part], seen = seen - r.place, seen + r.n
+    shift = F.create_map(*[F.lit(x).cast("long") for pair in first.items() for x in pair]) if first else None
+    numbers = ordered.select("id", "key", (F.col("place") + shift[F.col("part").cast("long")] if first else F.col("place")).alias("o"))
+    left = docs.select(F.col(id_col).alias("id"), key.alias("key"), whole(F.col(text_col)).alias("text"), F.struct("*").alias("row"))
+    met = left.alias("a").join(numbers.alias("b"), (F.col("a.key") == F.col("b.key")) & F.col("a.id").eqNullSafe(F.col("b.id")))
+    return scratch.write(met.select("b.o", "a.text", "a.row"), "numbered")
+
+
+def _removed(slim: DataFrame, window: int, scratch: Scratch, texts: bool) -> DataFrame:
+    """A row per document that loses bytes: o, n_removed, n_spans, kept_sha256, and with texts what is kept. slim: o, text."""
+    if not DEPTH + SEGMENT <= window <= BLOCK:
+        raise ValueError(f"a window has {DEPTH + SEGMENT} to {BLOCK} bytes")
 
     # 1. Buckets of equal 32-grams with two suffixes or more.
     buckets = slim.select("text").mapInArrow(_bucketer(window), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     buckets = scratch.write(buckets.where("n > 1").select("h"), "buckets")
     scratch.release()
 
-    # 2. Their suffixes, refined by contexts; the first suffix of each.
-    suffixes = slim.mapInArrow(_refiner(window), f"doc_id {kind}, th long, h long, g long, first long, size int").join(buckets, "h")
-    suffixes = scratch.write(suffixes, "suffixes")
+    # 2. Their suffixes, refined by contexts; the first document of each.
+    suffixes = scratch.write(slim.mapInArrow(_refiner(window), "o long, h long, g long, run long").join(buckets, "h"), "suffixes")
+    scratch.drop("buckets")
     scratch.release()
-    refined_ = suffixes.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(_place("first")).alias("one"), F.min_by("th", _place("first")).alias("th"))
-    refined_ = scratch.write(refined_, "contexts")
-    several = scratch.write(refined_.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"), "several")
-    mixed = scratch.write(refined_.join(several, "h", "left_semi"), "mixed")
-
-    # 3. Buckets of several contexts, refined to single strings.
-    wanted = scratch.write(mixed.groupBy(F.col("one.doc_id").alias("doc_id"), "th").agg(F.collect_set("one.start").alias("firsts")), "wanted")
-    some = slim.alias("a").join(wanted.alias("b"), _same("a", "b")).select("a.doc_id", "a.th", "a.text", "b.firsts")
-    strings = scratch.write(some.mapInArrow(_lister(window), f"doc_id {kind}, h long, g long, start long, w long"), "strings")
+    refined_ = scratch.write(suffixes.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first")), "contexts")
     scratch.release()
-    first = scratch.write(strings.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n"), F.min(_place("start")).alias("one")).where("n > 1").drop("n"), "first")
-    later = strings.withColumn("at", _place("start")).join(first, ["h", "w"]).where("at > one")
-    later = scratch.write(later.select("doc_id", "h", "g", "start").distinct(), "later")
-    scratch.drop("strings", "first", "mixed", "several", "wanted", "buckets")
+    several = scratch.write(refined_.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", F.lit(True).alias("mixed")), "several")
+    shared = refined_.join(several, "h", "left").where("n > 1 or mixed").select("h", "g", "first", F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    met = scratch.write(suffixes.join(scratch.write(shared, "shared"), ["h", "g"]), "met")
+    scratch.drop("suffixes", "contexts", "several", "shared")
     scratch.release()
-
-    # Suffixes behind the first of their context lose all strings, first ones those found earlier under another context.
-    shared = scratch.write(refined_.where("n > 1").select("h", "g", "one"), "shared")
-    all_of = suffixes.join(shared, ["h", "g"]).where(_place("first") > F.col("one")).select("doc_id", "th", "first", "size")
-    firsts = refined_.join(later.select("h", "g").distinct(), ["h", "g"], "left_semi").select("h", "g", "one")
-    firsts = scratch.write(suffixes.join(scratch.write(firsts, "firsts"), ["h", "g"]).where(_place("first") == F.col("one")).select("h", "g", "doc_id", "th").distinct(), "first-suffixes")
-    on = (F.col("a.h") == F.col("b.h")) & (F.col("a.g") == F.col("b.g")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
-    some_of = later.alias("a").join(firsts.alias("b"), on).select("a.doc_id", "b.th", F.col("a.start").alias("first"), F.lit(1).alias("size"))
-    marks = all_of.unionByName(some_of).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "size")).alias("marks"))
+    behind = met.where("o > first").select("o", "run")
+    own = met.where("o = first").groupBy("h", "g", "o", "mixed").agg(F.min("run").alias("one"), F.count(F.lit(1)).alias("n"))
+    own = scratch.write(own, "own")
+    again = met.where("o = first").join(own.where("n > 1").select("h", "g", "one"), ["h", "g"]).where("run > one").select("o", "run")
+
+    # 3. Buckets of several contexts, refined to single strings: by segments first, whose common bytes must repeat.
+    wanted = scratch.write(own.where("mixed").groupBy("o").agg(F.collect_set(F.shiftright("one", RUN)).alias("firsts")), "wanted")
+    segments = slim.join(wanted, "o").select("o", "text", "firsts").dropDuplicates(["o"]).mapInArrow(_lister(window), "o long, h long, g long, start long, c long, w array<long>")
+    segments = scratch.write(segments, "segments")
+    scratch.release()
+    common = scratch.write(segments.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "c"), "common")
+    strings = segments.join(common, ["h", "c"]).select("o", "h", "start", F.posexplode("w").alias("i", "w"))
+    strings = scratch.write(strings.select("o", "h", "w", (F.col("start") + F.col("i")).alias("start")), "strings")
+    scratch.drop("segments", "common", "wanted")
+    place = F.struct("o", "start")
+    early = scratch.write(strings.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one")).where("n > 1").select("h", "w", "one"), "early")
+    later = strings.join(early, ["h", "w"]).where(place > F.col("one")).select("o", F.shiftleft("start", RUN).bitwiseOR(F.lit(1)).alias("run"))
+
+    marks = behind.unionByName(again).unionByName(later).groupBy("o").agg(F.collect_list("run").alias("marks"))
     marks = scratch.write(marks, "marks")
-    scratch.drop("suffixes", "contexts", "later", "shared", "firsts", "first-suffixes")
+    scratch.drop("met", "own", "strings", "early")
     scratch.release()
-
-    lost = slim.alias("a").join(marks.alias("b"), _same("a", "b")).select("a.doc_id", "a.th", "a.text", "b.marks")
-    cut = lost.mapInArrow(_cutter(window), f"doc_id {kind}, th long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    cut = slim.join(marks, "o").select("o", "text", "marks").dropDuplicates(["o"]).mapInArrow(_cutter(window), "o long, n_removed long, n_spans long, kept_sha256 string, kept string")
     cut = scratch.write(cut if texts else cut.drop("kept"), "cut")
     scratch.drop("marks")
     scratch.release()
-    return cut.dropDuplicates(["doc_id", "th"])
+    return cut
 
 
 def digest(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    cut = repeats(docs, window, id_col, text_col)
-    text = whole(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("sha"))
+    scratch = Scratch(docs.sparkSession, "suffixes")
+    rows = _numbered(docs.select(id_col, text_col), id_col, text_col, scratch)
+    cut = _removed(rows.select("o", "text"), window, scratch, False)
+    slim = rows.select("o", F.col("row")[id_col].alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha"))
     none = F.lit(0).cast("long")
-    return rows.alias("a").join(cut.alias("b"), _same("a", "b"), "left").select(
-        "a.doc_id", "a.n_bytes", F.coalesce("b.n_removed", none).alias("n_removed"), F.coalesce("b.n_spans", none).alias("n_spans"), F.coalesce("b.kept_sha256", F.lower(F.hex("a.sha"))).alias("kept_sha256")
+    return slim.join(cut, "o", "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256")
     )
 
 
 def remove(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the texts that lost bytes replaced by what is left; other texts and columns as they were."""
-    cut = repeats(docs, window, id_col, text_col, texts=True)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole(F.col(text_col))).alias("th"), F.struct("*").alias("row"))
-    text = F.when(F.col("b.th").isNotNull(), F.col("b.kept")).otherwise(F.col("a.row")[text_col])
-    columns = [text.alias(c) if c == text_col else F.col("a.row")[c].alias(c) for c in docs.columns]
-    return rows.alias("a").join(cut.select("doc_id", "th", "kept").alias("b"), _same("a", "b"), "left").select(*columns)
+    scratch = Scratch(docs.sparkSession, "suffixes")
+    rows = _numbered(docs, id_col, text_col, scratch)
+    cut = _removed(rows.select("o", "text"), window, scratch, True).select("o", "kept")
+    text = F.coalesce(F.col("kept"), F.col("row")[text_col])
+    return rows.select("o", "row").join(cut, "o", "left").select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
