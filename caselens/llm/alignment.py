@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -58,6 +60,7 @@ class Vocabulary:
         return self.data[ragged(self.starts[ids], self.lengths[ids])]
 
 
+@lru_cache(maxsize=4)
 def load_a(path: str):
     from tokenizers import Tokenizer
 
@@ -69,6 +72,7 @@ def load_a(path: str):
     return tokenizer, Vocabulary(tokens)
 
 
+@lru_cache(maxsize=4)
 def load_b(path: str):
     import sentencepiece
 
@@ -115,7 +119,7 @@ def chunk_starts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
 class Chunks(WordMemory):
     """What is known of each chunk: sizes, links, the text of its groups, and with given counts what its links add up to."""
 
-    def __init__(self, a_path: str, b_path: str, counts=None, keep_text: bool = True, slots: int = 1 << 20, most_bytes: int = 24 << 20):
+    def __init__(self, a_path: str, b_path: str, counts=None, keep_text: bool = True, slots: int = 1 << 21, most_bytes: int = 24 << 20):
         self.a, self.a_vocab = load_a(a_path)
         self.b, self.b_vocab = load_b(b_path)
         self.counts, self.keep_text = counts, keep_text
@@ -129,25 +133,25 @@ class Chunks(WordMemory):
 
     def clear(self) -> None:
         super().clear()
-        #: Of each chunk: tokens of A, of B, groups, links, whether its bytes are spelled, best links, sum of counts.
-        self.facts = Pool(np.int64)
-        self.links, self.link_start = Pool(np.int64), Pool(np.int64)
+        #: Of each chunk: tokens of A, of B, groups, links, best links, whether its bytes are not spelled; sum of counts apart.
+        self.facts, self.sums = Pool(np.int32), Pool(np.int64)
+        self.links, self.link_start = Pool(np.int32), Pool(np.int64)
         self.texts: list[str] = []
 
-    WIDTH = 7
+    WIDTH = 6
 
     def _learned(self, words: list[bytes]) -> list[np.ndarray]:
         first = self.facts.size // self.WIDTH
         texts = [w.decode() for w in words]
-        a_ids = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        a_ids = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         # B puts the first space there itself, but nothing before an empty text.
         b_ids = [ids or [self.b.piece_to_id(SPACE)] for ids in self.b.encode([t[1:] for t in texts], num_threads=1)]
-        size = np.array([len(w) for w in words], np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
         good = np.ones(len(words), bool)
         sides = []
         for lists, vocab in ((a_ids, self.a_vocab), (b_ids, self.b_vocab)):
-            n = np.array([len(x) for x in lists], np.int64)
-            ids = np.fromiter((i for x in lists for i in x), np.int64, n.sum())
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), np.int64, n.sum())
             got = np.append(0, np.cumsum(vocab.lengths[ids]))[np.append(0, np.cumsum(n))]
             good &= np.diff(got) == size
             sides.append((n, ids, vocab))
@@ -159,8 +163,8 @@ class Chunks(WordMemory):
             if not same.all():
                 rows = np.flatnonzero(good)[np.searchsorted(np.cumsum(size[good]), np.flatnonzero(~same), "right")]
                 good[rows] = False
-        facts = np.zeros((len(words), self.WIDTH), np.int64)
-        facts[:, 4] = good
+        facts, sums = np.zeros((len(words), self.WIDTH), np.int32), np.zeros(len(words), np.int64)
+        facts[:, 5] = ~good
         (na, a, _), (nb, b, _) = sides
         na, a, nb, b = np.where(good, na, 0), a[np.repeat(good, na)], np.where(good, nb, 0), b[np.repeat(good, nb)]
         n_bytes = np.where(good, size, 0)
@@ -178,11 +182,13 @@ class Chunks(WordMemory):
             keys, count, best = self.counts
             at = np.searchsorted(keys, links)
             rows = np.repeat(np.arange(len(words)), n_links)
-            facts[:, 5] = np.bincount(rows, best[at], len(words))
-            np.add.at(facts[:, 6], rows, count[at])
-        self.link_start.add(self.links.size + np.cumsum(n_links) - n_links)
-        self.links.add(links if self.counts is not None else self._numbers(links))
+            facts[:, 4] = np.bincount(rows, best[at], len(words))
+            np.add.at(sums, rows, count[at])
+        elif self.counts is None:
+            self.link_start.add(self.links.size + np.cumsum(n_links) - n_links)
+            self.links.add(self._numbers(links))
         self.facts.add(facts.ravel())
+        self.sums.add(sums)
         if self.keep_text:
             self.texts += self._group_texts(a, a_ends, b, b_ends, spans, ends)
         return list((first + np.arange(len(words), dtype=np.int64))[:, None])
@@ -206,10 +212,10 @@ class Chunks(WordMemory):
 
     def _numbers(self, links: np.ndarray) -> np.ndarray:
         """A small number of the task's own for each pair."""
-        distinct, back = np.unique(links, return_inverse=True)
+        each, back = np.unique(links, return_inverse=True)
         known = self.number
-        small = np.array([known.setdefault(p, len(known)) for p in distinct.tolist()], np.int64)
-        self.pairs.add(distinct[small >= self.pairs.size][np.argsort(small[small >= self.pairs.size])])
+        small = np.array([known.setdefault(p, len(known)) for p in each.tolist()], np.int64)
+        self.pairs.add(each[small >= self.pairs.size])  # numbered in this order
         return small[back]
 
     def forget(self) -> None:
@@ -233,20 +239,39 @@ class Chunks(WordMemory):
         return self.links.data[ragged(self.link_start.data[chunks], n)], n
 
 
+_memory: dict = {}
+
+
+def chunks_of(a_path: str, b_path: str, counts=None, keep_text: bool = True, label: str = "") -> Chunks:
+    """The memory of this worker process: chunks that one task has learned serve the next. `label` tells the counts of one call from those
+    of others; the memory holds one kind at a time."""
+    key = a_path, b_path, keep_text, label
+    if key not in _memory:
+        _memory.clear()
+        _memory[key] = Chunks(a_path, b_path, counts.value if counts is not None else None, keep_text)
+    return _memory[key]
+
+
 def _row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.diff(np.append(np.zeros((1, values.shape[1]), np.int64), np.cumsum(values, axis=0), axis=0)[first], axis=0)
+    return np.diff(np.append(np.zeros((1, values.shape[1]), np.int64), np.cumsum(values, axis=0, dtype=np.int64), axis=0)[first], axis=0)
 
 
 def _good_rows(chunks: Chunks, found: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Rows with tokens whose bytes are space + text."""
-    return (np.diff(first) > 0) & (_row_sums(1 - chunks.fact(found)[:, 4:5], first)[:, 0] == 0)
+    return (np.diff(first) > 0) & (_row_sums(chunks.fact(found)[:, 5:], first)[:, 0] == 0)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorting beats numpy's hash table here."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
 
 
 def _pair_counter(a_path: str, b_path: str, most: int = 1 << 21):
     def run(batches):
         import pyarrow as pa
 
-        chunks = Chunks(a_path, b_path, keep_text=False)
+        chunks = chunks_of(a_path, b_path, keep_text=False)
         counts = np.zeros(1 << 16, np.int64)
 
         def told():
@@ -260,9 +285,9 @@ def _pair_counter(a_path: str, b_path: str, most: int = 1 << 21):
                 rows = np.repeat(np.arange(len(good)), np.diff(first))
                 use = good[rows]
                 # Distinct chunks of each row, then distinct pairs.
-                keys = np.unique(rows[use] << 32 | found[use])
+                keys = distinct(rows[use] << 32 | found[use])
                 links, n = chunks.links_of(keys & 0xFFFFFFFF)
-                pairs = np.unique(np.repeat(keys >> 32, n) << 32 | links) & 0xFFFFFFFF
+                pairs = distinct(np.repeat(keys >> 32, n) << 32 | links) & 0xFFFFFFFF
                 seen = np.bincount(pairs)
                 if len(seen) > len(counts):
                     counts = np.append(counts, np.zeros(2 * len(seen) - len(counts), np.int64))
@@ -279,22 +304,23 @@ def _pair_counter(a_path: str, b_path: str, most: int = 1 << 21):
 DIGEST = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _digester(a_path: str, b_path: str, counts, most: int = 1 << 21):
-    """counts: a broadcast value of (sorted pairs, counts, whether best), or None where the links are joined later."""
+def _digester(a_path: str, b_path: str, counts, label: str = "", most: int = 1 << 21):
+    """counts: a broadcast value of (sorted pairs, counts, whether best), which `label` names, or None where the links are joined later."""
 
     def run(batches):
         import pyarrow as pa
 
-        chunks = Chunks(a_path, b_path, counts=counts.value if counts is not None else None)
+        chunks = chunks_of(a_path, b_path, counts, label=label)
         for batch in batches:
             for at, offsets, data in text_slices(batch.column(1)):
                 found, first = chunks.column(offsets, data)
                 good = _good_rows(chunks, found, first)
-                sums = np.where(good[:, None], _row_sums(chunks.fact(found), first), 0)
+                facts = np.append(chunks.fact(found)[:, :5].astype(np.int64), chunks.sums.data[found][:, None], axis=1)
+                sums = np.where(good[:, None], _row_sums(facts, first), 0)
                 texts, order = chunks.texts, found.tolist()
                 edges = first.tolist()
                 digests = [hashlib.sha256(";".join([texts[c] for c in order[a:b]]).encode()).hexdigest() if ok else "" for a, b, ok in zip(edges[:-1], edges[1:], good.tolist(), strict=True)]
-                columns = [batch.column(0).slice(at, len(good)), *[pa.array(np.ascontiguousarray(sums[:, i])) for i in (0, 1, 2, 3, 5, 6)], pa.array(digests, pa.string())]
+                columns = [batch.column(0).slice(at, len(good)), *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(6)], pa.array(digests, pa.string())]
                 names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
                 if counts is None:
                     rows = np.repeat(np.arange(len(good)), np.diff(first))
@@ -328,7 +354,7 @@ def align_digest(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     if counts.count() <= most_pairs:
         table = counts.toArrow().sort_by("pair")
         arrays = table["pair"].to_numpy(), table["n"].to_numpy(), table["best"].to_numpy(zero_copy_only=False).astype(np.int64)
-        return slim.mapInArrow(_digester(a_path, b_path, spark.sparkContext.broadcast(arrays)), kind)
+        return slim.mapInArrow(_digester(a_path, b_path, spark.sparkContext.broadcast(arrays), scratch.root), kind)
     found = scratch.write(slim.mapInArrow(_digester(a_path, b_path, None), f"{kind}, pairs array<long>, times array<long>").withColumn("row", F.monotonically_increasing_id()), "found")
     links = found.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), "x.times")
     met = links.join(counts, "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("best"), F.sum(F.col("times") * F.col("n")).alias("total"))
