@@ -19,6 +19,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from caselens.functions.text import loader_value, markdown_cell, percent
 from caselens.operators.dataset import require_unique
+from caselens.sources import quoted
 
 CORRUPT = "_corrupt"
 
@@ -50,19 +51,27 @@ def numbered(read: DataFrame) -> DataFrame:
     return placed.withColumn("source_row", F.col("__before") + F.col("__n") - F.col("__first") + 1).select(*read.columns, "source_row")
 
 
+def _ddl(schema: StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema)
+
+
 def read_tsv(spark: SparkSession, path: str, required: set[str] | None = None, strict: bool = True) -> DataFrame:
     """All columns as text, with source_row from 1. strict: a row of another width is an error; otherwise it is marked in _corrupt.
 
-    Quoted values may hold tabs and line ends, so one file is one task; many files are read side by side and numbered apart."""
+    Quoted values may hold tabs and line ends; a file is read in splits all the same (`quoted`). Files are numbered apart."""
     names = header(spark, path)
     missing = (required or set()) - set(names)
     if missing:
         raise ValueError(f"columns are missing: {sorted(missing)}")
     schema = StructType([StructField(n, StringType()) for n in names] + ([] if strict else [StructField(CORRUPT, StringType())]))
-    options = {"sep": "\t", "header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8", "mode": "FAILFAST" if strict else "PERMISSIVE", "enforceSchema": True, **AS_IT_IS}
+    options = {"sep": "\t", "escape": '"', "mode": "FAILFAST" if strict else "PERMISSIVE", "maxCharsPerColumn": "-1", **AS_IT_IS}
     if not strict:
         options["columnNameOfCorruptRecord"] = CORRUPT
-    return numbered(spark.read.schema(schema).options(**options).csv(path))
+    parsed = F.from_csv("value", _ddl(schema), options)
+    rows = quoted.records(spark, path).where("record > 0")
+    if strict:
+        rows = rows.where(parsed.isNotNull())  # an error for any row, whichever columns are read
+    return rows.select(parsed.alias("r"), F.col("record").alias("source_row")).select("r.*", "source_row")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -111,7 +120,7 @@ def model_fingerprint(spark: SparkSession, folder: str) -> tuple[str, list[dict]
 
 
 def record_widths(spark: SparkSession, path: str) -> DataFrame:
-    """width, records of a TSV file; quotes are honoured by a CSV parser on whole files."""
+    """width, records of TSV files; quotes are honoured, an empty line is a record of no field."""
 
     def run(frames):
         import csv
@@ -121,13 +130,12 @@ def record_widths(spark: SparkSession, path: str) -> DataFrame:
 
         csv.field_size_limit((1 << 31) - 1)
         for frame in frames:
-            for content in frame["content"]:
-                counts: dict[int, int] = {}
-                for row in csv.reader(io.StringIO(content.decode("utf-8-sig"), newline=""), delimiter="\t"):
-                    counts[len(row)] = counts.get(len(row), 0) + 1
-                yield pd.DataFrame({"width": list(counts), "records": list(counts.values())})
+            widths = [len(next(csv.reader(io.StringIO(value, newline=""), delimiter="\t"), [])) if '"' in value else value.count("\t") + 1 if value else 0 for value in frame["value"]]
+            counts = pd.Series(widths, dtype="int64").value_counts()
+            yield pd.DataFrame({"width": counts.index, "records": counts.to_numpy()})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, StructType([StructField("width", LongType()), StructField("records", LongType())])).groupBy("width").agg(F.sum("records").alias("records"))
+    found = quoted.records(spark, path, blank=True).select("value").mapInPandas(run, StructType([StructField("width", LongType()), StructField("records", LongType())]))
+    return found.groupBy("width").agg(F.sum("records").alias("records"))
 
 
 def unavailable_fields(widths: DataFrame, columns: int) -> DataFrame:
