@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,46 +82,92 @@ def bootstrap(differences: list[float], resamples: int = 2000, seed: int = 42) -
     return {"delta": sum(differences) / n, "ci": [means[int(0.025 * (resamples - 1))], means[int(0.975 * (resamples - 1))]]}
 
 
-def bootstrap_frame(pairs: DataFrame, *by: str, resamples: int = 2000, seed: int = 42, block: int = 1 << 16) -> DataFrame:
+def bootstrap_frame(pairs: DataFrame, *by: str, resamples: int = 2000, seed: int = 42, block: int = 1 << 16, most: int = 1 << 22, piece: int = 1 << 24) -> DataFrame:
     """pairs: query_no, one, two. delta, ci_low, ci_high for each group, from the draws of `bootstrap`.
 
-    Rows are numbered in query order and dealt in blocks of at most `block`. The task of a block replays all draws of its group and adds
-    up those that fall into the block; a resample's mean is the sum of its parts. So a task holds few rows whatever the size of a group,
-    but draws as often as the group has rows times resamples."""
+    Each draw is made once: the stream is cut into pieces of about `piece` draws, and the task of a piece jumps to its place in it. Groups
+    of up to `most` rows go whole to the pieces of their resamples. Of a larger group a piece deals its draws to blocks of `block` rows, as
+    (resample, place), and the blocks add them up, so that no task holds the group."""
     import numpy as np
     import pandas as pd
 
+    from caselens.functions.twister import drawn_from
+
     scratch = Scratch(pairs.sparkSession, "bootstrap")
-    keys = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by)
-    rows = pairs.select(*by, "query_no", (F.col("two") - F.col("one")).alias("d"))
+    keys = "".join(f"{c} {pairs.schema[c].dataType.simpleString()}, " for c in by)
+    rows = pairs.select(*by, "query_no", (F.col("two") - F.col("one")).cast("double").alias("d"))
     # Parts lie in order of the keys and query_no; the place in a group is that of its part plus that in the part.
     rows = rows.repartitionByRange(*by, "query_no").sortWithinPartitions(*by, "query_no")
     rows = scratch.write(rows.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__row")), "rows")
     parts = rows.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("m"), F.min("__row").alias("first"))
     group = Window.partitionBy(*by)
     before = F.coalesce(F.sum("m").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__p"), "first", before.alias("before"), F.sum("m").over(group).alias("n"))
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
-    placed = rows.join(F.broadcast(parts), [F.col("__part") == F.col("__p"), *same]).select(*by, "d", "n", (F.col("before") + F.col("__row") - F.col("first")).alias("place"))
-    blocks = placed.withColumn("block", F.floor(F.col("place") / block))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        n, low, d = int(pdf.n.iloc[0]), int(pdf.place.iloc[0]), pdf.d.to_numpy(np.float64)
-        state, draw = random.Random(seed).getstate()[1], np.random.RandomState()
-        draw.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
-        sums = np.zeros(resamples)
-        for i in range(resamples):
-            for at in range(0, n, 1 << 20):
-                x = (draw.random_sample(min(1 << 20, n - at)) * n).astype(np.int64) - low
-                sums[i] += d[x[(x >= 0) & (x < len(d))]].sum()
-        out = pd.DataFrame({"i": np.arange(resamples), "part": sums, "whole": d.sum(), "n": n})
-        for c in reversed(by):
-            out.insert(0, c, [pdf[c].iloc[0]] * resamples)
+    parts = scratch.write(parts.select(*by, "__part", "first", before.alias("before"), F.sum("m").over(group).alias("n")), "parts")
+
+    def same(left: str, right: str, *also: str):
+        return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in (*by, *also)]
+
+    place = (F.col("p.before") + F.col("r.__row") - F.col("p.first")).alias("place")
+    placed = rows.alias("r").join(F.broadcast(parts).alias("p"), same("r", "p", "__part")).select(*[f"r.{c}" for c in by], "r.d", "p.n", place)
+    first_of = lambda pdf: [pdf[c].iloc[0] for c in by]
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = pdf.sort_values("place")["d"].to_numpy(np.float64)
+        return pd.DataFrame([[*first_of(pdf), pdf["n"].iloc[0], pdf["block"].iloc[0], d.tobytes(), d.sum()]], columns=[*by, "n", "block", "d", "whole"])
+
+    blocks = placed.withColumn("block", F.floor(F.col("place") / block)).groupBy(*by, "block").applyInPandas(packed, f"{keys}n long, block long, d binary, whole double")
+    blocks = scratch.write(blocks, "blocks")
+    groups = scratch.write(blocks.groupBy(*by).agg(F.first("n").alias("n"), (F.sum("whole") / F.first("n")).alias("delta")), "groups")
+    draws = F.col("n") * resamples
+
+    # Groups that fit: a piece is a range of resamples, at least one, and meets the blocks of its group.
+    each = F.greatest(F.lit(1), F.floor(F.lit(piece) / F.col("n"))).cast("int")
+    ranges = groups.where(F.col("n") <= most).select(*by, "n", each.alias("each"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), each)).alias("at"))
+
+    def resampled(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, low = int(pdf["n"].iloc[0]), int(pdf["at"].iloc[0])
+        d = np.concatenate([np.frombuffer(x) for x in pdf.sort_values("block")["d"]])
+        high = min(resamples, low + int(pdf["each"].iloc[0]))
+        draw = drawn_from(seed, low * n)
+        sums = [d[(draw.random_sample(n) * n).astype(np.int64)].sum() for _ in range(low, high)]
+        out = pd.DataFrame({"i": np.arange(low, high), "part": sums})
+        for c, value in zip(reversed(by), reversed(first_of(pdf)), strict=True):
+            out.insert(0, c, [value] * len(out))
         return out
 
-    sums = blocks.groupBy(*by, "block").applyInPandas(run, f"{keys}{', ' if by else ''}i int, part double, whole double, n long")
-    means = sums.groupBy(*by, "i").agg((F.sum("part") / F.first("n")).alias("mean"), (F.sum("whole") / F.first("n")).alias("delta"))
+    met = ranges.alias("a").join(blocks.alias("b"), same("a", "b") or F.lit(True)).select(*[f"a.{c}" for c in by], "a.n", "a.each", "a.at", "b.block", "b.d")
+    sums = met.groupBy(*by, "at").applyInPandas(resampled, f"{keys}i long, part double")
+
+    # Larger ones: a piece is a range of draws, dealt to the blocks that they fall into.
+    starts = groups.where(F.col("n") > most).select(*by, "n", F.explode(F.sequence(F.lit(0).cast("long"), draws - 1, F.lit(piece).cast("long"))).alias("at"))
+
+    def dealt(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                n, low = int(row["n"]), int(row["at"])
+                high = min(n * resamples, low + piece)
+                draw = drawn_from(seed, low)
+                for at in range(low, high, 1 << 22):
+                    m = min(1 << 22, high - at)
+                    places = (draw.random_sample(m) * n).astype(np.int64)
+                    i = (at + np.arange(m)) // n
+                    order = np.argsort(places // block, kind="stable")
+                    number, edge = np.unique((places // block)[order], return_index=True)
+                    hits = (i * block + places % block)[order]
+                    yield pd.DataFrame({**{c: [row[c]] * len(number) for c in by}, "block": number, "hits": [hits[a:b].tobytes() for a, b in zip(edge, [*edge[1:], m], strict=True)]})
+
+    def added(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                d, hits = np.frombuffer(row["d"]), np.frombuffer(row["hits"], np.int64)
+                i, back = np.unique(hits // block, return_inverse=True)
+                yield pd.DataFrame({**{c: [row[c]] * len(i) for c in by}, "i": i, "part": np.bincount(back, d[hits % block])})
+
+    hits = starts.mapInPandas(dealt, f"{keys}block long, hits binary").alias("a").join(blocks.alias("b"), same("a", "b", "block"))
+    sums = sums.unionByName(hits.select(*[f"a.{c}" for c in by], "b.d", "a.hits").mapInPandas(added, f"{keys}i long, part double"))
+
+    sums = scratch.write(sums.groupBy(*by, "i").agg(F.sum("part").alias("part")), "sums")
+    means = sums.alias("s").join(F.broadcast(groups).alias("g"), same("s", "g") or F.lit(True)).select(*[f"s.{c}" for c in by], "g.delta", (F.col("s.part") / F.col("g.n")).alias("mean"))
     out = means.groupBy(*by).agg(F.first("delta").alias("delta"), F.array_sort(F.collect_list("mean")).alias("means"))
     at = lambda q: F.get("means", F.lit(int(q * (resamples - 1))))
     return out.select(*by, "delta", at(0.025).alias("ci_low"), at(0.975).alias("ci_high"))
@@ -175,4 +222,50 @@ def calibrate(scored: DataFrame, target_precision: float = 0.9, min_results: int
 
 def p95(values: DataFrame, col: str) -> DataFrame:
     """Nearest-rank 95 % quantile."""
-    return values.agg(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {col})").alias("p95"))
+    return ranked_quantiles(values, col, [0.95]).select(F.col("value").alias("p95"))
+
+
+SLICES = 1024
+
+
+def ranked_quantiles(values: DataFrame, col: str, shares: list[float], most: int = 1 << 16) -> DataFrame:
+    """share, value: the value of nearest rank, the smallest that at least this share of all non-null values do not exceed (null without values).
+
+    Ranks are found by counting, not by holding values: values are counted in 1,024 slices of the range of each wanted rank, with map-side
+    combining, and only the slice that holds the rank is cut again, until at most `most` rows or one value are left in it. A pass
+    shuffles 1,024 counts a task; passes end after some ten, as the range of doubles is no wider."""
+    spark = values.sparkSession
+    kind = values.schema[col].dataType.simpleString()
+    x = F.col(col).cast("double").alias("x")
+    held = Scratch(spark, "quantiles").write(values.where(F.col(col).isNotNull()).select(F.col(col).alias("v"), x), "values")
+    # NaN is the largest value, as in Spark's order; it takes no part in the arithmetic of ranges.
+    n, nan, low, high = held.agg(F.count(F.lit(1)), F.count_if(F.isnan("x")), F.min(F.when(~F.isnan("x"), F.col("x"))), F.max(F.when(~F.isnan("x"), F.col("x")))).first()
+    out = []
+    for share in shares:
+        rank = max(1, math.ceil(share * n - 1e-12 * n)) if n else 0
+        if not n:
+            out.append((share, None))
+            continue
+        if rank > n - nan:
+            out.append((share, held.where(F.isnan("x")).select("v").first()[0]))
+            continue
+        a, b, before, inside = low, high, 0, n - nan
+        within = lambda: (F.col("x") >= F.lit(a)) & (F.col("x") <= F.lit(b)) & ~F.isnan("x")  # noqa: B023,E731
+        while inside > most and a < b:
+            width = b / SLICES - a / SLICES
+            slice_ = F.least(F.lit(SLICES - 1), F.greatest(F.lit(0), F.floor((F.col("x") - F.lit(a)) / F.lit(width)))) if width > 0 and max(-a, b) < 1e300 else (F.col("x") > F.lit(a / 2 + b / 2)).cast("long")
+            counts = held.where(within()).groupBy(slice_.alias("s")).agg(F.count(F.lit(1)).alias("m"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("s").collect()
+            if len(counts) == 1 and (counts[0]["a"], counts[0]["b"]) == (a, b):
+                # Rounding keeps all of them in one slice: halve by the middle value that still lies between.
+                middle = a / 2 + b / 2
+                counts = held.where(within()).groupBy((F.col("x") > F.lit(middle)).alias("s")).agg(F.count(F.lit(1)).alias("m"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("s").collect()
+            for r in counts:
+                if before + r["m"] >= rank:
+                    a, b, inside = r["a"], r["b"], r["m"]
+                    break
+                before += r["m"]
+        # The rows left in the range, counted by value: few rows, or one double (of which the exact values differ at most in what it rounds).
+        left = held.where(within()).groupBy("v").agg(F.count(F.lit(1)).alias("m")).orderBy("v")
+        upto = left.withColumn("upto", F.sum("m").over(Window.orderBy("v")) + F.lit(before)).where(F.col("upto") >= rank)
+        out.append((share, upto.agg(F.min("v")).first()[0]))
+    return spark.createDataFrame(out, f"share double, value {kind}")
