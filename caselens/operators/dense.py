@@ -123,10 +123,13 @@ L1 = Measure(_l1_nearness, lambda q, v: -_l1_nearness(q, v), lambda gap, low, hi
 SLACK = 1e-7
 
 
-def _pivots(vectors: DataFrame, most: int) -> np.ndarray:
-    """A bounded sample of the vectors, the same on any cluster."""
+#: Up to so many vectors, finding groups takes longer than scoring all pairs; the rows are the same either way.
+FEW = 1 << 15
+
+
+def _pivots(vectors: DataFrame, n: int, most: int) -> np.ndarray:
+    """A bounded sample of the n vectors, the same on any cluster."""
     key, vector = vectors.columns[:2]
-    n = vectors.count()
     rows = vectors.orderBy(F.xxhash64(key), key).select(vector).limit(min(most, math.isqrt(n) + 1)).collect()
     return np.array([r[0] for r in rows], np.float64)
 
@@ -178,13 +181,48 @@ def _bounds(measure: Measure, pivots: np.ndarray, matrix: np.ndarray, metas: lis
     return np.where(np.isnan(out), np.inf, out)
 
 
+def _best(score: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int):
+    """Of each pair of blocks the best k for each wanted query, so that what is shuffled does not hold all pairs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                ids, docs = np.asarray(row.q_ids), np.asarray(row.ids)
+                wanted = np.arange(len(ids)) if row.wanted is None else np.asarray(row.wanted)
+                scores = score(_unpacked(row.q_vectors, len(ids))[wanted], _unpacked(row.vectors, len(docs)))
+                rounded = np.round(scores, 9)
+                rounded[np.isnan(rounded)] = -np.inf
+                least = np.partition(rounded, -min(k, len(docs)), axis=1)[:, -min(k, len(docs))]
+                best = []
+                for line, floor in zip(rounded, least, strict=True):
+                    near = np.flatnonzero(line >= floor)
+                    best.append(near[np.lexsort((docs[near], -line[near]))][:k])
+                held, every = np.repeat(np.arange(len(best)), [len(x) for x in best]), np.concatenate(best)
+                yield pd.DataFrame({"pack": row.pack, "i": wanted[held], "query_id": ids[wanted[held]], "docid": docs[every], "score": scores[held, every]})
+
+    return run
+
+
+def _packed(frame: DataFrame, block: int, ids: str, vectors: str) -> DataFrame:
+    """Rows of at most `block` vectors, as they come."""
+    key, vector = frame.columns[:2]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), block):
+                part = pdf.iloc[at : at + block]
+                yield pd.DataFrame({ids: [part[key].tolist()], vectors: [np.stack(part[vector].to_numpy()).astype(np.float64).tobytes()]})
+
+    return frame.select(key, vector).mapInPandas(run, f"{ids} array<{frame.schema[key].dataType.simpleString()}>, {vectors} binary")
+
+
 class _Pruned:
     """One search: blocks of queries and of vectors, and which pairs of them are scored."""
 
     def __init__(self, measure: Measure, queries: DataFrame, vectors: DataFrame, k: int, block: int, most_pivots: int):
         self.scratch, self.measure, self.k = Scratch(queries.sparkSession, "vectors"), measure, k
         self.qkind, self.vkind = (f.schema[f.columns[0]].dataType.simpleString() for f in (queries, vectors))
-        self.pivots = _pivots(vectors, most_pivots)
+        self.pivots = _pivots(vectors, vectors.count(), most_pivots)
         self.empty = not len(self.pivots)
         if not self.empty:
             self.q = _grouped(queries, self.pivots, measure, 256, "queries", self.scratch).select(F.col("number").alias("pack"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
@@ -232,26 +270,9 @@ class _Pruned:
         return self.q.join(bars, "pack", "left").crossJoin(self.metas).mapInPandas(run, "pack long, number long, wanted array<int>")
 
     def scored(self, pairs: DataFrame) -> DataFrame:
-        """pack, i, query_id, docid, score: of each pair the best k for each wanted query, so what is shuffled does not hold all pairs."""
-        score, k = self.measure.score, self.k
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for row in pdf.itertuples(index=False):
-                    wanted, ids, docs = np.asarray(row.wanted), np.asarray(row.q_ids), np.asarray(row.ids)
-                    scores = score(_unpacked(row.q_vectors, len(ids))[wanted], _unpacked(row.vectors, len(docs)))
-                    rounded = np.round(scores, 9)
-                    rounded[np.isnan(rounded)] = -np.inf
-                    least = np.partition(rounded, -min(k, len(docs)), axis=1)[:, -min(k, len(docs))]
-                    best = []
-                    for line, floor in zip(rounded, least, strict=True):
-                        near = np.flatnonzero(line >= floor)
-                        best.append(near[np.lexsort((docs[near], -line[near]))][:k])
-                    held, every = np.repeat(np.arange(len(best)), [len(x) for x in best]), np.concatenate(best)
-                    yield pd.DataFrame({"pack": row.pack, "i": wanted[held], "query_id": ids[wanted[held]], "docid": docs[every], "score": scores[held, every]})
-
+        """pack, i, query_id, docid, score: the best k of each pair for each wanted query."""
         met = pairs.join(self.q, "pack").join(self.v.select("number", "ids", "vectors"), "number")
-        return met.mapInPandas(run, f"pack long, i int, query_id {self.qkind}, docid {self.vkind}, score double")
+        return met.mapInPandas(_best(self.measure.score, self.k), f"pack long, i int, query_id {self.qkind}, docid {self.vkind}, score double")
 
     def pairs(self) -> DataFrame:
         """The pairs of blocks that are scored in the end."""
@@ -268,6 +289,12 @@ def _topk(measure: Measure, queries: DataFrame, vectors: DataFrame, k: int, allo
     did = vectors.columns[0]
     if allowed is not None:
         vectors = vectors.join(allowed.select(F.col(allowed.columns[0]).alias(did)).distinct(), did, "left_semi").select(*vectors.columns)
+    if vectors.count() <= FEW:
+        qkind, vkind = (f.schema[f.columns[0]].dataType.simpleString() for f in (queries, vectors))
+        every = _packed(queries, 256, "q_ids", "q_vectors").crossJoin(_packed(vectors, 4 * block, "ids", "vectors"))
+        every = every.select(F.lit(0).cast("long").alias("pack"), F.lit(None).cast("array<int>").alias("wanted"), "q_ids", "q_vectors", "ids", "vectors")
+        found = every.mapInPandas(_best(measure.score, k), f"pack long, i int, query_id {qkind}, docid {vkind}, score double")
+        return top(found.select("query_id", "docid", "score"), k, F.desc(F.round("score", 9)), "docid")
     search = _Pruned(measure, queries, vectors, k, block, pivots)
     if search.empty:
         return queries.sparkSession.createDataFrame([], f"query_id {search.qkind}, docid {search.vkind}, score double, rank int")

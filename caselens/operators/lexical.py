@@ -22,7 +22,7 @@ from caselens.plans.scratch import Scratch
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
 #: Documents of a strip; bounds get tighter and more numerous as it shrinks.
-STRIP = 32
+STRIP = 128
 #: Scores agree in nine places; bounds give way by more than that.
 SLACK = 1e-8
 
@@ -51,60 +51,104 @@ class Index:
 
 
 def _count(batches):
-    """docid, dl, head (first row of its document), term, tf: a row for each different term of a row's list, one of no term if it is empty."""
+    """docid, dl, terms, tfs: the different terms of each row's list with their counts."""
     import pyarrow as pa
 
     for batch in batches:
         lists = batch.column(1)
         sizes = np.diff(lists.offsets.to_numpy())
         coded = lists.flatten().dictionary_encode()
-        words = pa.concat_arrays([coded.dictionary, pa.array([""], coded.dictionary.type)])
-        rows = np.append(np.repeat(np.arange(len(sizes)), sizes), np.flatnonzero(sizes == 0))
-        codes = np.append(coded.indices.to_numpy(), np.full((sizes == 0).sum(), len(words) - 1))
-        keys, tf = np.unique(rows * len(words) + codes, return_counts=True)
-        row, code = np.divmod(keys, len(words))
-        tf[code == len(words) - 1] = 0
-        head = np.ones(len(row), bool)
-        head[1:] = row[1:] != row[:-1]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(sizes[row].astype(np.int64)), pa.array(head), words.take(pa.array(code)).cast(pa.string()), pa.array(tf.astype(np.int64))], ["docid", "dl", "head", "term", "tf"])
-
-
-def _counted(docs: DataFrame, id_col: str, text_col: str, parts: bool, scratch: Scratch) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("docid"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("terms"))
-    counted = rows.mapInArrow(_count, f"docid {rows.schema['docid'].dataType.simpleString()}, dl long, head boolean, term string, tf long")
-    if not parts:
-        return scratch.write(counted, "counted")
-    # Parts of a document meet; a part without tokens adds nothing but keeps its document.
-    merged = scratch.write(counted.groupBy("docid", "term").agg(F.sum("tf").alias("tf")), "merged")
-    lengths = scratch.write(merged.groupBy("docid").agg(F.sum("tf").alias("dl"), F.max("term").alias("last")), "whole")
-    met = merged.join(lengths, "docid").where((F.col("term") != "") | (F.col("last") == ""))
-    return scratch.write(met.select("docid", "dl", (F.col("term") == F.col("last")).alias("head"), "term", "tf"), "counted")
-
-
-def weight(tf: Column, dl: Column, avgdl: float) -> Column:
-    """What a term adds to a score, but for its idf."""
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(float(avgdl or 1))))
-
-
-def build_index(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch | None = None, parts: bool = False) -> Index:
-    """docs: one row per document, or with `parts` one or more. Lengths count tokens with repeats; documents without tokens count for the
-    mean. Only the blocks and the sums are shuffled."""
-    scratch = scratch or Scratch(docs.sparkSession, "index")
-    counted = _counted(docs, id_col, text_col, parts, scratch)
-    lengths = counted.where("head").select("docid", "dl")
-    words = scratch.write(counted.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), "vocabulary")
-    # Documents of like length share strips, which keeps bounds tight. There are at most some 250 classes of length.
+        keys, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(len(coded.dictionary), 1) + coded.indices.to_numpy(), return_counts=True)
+        row, code = np.divmod(keys, max(len(coded.dictionary), 1))
+        ends = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32))
+        terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(code)).cast(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), terms, pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int64)))], ["docid", "dl", "terms", "tfs"])
+
+
+def _blocks(avgdl: float):
+    """term, strip, bound, docs of rows that lie in order of their strip: strip, docid, dl, terms, tfs. A strip's rows are held until the
+    next one begins."""
+
+    def made(table):
+        import pyarrow as pa
+
+        batch = table.combine_chunks().to_batches()[0]
+        strips, docids, dls, terms, tfs = batch.columns
+        sizes = np.diff(terms.offsets.to_numpy())
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        coded, strip, tf = terms.flatten().dictionary_encode(), strips.to_numpy(), tfs.flatten().to_numpy()
+        place = np.append(0, np.cumsum(strip[1:] != strip[:-1]))[row] * max(len(coded.dictionary), 1) + coded.indices.to_numpy()
+        order = np.argsort(place, kind="stable")
+        place, row, tf = place[order], row[order], tf[order]
+        if not len(row):
+            return None
+        head = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        dl = dls.to_numpy()[row]
+        bound = np.maximum.reduceat(weight(tf, dl, avgdl), head)
+        docs = pa.StructArray.from_arrays([docids.take(pa.array(row)), pa.array(tf), pa.array(dl)], ["docid", "tf", "dl"])
+        term = coded.dictionary.take(pa.array(place[head] % len(coded.dictionary))).cast(pa.string())
+        ends = pa.array(np.append(head, len(row)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([term, pa.array(strip[row[head]]), pa.array(bound), pa.ListArray.from_arrays(ends, docs)], ["term", "strip", "bound", "docs"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            strip = held["strip"].to_numpy()
+            cut = int(np.flatnonzero(strip[1:] != strip[:-1])[-1]) + 1 if (strip[1:] != strip[:-1]).any() else 0
+            if cut and (out := made(held.slice(0, cut))) is not None:
+                yield out
+            held = held.slice(cut)
+        if held is not None and (out := made(held)) is not None:
+            yield out
+
+    return run
+
+
+def weight(tf, dl, avgdl: float):
+    """What a term adds to a score, but for its idf; of columns or arrays."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / float(avgdl or 1)))
+
+
+def _strips(lengths: DataFrame) -> tuple[Column, int, float | None]:
+    """(strip of docid and dl, number of documents, their mean length). Documents of like length share strips, which keeps bounds tight;
+    there are at most some 250 classes of length."""
     kind = F.floor(F.log2(F.col("dl") + 1) * 8)
     found = lengths.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).collect()
-    n, total = sum(r.n for r in found), sum(r.dl for r in found)
-    strips = F.lit(1)
+    n, strips = sum(r.n for r in found), F.lit(1)
     for r in found:
         strips = F.when(kind == r.kind, -(-r.n // STRIP)).otherwise(strips)
-    strip = kind * F.lit(1 << 40) + F.pmod(F.xxhash64("docid"), strips)
-    each = counted.where("term <> ''").select("term", strip.alias("strip"), F.struct("docid", "tf", "dl").alias("doc"), weight(F.col("tf"), F.col("dl"), total / max(n, 1)).alias("weight"))
-    blocks = scratch.write(each.groupBy("term", "strip").agg(F.max("weight").alias("bound"), F.collect_list("doc").alias("docs")), "blocks")
-    stats = docs.sparkSession.createDataFrame([(n, total / n if n else None)], "n long, avgdl double")
-    return Index(blocks, lengths, words, stats)
+    return kind * F.lit(1 << 40) + F.pmod(F.xxhash64("docid"), strips), n, sum(r.dl for r in found) / n if n else None
+
+
+def build_index(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch | None = None, parts: bool = False) -> Index:
+    """docs: one row per document, or with `parts` one or more. Lengths count tokens with repeats; documents without tokens count for the
+    mean. Whole documents travel to their strips as one row each; of documents in parts each term does."""
+    spark, scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession, "index")
+    rows = docs.select(F.col(id_col).alias("docid"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("terms"))
+    kind = rows.schema["docid"].dataType.simpleString()
+    counted = scratch.write(rows.mapInArrow(_count, f"docid {kind}, dl long, terms array<string>, tfs array<long>"), "counted")
+    pairs = counted.select("docid", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("docid", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
+    if parts:
+        pairs = scratch.write(pairs.groupBy("docid", "term").agg(F.sum("tf").alias("tf")), "merged")
+        lengths = scratch.write(counted.groupBy("docid").agg(F.sum("dl").alias("dl")), "lengths")
+    else:
+        lengths = counted.select("docid", "dl")
+    words = scratch.write(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), "vocabulary")
+    strip, n, avgdl = _strips(lengths)
+    if parts:
+        each = pairs.join(lengths, "docid").select("term", strip.alias("strip"), F.struct("docid", "tf", "dl").alias("doc"), weight(F.col("tf"), F.col("dl"), avgdl).alias("weight"))
+        blocks = each.groupBy("term", "strip").agg(F.max("weight").alias("bound"), F.collect_list("doc").alias("docs"))
+    else:
+        dealt = counted.select(strip.alias("strip"), "docid", "dl", "terms", "tfs").repartition("strip").sortWithinPartitions("strip")
+        blocks = dealt.mapInArrow(_blocks(avgdl), f"term string, strip long, bound double, docs array<struct<docid:{kind},tf:long,dl:long>>")
+    stats = spark.createDataFrame([(n, avgdl)], "n long, avgdl double")
+    return Index(scratch.write(blocks, "blocks"), lengths, words, stats)
 
 
 def query_terms(queries: DataFrame, vocabulary: DataFrame, max_terms: int = 32, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
@@ -146,18 +190,13 @@ def _searched(queries: DataFrame, index: Index, k: int, max_terms: int, id_col:
             found = allowed(found)
         return scratch.write(found.groupBy("query_id", "docid").agg((-F.sum(F.col("idf") * weight(F.col("tf"), F.col("dl"), avgdl))).alias("score")), name)
 
-    # The best strips set the bar, the next ones raise it, then everything that reaches it is read.
-    scores, read, seen = None, None, 0
-    for i, most in enumerate((k, 8 * k, None)):
-        strips = bounds.where(F.col("at") > seen)
-        strips = strips.where(F.col("at") <= most) if most else strips
-        if scores is not None:
-            bar = top(scores, k, "score").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("bar")).where(F.col("n") == k)
-            bar = scratch.write(bar.select("query_id", "bar"), f"bar-{i}")
-            strips = strips.join(bar, "query_id", "left").where(F.col("bar").isNull() | (F.col("bound") >= -F.col("bar") - SLACK)).drop("bar")
-        strips = scratch.write(strips, f"strips-{i}")
-        new, seen = score(strips, f"scores-{i}"), most
-        scores, read = (new, strips) if scores is None else (scores.unionByName(new), read.unionByName(strips))
+    # The best strips set the bar, then everything that reaches it is read.
+    first = bounds.where(F.col("at") <= k)
+    scores = score(first, "first")
+    bar = top(scores, k, "score").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("bar")).where(F.col("n") == k)
+    rest = bounds.where(F.col("at") > k).join(bar.select("query_id", "bar"), "query_id", "left")
+    rest = scratch.write(rest.where(F.col("bar").isNull() | (F.col("bound") >= -F.col("bar") - SLACK)).drop("bar"), "rest")
+    scores, read = scores.unionByName(score(rest, "scores")), first.unionByName(rest)
     return Search(scores, bounds.join(read.select("query_id", "strip", F.lit(True).alias("read")), ["query_id", "strip"], "left").withColumn("read", F.coalesce("read", F.lit(False))))
 
 

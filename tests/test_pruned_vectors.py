@@ -36,8 +36,14 @@ DOT = lambda q, v: v @ q
 NEAR = lambda q, v: -np.abs(v - q).sum(1)
 
 
+@pytest.fixture(params=[0, dense.FEW])
+def few(request, monkeypatch):
+    """Around pivots, and all pairs as for few vectors."""
+    monkeypatch.setattr(dense, "FEW", request.param)
+
+
 @pytest.mark.parametrize("kind", ["groups", "spread", "equal", "norms"])
-def test_same_rows_as_a_full_scan(spark, kind):
+def test_same_rows_as_a_full_scan(spark, few, kind):
     rng = np.random.default_rng(1)
     if kind == "groups":
         vectors = clustered(900, 30)
@@ -54,7 +60,7 @@ def test_same_rows_as_a_full_scan(spark, kind):
     assert ranked(dense.l1_topk(q, v, 7, block=32)) == full(queries, vectors, 7, NEAR)
 
 
-def test_more_places_than_vectors_and_values_that_are_no_numbers(spark):
+def test_more_places_than_vectors_and_values_that_are_no_numbers(spark, few):
     vectors = clustered(20, 4)
     vectors[5] = np.nan
     v = frame_of(spark, vectors)
