@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caselens.queries import profiling, retrieval, workflow
+from caselens.queries import audits, profiling, retrieval, workflow
 
-QUERIES = retrieval.QUERIES | profiling.QUERIES | workflow.QUERIES
-SQL = retrieval.SQL | profiling.SQL | workflow.SQL
+QUERIES = retrieval.QUERIES | profiling.QUERIES | workflow.QUERIES | audits.QUERIES
+SQL = retrieval.SQL | profiling.SQL | workflow.SQL | audits.SQL
