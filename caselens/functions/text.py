@@ -3,6 +3,7 @@ splitter."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -76,6 +77,20 @@ def tokens(c: Column, normalise: bool = True) -> Column:
     return F.when(text.rlike(r"[\u3400-\u9fff]{2}"), cut).otherwise(runs)
 
 
+_PLACEHOLDER, _RUN, _PAIRED = re.compile(PLACEHOLDERS), re.compile(r"[\u3400-\u9fff]+|[a-z0-9]+"), re.compile(r"[\u3400-\u9fff]{2}")
+
+
+def token_list(text: str | None) -> list[str]:
+    """`tokens` of one text, for functions that see whole texts anyway."""
+    low = (text or "").lower() if (text or "").isascii() else unicodedata.normalize("NFKC", text).lower()
+    if "[" in low:
+        low = _PLACEHOLDER.sub(" ", low)
+    runs = _RUN.findall(low)
+    if low.isascii() or not _PAIRED.search(low):
+        return runs
+    return [t for r in runs for t in ([r[i : i + 2] for i in range(len(r) - 1)] if _PAIRED.match(r) else [r])]
+
+
 def stable_rank(seed, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key), 256)
 

@@ -9,13 +9,15 @@ Texts are tokenised once and the terms of a document are counted inside its row,
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselens.functions.text import tokens
+from caselens.functions.text import token_list, tokens
 from caselens.plans.scratch import Scratch
 
 # Fixed values of the ranking function.
@@ -51,18 +53,15 @@ class Index:
 
 
 def _count(batches):
-    """docid, dl, terms, tfs: the different terms of each row's list with their counts."""
+    """docid, dl, terms, tfs: the different terms of each text with their counts."""
     import pyarrow as pa
 
     for batch in batches:
-        lists = batch.column(1)
-        sizes = np.diff(lists.offsets.to_numpy())
-        coded = lists.flatten().dictionary_encode()
-        keys, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(len(coded.dictionary), 1) + coded.indices.to_numpy(), return_counts=True)
-        row, code = np.divmod(keys, max(len(coded.dictionary), 1))
-        ends = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32))
-        terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(code)).cast(pa.string()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), terms, pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int64)))], ["docid", "dl", "terms", "tfs"])
+        counts = [Counter(token_list(text.as_py())) for text in batch.column(1)]
+        ends = pa.array(np.cumsum([0] + [len(c) for c in counts]).astype(np.int32))
+        terms = pa.ListArray.from_arrays(ends, pa.array(list(chain.from_iterable(counts)), pa.string()))
+        tfs = pa.ListArray.from_arrays(ends, pa.array(list(chain.from_iterable(c.values() for c in counts)), pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.total() for c in counts], pa.int64()), terms, tfs], ["docid", "dl", "terms", "tfs"])
 
 
 def _blocks(avgdl: float):
@@ -84,8 +83,8 @@ def _blocks(avgdl: float):
             return None
         head = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         dl = dls.to_numpy()[row]
-        bound = np.maximum.reduceat(weight(tf, dl, avgdl), head)
-        docs = pa.StructArray.from_arrays([docids.take(pa.array(row)), pa.array(tf), pa.array(dl)], ["docid", "tf", "dl"])
+        bound = np.nextafter(np.maximum.reduceat(weight(tf, dl, avgdl), head).astype(np.float32), np.float32(np.inf))
+        docs = pa.StructArray.from_arrays([docids.take(pa.array(row)), pa.array(tf), pa.array(dl.astype(np.int32))], ["docid", "tf", "dl"])
         term = coded.dictionary.take(pa.array(place[head] % len(coded.dictionary))).cast(pa.string())
         ends = pa.array(np.append(head, len(row)).astype(np.int32))
         return pa.RecordBatch.from_arrays([term, pa.array(strip[row[head]]), pa.array(bound), pa.ListArray.from_arrays(ends, docs)], ["term", "strip", "bound", "docs"])
@@ -130,25 +129,30 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch |
     """docs: one row per document, or with `parts` one or more. Lengths count tokens with repeats; documents without tokens count for the
     mean. Whole documents travel to their strips as one row each; of documents in parts each term does."""
     spark, scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession, "index")
-    rows = docs.select(F.col(id_col).alias("docid"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("terms"))
+    rows = docs.select(F.col(id_col).alias("docid"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["docid"].dataType.simpleString()
-    counted = scratch.write(rows.mapInArrow(_count, f"docid {kind}, dl long, terms array<string>, tfs array<long>"), "counted")
+    counted = scratch.write(rows.mapInArrow(_count, f"docid {kind}, dl long, terms array<string>, tfs array<int>"), "counted")
     pairs = counted.select("docid", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("docid", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
     if parts:
+        scratch.release()
         pairs = scratch.write(pairs.groupBy("docid", "term").agg(F.sum("tf").alias("tf")), "merged")
         lengths = scratch.write(counted.groupBy("docid").agg(F.sum("dl").alias("dl")), "lengths")
     else:
-        lengths = counted.select("docid", "dl")
+        lengths = scratch.write(counted.select("docid", "dl"), "lengths")
     words = scratch.write(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), "vocabulary")
     strip, n, avgdl = _strips(lengths)
     if parts:
-        each = pairs.join(lengths, "docid").select("term", strip.alias("strip"), F.struct("docid", "tf", "dl").alias("doc"), weight(F.col("tf"), F.col("dl"), avgdl).alias("weight"))
-        blocks = each.groupBy("term", "strip").agg(F.max("weight").alias("bound"), F.collect_list("doc").alias("docs"))
+        doc = F.struct("docid", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")).alias("doc")
+        each = pairs.join(lengths, "docid").select("term", strip.alias("strip"), doc, weight(F.col("tf"), F.col("dl"), avgdl).alias("weight"))
+        # The least step up: a bound may be rounded, but never down.
+        blocks = each.groupBy("term", "strip").agg((F.max("weight") * (1 + 1e-6)).cast("float").alias("bound"), F.collect_list("doc").alias("docs"))
     else:
         dealt = counted.select(strip.alias("strip"), "docid", "dl", "terms", "tfs").repartition("strip").sortWithinPartitions("strip")
-        blocks = dealt.mapInArrow(_blocks(avgdl), f"term string, strip long, bound double, docs array<struct<docid:{kind},tf:long,dl:long>>")
-    stats = spark.createDataFrame([(n, avgdl)], "n long, avgdl double")
-    return Index(scratch.write(blocks, "blocks"), lengths, words, stats)
+        blocks = dealt.mapInArrow(_blocks(avgdl), f"term string, strip long, bound float, docs array<struct<docid:{kind},tf:int,dl:int>>")
+    blocks = scratch.write(blocks, "blocks")
+    scratch.drop("counted", "merged")
+    scratch.release()
+    return Index(blocks, lengths, words, spark.createDataFrame([(n, avgdl)], "n long, avgdl double"))
 
 
 def query_terms(queries: DataFrame, vocabulary: DataFrame, max_terms: int = 32, id_col: str = "query_id", text_col: str = "query") -> DataFrame:

@@ -12,6 +12,7 @@ import re
 import tempfile
 from contextlib import contextmanager
 from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -109,11 +110,11 @@ def read_repaired_jsonl(spark: SparkSession, path: str, schema: str, id_col: str
 
 def model_fingerprint(spark: SparkSession, folder: str) -> tuple[str, list[dict]]:
     """(hash of a model, its configuration, vocabulary and weight files with size and hash); hidden folders don't count."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    hashed = file_hashes(spark, folder, recursive=True)
     root = folder.rstrip("/").removeprefix("file://").removeprefix("file:")
     name = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("^" + re.escape(root) + "/"), F.lit(""))
     fits = F.col("name").rlike(r"\.(json|txt|model|safetensors|bin)$") & ~F.col("name").rlike(r"(^|/)\.")
-    files_ = [r.asDict() for r in found.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(fits).orderBy("name").collect()]
+    files_ = [r.asDict() for r in hashed.select(name.alias("name"), F.col("length").alias("bytes"), "sha256").where(fits).orderBy("name").collect()]
     if not files_:
         raise ValueError("the folder holds no model")
     return hashlib.sha256(json.dumps(files_, sort_keys=True).encode()).hexdigest(), files_
@@ -152,9 +153,43 @@ def source_facts(spark: SparkSession, path: str) -> dict:
     return {"path": found[0]["path"], "size_bytes": found[0]["length"], "sha256": found[0]["sha256"], "header": header(spark, path)}
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, sha256 of files, hashed on the executors. A file is one value there: files of up to 2 GB."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+PIECE = 8 << 20
+
+
+def streamed_sha256(path: str) -> tuple[int, str]:
+    """(length, sha-256) of a file, read in pieces of 8 MiB; an error if it changes meanwhile. path: as Spark tells it, of a file system
+    that pyarrow opens."""
+    from pyarrow import fs
+
+    local = re.match("(?:file:/*)?/(.*)", path)
+    system, name = (fs.LocalFileSystem(), f"/{local[1]}") if local else fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    before, digest, length = system.get_file_info(name), hashlib.sha256(), 0
+    with system.open_input_stream(name, buffer_size=0) as stream:
+        while piece := stream.read(PIECE):
+            digest.update(piece)
+            length += len(piece)
+    after = system.get_file_info(name)
+    if (before.size, before.mtime) != (after.size, after.mtime) or length != after.size:
+        raise ValueError(f"a file changed while it was read: {path}")
+    return length, digest.hexdigest()
+
+
+def file_hashes(spark: SparkSession, path: str, most: int = 64 << 20, recursive: bool = False) -> DataFrame:
+    """path, length, sha256 of files that are not empty (Spark lists no others), hashed on the executors. Files of up to `most` bytes are one value of a row; larger ones, of any
+    size, are read as a stream by the task that they are dealt to."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for p in pdf["path"]:
+                length, sha = streamed_sha256(p)
+                yield pd.DataFrame({"path": [p], "length": [length], "sha256": [sha]})
+
+    small = found.where(F.col("length") <= most).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = found.where(F.col("length") > most).select("path", F.xxhash64("path").alias("h"))
+    return small.unionByName(large.repartition("h").select("path").mapInPandas(run, "path string, length long, sha256 string"))
 
 
 # ------------------------------------------------------------------------------------------------------------ sinks

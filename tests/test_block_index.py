@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from caselens.functions.text import token_list, tokens
 from caselens.operators import lexical
 
 
@@ -90,6 +91,13 @@ def test_a_stored_index_answers_alike(corpus, spark, tmp_path):
     assert rows(lexical.Index.read(spark, f"{tmp_path}/index")) == rows(index)
 
 
+def test_both_tokenizers_agree(spark):
+    odd = [None, "", "Plain WORDS 12x", "[name] said [PHONE] [other]", "\u4e2d\u6587\u5b57 a\u4e2d b\u4e2d\u6587", "\uff21\uff22 \u212a\u0130 \u00df\u00c9", "\u3400\u9fff\u3001x", "e\u0301 \u00bd \u2460 \uf900", "a_b-c.d'e", "\x00 tab\tx"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string")
+    got = {r.i: r.k or [] for r in frame.select("i", tokens(F.col("t")).alias("k")).collect()}
+    assert [got[i] for i in range(len(odd))] == [token_list(t) for t in odd]
+
+
 def test_no_documents(spark):
     index = lexical.build_index(spark.createDataFrame([], "docid long, text string"), "docid", "text")
     asked = spark.createDataFrame([(1, "word")], "query_id long, query string")
