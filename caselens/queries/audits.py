@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from caselens.operators import audit, sketches
 from caselens.plans.scratch import Scratch
 from caselens.queries.retrieval import benchmark, documents, gold, table
+from caselens.streaming.incremental import append_windows
 
 
 def _other_store(docs):
@@ -38,9 +39,25 @@ def sketch_estimates(spark, sf_dir):
     return sketches.estimates(sketches.merged(*states))
 
 
-QUERIES = {f.__name__: f for f in (store_differences, query_alignment, sketch_estimates)}
+def stream_windows(spark, sf_dir):
+    """Hourly counts of events that come in four parts of their time: each part is a run of its own that goes on from the state of the last."""
+    scratch = Scratch(spark, "windows")
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.least(F.lit(3), F.floor((F.unix_micros("ts") - (low or 0)) * 4 / ((high or 0) - (low or 0) + 1)))
+    for i in range(4):
+        events.where(part == i).write.mode("append").parquet(scratch.path("in"))
+        append_windows(spark, scratch.path("in"), events.schema, scratch.path("state"), scratch.path("out"))
+    closed = spark.read.schema("start timestamp, end timestamp, event_type string, n long, value double").parquet(scratch.path("out"))
+    return closed.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("value", 6).alias("value"))
+
+
+QUERIES = {f.__name__: f for f in (store_differences, query_alignment, sketch_estimates, stream_windows)}
 
 SQL = {
+    "stream_windows": """
+        SELECT strftime(start, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 6) AS value FROM (SELECT date_trunc('hour', ts) AS start, event_type, value FROM events)
+        GROUP BY start, event_type HAVING start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
     "store_differences": """
         SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'missing' WHEN doc_id % 89 = 0 AND lang IS NOT NULL THEN 'changed' ELSE 'repeated' END AS kind,
                1::BIGINT AS n_one, CASE WHEN doc_id % 97 = 0 THEN 0 WHEN doc_id % 83 = 0 THEN 2 ELSE 1 END::BIGINT AS n_two

@@ -33,6 +33,19 @@ def event_counts(events: DataFrame, every: str = "1 hour", late: str = "10 minut
     return rows.groupBy(F.window("ts", every), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
 
+def append_windows(spark: SparkSession, source: str, schema, checkpoint: str, out: str, every: str = "1 hour", late: str = "10 minutes", files_per_batch: int = 16) -> dict[str, int]:
+    """Appends the windows of event_counts that are closed to a table, from the files that have come since the last call; open windows stay in
+    the checkpoint, which a later call, in another session too, goes on from. Returns how many rows it read, how many counts came too late
+    for their window (one for each task, window and type; they enter no other window) and how many windows are still open."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    flat = event_counts(stream, every, late).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "value")
+    run = flat.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    steps = run.recentProgress
+    states = [o for p in steps for o in p["stateOperators"]]
+    return {"rows": sum(p["numInputRows"] for p in steps), "late": sum(o["numRowsDroppedByWatermark"] for o in states), "open": states[-1]["numRowsTotal"] if states else 0}
+
+
 def counted(frame: DataFrame, name: str, **counters) -> tuple[DataFrame, Observation]:
     """frame, and the counts of its rows that are there once an action has run over it; counters: further aggregates by name."""
     seen = Observation(name)
