@@ -15,7 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -121,11 +121,16 @@ def fit(train: DataFrame, buckets: int = 4096, per_language: int = 3, max_sample
     n_docs = dfs.pop(buckets)
     idf = (np.log((1 + n_docs) / (1 + np.array([dfs[b] for b in range(buckets)]))) + 1).astype(np.float32)
     share = max(1, max_sample // len(sizes))
-    # The hash below a rate keeps about 1.2 shares of each language; the limit makes the bound strict.
-    rates = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.2 * share / n))])
-    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    sample = train.select("lang", rank.alias("rank"), "text").where(F.col("rank") < F.element_at(rates, F.col("lang")) * (1 << 30))
-    sample = sample.mapInArrow(_vectors(buckets), "lang string, rank long, v binary").orderBy("rank", "lang", "v").limit(2 * max_sample).collect()
+    # The rows of each language with the smallest hashes of id and text; rows that repeat both count once. A task sends `share` hashes of a
+    # language at most, so a language that has nearly all rows is no load on one.
+    ranked = train.select("lang", F.xxhash64("doc_id", "text").alias("rank"), "text")
+    first = Window.partitionBy("lang").orderBy("rank")
+    lowest = ranked.select("lang", "rank").withColumn("at", F.row_number().over(first)).where(F.col("at") <= share).groupBy("lang").agg(F.max("rank").alias("last")).collect()
+    last = F.create_map(*[F.lit(x) for r in lowest for x in (r["lang"], r["last"])])
+    sample = ranked.where(F.col("rank") <= F.element_at(last, F.col("lang"))).dropDuplicates(["lang", "rank"])
+    sample = sample.mapInArrow(_vectors(buckets), "lang string, rank long, v binary").orderBy("lang", "rank").collect()
+    if missing := set(sizes) - {r.lang for r in sample}:
+        raise ValueError(f"no row was drawn for {sorted(missing)}")
     langs, centroids, floors = [], [], []
     for lang in sorted(sizes):
         rows = [np.frombuffer(r.v, np.float32) for r in sample if r.lang == lang][:share]

@@ -299,7 +299,11 @@ class WindowHistory:
     A folder of the caller's holds a run for each batch: the distinct 128-bit hashes of its windows, dealt by hash and sorted. `dedup` removes
     from a batch each word covered by a window that stands in an earlier batch or elsewhere in this one; windows are judged on the
     input, and earlier results stay as they are. `compact` merges the runs into one. A run that was not written to its end has no
-    _SUCCESS file and is not read; writing it again replaces it."""
+    _SUCCESS file and is not read; writing it again replaces it.
+
+    A batch that has a name can be run again, as after a write of its result that failed: its run is known by the name, is left out with
+    all later ones, and is replaced, so the result is the same. Once its run is compacted it cannot be told from the others any more, and
+    running the batch again is an error. Batches without a name are new each time."""
 
     def __init__(self, spark, folder: str, window: int = 35):
         self.spark, self.folder, self.window = spark, folder.rstrip("/"), window
@@ -322,8 +326,21 @@ class WindowHistory:
         last = self._names()
         return f"run-{int(last[-1].split('-')[1]) + 1 if last else 0:06d}{tail}"
 
-    def _read(self) -> DataFrame | None:
-        names = self._current()
+    def _run_of(self, batch: str | None) -> str | None:
+        """The run that a named batch has left."""
+        if batch is None:
+            return None
+        tag = hashlib.sha256(batch.encode()).hexdigest()[:24]
+        if self._exists(f"merged-{tag}"):
+            raise ValueError(f"batch {batch!r} is part of a compacted run")
+        return next((n for n in self._names() if n.endswith(f"-{tag}")), self._next(f"-{tag}"))
+
+    def _exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def _read(self, before: str | None = None) -> DataFrame | None:
+        names = [n for n in self._current() if before is None or n < before]
         return self.spark.read.schema("w long, w2 long").parquet(*[f"{self.folder}/{n}" for n in names]) if names else None
 
     def _write(self, windows: DataFrame, name: str) -> None:
@@ -333,25 +350,31 @@ class WindowHistory:
         """One run in place of all; the old ones are deleted once it is there."""
         old = self._current()
         if len(old) > 1:
+            for name in old:  # first, so that no batch of a merged run is ever taken for a new one
+                tag = name.split("-")[2] if name.count("-") > 1 else "all"
+                if tag != "all":
+                    path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/merged-{tag}")
+                    path.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(path)
             self._write(self._read().distinct(), self._next("-all"))
         for name in set(self._names()) - set(self._current()):
             delete(self.spark, f"{self.folder}/{name}")
 
-    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """docs of a new batch with the texts that lost words replaced by what is left; its windows enter the history."""
+    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+        """docs of a new batch with the texts that lost words replaced by what is left; its windows enter the history. batch: its name."""
+        run = self._run_of(batch)
         scratch = Scratch(self.spark, "history")
         slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole(F.col(text_col))).alias("th"), whole(F.col(text_col)).alias("text"))
         kind = slim.schema["doc_id"].dataType.simpleString()
         hashed = slim.mapInArrow(_window_hasher(self.window), f"doc_id {kind}, th long, w array<bigint>, w2 array<bigint>")
         placed = scratch.write(hashed.select("doc_id", "th", F.posexplode(F.arrays_zip("w", "w2")).alias("i", "x")).select("doc_id", "th", "i", "x.w", "x.w2"), "placed")
         counted = scratch.write(placed.groupBy("w", "w2").agg(F.count(F.lit(1)).alias("n")), "counted")
-        known, again = self._read(), counted.where("n > 1").select("w", "w2")
+        known, again = self._read(run), counted.where("n > 1").select("w", "w2")
         if known is not None:
             again = again.unionByName(counted.where("n = 1").join(known, ["w", "w2"], "left_semi").select("w", "w2"))
         again = scratch.write(again, "again")
         marks = placed.join(again, ["w", "w2"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct(F.col("i").alias("first"), F.lit(1).alias("mask"))).alias("marks"))
         marks = scratch.write(marks, "marks")
-        self._write(counted.select("w", "w2"), self._next())
+        self._write(counted.select("w", "w2"), run or self._next())
         same = (F.col("a.th") == F.col("b.th")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
         some = slim.alias("a").join(marks.alias("b"), same).select("a.doc_id", "a.th", "a.text", "b.marks").dropDuplicates(["doc_id", "th"])
         cut = scratch.write(some.mapInArrow(_remover(self.window), f"doc_id {kind}, th long, n_removed long, kept string"), "cut")

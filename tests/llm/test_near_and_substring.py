@@ -199,3 +199,22 @@ def test_batches_against_their_history(spark, tmp_path):
     assert len(substring.WindowHistory(spark, f"file://{tmp_path}/h", 20)._current()) == 2
     (tmp_path / "h" / "run-000099").mkdir()
     assert len(history._current()) == 2  # a run without its end is not read
+
+
+def test_a_named_batch_may_be_run_again(spark, tmp_path):
+    rows = passages(31)
+    frames = [spark.createDataFrame(rows[i::3], "doc_id long, text string") for i in range(3)]
+    texts = lambda got: sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    history = substring.WindowHistory(spark, f"file://{tmp_path}/h", 20)
+    first = [texts(history.dedup(f, batch=f"day {i}")) for i, f in enumerate(frames)]
+    assert len(history._current()) == 3
+    # Again, in any order, by another object and after later batches.
+    for i in (2, 0, 1, 1):
+        assert texts(substring.WindowHistory(spark, f"file://{tmp_path}/h", 20).dedup(frames[i], batch=f"day {i}")) == first[i]
+    assert len(history._current()) == 3
+    lone = spark.createDataFrame([(1, " ".join(f"u{i}" for i in range(60)))], "doc_id long, text string")
+    assert texts(history.dedup(lone, batch="x")) == texts(history.dedup(lone, batch="x")) == texts(lone)
+    history.compact()
+    with pytest.raises(ValueError, match="compacted"):
+        history.dedup(lone, batch="x")
+    assert texts(history.dedup(lone, batch="y")) == [(1, "")]

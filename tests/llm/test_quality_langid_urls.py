@@ -196,3 +196,13 @@ def test_filter_computes_the_verdict_once(spark, sf):
 
 def test_buckets_grow_with_the_corpus():
     assert [quality.bucket_count(n) for n in (0, 1000, 256_000, 15_000_000, 50_000_000_000)] == [1 << 14, 1 << 14, 1 << 14, 1 << 16, 1 << 20]
+
+
+def test_an_id_that_repeats_costs_no_language(spark):
+    """One id has nearly all rows of one language and all of another."""
+    rows = [(1, f"the quick brown fox number {i} and the lazy dog", "en") for i in range(6000)] + [(1, f"der schnelle braune Fuchs {i} und der faule Hund", "de") for i in range(40)]
+    rows += [(1, "le renard brun saute", "fr")] * 500
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_sample=300)
+    assert set(model.langs) == {"en", "de", "fr"}
+    asked = spark.createDataFrame([(1, "der braune Hund und der Fuchs"), (2, "the brown dog and the fox")], "doc_id long, text string")
+    assert {r.doc_id: r.nearest for r in langid.identify(asked, model).collect()} == {1: "de", 2: "en"}
