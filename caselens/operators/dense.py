@@ -134,9 +134,9 @@ def _pivots(vectors: DataFrame, n: int, most: int) -> np.ndarray:
     return np.array([r[0] for r in rows], np.float64)
 
 
-def _grouped(frame: DataFrame, pivots: np.ndarray, measure: Measure, block: int, name: str, scratch: Scratch) -> DataFrame:
+def _grouped(frame: DataFrame, pivots: np.ndarray, measure: Measure, block: int, name: str, scratch: Scratch, apart: bool = True) -> DataFrame:
     """Blocks of at most `block` vectors around one pivot, in order of their distance from it: number, pivot, low, high, norm, n, ids, vectors
-    (float64 bytes). Ranges of (pivot, distance, id) are dealt, so a pivot that has a third of all vectors is many blocks in many tasks."""
+    (float64 bytes). Ranges of (pivot, distance, id) are dealt, so a pivot that has a third of all vectors is many blocks in many tasks. Without `apart` a block may go on to the next pivot."""
     key, vector = frame.columns[:2]
     kind = frame.schema[key].dataType.simpleString()
 
@@ -154,7 +154,7 @@ def _grouped(frame: DataFrame, pivots: np.ndarray, measure: Measure, block: int,
             held = rest if pdf is None else pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             if held is None or not len(held):
                 continue
-            edges = [0, *(np.flatnonzero(np.diff(held["pivot"].to_numpy())) + 1).tolist(), len(held)]
+            edges = [0, *((np.flatnonzero(np.diff(held["pivot"].to_numpy())) + 1).tolist() if apart else []), len(held)]
             cuts = [at for a, b in zip(edges[:-1], edges[1:], strict=True) for at in range(a, b, block)] + [len(held)]
             done = cuts if pdf is None else cuts[:-1]  # the last block may grow
             for a, b in zip(done[:-1], done[1:], strict=True):
@@ -225,7 +225,7 @@ class _Pruned:
         self.pivots = _pivots(vectors, vectors.count(), most_pivots)
         self.empty = not len(self.pivots)
         if not self.empty:
-            self.q = _grouped(queries, self.pivots, measure, 256, "queries", self.scratch).select(F.col("number").alias("pack"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+            self.q = _grouped(queries, self.pivots, measure, 256, "queries", self.scratch, apart=False).select(F.col("number").alias("pack"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
             self.v = _grouped(vectors, self.pivots, measure, block, "blocks", self.scratch)
             metas = self.v.select(F.struct("number", "pivot", "low", "high", "norm", "n").alias("m"), F.pmod(F.xxhash64("number"), F.lit(64)).alias("chunk"))
             # Bounds are judged for a block of queries and many blocks of vectors at once.

@@ -24,7 +24,7 @@ from caselens.plans.scratch import Scratch
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
 #: Documents of a strip; bounds get tighter and more numerous as it shrinks.
-STRIP = 128
+STRIP = 32
 #: Scores agree in nine places; bounds give way by more than that.
 SLACK = 1e-8
 
