@@ -5,6 +5,9 @@ the largest weight in it. The sum of a query's largest weights bounds the score
 scored first, their k-th score is the bar, and strips whose bound lies below it are never read. No block is longer than a strip, so a
 term that every document has is many rows of its own keys, not one hot one.
 
+Scores are summed where the blocks of a strip meet: what is shuffled is the blocks of the asked terms, each with the queries that ask
+for it, never a row for each query and document. Queries go in parts of about `PART`, so no group grows with their number.
+
 Texts are tokenised once and the terms of a document are counted inside its row, before anything is shuffled."""
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
 #: Documents of a strip; bounds get tighter and more numerous as it shrinks.
 STRIP = 32
+#: Queries that are scored together on one strip.
+PART = 1024
 #: Scores agree in nine places; bounds give way by more than that.
 SLACK = 1e-8
 
 
 @dataclass
 class Index:
-    blocks: DataFrame  # term, strip, bound, docs (array of docid, tf, dl)
+    blocks: DataFrame  # term, strip, bound, n, docs (array of docid, tf, dl)
     lengths: DataFrame  # docid, dl
     vocabulary: DataFrame  # term, df, cf
     stats: DataFrame  # n, avgdl
@@ -65,7 +70,7 @@ def _count(batches):
 
 
 def _blocks(avgdl: float):
-    """term, strip, bound, docs of rows that lie in order of their strip: strip, docid, dl, terms, tfs. A strip's rows are held until the
+    """term, strip, bound, n, docs of rows that lie in order of their strip: strip, docid, dl, terms, tfs. A strip's rows are held until the
     next one begins."""
 
     def made(table):
@@ -87,7 +92,8 @@ def _blocks(avgdl: float):
         docs = pa.StructArray.from_arrays([docids.take(pa.array(row)), pa.array(tf), pa.array(dl.astype(np.int32))], ["docid", "tf", "dl"])
         term = coded.dictionary.take(pa.array(place[head] % len(coded.dictionary))).cast(pa.string())
         ends = pa.array(np.append(head, len(row)).astype(np.int32))
-        return pa.RecordBatch.from_arrays([term, pa.array(strip[row[head]]), pa.array(bound), pa.ListArray.from_arrays(ends, docs)], ["term", "strip", "bound", "docs"])
+        sizes = pa.array(np.diff(np.append(head, len(row))).astype(np.int32))
+        return pa.RecordBatch.from_arrays([term, pa.array(strip[row[head]]), pa.array(bound), sizes, pa.ListArray.from_arrays(ends, docs)], ["term", "strip", "bound", "n", "docs"])
 
     def run(batches):
         import pyarrow as pa
@@ -145,10 +151,10 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch |
         doc = F.struct("docid", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")).alias("doc")
         each = pairs.join(lengths, "docid").select("term", strip.alias("strip"), doc, weight(F.col("tf"), F.col("dl"), avgdl).alias("weight"))
         # The least step up: a bound may be rounded, but never down.
-        blocks = each.groupBy("term", "strip").agg((F.max("weight") * (1 + 1e-6)).cast("float").alias("bound"), F.collect_list("doc").alias("docs"))
+        blocks = each.groupBy("term", "strip").agg((F.max("weight") * (1 + 1e-6)).cast("float").alias("bound"), F.count(F.lit(1)).cast("int").alias("n"), F.collect_list("doc").alias("docs"))
     else:
         dealt = counted.select(strip.alias("strip"), "docid", "dl", "terms", "tfs").repartition("strip").sortWithinPartitions("strip")
-        blocks = dealt.mapInArrow(_blocks(avgdl), f"term string, strip long, bound float, docs array<struct<docid:{kind},tf:int,dl:int>>")
+        blocks = dealt.mapInArrow(_blocks(avgdl), f"term string, strip long, bound float, n int, docs array<struct<docid:{kind},tf:int,dl:int>>")
     blocks = scratch.write(blocks, "blocks")
     scratch.drop("counted", "merged")
     scratch.release()
@@ -173,35 +179,93 @@ class Search:
     """One search: scores (query_id, docid, score) of every document that could be among the best k, and the strips that were read."""
 
     scores: DataFrame
-    strips: DataFrame  # query_id, strip, bound, postings, at, read
+    strips: DataFrame  # query_id, strip, bound, postings, read
+
+
+def _joined(table, name: str):
+    """(row of the table, value) of each member of a list column."""
+    import pyarrow.compute as pc
+
+    lists = table[name].combine_chunks()
+    return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), pc.list_flatten(lists)
+
+
+def _bounds(key, table):
+    """query_id, strip, part, bound, postings of one strip: the sums of the largest weights of each query's terms."""
+    import pyarrow as pa
+
+    row, asking = _joined(table, "queries")
+    coded = asking.dictionary_encode()
+    code, n = coded.indices.to_numpy(), len(coded.dictionary)
+    bound = np.bincount(code, table["bound"].to_numpy()[row], n)
+    postings = np.bincount(code, table["n"].to_numpy()[row], n).astype(np.int64)
+    strip, part = (pa.array(np.full(n, k.as_py())) for k in key)
+    return pa.Table.from_arrays([coded.dictionary, strip, part, pa.array(bound), pa.array(postings)], ["query_id", "strip", "part", "bound", "postings"])
+
+
+def _scored(avgdl: float):
+    """query_id, docid, score of the documents of one strip that reach the bar of a query that reads the strip."""
+
+    def run(blocks, reads):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        asks = reads["query_id"].combine_chunks()
+        row, asking = _joined(blocks, "queries")
+        query = pc.index_in(asking, value_set=asks)
+        row, query = row[query.is_valid().to_numpy(zero_copy_only=False)], query.drop_null().to_numpy()
+        at, docids = _joined(blocks, "docid")
+        docs = docids.dictionary_encode(null_encoding="encode")
+        tf, dl = _joined(blocks, "tf")[1].to_numpy(), _joined(blocks, "dl")[1].to_numpy()
+        share = blocks["idf"].to_numpy()[at] * weight(tf, dl, avgdl)
+        # Each asking query meets each document of its block.
+        sizes = np.bincount(at, minlength=blocks.num_rows)
+        each = sizes[row]
+        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat((np.cumsum(sizes) - sizes)[row], each)
+        width = len(docs.dictionary)
+        cell = np.repeat(query, each).astype(np.int64) * width + docs.indices.to_numpy()[place]
+        sums = np.bincount(cell, share[place], len(asks) * width)
+        bars = np.repeat(reads["bar"].fill_null(0).to_numpy(), width)
+        cell = np.flatnonzero((sums > 0) & (sums >= bars - SLACK))
+        return pa.Table.from_arrays([asks.take(pa.array(cell // width)), docs.dictionary.take(pa.array(cell % width)), pa.array(-sums[cell])], ["query_id", "docid", "score"])
+
+    return run
 
 
 def _searched(queries: DataFrame, index: Index, k: int, max_terms: int, id_col: str, text_col: str, allowed) -> Search:
     scratch = Scratch(queries.sparkSession, "bm25")
     n, avgdl = index.stats.first()
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = query_terms(queries, index.vocabulary, max_terms, id_col, text_col)
+    terms = query_terms(queries.where(F.col(id_col).isNotNull()), index.vocabulary, max_terms, id_col, text_col)
     terms = scratch.write(terms.select("query_id", "term", F.when(idf <= 0, IDF_FLOOR).otherwise(idf).alias("idf")), "terms")
-    held = terms.join(index.blocks.select("term", "strip", "bound", F.size("docs").alias("n")), "term")
-    bounds = held.groupBy("query_id", "strip").agg(F.sum(F.col("idf") * F.col("bound")).alias("bound"), F.sum("n").alias("postings"))
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("bound"), "strip")
-    bounds = scratch.write(bounds.withColumn("at", F.row_number().over(best_first)), "bounds")
-
-    def score(strips: DataFrame, name: str) -> DataFrame:
-        found = strips.select("query_id", "strip").join(terms, "query_id").join(index.blocks.select("term", "strip", "docs"), ["term", "strip"])
-        found = found.select("query_id", "idf", F.explode("docs").alias("d")).select("query_id", "idf", "d.docid", "d.tf", "d.dl")
-        if allowed is not None:
-            found = allowed(found)
-        return scratch.write(found.groupBy("query_id", "docid").agg((-F.sum(F.col("idf") * weight(F.col("tf"), F.col("dl"), avgdl))).alias("score")), name)
+    parts = max(1, -(-terms.select("query_id").distinct().count() // PART))
+    asked = terms.groupBy("term", F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")).agg(F.first("idf").alias("idf"), F.collect_list("query_id").alias("queries"))
+    asked = scratch.write(asked, "asked")
+    kind, docs = terms.schema["query_id"].dataType.simpleString(), index.blocks.schema["docs"].dataType.elementType
+
+    held = index.blocks.select("term", "strip", "bound", "n").join(asked, "term").select("strip", "part", (F.col("idf") * F.col("bound")).alias("bound"), "n", "queries")
+    bounds = held.groupBy("strip", "part").applyInArrow(_bounds, f"query_id {kind}, strip long, part long, bound double, postings long")
+    bounds = scratch.write(bounds, "bounds")
+    scratch.release()
+
+    def score(reads: DataFrame, name: str) -> DataFrame:
+        found = index.blocks.select("term", "strip", F.col("docs.docid").alias("docid"), F.col("docs.tf").alias("tf"), F.col("docs.dl").alias("dl")).join(asked, "term")
+        found = found.drop("term").join(reads.select("strip", "part").distinct(), ["strip", "part"], "left_semi")
+        scores = found.groupBy("strip", "part").cogroup(reads.groupBy("strip", "part")).applyInArrow(_scored(avgdl), f"query_id {kind}, docid {docs['docid'].dataType.simpleString()}, score double")
+        scores = scratch.write(scores if allowed is None else allowed(scores), name)
+        scratch.release()
+        return scores
 
     # The best strips set the bar, then everything that reaches it is read.
-    first = bounds.where(F.col("at") <= k)
+    first = scratch.write(top(bounds, k, F.desc("bound"), "strip").withColumn("bar", F.lit(None).cast("double")), "best")
     scores = score(first, "first")
-    bar = top(scores, k, "score").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("bar")).where(F.col("n") == k)
-    rest = bounds.where(F.col("at") > k).join(bar.select("query_id", "bar"), "query_id", "left")
-    rest = scratch.write(rest.where(F.col("bar").isNull() | (F.col("bound") >= -F.col("bar") - SLACK)).drop("bar"), "rest")
-    scores, read = scores.unionByName(score(rest, "scores")), first.unionByName(rest)
-    return Search(scores, bounds.join(read.select("query_id", "strip", F.lit(True).alias("read")), ["query_id", "strip"], "left").withColumn("read", F.coalesce("read", F.lit(False))))
+    bar = top(scores, k, "score").groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), (-F.max("score")).alias("bar")).where(F.col("m") == k)
+    last = first.where(F.col("rank") == k).select("query_id", F.col("bound").alias("last_bound"), F.col("strip").alias("last_strip"))
+    rest = bounds.join(last, "query_id").where((F.col("bound") < F.col("last_bound")) | ((F.col("bound") == F.col("last_bound")) & (F.col("strip") > F.col("last_strip"))))
+    rest = rest.join(bar.select("query_id", "bar"), "query_id", "left").where(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") - SLACK))
+    rest = scratch.write(rest.select("query_id", "strip", "part", "bar"), "rest")
+    scores, read = scores.unionByName(score(rest, "scores")), first.select("query_id", "strip").unionByName(rest.select("query_id", "strip"))
+    return Search(scores, bounds.join(read.withColumn("read", F.lit(True)), ["query_id", "strip"], "left").withColumn("read", F.coalesce("read", F.lit(False))))
 
 
 def bm25(queries: DataFrame, index: Index, k: int = 50, max_terms: int = 32, allowed: DataFrame | None = None, id_col: str = "query_id", text_col: str = "query", sources: DataFrame | None = None, filed: DataFrame | None = None) -> DataFrame:
