@@ -7,7 +7,8 @@ Documents come longest first (best-fit decreasing), ties by id and hash.
 
 Rows are dealt by hash into groups of about `group_rows`, packed side by side; a bin never spans groups, so memory is bounded by a
 group and a hot source or cluster is spread over all of them. The number of groups follows the table. Rows that repeat both id
-and text often, which one hash would bring together, are dealt by their place in the input instead.
+and text often, which one hash would bring together, are counted first and dealt by their number among those that are equal in all that
+packing reads, so results do not depend on how the files lie.
 
 Duplicate clusters are equal texts, or the values of `cluster_col` (near-duplicate components, say).
 
@@ -92,7 +93,7 @@ def pack_rows(rows: list[tuple], capacity: int) -> list[tuple]:
     return [(*o, bins.used[o[4]]) for o in out]
 
 
-#: Rows of one id and text beyond this number are spread by their place.
+#: Rows of one id and text beyond this number are spread.
 REPEATS = 64
 
 
@@ -104,16 +105,18 @@ def pack(
     cluster = F.xxhash64(F.col(cluster_col) if cluster_col else text)
     slim = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(text)).cast("long").alias("n"), cluster.alias("cluster"),
-        F.xxhash64(F.col(id_col), text).alias("key"), F.monotonically_increasing_id().alias("place"),
+        F.xxhash64(F.col(id_col), text).alias("key"),
     )
     groups = max(1, -(-docs.count() // group_rows))
     scratch = Scratch(docs.sparkSession, "packing")
-    often = scratch.write(slim.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > REPEATS).select("key", F.lit(True).alias("often")), "often")
-    if often.isEmpty():
-        slim = slim.withColumn("grp", F.pmod("key", F.lit(groups)))
-    else:
-        slim = slim.join(often, "key", "left").withColumn("grp", F.pmod(F.xxhash64("key", F.when(F.col("often"), F.col("place"))), F.lit(groups)))
-    slim = slim.drop("key", "place", "often")
+    often = scratch.write(slim.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > REPEATS).select("key"), "often")
+    dealt = slim.withColumn("grp", F.pmod("key", F.lit(groups)))
+    if not often.isEmpty():
+        equal = slim.join(often, "key", "left_semi").groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("m"))
+        numbered = equal.withColumn("number", F.explode(F.sequence(F.lit(1), "m"))).drop("m")
+        spread = numbered.withColumn("grp", F.pmod(F.xxhash64("key", "number"), F.lit(groups))).drop("number")
+        dealt = dealt.join(often, "key", "left_anti").unionByName(spread)
+    slim = dealt.drop("key")
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(key, table):
