@@ -73,8 +73,8 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Scratch(spark, "ids").path("store")
-    shards = tokenstore.write_store(table(spark, sf_dir, "documents"), store, tokenizer_path("word_bpe_49k.json"), end_id=1)
-    return tokenstore.read_store(spark, shards)
+    tokenstore.write_store(table(spark, sf_dir, "documents"), store, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return tokenstore.read_store(spark, store)
 
 
 def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,17 +6,25 @@ else: little-endian, 2 bytes an id where the vocabulary allows it, else 4. `ids-
 numbers, the bit arrays of the perfect hash with a rank for each 64-bit word, and then by slot the fingerprint, the ordinal and by
 ordinal the key, the null flag and the first id of each document.
 
+`manifest.json` is written last: for each shard its name, its counts, the ids before it, and its first and last key. A folder without
+one is no finished store. `Store` opens a folder by it and finds the shard of a key by bisection; a key whose rows lie in several shards
+is numbered through all of them.
+
 The hash is a cascade of bit arrays: a key whose position nobody else takes on a level is set there, the others go on to the next
 level; a key's slot is the number of set bits before its own.
 
 Rows: null texts count as empty and get the end id only. Null keys come first. Rows that repeat a key are kept side by side, in
 order of the hash of their text, and numbered: `get(key, n)` reads the n-th; texts whose hashes tie are equal. Keys are integers. A
-very long text is encoded whole, in a slice of its own. An empty table writes no shard. Extra columns are not read. Writers put their files in place by a rename, so a task that runs twice leaves one whole shard."""
+very long text is encoded whole, in a slice of its own. An empty table writes a manifest and no shard. Extra columns are not read. Writers put their files in place by a rename, so a task that runs twice leaves one whole shard."""
 
 from __future__ import annotations
 
+import json
 import struct
+import uuid
 import zlib
+from bisect import bisect_left
+from collections import OrderedDict
 from itertools import accumulate
 
 import numpy as np
@@ -193,6 +201,10 @@ def _file_system(uri: str):
     return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{colon}{rest}")
 
 
+#: What a writer tells of its shard.
+META = {"shard": "int64", "n_docs": "int64", "n_ids": "int64", "name": "string", "first_key": "int64", "last_key": "int64", "n_last": "int64"}
+
+
 def _put(uri: str, attempt: str, write) -> None:
     system, path = _file_system(uri)
     with system.open_output_stream(f"{path}.{attempt}") as out:
@@ -243,7 +255,10 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         starts = np.concatenate([[0], np.cumsum(n)]).astype("<i8")
         blocks = [head, table.sizes.astype("<i8"), table.bits.astype("<u8"), starts, key.astype("<i8"), prints.astype("<u4"), order.astype("<u4"), null.astype(np.uint8)]
         _put(f"{name}.idx", attempt, lambda out: [out.write(b if isinstance(b, bytes) else b.tobytes()) for b in blocks] and None)
-        yield pa.RecordBatch.from_pydict({"shard": [part], "n_docs": [len(key)], "n_ids": [int(n.sum())], "name": [name]})
+        ends = [None if null[i] else int(key[i]) for i in (0, -1)]
+        last = int(((key == key[-1]) & (null == null[-1])).sum())
+        row = [part, len(key), int(n.sum()), name, *ends, last]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, META.values(), strict=True)], list(META))
 
     return run
 
@@ -312,11 +327,81 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, i
     ordered = slim.repartitionByRange(partitions_for(docs), "doc_id", "h").sortWithinPartitions("doc_id", "h")
     system, path = _file_system(folder)
     system.create_dir(path, recursive=True)
-    meta = scratch.write(ordered.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer, end_id), "shard long, n_docs long, n_ids long, name string"), "meta")
-    rows = sorted((r.shard, r.name, r.n_docs, r.n_ids) for r in meta.collect())
+    schema = ", ".join(f"{name} {kind}" for name, kind in META.items()).replace("int64", "long")
+    meta = scratch.write(ordered.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer, end_id), schema), "meta")
+    rows = sorted(meta.collect(), key=lambda r: r.shard)
     scratch.drop("meta")
-    before = list(accumulate((r[3] for r in rows), initial=0))
-    return [(name, n_docs, n_ids, b) for (_, name, n_docs, n_ids), b in zip(rows, before, strict=False)]
+    before = list(accumulate((r.n_ids for r in rows), initial=0))
+    shards, skipped = [], 0
+    for r, b, earlier in zip(rows, before, [None, *rows], strict=False):
+        # Rows of the first key that lie in earlier shards.
+        tied = earlier is not None and earlier.last_key == r.first_key
+        skipped = (skipped if earlier.first_key == earlier.last_key else 0) + earlier.n_last if tied else 0
+        own = {"name": r.name.rsplit("/", 1)[1], "n_docs": r.n_docs, "n_ids": r.n_ids, "before": b}
+        shards.append(own | {"first_key": r.first_key, "last_key": r.last_key, "first_key_before": skipped})
+    _put(f"{folder}/manifest.json", uuid.uuid4().hex, lambda out: out.write(json.dumps({"end_id": end_id, "shards": shards}).encode()) and None)
+    return [(r.name, r.n_docs, r.n_ids, b) for r, b in zip(rows, before, strict=False)]
+
+
+class Store:
+    """A store opened by its folder. At most `open_shards` shards are held open."""
+
+    def __init__(self, folder: str, open_shards: int = 32):
+        system, path = _file_system(f"{folder}/manifest.json")
+        with system.open_input_stream(path) as file:
+            found = json.loads(file.read())
+        self.folder, self.shards, self.end_id, self.most = folder, found["shards"], found["end_id"], open_shards
+        self.lasts = [self._place(s["last_key"]) for s in self.shards]
+        self.opened: OrderedDict[int, Shard] = OrderedDict()
+
+    @staticmethod
+    def _place(key: int | None) -> tuple:
+        return (key is not None, key or 0)
+
+    def shard(self, number: int) -> Shard:
+        if number not in self.opened:
+            self.opened[number] = Shard(f"{self.folder}/{self.shards[number]['name']}")
+            if len(self.opened) > self.most:
+                self.opened.popitem(last=False)[1].file.close()
+        self.opened.move_to_end(number)
+        return self.opened[number]
+
+    def get(self, key: int | None, repeat: int = 0) -> np.ndarray | None:
+        """The ids of the `repeat`-th row of a key, wherever it lies; None where the store has no such row."""
+        if repeat < 0 or not self.shards:
+            return None
+        number = bisect_left(self.lasts, self._place(key))
+        # Of the shards that begin with this key, the last one whose earlier rows do not reach `repeat`.
+        low, high = number, len(self.shards)
+        while high - low > 1:
+            middle = (low + high) // 2
+            if self.shards[middle]["first_key"] == key and self.shards[middle]["first_key_before"] <= repeat:
+                low = middle
+            else:
+                high = middle
+        if low >= len(self.shards):
+            return None
+        own = self.shards[low]
+        return self.shard(low).get(key, repeat - (own["first_key_before"] if own["first_key"] == key else 0))
+
+
+def lookup(keys: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, ids (array; null where the store has no such key) of each row of keys, the first row of a repeated key. Keys are dealt in
+    ranges, so that a task opens neighbouring shards only."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        store = Store(folder)
+        for batch in batches:
+            # A slice of keys at a time, since a document may be long.
+            for at in range(0, batch.num_rows, 256):
+                own = batch.column(0).slice(at, 256)
+                ids = [store.get(key) for key in own.to_pylist()]
+                yield pa.RecordBatch.from_arrays([own, pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    wanted = keys.select(F.col(id_col).cast("long").alias("doc_id")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    return wanted.mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def _reader(batches):
@@ -343,8 +428,10 @@ def _reader(batches):
                 )
 
 
-def read_store(spark, shards: list[tuple[str, int, int, int]]) -> DataFrame:
-    """One row per document of a store, through its index: doc_id, start (ids before it in the store), n_tokens, ids_crc32."""
+def read_store(spark, store: str | list[tuple[str, int, int, int]]) -> DataFrame:
+    """One row per document of a store (its folder, or the shards that write_store told), through its index: doc_id, start (ids before it
+    in the store), n_tokens, ids_crc32."""
+    shards = [(f"{store}/{s['name']}", s["n_docs"], s["n_ids"], s["before"]) for s in Store(store).shards] if isinstance(store, str) else store
     schema = "name string, before long"
     rows = spark.createDataFrame([(name, before) for name, _, _, before in shards], schema)
     rows = rows.repartition(max(1, len(shards))) if shards else rows

@@ -196,3 +196,37 @@ def test_keyed_reads_of_odd_rows(spark, odd_docs, no_docs, tmp_path):
     assert all(s.get(77_777) is None for s in opened) and any(s.get(1, 1) is not None for s in opened) and any(s.get(None, 1) is not None for s in opened)
     assert tokenstore.write_store(no_docs, f"file://{tmp_path}/n", path) == []
     assert tokenstore.read_store(spark, []).count() == 0
+
+
+def test_packing_does_not_depend_on_how_the_files_lie(spark):
+    rows = [(1, "a b c", "s")] * 500 + [(1, "a b c", None)] * 90 + [(i, f"x y {i}", f"s{i % 9}") for i in range(2, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, other = (sorted(packing.pack(d, 100, group_rows=100).collect(), key=repr) for d in (docs.coalesce(1), docs.repartition(7, "source", "text")))
+    assert one == other and len(one) == len(rows)
+
+
+def test_a_store_is_opened_by_its_folder(spark, no_docs, tmp_path):
+    """One key on 400 texts lies in several shards; it is numbered through all of them."""
+    path, folder = queries.tokenizer_path("word_bpe_49k.json"), f"file://{tmp_path}/store"
+    rows = [(5, f"text number {i} of one key") for i in range(400)] + [(i, f"own {i}") for i in range(-20, 30) if i != 5] + [(None, f"no key {i}") for i in range(3)]
+    shards = tokenstore.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), folder, path)
+    store = tokenstore.Store(folder, open_shards=2)
+    assert sum(s["first_key"] == 5 for s in store.shards) > 1 and len(store.shards) == len(shards)
+    encoder = tokenstore.WordEncoder(path)
+
+    def ids(text):
+        return (*np.frombuffer(encoder.encode([text.encode()])[0], "<u2").tolist(), 1)
+
+    got = [tuple(store.get(5, n).tolist()) for n in range(400)]
+    assert sorted(got) == sorted(ids(t) for k, t in rows if k == 5)
+    assert sorted(tuple(store.get(None, n).tolist()) for n in range(3)) == sorted(ids(t) for k, t in rows if k is None)
+    assert all(tuple(store.get(k).tolist()) == ids(t) for k, t in rows if k not in (5, None))
+    assert store.get(5, 400) is None and store.get(31) is None and store.get(-21) is None and store.get(0, 1) is None and store.get(None, 3) is None
+    assert len(store.opened) <= 2
+    assert sorted(tokenstore.read_store(spark, folder).collect(), key=repr) == sorted(tokenstore.read_store(spark, shards).collect(), key=repr)
+    asked = spark.createDataFrame([(k,) for k in (7, -20, 99)], "doc_id long")
+    assert {r.doc_id: r.ids and tuple(r.ids) for r in tokenstore.lookup(asked, folder).collect()} == {7: ids("own 7"), -20: ids("own -20"), 99: None}
+    tokenstore.write_store(no_docs, f"file://{tmp_path}/none", path)
+    assert tokenstore.Store(f"file://{tmp_path}/none").get(1) is None and tokenstore.read_store(spark, f"file://{tmp_path}/none").count() == 0
+    with pytest.raises(FileNotFoundError):
+        tokenstore.Store(f"file://{tmp_path}")
