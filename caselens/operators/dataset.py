@@ -85,7 +85,8 @@ def split_of(mask: Column) -> Column:
 def assign_splits(records: DataFrame, groups: DataFrame, id_col: str = "rid", period_col: str = "period") -> DataFrame:
     """records with group_id and split; a group of one period goes there, any mixture is cross_period."""
     joined = records.join(groups, id_col)
-    masks = joined.groupBy("group_id").agg(F.bit_or(period_col).alias("mask"))
+    # Written first, so that a group with a third of all rows can be split where rows meet its mask.
+    masks = Scratch(records.sparkSession, "splits").write(joined.groupBy("group_id").agg(F.bit_or(period_col).alias("mask")), "masks")
     return joined.join(masks, "group_id").withColumn("split", split_of(F.col("mask"))).drop("mask")
 
 

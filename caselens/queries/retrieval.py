@@ -36,7 +36,7 @@ def entry_of():
 
 def links(spark, sf_dir) -> DataFrame:
     docs = documents(spark, sf_dir).select("text", entry_of().alias("knowledge_id"))
-    return docs.join(cases(spark, sf_dir), "text").select("docid", "knowledge_id").distinct()
+    return docs.join(Scratch(spark, "links").write(cases(spark, sf_dir), "cases"), "text").select("docid", "knowledge_id").distinct()
 
 
 def gold(spark, sf_dir) -> DataFrame:
@@ -57,7 +57,9 @@ def groups(spark, sf_dir) -> DataFrame:
     """docid, group_id: cases tied by lang, source and the first 24 signs."""
     rows = cases(spark, sf_dir).join(documents(spark, sf_dir).select(F.col("doc_id").alias("docid"), "lang", "source"), "docid")
     rows = rows.select("docid", F.concat_ws("|", "lang", "source", F.substring("text", 1, 24)).alias("k"))
-    return rows.join(rows.groupBy("k").agg(F.min("docid").alias("group_id")), "k").select("docid", "group_id")
+    scratch = Scratch(spark, "groups")
+    rows = scratch.write(rows, "rows")
+    return rows.join(scratch.write(rows.groupBy("k").agg(F.min("docid").alias("group_id")), "firsts"), "k").select("docid", "group_id")
 
 
 def case_hits(spark, sf_dir, k: int = 50) -> DataFrame:
