@@ -7,7 +7,7 @@ those links.
 1. One pass makes each document's set of 64-bit shingle hashes, its size, a 128-bit digest of the whole set and the k smallest
    hashes (all of them, if there are no more). Documents of one set are one node from here on; copies never meet in pairs.
 2. Two linked sets share at least `overlap` of their retained values: a share that follows exactly from their sizes when both are
-   retained whole, and five standard deviations below the expected share when one is cut at k. So they share one of the
+   retained whole, and six standard deviations below the expected share when one is cut at k. So they share one of the
    (retained - overlap + 1) rarest values of each. Only those enter the inverted lists, and only if another sketch has them too:
    frequent shingles stay out of the lists, without any cap on a list. This is done twice: sketches of `k` values find the documents
    that can have a partner at all, and sketches of `wide` values of those documents alone, whole for nearly all, make the lists.
