@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from caselens.functions.text import strip
 from caselens.operators.dataset import require_unique
 from caselens.operators.scoring import must_be_empty, validate_gold
+from caselens.plans.scratch import Scratch
 
 ANNOTATION_VERSION, ADJUDICATION_VERSION, PILOT_VERSION = "gold-sheet-v1", "adjudication-sheet-v1", "pilot-v1"
 _SPANS = "array<struct<text:string,start:int,end:int>>"
@@ -42,12 +43,38 @@ def event_evidence(events: Column) -> Column:
     return F.transform(F.from_json(events, EVENTS), lambda e: F.array_distinct(F.filter(own(e), lambda t: t != "")))
 
 
+#: A sheet of up to so many records is taken by one task.
+ONE_TASK = 10_000
+
+
+def first_rows(records: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` records by source_row. A limit that takes all of them needs no order; a large one is turned into the source_row that
+    it ends at, found in ranges of the numbers alone, so that no task gets the records of others."""
+    if limit <= ONE_TASK:
+        return records.orderBy("source_row").limit(limit)
+    if records.count() <= limit:
+        return records
+    marks = {"__part": F.spark_partition_id(), "__n": F.monotonically_increasing_id()}
+    rows = records.select("source_row").repartitionByRange("source_row").sortWithinPartitions("source_row").withColumns(marks)
+    rows = Scratch(records.sparkSession, "sheet").write(rows, "rows")
+    before = 0
+    for part in sorted(rows.groupBy("__part").agg(F.count(F.lit(1)).alias("m"), F.min("__n").alias("first")).collect(), key=lambda r: r["__part"]):
+        if before + part.m >= limit:
+            break
+        before += part.m
+    last = rows.where((F.col("__part") == part["__part"]) & (F.col("__n") == part.first + limit - before - 1)).first()["source_row"]
+    row, tied = F.col("source_row"), F.col("source_row").eqNullSafe(F.lit(last))
+    # Nulls come first in the order of rows.
+    below = records.where((row < last) | row.isNull() if last is not None else F.lit(False))
+    return below.unionByName(records.where(tied).limit(limit - below.count()))
+
+
 def gold_worksheet(records: DataFrame, limit: int, predictions: DataFrame | None = None) -> DataFrame:
     """The first `limit` records by source_row as empty sheets, with what was predicted for them. records: source_id, source_row,
     case_content."""
     if limit < 1:
         raise ValueError("a sheet needs at least one record")
-    rows = records.orderBy("source_row").limit(limit).withColumn("content_sha256", F.sha2("case_content", 256))
+    rows = first_rows(records, limit).withColumn("content_sha256", F.sha2("case_content", 256))
     if predictions is not None:
         require_unique(predictions, "source_id")
         own = predictions.select("source_id", F.col("content_sha256").alias("__of"), prediction_context(F.col("events")).alias("prediction"))
