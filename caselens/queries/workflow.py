@@ -414,11 +414,11 @@ def tsv_round_trip(spark, sf_dir):
 
 
 def jsonl_round_trip(spark, sf_dir):
-    """Documents as JSON lines in one file, read in many splits: each line has its number."""
+    """Documents as JSON lines in files that are parts of one, read in many splits: each line has its number."""
     path = Scratch(spark, "jsonl").path("records")
     rows = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_id"), F.col("text").alias("case_content"))
-    files.write_jsonl(rows.coalesce(1).sortWithinPartitions(F.col("source_id").cast("long")), path)
-    back = files.read_jsonl(spark, path, "source_id string, case_content string")
+    files.write_jsonl(rows.orderBy(F.col("source_id").cast("long")), path)
+    back = files.read_jsonl(spark, path, "source_id string, case_content string", parts=True)
     return back.select(F.col("source_id").cast("long").alias("doc_id"), "source_row", F.length("case_content").alias("length"))
 
 
@@ -518,12 +518,12 @@ def columns_csv(spark, sf_dir):
 
 
 def repaired_jsonl(spark, sf_dir):
-    """Documents as JSON lines in a file whose last line is torn."""
+    """Documents as JSON lines in files that are parts of one, whose last line is torn."""
     path = Scratch(spark, "torn").path("records")
     lines = documents(spark, sf_dir).select(F.col("doc_id").alias("k"), F.to_json(F.struct(F.col("doc_id").cast("string").alias("source_id"), F.col("text").alias("case_content"))).alias("value"))
     torn = lines.agg((F.max("k") + 1).alias("k")).select("k", F.lit('{"source_id":"torn","case_con').alias("value"))
-    lines.unionByName(torn).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
-    back = files.read_repaired_jsonl(spark, path, "source_id string, case_content string", "source_id")
+    lines.unionByName(torn).orderBy("k").select("value").write.text(path)
+    back = files.read_repaired_jsonl(spark, path, "source_id string, case_content string", "source_id", parts=True)
     return back.select(F.col("source_id").cast("long").alias("doc_id"), "source_row", F.length("case_content").alias("length"))
 
 

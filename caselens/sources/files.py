@@ -38,15 +38,18 @@ def header(spark: SparkSession, path: str, sep: str = "\t") -> list[str]:
     return names
 
 
-def numbered(read: DataFrame) -> DataFrame:
-    """A frame as a file reader gives it, with source_row: the place of each row in its file, from 1.
+def numbered(read: DataFrame, parts: bool = False) -> DataFrame:
+    """A frame as a file reader gives it, with source_row: the place of each row in its file, from 1. parts: the files are parts of one, in
+    order of their names, as a sorted frame writes them, and numbers go on from file to file.
 
     A file may be read in several splits, dealt to partitions in any order. One pass counts the rows of each split, and a row's place is
     that of its split plus its own inside; one row a split is broadcast."""
     marks = {"__file": F.col("_metadata.file_path"), "__at": F.col("_metadata.file_block_start"), "__n": F.monotonically_increasing_id()}
     rows = read.select("*", *[c.alias(name) for name, c in marks.items()])
     splits = rows.groupBy("__file", "__at").agg(F.count(F.lit(1)).alias("m"), F.min("__n").alias("__first"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy("__file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Spark pads the number of a part file to five digits; longer ones come later.
+    order = Window.orderBy(F.length("__file"), "__file", "__at") if parts else Window.partitionBy("__file").orderBy("__at")
+    before = F.coalesce(F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     splits = splits.select("__file", "__at", "__first", before.alias("__before"))
     placed = rows.join(F.broadcast(splits), ["__file", "__at"])
     return placed.withColumn("source_row", F.col("__before") + F.col("__n") - F.col("__first") + 1).select(*read.columns, "source_row")
@@ -75,9 +78,9 @@ def read_tsv(spark: SparkSession, path: str, required: set[str] | None = None, s
     return rows.select(parsed.alias("r"), F.col("record").alias("source_row")).select("r.*", "source_row")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines, parted at line feeds only; blank lines count for source_row and give no record."""
-    rows = numbered(spark.read.option("lineSep", "\n").text(path))
+def read_jsonl(spark: SparkSession, path: str, schema: str, parts: bool = False) -> DataFrame:
+    """JSON lines, parted at line feeds only; blank lines count for source_row and give no record. parts: as in `numbered`."""
+    rows = numbered(spark.read.option("lineSep", "\n").text(path), parts)
     return rows.where(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), "source_row").select("r.*", "source_row")
 
 
@@ -97,10 +100,11 @@ def _jsonl_records(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("r.source_id", "r.case_content", F.coalesce("r.source_row", "place").alias("source_row"))
 
 
-def read_repaired_jsonl(spark: SparkSession, path: str, schema: str, id_col: str) -> DataFrame:
+def read_repaired_jsonl(spark: SparkSession, path: str, schema: str, id_col: str, parts: bool = False) -> DataFrame:
     """Rows of JSON-lines files of which the last line may be torn, as a writer leaves it that was stopped: that line is left out. A line
-    that is torn anywhere else, and an id that repeats, are errors."""
-    lines = numbered(spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), "_metadata")).drop("_metadata")
+    that is torn anywhere else, and an id that repeats, are errors. parts: as in `numbered`; only the last line of all may be torn."""
+    file = F.lit("") if parts else F.col("_metadata.file_path")
+    lines = numbered(spark.read.option("lineSep", "\n").text(path).select("value", file.alias("file"), "_metadata"), parts).drop("_metadata")
     parsed = lines.where(F.trim("value") != "").select("file", "source_row", F.try_parse_json("value").alias("fine"), F.from_json("value", schema).alias("r"))
     last = parsed.groupBy("file").agg(F.max("source_row").alias("last"))
     whole = parsed.join(F.broadcast(last), "file").where((F.col("source_row") < F.col("last")) | F.col("fine").isNotNull())
