@@ -11,10 +11,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from caselens.functions.batches import frames, pieces
 from caselens.functions.evidence import EvidenceError, align_events, ground, merge, shift, views
 from caselens.functions.text import segments
 
@@ -161,12 +163,19 @@ def with_attempts(call: Callable, most: int, seed: str, sleep: Callable[[float],
     return None, failure, attempt
 
 
-def _worker(load: Callable[[], Extractor], contract: Contract, sleep):
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
+def _told(rows: list[tuple]):
+    """Rows of RESULT as a record batch."""
+    text = pa.string()
+    kinds = [("content_sha256", text), ("events", text), ("views", pa.map_(text, text)), ("counts", pa.map_(text, pa.int64())), ("attempts", pa.int32()), ("error_code", text), ("error_type", text)]
+    plain = lambda values: [list(v.items()) if isinstance(v, dict) else v for v in values]
+    columns = [pa.array(plain(values), kind) for values, (_, kind) in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, schema=pa.schema(kinds))
+
 
+def _worker(load: Callable[[], Extractor], contract: Contract, sleep):
+    def run(batches: Iterator) -> Iterator:
         model = load()
-        for frame in frames:
+        for frame in frames(batches):
             rows = []
             for sha, text in zip(frame["content_sha256"], frame["case_content"], strict=True):
                 done, error, attempts = with_attempts(lambda text=text: extract_document(model, text, contract.segment_chars), contract.max_attempts, sha, sleep)
@@ -175,7 +184,7 @@ def _worker(load: Callable[[], Extractor], contract: Contract, sleep):
                     rows.append((sha, canonical(events), views(events), counts, attempts, None, None))
                 else:
                     rows.append((sha, None, None, getattr(error, "counts", {}), attempts, outcome(error)[0], type(error).__name__))
-            yield pd.DataFrame(rows, columns=["content_sha256", "events", "views", "counts", "attempts", "error_code", "error_type"])
+            yield _told(rows)
 
     return run
 
@@ -194,7 +203,7 @@ def run_extraction(records: DataFrame, load: Callable[[], Extractor], contract:
         cache = checked_cache(cache, texts)
         results = texts.join(cache, "cache_key").select("content_sha256", "events", "views", "counts", F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_type"))
         texts = texts.join(cache.select("cache_key"), "cache_key", "left_anti")
-    called = texts.repartition(partitions).mapInPandas(_worker(load, contract, sleep), RESULT)
+    called = texts.repartition(partitions).mapInArrow(_worker(load, contract, sleep), RESULT)
     results = called if results is None else results.unionByName(called)
     return todo.join(results.withColumn("cache_key", key), "content_sha256")
 
@@ -212,15 +221,20 @@ def cache_rows(results: DataFrame) -> DataFrame:
     return results.where("error_code is null").select("cache_key", "content_sha256", "events", "views", "counts").dropDuplicates(["cache_key"])
 
 
-@F.udf(BooleanType(), useArrow=True)
-def _stands(events, text):
-    """Whether every span of a result stands in the text where it says, without any repair."""
+def _fits(events: str | None, text: str | None) -> bool:
     try:
         return events is not None and align_events(json.loads(events), text)[1] == 0
     except (ValueError, KeyError, TypeError):
         return False
 
 
+@F.arrow_udf(BooleanType())
+def _stands(events: pa.Array, text: pa.Array) -> pa.Array:
+    """Whether every span of a result stands in the text where it says, without any repair."""
+    own = pieces(pa.RecordBatch.from_arrays([events, text], ["events", "text"]))
+    return pa.array([_fits(*pair) for piece in own for pair in zip(*[c.to_pylist() for c in piece.columns], strict=True)], pa.bool_())
+
+
 def checked_cache(cache: DataFrame, texts: DataFrame) -> DataFrame:
     """The cached results for texts (cache_key, content_sha256, case_content); an error for one that was made of another text, or whose
     spans are not where they were."""

@@ -16,8 +16,9 @@ from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
+from caselens.functions.batches import by_pieces
 from caselens.functions.text import loader_value, markdown_cell, percent
 from caselens.operators.dataset import require_unique
 from caselens.sources import quoted
@@ -139,7 +140,7 @@ def record_widths(spark: SparkSession, path: str) -> DataFrame:
             counts = pd.Series(widths, dtype="int64").value_counts()
             yield pd.DataFrame({"width": counts.index, "records": counts.to_numpy()})
 
-    found = quoted.records(spark, path, blank=True).select("value").mapInPandas(run, StructType([StructField("width", LongType()), StructField("records", LongType())]))
+    found = quoted.records(spark, path, blank=True).select("value").mapInArrow(by_pieces(run, "width long, records long"), "width long, records long")
     return found.groupBy("width").agg(F.sum("records").alias("records"))
 
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caselens.functions.batches import by_pieces
+
 #: From the beginning of a value: whole values, up to one that is open at the end of the line.
 _OPEN = re.compile(r'(?:(?:"(?:[^"]|"")*"(?!")[^\t]*|[^"\t][^\t]*|)\t)*"(?:[^"]|"")*\Z')
 BOM = "﻿"
@@ -111,9 +113,11 @@ def records(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
     lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
     first = (F.col("at") == 0) & F.col("value").startswith(BOM)  # a mark elsewhere than in the first line is text, and no line begins with one twice
     lines = lines.withColumn("value", F.when(first, F.substring("value", 2, 1 << 30)).otherwise(F.col("value")))
-    effects = lines.mapInPandas(_effects(blank), "file string, at long, n long, s0 boolean, s1 boolean, b0 long, b1 long")
+    told = "file string, at long, n long, s0 boolean, s1 boolean, b0 long, b1 long"
+    effects = lines.mapInArrow(by_pieces(_effects(blank), told), told)
     splits = effects.groupBy("file").applyInPandas(_scan, "file string, at long, inside boolean, before long")
-    cut = lines.join(F.broadcast(splits), ["file", "at"]).select("file", "at", "value", "inside", "before").mapInPandas(_cut(blank), "file string, record long, piece long, value string, whole boolean")
+    found = "file string, record long, piece long, value string, whole boolean"
+    cut = lines.join(F.broadcast(splits), ["file", "at"]).select("file", "at", "value", "inside", "before").mapInArrow(by_pieces(_cut(blank), found), found)
     crossing = cut.where("not whole").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("piece", "value"))).alias("p"))
     joined = F.regexp_replace(F.array_join(F.col("p.value"), "\n"), r"\r\z", "")
     return cut.where("whole").select("file", "record", "value").unionByName(crossing.select("file", "record", joined.alias("value")))

@@ -46,3 +46,36 @@ def test_blocks_are_made_in_pieces(wide):
     got = {(t, s): n for b in made for t, s, n in zip(b["term"].to_pylist(), b["strip"].to_pylist(), b["n"].to_pylist(), strict=True)}
     assert got == {(f"w{i}x{j}", i // (8 * wide)): 1 for i in range(n) for j in range(200)}
     assert max(b.num_rows for b in made) < 200_000
+
+
+def test_frames_of_lines_and_results_are_small():
+    """Functions over lines and texts see at most a piece, however many rows Spark hands over."""
+    from caselens.functions.batches import by_pieces
+    from caselens.operators import extraction
+
+    batch = pa.RecordBatch.from_pydict({"value": ["x" * 4000] * 2000})
+    sizes = []
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            sizes.append(len(frame))
+            yield pd.DataFrame({"n": [len(frame)], "said": ["y"], "fine": [True]})
+
+    out = list(by_pieces(run, "n long, said string, fine boolean")(iter([batch])))
+    assert sum(sizes) == 2000 and max(sizes) < 300 and out[0].schema.names == ["n", "said", "fine"]
+    texts = pa.RecordBatch.from_pydict({"content_sha256": [str(i) for i in range(3000)], "case_content": [f"one two three {'z' * 2000}"] * 2999 + ["one two"]})
+    made = list(extraction._worker(extraction.LeadingWords, extraction.Contract("m"), lambda s: None)(iter([texts])))
+    assert sum(b.num_rows for b in made) == 3000 and max(b.num_rows for b in made) < 1000
+    assert made[-1]["error_code"][-1].as_py() == "UPSTREAM_RATE_LIMITED" and made[-1]["views"][-1].as_py() is None and made[0]["error_code"][0].as_py() is None
+
+
+def test_nfkc_in_pieces(spark):
+    from pyspark.sql import functions as F
+
+    from caselens.functions.text import nfkc
+
+    rows = spark.range(3000).select("id", F.concat(F.repeat(F.lit("Ａｂ１"), 300), F.col("id").cast("string")).alias("t")).unionByName(spark.createDataFrame([(-1, None), (-2, "plain")], "id long, t string"))
+    got = {r.id: r.t for r in rows.select("id", nfkc(F.col("t")).alias("t")).collect()}
+    assert got == {i: "Ab1" * 300 + str(i) for i in range(3000)} | {-1: None, -2: "plain"}
