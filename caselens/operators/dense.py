@@ -89,11 +89,21 @@ def _inner_products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return queries @ vectors.T
 
 
+#: Differences that are held at once.
+CACHED = 1 << 15
+
+
 def _l1_nearness(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Negative L1 distances, one dimension at a time: all differences of a block would not fit."""
-    out = np.zeros((len(queries), len(vectors)))
-    for x, y in zip(queries.T, vectors.T, strict=True):
-        out -= np.abs(x[:, None] - y[None, :])
+    """Negative L1 distances, one dimension at a time, for so many queries as keep the differences in a core's cache."""
+    out, across = np.zeros((len(queries), len(vectors))), np.ascontiguousarray(vectors.T)
+    step = max(1, CACHED // max(1, len(vectors)))
+    for at in range(0, len(queries), step):
+        held, own = out[at : at + step], queries[at : at + step].T
+        apart = np.empty_like(held)
+        for x, y in zip(own, across, strict=True):
+            np.subtract(x[:, None], y[None, :], out=apart)
+            np.abs(apart, out=apart)
+            held -= apart
     return out
 
 

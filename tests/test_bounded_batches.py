@@ -79,3 +79,16 @@ def test_nfkc_in_pieces(spark):
     rows = spark.range(3000).select("id", F.concat(F.repeat(F.lit("Ａｂ１"), 300), F.col("id").cast("string")).alias("t")).unionByName(spark.createDataFrame([(-1, None), (-2, "plain")], "id long, t string"))
     got = {r.id: r.t for r in rows.select("id", nfkc(F.col("t")).alias("t")).collect()}
     assert got == {i: "Ab1" * 300 + str(i) for i in range(3000)} | {-1: None, -2: "plain"}
+
+
+def test_l1_holds_few_differences():
+    """The sums of a block are 8 MB; whole matrices of differences beside them are not."""
+    import numpy as np
+
+    from caselens.operators import dense
+
+    draw = np.random.default_rng(3)
+    q, v = draw.normal(size=(512, 16)), draw.normal(size=(2048, 16))
+    got = []
+    assert _peak(lambda: got.append(dense._l1_nearness(q, v))) < 10e6
+    assert np.allclose(got[0][:5], -np.abs(q[:5, None] - v[None]).sum(2)) and dense._l1_nearness(q[:0], v).shape == (0, 2048) and dense._l1_nearness(q, v[:0]).shape == (512, 0)
