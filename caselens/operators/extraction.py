@@ -14,9 +14,8 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from caselens.functions.batches import frames, pieces
+from caselens.functions.batches import frames
 from caselens.functions.evidence import EvidenceError, align_events, ground, merge, shift, views
 from caselens.functions.text import segments
 
@@ -172,12 +171,37 @@ def _told(rows: list[tuple]):
     return pa.RecordBatch.from_arrays(columns, schema=pa.schema(kinds))
 
 
+#: What goes with a text that may have a cached result; made_of: the hash of the text that the result is of.
+HELD = ("cached", "made_of", "events", "views", "counts")
+
+
+def _fits(events: str | None, text: str | None) -> bool:
+    try:
+        return events is not None and align_events(json.loads(events), text)[1] == 0
+    except (ValueError, KeyError, TypeError):
+        return False
+
+
+def _checked(sha: str, text: str, made_of: str | None, events: str | None, views, counts) -> tuple:
+    """A cached result of a text; an error for one of another text, or whose spans do not stand where it says without any repair."""
+    if made_of != sha:
+        raise ValueError("a cached result is of another text")
+    if not _fits(events, text):
+        raise ValueError("a cached result does not fit its text")
+    return events, views, counts
+
+
 def _worker(load: Callable[[], Extractor], contract: Contract, sleep):
+    """Batches of content_sha256 and case_content; behind them may stand HELD, which is null for a text that has no cached result."""
+
     def run(batches: Iterator) -> Iterator:
         model = load()
         for frame in frames(batches):
             rows = []
-            for sha, text in zip(frame["content_sha256"], frame["case_content"], strict=True):
+            for sha, text, *held in frame.itertuples(index=False, name=None):
+                if held and held[0]:
+                    rows.append((sha, *_checked(sha, text, *held[1:]), 0, None, None))
+                    continue
                 done, error, attempts = with_attempts(lambda text=text: extract_document(model, text, contract.segment_chars), contract.max_attempts, sha, sleep)
                 if error is None:
                     events, counts = done
@@ -192,19 +216,22 @@ def _worker(load: Callable[[], Extractor], contract: Contract, sleep):
 def run_extraction(records: DataFrame, load: Callable[[], Extractor], contract: Contract, cache: DataFrame | None = None, done: DataFrame | None = None, partitions: int = 8, sleep=time.sleep) -> DataFrame:
     """records: source_id, source_row, case_content. One row for each record that isn't in done (source_id): its result or its error.
 
-    Equal texts share one call (records join back on the hash); texts with a result in cache (cache_key and the result) need none. The
-    calls are spread over `partitions` tasks, which bounds how many run at once."""
-    todo = records if done is None else records.join(done.select("source_id").distinct(), "source_id", "left_anti")
-    todo = todo.withColumn("content_sha256", F.sha2("case_content", 256))
+    Equal texts share one call (records join back on the hash); texts with a result in cache (cache_key and the result) need none, but an
+    error is raised for a result that was made of another text, or whose spans are not where they were. The calls are spread over
+    `partitions` tasks, which bounds how many run at once.
+
+    Texts are shuffled once, to their cache key; what is done and what is cached comes to them there, by keys. Records travel without their
+    text unless case_content of the result is used."""
+    hashed = records.withColumn("content_sha256", F.sha2("case_content", 256))
+    todo = hashed if done is None else hashed.join(done.select("source_id").distinct(), "source_id", "left_anti")
     key = F.sha2(F.concat(F.lit(contract.key() + "\0"), F.col("content_sha256")), 256)
-    texts = todo.groupBy("content_sha256").agg(F.first("case_content").alias("case_content")).withColumn("cache_key", key)
-    results = None
+    texts = hashed.select(key.alias("cache_key"), "content_sha256", "case_content").groupBy("cache_key").agg(F.first("content_sha256").alias("content_sha256"), F.first("case_content").alias("case_content"))
+    if done is not None:
+        texts = texts.join(todo.select(key.alias("cache_key")).distinct(), "cache_key", "left_semi")
     if cache is not None:
-        cache = checked_cache(cache, texts)
-        results = texts.join(cache, "cache_key").select("content_sha256", "events", "views", "counts", F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_type"))
-        texts = texts.join(cache.select("cache_key"), "cache_key", "left_anti")
-    called = texts.repartition(partitions).mapInArrow(_worker(load, contract, sleep), RESULT)
-    results = called if results is None else results.unionByName(called)
+        held = cache.withColumnRenamed("content_sha256", "made_of").withColumn("cached", F.lit(True))
+        texts = texts.join(held.select("cache_key", *HELD), "cache_key", "left")
+    results = texts.drop("cache_key").coalesce(partitions).mapInArrow(_worker(load, contract, sleep), RESULT)
     return todo.join(results.withColumn("cache_key", key), "content_sha256")
 
 
@@ -221,30 +248,6 @@ def cache_rows(results: DataFrame) -> DataFrame:
     return results.where("error_code is null").select("cache_key", "content_sha256", "events", "views", "counts").dropDuplicates(["cache_key"])
 
 
-def _fits(events: str | None, text: str | None) -> bool:
-    try:
-        return events is not None and align_events(json.loads(events), text)[1] == 0
-    except (ValueError, KeyError, TypeError):
-        return False
-
-
-@F.arrow_udf(BooleanType())
-def _stands(events: pa.Array, text: pa.Array) -> pa.Array:
-    """Whether every span of a result stands in the text where it says, without any repair."""
-    own = pieces(pa.RecordBatch.from_arrays([events, text], ["events", "text"]))
-    return pa.array([_fits(*pair) for piece in own for pair in zip(*[c.to_pylist() for c in piece.columns], strict=True)], pa.bool_())
-
-
-def checked_cache(cache: DataFrame, texts: DataFrame) -> DataFrame:
-    """The cached results for texts (cache_key, content_sha256, case_content); an error for one that was made of another text, or whose
-    spans are not where they were."""
-    both = cache.withColumnRenamed("content_sha256", "made_of").join(texts.select("cache_key", "content_sha256", "case_content"), "cache_key")
-    wrong = F.when(F.col("made_of") != F.col("content_sha256"), F.raise_error(F.lit("a cached result is of another text"))).when(
-        ~F.coalesce(_stands("events", "case_content"), F.lit(False)), F.raise_error(F.lit("a cached result does not fit its text"))
-    )
-    return both.where(F.coalesce(wrong.cast("boolean"), F.lit(True))).select("cache_key", "events", "views", "counts")
-
-
 EVENTS = "array<struct<normalized_event_type:string,polarity:string>>"
 
 

@@ -253,7 +253,7 @@ def _records(spark, sf_dir) -> DataFrame:
 
 def _extracted(spark, sf_dir, **options) -> DataFrame:
     out = extraction.run_extraction(_records(spark, sf_dir), extraction.LeadingWords, CONTRACT, sleep=_awake, **options)
-    return Scratch(spark, "extracted").write(out, "results")
+    return Scratch(spark, "extracted").write(out.drop("case_content"), "results")
 
 
 def extraction_spans(spark, sf_dir):
@@ -282,9 +282,12 @@ def extraction_errors(spark, sf_dir):
 
 def extraction_resumed(spark, sf_dir):
     """A second run: a third of the records is done, another third lies in the cache of the first run."""
-    every = _extracted(spark, sf_dir)
+    every, scratch = _extracted(spark, sf_dir), Scratch(spark, "cache")
     part = lambda i: every.where(F.col("source_row") % 3 == i)
-    again = _extracted(spark, sf_dir, cache=Scratch(spark, "cache").write(extraction.cache_rows(part(1)), "cache"), done=part(0))
+    cache = scratch.write(extraction.cache_rows(part(1)), "cache")
+    scratch.release()
+    again = _extracted(spark, sf_dir, cache=cache, done=part(0))
+    scratch.drop("cache")
     return again.select(F.col("source_row").alias("doc_id"), "attempts")
 
 
