@@ -213,12 +213,12 @@ def _worker(load: Callable[[], Extractor], contract: Contract, sleep):
     return run
 
 
-def run_extraction(records: DataFrame, load: Callable[[], Extractor], contract: Contract, cache: DataFrame | None = None, done: DataFrame | None = None, partitions: int = 8, sleep=time.sleep) -> DataFrame:
+def run_extraction(records: DataFrame, load: Callable[[], Extractor], contract: Contract, cache: DataFrame | None = None, done: DataFrame | None = None, partitions: int | None = 8, sleep=time.sleep) -> DataFrame:
     """records: source_id, source_row, case_content. One row for each record that isn't in done (source_id): its result or its error.
 
     Equal texts share one call (records join back on the hash); texts with a result in cache (cache_key and the result) need none, but an
     error is raised for a result that was made of another text, or whose spans are not where they were. The calls are spread over
-    `partitions` tasks, which bounds how many run at once.
+    `partitions` tasks, which bounds how many run at once; with None they are made where the texts are, in tasks of bounded size.
 
     Texts are shuffled once, to their cache key; what is done and what is cached comes to them there, by keys. Records travel without their
     text unless case_content of the result is used."""
@@ -231,7 +231,8 @@ def run_extraction(records: DataFrame, load: Callable[[], Extractor], contract:
     if cache is not None:
         held = cache.withColumnRenamed("content_sha256", "made_of").withColumn("cached", F.lit(True))
         texts = texts.join(held.select("cache_key", *HELD), "cache_key", "left")
-    results = texts.drop("cache_key").coalesce(partitions).mapInArrow(_worker(load, contract, sleep), RESULT)
+    texts = texts.drop("cache_key") if partitions is None else texts.drop("cache_key").coalesce(partitions)
+    results = texts.mapInArrow(_worker(load, contract, sleep), RESULT)
     return todo.join(results.withColumn("cache_key", key), "content_sha256")
 
 

@@ -252,7 +252,8 @@ def _records(spark, sf_dir) -> DataFrame:
 
 
 def _extracted(spark, sf_dir, **options) -> DataFrame:
-    out = extraction.run_extraction(_records(spark, sf_dir), extraction.LeadingWords, CONTRACT, sleep=_awake, **options)
+    """Calls of the stand-in need no bound, so a task does not grow with the input."""
+    out = extraction.run_extraction(_records(spark, sf_dir), extraction.LeadingWords, CONTRACT, partitions=None, sleep=_awake, **options)
     return Scratch(spark, "extracted").write(out.drop("case_content"), "results")
 
 
@@ -293,7 +294,7 @@ def extraction_resumed(spark, sf_dir):
 
 def extraction_segments(spark, sf_dir):
     """Texts in segments of a thousand signs: the events of all segments of a text are one, at their places in the whole text."""
-    out = extraction.run_extraction(_records(spark, sf_dir), extraction.LeadingWords, extraction.Contract("leading-words", segment_chars=1000), sleep=_awake)
+    out = extraction.run_extraction(_records(spark, sf_dir), extraction.LeadingWords, extraction.Contract("leading-words", segment_chars=1000), partitions=None, sleep=_awake)
     rows = out.withColumn("e", F.get(F.from_json("events", annotation.EVENTS), F.lit(0)))
     return rows.select(F.col("source_row").alias("doc_id"), F.col("e.trigger.start").alias("trigger_start"), F.array_join(F.transform("e.behaviors", lambda b: b.start.cast("string")), " ").alias("behavior_starts"), F.coalesce("error_code", F.lit("")).alias("error"))
 

@@ -59,8 +59,9 @@ def test_results_hold_no_texts(spark, sf):
     assert "case_content" not in kept.columns and kept.count() == workflow.documents(spark, sf).count()
 
 
-def test_calls_run_in_few_tasks(spark, records, tmp_path):
-    """However many partitions the texts are shuffled to, `partitions` tasks call the model, each text once."""
+@pytest.mark.parametrize("partitions", [3, None])
+def test_calls_run_in_few_tasks(spark, records, tmp_path, partitions):
+    """However many partitions the texts are shuffled to, `partitions` tasks call the model, each text once; without it all of them do."""
     folder = str(tmp_path)
 
     class Noting(extraction.LeadingWords):
@@ -73,11 +74,22 @@ def test_calls_run_in_few_tasks(spark, records, tmp_path):
                 pass
             return super().propose(text)
 
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
     try:
-        out = extraction.run_extraction(records, Noting, extraction.Contract("m", segment_chars=1 << 30), partitions=3, sleep=lambda s: None)
+        out = extraction.run_extraction(records, Noting, extraction.Contract("m", segment_chars=1 << 30), partitions=partitions, sleep=lambda s: None)
         assert out.where(F.col("case_content").isNotNull()).count() == 60
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     calls = [p.name.split("-")[0] for p in tmp_path.iterdir()]
-    assert len(calls) == 50 and len(set(calls)) <= 3
+    assert len(calls) == 50 and (8 < len(set(calls)) <= 12 if partitions is None else len(set(calls)) <= 3)
+
+
+def test_tasks_of_queries_are_not_bounded_in_number(spark, sf, monkeypatch):
+    seen, real = [], extraction.run_extraction
+    monkeypatch.setattr(extraction, "run_extraction", lambda *a, **o: seen.append(o["partitions"]) or real(*a, **o))
+    for name in ("extraction_resumed", "extraction_segments"):
+        workflow.QUERIES[name](spark, sf)
+    assert seen == [None] * 3
